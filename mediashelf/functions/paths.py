@@ -45,8 +45,8 @@ def relative_path(full_path: ColumnOrName, mount_point: ColumnOrName) -> Column:
     n_m = F.size(pm)
     n_f = F.size(pf)
     same_parent = F.slice(pf, 1, n_m - 1) == F.slice(pm, 1, n_m - 1)
-    a = F.element_at(pm, -1)
-    b = F.element_at(pf, F.greatest(n_m, F.lit(1)))
+    a = F.try_element_at(pm, F.lit(-1))
+    b = F.try_element_at(pf, n_m)
     near = ((a != "") & (b != "") & F.contains(b, a)) | F.contains(a, b)
     fuzzy = (n_m >= 2) & (n_f >= n_m) & same_parent & near
     rest = F.array_join(F.slice(pf, n_m + 1, F.greatest(n_f - n_m, F.lit(0))), "/")
