@@ -57,8 +57,8 @@ SELECT event_id, 'dev-' || CAST(user_id % 34 AS VARCHAR) AS device_uuid,
   CAST(FLOOR(value * 1000) AS BIGINT) AS size, ts
 FROM events""",
     "device_mount_points": """
-SELECT o_orderkey AS id, 'dev-' || CAST(o_custkey % 40 AS VARCHAR) AS device_uuid,
-  'sys-' || CAST(o_orderkey % 3 AS VARCHAR) AS system_id,
+SELECT o_orderkey AS id, 'dev-' || CAST(o_custkey % 40 + 20 AS VARCHAR) AS device_uuid,
+  'sys-' || CAST(o_orderkey % 4 AS VARCHAR) AS system_id,
   '/mnt/m' || CAST(o_orderkey % 997 AS VARCHAR) AS mount_path,
   o_orderdate AS last_updated
 FROM orders""",
@@ -67,10 +67,26 @@ SELECT device_uuid, system_id, MIN(id) AS id, COUNT(*) AS total_files,
   COUNT(*) FILTER (WHERE id % 2 = 0) AS new_files,
   MAX(scanned_time) AS last_updated, MAX(last_sync) AS last_sync
 FROM files GROUP BY device_uuid, system_id""",
+    "file_batch": """
+SELECT f.device_uuid,
+  CASE WHEN l_linenumber <= 2 THEN f.path ELSE f.path || '.v' || CAST(l_linenumber % 2 AS VARCHAR) END AS path,
+  f.system_id, CAST(FLOOR(l_extendedprice * 1000) AS BIGINT) AS size,
+  md5(CAST(l_partkey AS VARCHAR)) AS hash, l_shipdate AS modified_time,
+  CAST(l_linenumber AS BIGINT) AS ord,
+  CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1 THEN 'stat failed' ELSE NULL END AS error
+FROM files f JOIN lineitem ON f.id = l_orderkey""",
+    "file_accesses": """
+SELECT l_orderkey AS file_id, l_shipdate AS ts FROM lineitem""",
+    "seen_devices": """
+SELECT CASE WHEN n_regionkey = 0 THEN 'new-' || CAST(n_nationkey AS VARCHAR)
+            ELSE 'dev-' || CAST(n_nationkey AS VARCHAR) END AS uuid,
+  '/Volumes/' || n_name AS mount_path, n_name AS label
+FROM nation""",
 }
 
 # Views that other views are built from.
 DEPENDS = {
+    "file_batch": ["files"],
     "image_analysis_full": ["image_analysis"],
     "scan_progress": ["files"],
 }

@@ -137,8 +137,8 @@ def device_mount_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
         k.alias("id"),
-        F.concat(F.lit("dev-"), (c % 40).cast("string")).alias("device_uuid"),
-        F.concat(F.lit("sys-"), (k % 3).cast("string")).alias("system_id"),
+        F.concat(F.lit("dev-"), (c % 40 + 20).cast("string")).alias("device_uuid"),
+        F.concat(F.lit("sys-"), (k % 4).cast("string")).alias("system_id"),
         F.concat(F.lit("/mnt/m"), (k % 997).cast("string")).alias("mount_path"),
         F.col("o_orderdate").alias("last_updated"),
     )
@@ -154,3 +154,49 @@ def scan_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("scanned_time").alias("last_updated"),
         F.max("last_sync").alias("last_sync"),
     )
+
+
+def file_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rescan batch: one file-info row per lineitem of the file's order.
+
+    Lines 1-2 rewrite the existing path, later lines two new paths (``.v1`` / ``.v0``),
+    so keys repeat inside the batch (``ord`` = line number: the later write wins); a
+    returned odd line carries an ``error`` (a failed stat) and must be skipped.
+    """
+    f = files(spark, sf_dir).select("id", "device_uuid", "path", "system_id")
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+    ln = F.col("l_linenumber")
+    j = f.join(li, f.id == li.l_orderkey)
+    return j.select(
+        "device_uuid",
+        F.when(ln <= 2, F.col("path"))
+        .otherwise(F.concat(F.col("path"), F.lit(".v"), (ln % 2).cast("string"))).alias("path"),
+        "system_id",
+        F.floor(F.col("l_extendedprice") * 1000).cast("bigint").alias("size"),
+        F.md5(F.col("l_partkey").cast("string")).alias("hash"),
+        F.col("l_shipdate").alias("modified_time"),
+        ln.cast("bigint").alias("ord"),
+        F.when((F.col("l_returnflag") == "R") & (ln % 2 == 1), F.lit("stat failed"))
+        .otherwise(F.lit(None).cast("string")).alias("error"),
+    )
+
+
+def file_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access events: one per lineitem, on the file of its order, at its ship date."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("file_id"), F.col("l_shipdate").alias("ts"))
+
+
+def seen_devices(spark: SparkSession, sf_dir: str, with_null: bool = False) -> DataFrame:
+    """Devices one system reports: one per nation (region 0 nations are new uuids)."""
+    n = read_table(spark, sf_dir, "nation")
+    uuid = F.when(F.col("n_regionkey") == 0, F.concat(F.lit("new-"), F.col("n_nationkey").cast("string"))) \
+        .otherwise(F.concat(F.lit("dev-"), F.col("n_nationkey").cast("string")))
+    out = n.select(uuid.alias("uuid"), F.concat(F.lit("/Volumes/"), F.col("n_name")).alias("mount_path"),
+                   F.col("n_name").alias("label"))
+    if with_null:
+        out = out.unionByName(n.where(F.col("n_nationkey") == 0).select(
+            F.lit(None).cast("string").alias("uuid"), F.lit("/Volumes/none").alias("mount_path"),
+            F.lit("none").alias("label")))
+    return out
