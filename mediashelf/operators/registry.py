@@ -75,11 +75,12 @@ def mark_inactive(devices: DataFrame, active_uuids: DataFrame, system_id: str, a
 def newest_per_key(df: DataFrame, keys: Sequence[str], order_col: str,
                    tie_col: str | None = "id") -> DataFrame:
     """The newest row per key (``ORDER BY order_col DESC LIMIT 1``), ties broken by
-    the largest ``tie_col``. ``max_by`` over a struct is a partial aggregate (no sort)."""
+    the largest ``tie_col``. As in PostgreSQL a NULL sorts first under DESC, so a row
+    without ``order_col`` wins. ``max_by`` over a struct is a partial aggregate (no sort,
+    no single-task group even when one key holds a third of the rows)."""
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(order_col), F.col(tie_col)) if tie_col else F.col(order_col)
-    return (df.where(F.col(order_col).isNotNull())
-            .groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_w"))
+    parts = [F.col(order_col).isNull(), F.col(order_col)] + ([F.col(tie_col)] if tie_col else [])
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*parts)).alias("_w"))
             .select(*keys, "_w.*"))
 
 
