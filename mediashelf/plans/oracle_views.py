@@ -81,6 +81,37 @@ SELECT l_orderkey AS file_id, l_shipdate AS ts FROM lineitem""",
 SELECT CASE WHEN n_regionkey = 0 THEN 'new-' || CAST(n_nationkey AS VARCHAR)
             ELSE 'dev-' || CAST(n_nationkey AS VARCHAR) END AS uuid,
   '/Volumes/' || n_name AS mount_path, n_name AS label
+FROM nation""",
+    "inventory_lines": r"""
+WITH base AS (
+  SELECT 'host-' || CAST(s_nationkey % 8 AS VARCHAR) AS host,
+    CASE WHEN s_nationkey % 8 <= 2 THEN 'Linux' WHEN s_nationkey % 8 <= 4 THEN 'Darwin'
+         WHEN s_nationkey % 8 <= 6 THEN 'Windows' ELSE 'Plan9' END AS os,
+    TIMESTAMP '2024-01-01 00:00:00' AS captured_at, s_suppkey AS k,
+    CASE s_suppkey % 5
+      WHEN 0 THEN '/dev/sda' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR) || ' /media/u/Disk ' || CAST(s_suppkey AS VARCHAR)
+      WHEN 1 THEN '/dev/sdb' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR) || ' /boot'
+      WHEN 2 THEN '/dev/sdc' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR)
+      WHEN 3 THEN '  /dev/sdd' || CAST(s_suppkey AS VARCHAR) || '   U' || CAST(s_suppkey AS VARCHAR) || '   /mnt/n' || CAST(s_nationkey AS VARCHAR) || '  '
+      ELSE '/dev/sde' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR) || ' /' END AS linux,
+    chr(CAST(65 + s_suppkey % 20 AS INTEGER)) || ': \\?\Volume{' || CAST(s_suppkey AS VARCHAR) || '}\' AS win,
+    CASE WHEN s_suppkey % 9 = 0 THEN 'Device Identifier:' ELSE 'Device Identifier: disk' || CAST(s_suppkey AS VARCHAR) END AS mac0,
+    CASE WHEN s_suppkey % 7 = 0 THEN '   Volume Name: X' ELSE '   Volume UUID: V' || CAST(s_suppkey % 50 AS VARCHAR) END AS mac1,
+    '   Mount Point:   ' || CASE s_suppkey % 6 WHEN 0 THEN '/Volumes/Disk' || CAST(s_suppkey AS VARCHAR)
+      WHEN 1 THEN '(not mounted)' WHEN 2 THEN '/Volumes/Recovery' || CAST(s_suppkey AS VARCHAR)
+      WHEN 3 THEN '/Volumes/VM' WHEN 4 THEN '/' ELSE '/Volumes/Shared' || CAST(s_suppkey % 4 AS VARCHAR) END AS mac2,
+    CASE WHEN s_suppkey % 4 = 0 THEN '   Mount Point: (not mounted)' ELSE '   Bus Protocol: USB' END AS mac3
+  FROM supplier)
+SELECT host, os, captured_at, k * 10 AS seq,
+  CASE os WHEN 'Darwin' THEN mac0 WHEN 'Windows' THEN win ELSE linux END AS line FROM base
+UNION ALL SELECT host, os, captured_at, k * 10 + 1, mac1 FROM base WHERE os = 'Darwin'
+UNION ALL SELECT host, os, captured_at, k * 10 + 2, mac2 FROM base WHERE os = 'Darwin'
+UNION ALL SELECT host, os, captured_at, k * 10 + 3, mac3 FROM base WHERE os = 'Darwin'""",
+    "inventory_homes": """
+SELECT DISTINCT 'host-' || CAST(n_nationkey % 8 AS VARCHAR) AS host,
+  TIMESTAMP '2024-01-01 00:00:00' AS captured_at,
+  'node.host-' || CAST(n_nationkey % 8 AS VARCHAR) || '.lan' AS node,
+  CASE WHEN n_nationkey % 8 = 0 THEN '/mnt/n0' ELSE '/home/u' || CAST(n_nationkey % 8 AS VARCHAR) END AS home_dir
 FROM nation""",
 }
 

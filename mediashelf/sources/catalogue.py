@@ -200,3 +200,68 @@ def seen_devices(spark: SparkSession, sf_dir: str, with_null: bool = False) -> D
             F.lit(None).cast("string").alias("uuid"), F.lit("/Volumes/none").alias("mount_path"),
             F.lit("none").alias("label")))
     return out
+
+
+_INV_AT = "2024-01-01 00:00:00"
+
+
+def _host_num(col):
+    return col % 8
+
+
+def _host_os(h):
+    return (F.when(h <= 2, F.lit("Linux")).when(h <= 4, F.lit("Darwin"))
+            .when(h <= 6, F.lit("Windows")).otherwise(F.lit("Plan9")))
+
+
+def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured inventory text: per supplier up to four lines on host ``s_nationkey % 8``
+    in the format of that host's OS (hosts 0-2 Linux, 3-4 macOS, 5-6 Windows, 7 other)."""
+    s = read_table(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    ks = k.cast("string")
+    h = _host_num(n)
+    linux = (F.when(k % 5 == 0, F.concat(F.lit("/dev/sda"), ks, F.lit(" U"), ks, F.lit(" /media/u/Disk "), ks))
+             .when(k % 5 == 1, F.concat(F.lit("/dev/sdb"), ks, F.lit(" U"), ks, F.lit(" /boot")))
+             .when(k % 5 == 2, F.concat(F.lit("/dev/sdc"), ks, F.lit(" U"), ks))
+             .when(k % 5 == 3, F.concat(F.lit("  /dev/sdd"), ks, F.lit("   U"), ks, F.lit("   /mnt/n"),
+                                        n.cast("string"), F.lit("  ")))
+             .otherwise(F.concat(F.lit("/dev/sde"), ks, F.lit(" U"), ks, F.lit(" /"))))
+    mac_mount = (F.when(k % 6 == 0, F.concat(F.lit("/Volumes/Disk"), ks))
+                 .when(k % 6 == 1, F.lit("(not mounted)"))
+                 .when(k % 6 == 2, F.concat(F.lit("/Volumes/Recovery"), ks))
+                 .when(k % 6 == 3, F.lit("/Volumes/VM"))
+                 .when(k % 6 == 4, F.lit("/"))
+                 .otherwise(F.concat(F.lit("/Volumes/Shared"), (k % 4).cast("string"))))
+    mac = [
+        F.when(k % 9 == 0, F.lit("Device Identifier:")).otherwise(F.concat(F.lit("Device Identifier: disk"), ks)),
+        F.when(k % 7 == 0, F.lit("   Volume Name: X")).otherwise(F.concat(F.lit("   Volume UUID: V"), (k % 50).cast("string"))),
+        F.concat(F.lit("   Mount Point:   "), mac_mount),
+        F.when(k % 4 == 0, F.lit("   Mount Point: (not mounted)")).otherwise(F.lit("   Bus Protocol: USB")),
+    ]
+    win = F.concat(F.chr(65 + k % 20), F.lit(": \\\\?\\Volume{"), ks, F.lit("}\\"))
+    os_ = _host_os(h)
+    base = s.select(F.concat(F.lit("host-"), h.cast("string")).alias("host"), os_.alias("os"),
+                    F.lit(_INV_AT).cast("timestamp_ntz").alias("captured_at"), k.alias("k"),
+                    linux.alias("linux"), win.alias("win"), *[m.alias(f"mac{i}") for i, m in enumerate(mac)])
+    out = None
+    for i in range(4):
+        line = (F.when(F.col("os") == "Darwin", F.col(f"mac{i}"))
+                .when(F.col("os") == "Windows", F.col("win")).otherwise(F.col("linux")))
+        part = base.select("host", "os", "captured_at", (F.col("k") * 10 + i).alias("seq"), line.alias("line"))
+        if i > 0:
+            part = part.where(F.col("os") == "Darwin")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def inventory_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One home directory per host (host 0's home is also one of its listed mounts)."""
+    n = read_table(spark, sf_dir, "nation")
+    h = _host_num(F.col("n_nationkey"))
+    hs = h.cast("string")
+    return n.select(F.concat(F.lit("host-"), hs).alias("host"),
+                    F.lit(_INV_AT).cast("timestamp_ntz").alias("captured_at"),
+                    F.concat(F.lit("node."), F.lit("host-"), hs, F.lit(".lan")).alias("node"),
+                    F.when(h == 0, F.lit("/mnt/n0")).otherwise(F.concat(F.lit("/home/u"), hs)).alias("home_dir")
+                    ).distinct()
