@@ -206,3 +206,38 @@ def x11_is_absolute(spark, sf_dir):
     b = _full(spark, sf_dir)
     path = F.when(F.col("id") % 2 == 0, F.col("p")).otherwise(F.col("rel"))
     return b.select("id", path.alias("path")).select("id", "path", P.is_absolute("path").alias("is_absolute"))
+
+
+# mounts: every device mount plus its first path component (nested, shorter mounts)
+_MOUNTS_SQL = """
+m AS (SELECT mount_path, arg_min(uuid, id) AS uuid FROM (
+        SELECT mount_path, uuid, id FROM devices
+        UNION ALL SELECT regexp_extract(mount_path, '^(/[^/]+)', 1), 'root-' || uuid, id FROM devices) u
+      WHERE mount_path <> '' GROUP BY mount_path)"""
+
+
+def _mounts(spark, sf_dir):
+    d = cat.devices(spark, sf_dir)
+    u = d.select("mount_path", "uuid", "id").unionByName(
+        d.select(F.regexp_extract("mount_path", r"^(/[^/]+)", 1).alias("mount_path"),
+                 F.concat(F.lit("root-"), "uuid").alias("uuid"), "id"))
+    return u.where(F.col("mount_path") != "").groupBy("mount_path").agg(F.min_by("uuid", "id").alias("uuid"))
+
+
+@register("J5_longest_prefix_mount", views=("devices", "files"), sql=f"""
+WITH b AS ({_FULL}), {_MOUNTS_SQL},
+p AS (SELECT id, CASE WHEN id % 3 = 0 THEN p ELSE replace(p, '/', '//') || '/' END AS path FROM b),
+n AS (SELECT id, path, CASE WHEN regexp_replace(path, '/+', '/', 'g') = '/' THEN '/'
+                ELSE regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') END AS np FROM p),
+c AS (SELECT n.id, m.mount_path, m.uuid,
+        row_number() OVER (PARTITION BY n.id ORDER BY length(m.mount_path) DESC) AS rn
+      FROM n JOIN m ON starts_with(n.np, m.mount_path))
+SELECT n.id, n.path, c.mount_path, c.uuid AS device_uuid,
+  regexp_extract(c.mount_path, '([^/]*)$', 1) AS device_label
+FROM n LEFT JOIN c ON n.id = c.id AND c.rn = 1""")
+def j5_longest_prefix(spark, sf_dir):
+    from ..operators.prefix_join import longest_prefix_mount
+    b = _full(spark, sf_dir)
+    path = F.when(F.col("id") % 3 == 0, F.col("p")).otherwise(
+        F.concat(F.replace("p", F.lit("/"), F.lit("//")), F.lit("/")))
+    return longest_prefix_mount(b.select("id", path.alias("path")), _mounts(spark, sf_dir), ["id"])
