@@ -154,9 +154,11 @@ def rewrite_to_relative(path: ColumnOrName, mount_point: ColumnOrName) -> Column
 
 
 def rewrite_status(path: ColumnOrName, mount_point: ColumnOrName) -> Column:
-    """X13 status per row: ``already relative``, ``convertible`` or ``error``."""
+    """X13 status per row: ``already relative``, ``convertible`` or ``error`` (a missing
+    path, or an absolute path without a mount to cut)."""
     return (
-        F.when(_c(path).isNull() | _c(mount_point).isNull(), F.lit("error"))
+        F.when(_c(path).isNull(), F.lit("error"))
         .when(~is_absolute(path), F.lit("already relative"))
+        .when(_c(mount_point).isNull(), F.lit("error"))
         .otherwise(F.lit("convertible"))
     )

@@ -113,10 +113,23 @@ SELECT DISTINCT 'host-' || CAST(n_nationkey % 8 AS VARCHAR) AS host,
   'node.host-' || CAST(n_nationkey % 8 AS VARCHAR) || '.lan' AS node,
   CASE WHEN n_nationkey % 8 = 0 THEN '/mnt/n0' ELSE '/home/u' || CAST(n_nationkey % 8 AS VARCHAR) END AS home_dir
 FROM nation""",
+    "legacy_files": """
+SELECT f.id, f.device_uuid,
+  CASE WHEN f.id % 2 = 0 THEN COALESCE(d.mount_path, '/x') || '/' || f.path ELSE f.path END AS path,
+  f.hash, f.size, f.modified_time, f.scanned_time, f.last_accessed,
+  CASE f.id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE f.system_id END AS system_id,
+  f.last_sync
+FROM files f LEFT JOIN devices d ON d.uuid = f.device_uuid AND d.system_id = 'sys-0'""",
+    "legacy_devices": """
+SELECT id, uuid, mount_path, label, first_seen, last_seen,
+  CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE system_id END AS system_id, last_sync, is_active
+FROM devices""",
 }
 
 # Views that other views are built from.
 DEPENDS = {
+    "legacy_files": ["files", "devices"],
+    "legacy_devices": ["devices"],
     "file_batch": ["files"],
     "image_analysis_full": ["image_analysis"],
     "scan_progress": ["files"],

@@ -265,3 +265,29 @@ def inventory_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("node."), F.lit("host-"), hs, F.lit(".lan")).alias("node"),
                     F.when(h == 0, F.lit("/mnt/n0")).otherwise(F.concat(F.lit("/home/u"), hs)).alias("home_dir")
                     ).distinct()
+
+
+def legacy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as an older catalogue held them: even ids carry absolute paths (under the
+    ``sys-0`` mount of their device, or ``/x`` when there is none); owners NULL / ''."""
+    f = files(spark, sf_dir)
+    d = devices(spark, sf_dir).where(F.col("system_id") == "sys-0").select(
+        F.col("uuid").alias("_u"), F.col("mount_path").alias("_m"))
+    j = f.join(d, f.device_uuid == d._u, "left")
+    k = F.col("id")
+    return j.select(
+        "id", "device_uuid",
+        F.when(k % 2 == 0, F.concat(F.coalesce("_m", F.lit("/x")), F.lit("/"), F.col("path")))
+        .otherwise(F.col("path")).alias("path"),
+        "hash", "size", "modified_time", "scanned_time", "last_accessed",
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, F.lit(""))
+        .otherwise(F.col("system_id")).alias("system_id"),
+        "last_sync")
+
+
+def legacy_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices with owners partly missing (NULL / '')."""
+    d = devices(spark, sf_dir)
+    k = F.col("id")
+    return d.withColumn("system_id", F.when(k % 4 == 0, F.lit(None).cast("string"))
+                        .when(k % 4 == 1, F.lit("")).otherwise(F.col("system_id")))
