@@ -1 +1,178 @@
-"""Queries (to be filled)."""
+"""Queries: scan filters, listings, scan diff, totals, statistics, hashes
+(S1-S3, F1-F4, F17, U2, K13, J6, K18, A4, A5, A12, X18, X19)."""
+
+from __future__ import annotations
+
+import os
+import uuid as _uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import hashing as H
+from ..functions import paths as P
+from ..operators import scan as SC
+from ..session import ensure_checkpoint_dir
+from ..sources import catalogue as cat
+from ..sources import listing as L
+from ..sources.catalogue import read_table
+from .q_paths import _EXT_SQL
+from .registry import register
+
+_PATHS_SQL = """
+SELECT id, CASE id % 8 WHEN 0 THEN '/devices/' || path WHEN 1 THEN '/usr2/' || path
+    WHEN 2 THEN '/home/u/' || path WHEN 3 THEN '/Volumes/Recovery/' || path
+    WHEN 4 THEN '/data/.cache/' || path WHEN 5 THEN '/data/' || replace(path, '/f', '/.f')
+    WHEN 6 THEN '/proc/' || path ELSE '/data/' || path END AS path
+FROM files"""
+
+_BASE = "regexp_extract({p}, '([^/]*)$', 1)"
+_DIR = ("CASE WHEN regexp_matches(regexp_extract({p}, '^(.*/)?[^/]*$', 1), '^/+$') "
+        "THEN regexp_extract({p}, '^(.*/)?[^/]*$', 1) "
+        "ELSE regexp_replace(regexp_extract({p}, '^(.*/)?[^/]*$', 1), '/+$', '') END")
+_SKIPS = "(" + ", ".join(f"'{s}'" for s in SC.SKIP_DIRS) + ")"
+
+
+def _scan_paths(spark, sf_dir):
+    f = cat.files(spark, sf_dir)
+    k, p = F.col("id") % 8, F.col("path")
+    path = (F.when(k == 0, F.concat(F.lit("/devices/"), p)).when(k == 1, F.concat(F.lit("/usr2/"), p))
+            .when(k == 2, F.concat(F.lit("/home/u/"), p)).when(k == 3, F.concat(F.lit("/Volumes/Recovery/"), p))
+            .when(k == 4, F.concat(F.lit("/data/.cache/"), p))
+            .when(k == 5, F.concat(F.lit("/data/"), F.replace(p, F.lit("/f"), F.lit("/.f"))))
+            .when(k == 6, F.concat(F.lit("/proc/"), p)).otherwise(F.concat(F.lit("/data/"), p)))
+    return f.select("id", path.alias("path"))
+
+
+@register("F1_F2_F3_F4_scan_filters", views=("files",), sql=f"""
+WITH n AS ({_PATHS_SQL}),
+d AS (SELECT id, path, {_DIR.format(p='path')} AS parent, regexp_extract(path, '^(/[^/]*)', 1) AS root FROM n),
+e AS (SELECT *, substr(parent, length(root) + 2) AS below FROM d)
+SELECT id, path,
+  {_EXT_SQL.format(p='path')} IN ('.jpg', '.jpeg', '.png', '.gif', '.bmp', '.tiff', '.mp4', '.mov', '.avi', '.mkv') AS keep_f1,
+  NOT starts_with({_BASE.format(p='path')}, '.') AND {_EXT_SQL.format(p='path')} IN ('.jpg', '.png', '.mp4') AS scan_f2,
+  len([s FOR s IN {_SKIPS.replace('(', '[').replace(')', ']')} IF starts_with(parent, s)]) > 0 AS skip_f4,
+  NOT contains('/' || {_BASE.format(p='root')} || CASE WHEN below = '' THEN '' ELSE '/' || below END, '/.')
+    AND NOT len([s FOR s IN ['/home/u/dir1'] IF starts_with(parent, s)]) > 0 AS walked_f3
+FROM e""")
+def f1_f4_scan_filters(spark, sf_dir):
+    n = _scan_paths(spark, sf_dir)
+    root = F.regexp_extract("path", r"^(/[^/]*)", 1)
+    return n.select(
+        "id", "path",
+        SC.keep_extension("path").alias("keep_f1"),
+        SC.should_scan_file("path", [".jpg", ".png", ".mp4"]).alias("scan_f2"),
+        SC.should_skip_dir(P.dirname("path")).alias("skip_f4"),
+        SC.dir_walked("path", root, skip_dirs=["/home/u/dir1"]).alias("walked_f3"))
+
+
+_SEEN_SQL = "(SELECT DISTINCT device_uuid, path FROM file_batch WHERE error IS NULL)"
+
+
+@register("U2_K13_scan_diff", views=("files", "file_batch"), sql=f"""
+WITH s AS {_SEEN_SQL},
+t AS (SELECT DISTINCT device_uuid, path FROM files
+      WHERE device_uuid IN (SELECT device_uuid FROM file_batch WHERE error IS NULL))
+SELECT COALESCE(t.device_uuid, s.device_uuid) AS device_uuid, COALESCE(t.path, s.path) AS path,
+  CASE WHEN t.path IS NOT NULL AND s.path IS NOT NULL THEN 'updated'
+       WHEN s.path IS NOT NULL THEN 'new' ELSE 'deleted' END AS change
+FROM t FULL OUTER JOIN s ON t.device_uuid = s.device_uuid AND t.path = s.path""")
+def u2_scan_diff(spark, sf_dir):
+    scanned = cat.file_batch(spark, sf_dir).where(F.col("error").isNull())
+    return SC.scan_diff(cat.files(spark, sf_dir), scanned)
+
+
+@register("J6_K18_F17_delete_vanished", views=("files", "file_batch"), sql=f"""
+SELECT f.* FROM files f
+WHERE f.device_uuid NOT IN (SELECT device_uuid FROM file_batch)
+   OR EXISTS (SELECT 1 FROM {_SEEN_SQL} s WHERE s.device_uuid = f.device_uuid AND s.path = f.path)""")
+def j6_delete_vanished(spark, sf_dir):
+    b = cat.file_batch(spark, sf_dir)
+    # a row whose stat failed counts as unseen; its device still counts as scanned
+    scanned = b.select("device_uuid", F.when(F.col("error").isNull(), F.col("path")).alias("path"))
+    return SC.delete_vanished(cat.files(spark, sf_dir), scanned)
+
+
+_ELIG = f"(NOT starts_with({_BASE.format(p='path')}, '.') AND {_EXT_SQL.format(p='path')} IN ('.jpg', '.png', '.mp4', '.mov', '.v1'))"
+
+
+@register("A4_pre_scan_totals", views=("files", "file_batch"), sql=f"""
+SELECT device_uuid, COUNT(*) AS total_files, COALESCE(SUM(size), 0) AS total_size
+FROM file_batch WHERE {_ELIG} GROUP BY device_uuid""")
+def a4_pre_scan_totals(spark, sf_dir):
+    b = cat.file_batch(spark, sf_dir)
+    elig = SC.should_scan_file("path", [".jpg", ".png", ".mp4", ".mov", ".v1"])
+    return SC.pre_scan_totals(b.where(elig), ["device_uuid"])
+
+
+@register("A5_X29_scan_stats", views=("files", "file_batch"), sql=f"""
+WITH s AS (
+  SELECT device_uuid,
+    COUNT(*) FILTER (WHERE {_ELIG}) AS total_files,
+    COUNT(*) FILTER (WHERE {_ELIG} AND error IS NULL) AS processed_files,
+    COUNT(*) FILTER (WHERE NOT {_ELIG}) AS skipped_files,
+    COUNT(*) FILTER (WHERE {_ELIG} AND error IS NOT NULL) AS error_files,
+    COALESCE(SUM(CASE WHEN {_ELIG} AND error IS NULL THEN size END), 0) AS total_size
+  FROM file_batch GROUP BY device_uuid)
+SELECT *, round(CASE WHEN total_files = 0 THEN 0.0 ELSE processed_files * 100.0 / total_files END, 6) AS percent,
+  round(total_size / 1073741824.0, 9) AS gb, round(processed_files / 12.5, 6) AS files_per_sec
+FROM s""")
+def a5_scan_stats(spark, sf_dir):
+    b = cat.file_batch(spark, sf_dir)
+    elig = SC.should_scan_file("path", [".jpg", ".png", ".mp4", ".mov", ".v1"])
+    return SC.scan_stats(b, elig, 12.5, ["device_uuid"])
+
+
+@register("A12_dedupe_scanned_paths", views=("files", "file_batch"), sql="""
+SELECT path, device_uuid, system_id, size, hash, modified_time, ord, error FROM file_batch
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord DESC) = 1""")
+def a12_dedupe_paths(spark, sf_dir):
+    return SC.dedupe_paths(cat.file_batch(spark, sf_dir), "ord")
+
+
+@register("X18_X19_document_hashes", sql="""
+SELECT doc_id, sha256(text) AS prefix_hash, sha256(text) AS full_hash,
+  CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS capped_hash
+FROM documents""")
+def x18_x19_hashes(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", H.prefix_sha256("text").alias("prefix_hash"),
+                    H.full_sha256("text").alias("full_hash"),
+                    H.full_sha256("text", max_bytes=20000).alias("capped_hash"))
+
+
+def _document_tree(spark, sf_dir) -> str:
+    """Write every document as text under ``lang=<lang>/`` in the shared checkpoint folder
+    (a file tree that Spark derives from the table) and return its root."""
+    base = ensure_checkpoint_dir(spark)
+    root = os.path.join(base.replace("file:", ""), f"doc-tree-{_uuid.uuid4().hex}")
+    read_table(spark, sf_dir, "documents").select("text", "lang").write.partitionBy("lang").text(root)
+    return root
+
+
+@register("S1_A4_binaryfile_tree_bytes", sql="""
+SELECT lang, SUM(strlen(text) + 1) AS total_bytes FROM documents GROUP BY lang""")
+def s1_binaryfile_tree(spark, sf_dir):
+    root = _document_tree(spark, sf_dir)
+    listing = L.binary_files(spark, root)
+    listing = listing.where(SC.should_scan_file("path", [".txt"]))
+    lang = F.regexp_extract("path", r"/lang=([^/]*)/", 1)
+    return listing.groupBy(lang.alias("lang")).agg(F.sum("size").alias("total_bytes"))
+
+
+@register("S2_S3_X18_walked_tree_bytes", sql="""
+SELECT lang, SUM(strlen(text) + 1) AS total_bytes, SUM(strlen(text) + 1) AS content_bytes FROM documents GROUP BY lang""")
+def s2_walked_tree(spark, sf_dir):
+    root = _document_tree(spark, sf_dir)
+    # one seed per top-level directory: the walk of each subtree is its own task
+    seeds = L.seeds_of(spark, [os.path.join(root, d) for d in sorted(os.listdir(root)) if d.startswith("lang=")])
+    walked = L.walk_files(seeds, prune_prefixes=SC.SKIP_DIRS, do_hash=True)
+    walked = walked.where(F.col("error").isNull() & SC.should_scan_file("path", [".txt"])
+                          & SC.dir_walked("path", "root", SC.SKIP_DIRS))
+    # the content read by binaryFile must hash the same as the walker's ranged read
+    content = L.binary_files(spark, root, with_content=True).select(
+        "path", H.prefix_sha256("content").alias("_h"), F.octet_length("content").alias("_n"))
+    j = walked.join(content, "path", "left")
+    lang = F.regexp_extract("path", r"/lang=([^/]*)/", 1)
+    return j.groupBy(lang.alias("lang")).agg(
+        F.sum("size").alias("total_bytes"),
+        F.sum(F.when(F.col("_h") == F.col("hash"), F.col("_n"))).alias("content_bytes"))

@@ -165,7 +165,7 @@ def file_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     f = files(spark, sf_dir).select("id", "device_uuid", "path", "system_id")
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag")
     ln = F.col("l_linenumber")
     j = f.join(li, f.id == li.l_orderkey)
     return j.select(
@@ -176,7 +176,8 @@ def file_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("l_extendedprice") * 1000).cast("bigint").alias("size"),
         F.md5(F.col("l_partkey").cast("string")).alias("hash"),
         F.col("l_shipdate").alias("modified_time"),
-        ln.cast("bigint").alias("ord"),
+        # write order: line number, ties (repeated line numbers) broken by part and supplier
+        (ln.cast("bigint") * 1_000_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"),
         F.when((F.col("l_returnflag") == "R") & (ln % 2 == 1), F.lit("stat failed"))
         .otherwise(F.lit(None).cast("string")).alias("error"),
     )
