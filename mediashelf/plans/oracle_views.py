@@ -124,6 +124,28 @@ FROM files f LEFT JOIN devices d ON d.uuid = f.device_uuid AND d.system_id = 'sy
 SELECT id, uuid, mount_path, label, first_seen, last_seen,
   CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE system_id END AS system_id, last_sync, is_active
 FROM devices""",
+    "exif_tags": """
+WITH o AS (SELECT * FROM orders WHERE o_orderkey % 12 < 5)
+SELECT o_orderkey AS file_id, 'Image Model' AS tag,
+  CASE o_orderkey % 4 WHEN 0 THEN 'iPhone 12' WHEN 1 THEN 'Canon EOS R5' WHEN 2 THEN 'NIKON Z6' END AS value
+FROM o WHERE o_orderkey % 4 <> 3
+UNION ALL SELECT o_orderkey, 'EXIF DateTimeOriginal',
+  CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END FROM o
+UNION ALL SELECT o_orderkey, 'GPS GPSLatitude',
+  CAST(o_custkey % 90 AS VARCHAR) || '/1, ' || CAST(o_custkey % 60 AS VARCHAR) || '/1, ' ||
+  CAST(o_orderkey % 6000 AS VARCHAR) || CASE WHEN o_orderkey % 17 = 0 THEN '/0' ELSE '/100' END FROM o
+UNION ALL SELECT o_orderkey, 'GPS GPSLatitudeRef', CASE WHEN o_custkey % 2 = 0 THEN 'N' ELSE 'S' END
+FROM o WHERE o_orderkey % 19 <> 0
+UNION ALL SELECT o_orderkey, 'GPS GPSLongitude',
+  CAST(o_custkey % 180 AS VARCHAR) || '/1,' || CAST(o_orderkey % 60 AS VARCHAR) || '/1,0/1' FROM o
+UNION ALL SELECT o_orderkey, 'GPS GPSLongitudeRef', CASE WHEN o_orderkey % 2 = 0 THEN 'E' ELSE 'W' END FROM o
+UNION ALL SELECT o_orderkey, 'PIL width', CAST(640 + o_orderkey % 1000 AS VARCHAR) FROM o
+UNION ALL SELECT o_orderkey, 'PIL height', CAST(480 + o_custkey % 500 AS VARCHAR) FROM o""",
+    "video_probes": """
+SELECT o_orderkey AS file_id, o_custkey * 10 AS frame_count,
+  CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 24 + o_orderkey % 7 END AS DOUBLE) AS fps,
+  1920 - (o_orderkey % 3) * 640 AS width, 1080 AS height, o_orderdate AS created_time
+FROM orders""",
 }
 
 # Views that other views are built from.

@@ -292,3 +292,43 @@ def legacy_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     return d.withColumn("system_id", F.when(k % 4 == 0, F.lit(None).cast("string"))
                         .when(k % 4 == 1, F.lit("")).otherwise(F.col("system_id")))
+
+
+def exif_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF tag rows ``(file_id, tag, value)`` of the image files (keys ``% 12 < 5``)."""
+    o = read_table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 12 < 5)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cam = _pick(k % 4, CAMERAS_BY_KEY_MOD_4)
+
+    def part(tag, value, cond=None):
+        d = o if cond is None else o.where(cond)
+        return d.select(k.alias("file_id"), F.lit(tag).alias("tag"), value.alias("value"))
+
+    parts = [
+        part("Image Model", cam, cam.isNotNull()),
+        part("EXIF DateTimeOriginal", F.when(k % 13 == 0, F.lit("unknown"))
+             .otherwise(F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss"))),
+        part("GPS GPSLatitude", F.concat((c % 90).cast("string"), F.lit("/1, "), (c % 60).cast("string"),
+                                         F.lit("/1, "), (k % 6000).cast("string"),
+                                         F.when(k % 17 == 0, F.lit("/0")).otherwise(F.lit("/100")))),
+        part("GPS GPSLatitudeRef", F.when(c % 2 == 0, F.lit("N")).otherwise(F.lit("S")), k % 19 != 0),
+        part("GPS GPSLongitude", F.concat((c % 180).cast("string"), F.lit("/1,"), (k % 60).cast("string"),
+                                          F.lit("/1,0/1"))),
+        part("GPS GPSLongitudeRef", F.when(k % 2 == 0, F.lit("E")).otherwise(F.lit("W"))),
+        part("PIL width", (640 + k % 1000).cast("string")),
+        part("PIL height", (480 + c % 500).cast("string")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def video_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video probe rows: frames, fps (0 for keys ``% 5 = 0``), size, creation time."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("file_id"), (F.col("o_custkey") * 10).alias("frame_count"),
+                    F.when(k % 5 == 0, F.lit(0)).otherwise(24 + k % 7).cast("double").alias("fps"),
+                    (1920 - (k % 3) * 640).alias("width"), F.lit(1080).alias("height"),
+                    F.col("o_orderdate").alias("created_time"))
