@@ -1 +1,83 @@
-"""Queries (to be filled)."""
+"""Queries: streaming ingest and sync (T6-T8); rows-only checks plus SQL where the
+batch equivalent is expressible."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from ..sources import catalogue as cat
+from ..sources.catalogue import read_table, scan_events_from
+from ..streaming import file_events as FE
+from ..streaming import progress as PR
+from ..streaming import sync_loop as SL
+from .q_upsert import AS_OF
+from .registry import register
+
+
+def _event_stream(spark, sf_dir):
+    schema = read_table(spark, sf_dir, "events").schema
+    # the file source needs a directory or a glob; a one-file glob names the events table
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .parquet(os.path.join(sf_dir, "events.parque[t]")))
+
+
+@register("T8_stream_file_events", views=("files", "scan_events"), sql="""
+WITH last AS (SELECT * FROM scan_events
+              QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ts DESC, event_id DESC) = 1),
+ups AS (SELECT * FROM last WHERE op = 'upsert'),
+base AS (SELECT f.* FROM files f WHERE NOT EXISTS (
+          SELECT 1 FROM last d WHERE d.op = 'delete' AND d.device_uuid = f.device_uuid AND d.path = f.path)),
+j AS (SELECT b.*, u.device_uuid AS u_dev, u.path AS u_path, u.system_id AS u_sys, u.size AS u_size, u.ts AS u_ts
+      FROM base b FULL OUTER JOIN ups u ON b.device_uuid = u.device_uuid AND b.path = u.path)
+SELECT CASE WHEN id IS NOT NULL THEN id
+            ELSE (SELECT MAX(id) FROM base) + row_number() OVER (PARTITION BY id IS NULL ORDER BY u_dev, u_path) END AS id,
+  COALESCE(device_uuid, u_dev) AS device_uuid, COALESCE(path, u_path) AS path, hash,
+  CASE WHEN u_dev IS NOT NULL THEN u_size ELSE size END AS size, modified_time,
+  CASE WHEN u_dev IS NOT NULL THEN u_ts ELSE scanned_time END AS scanned_time, last_accessed,
+  CASE WHEN u_dev IS NOT NULL THEN u_sys ELSE system_id END AS system_id, last_sync
+FROM j""")
+def t8_stream_file_events(spark, sf_dir):
+    log_dir = FE.work_dir(spark, "file-event-log")
+    q = FE.start_file_event_stream(_event_stream(spark, sf_dir), log_dir, FE.work_dir(spark, "t8-ckpt"))
+    q.awaitTermination()
+    return FE.snapshot(cat.files(spark, sf_dir), FE.read_log(spark, log_dir))
+
+
+@register("T7_stream_progress", views=("scan_progress", "scan_events"), sql=f"""
+WITH b AS (SELECT device_uuid, system_id, COUNT(*) AS total_files,
+             COUNT(*) FILTER (WHERE op = 'upsert') AS new_files
+           FROM scan_events GROUP BY device_uuid, system_id),
+j AS (SELECT p.*, b.device_uuid AS b_dev, b.system_id AS b_sys, b.total_files AS b_total, b.new_files AS b_new
+      FROM scan_progress p FULL OUTER JOIN b ON p.device_uuid = b.device_uuid AND p.system_id = b.system_id)
+SELECT
+  CASE WHEN id IS NOT NULL THEN id
+       ELSE (SELECT MAX(id) FROM scan_progress)
+            + row_number() OVER (PARTITION BY id IS NULL ORDER BY b_dev, b_sys) END AS id,
+  COALESCE(device_uuid, b_dev) AS device_uuid, COALESCE(system_id, b_sys) AS system_id,
+  CASE WHEN b_dev IS NOT NULL THEN b_total ELSE total_files END AS total_files,
+  CASE WHEN b_dev IS NOT NULL THEN b_new ELSE new_files END AS new_files,
+  CASE WHEN b_dev IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE last_updated END AS last_updated,
+  CASE WHEN id IS NOT NULL AND b_dev IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE last_sync END AS last_sync
+FROM j""")
+def t7_stream_progress(spark, sf_dir):
+    base = FE.work_dir(spark, "progress")
+    events = scan_events_from(_event_stream(spark, sf_dir))
+    q, state = PR.start_progress_stream(events, spark, base, FE.work_dir(spark, "t7-ckpt"),
+                                        cat.scan_progress(spark, sf_dir), AS_OF)
+    q.awaitTermination()
+    return spark.read.schema(PR.PROGRESS_SCHEMA).parquet(state["last"])
+
+
+@register("T6_stream_sync_rounds")
+def t6_stream_sync(spark, sf_dir):
+    base = FE.work_dir(spark, "sync")
+    initial = {"devices": cat.devices(spark, sf_dir), "files": cat.files(spark, sf_dir),
+               "scan_progress": cat.scan_progress(spark, sf_dir),
+               "image_analysis": cat.image_analysis_full(spark, sf_dir)}
+    events = _event_stream(spark, sf_dir).select("ts")
+    q, state = SL.start_sync_stream(events, spark, base, FE.work_dir(spark, "t6-ckpt"), initial, "sys-1",
+                                    trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(f"{state['last']}/files")
