@@ -73,6 +73,7 @@ SELECT f.device_uuid,
   f.system_id, CAST(FLOOR(l_extendedprice * 1000) AS BIGINT) AS size,
   md5(CAST(l_partkey AS VARCHAR)) AS hash, l_shipdate AS modified_time,
   CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS ord,
+  CAST(FLOOR(l_extendedprice * 100) AS BIGINT) AS ord2,
   CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1 THEN 'stat failed' ELSE NULL END AS error
 FROM files f JOIN lineitem ON f.id = l_orderkey""",
     "file_accesses": """

@@ -10,6 +10,10 @@ from ..sources import catalogue as cat
 from .q_upsert import AS_OF, AS_OF_SQL
 from .registry import register
 
+# write order inside a batch: line number (+ part, supplier), then price in cents
+def ORDER():
+    return F.struct("ord", "ord2")
+
 ME = "sys-0"
 DEVICE_MOUNT = "(SELECT uuid, mount_path, id AS device_id FROM devices WHERE system_id = 'sys-0')"
 _PLAN_SQL = f"""
@@ -119,7 +123,7 @@ def k9_migrate_devices(spark, sf_dir):
 @register("K10_migrate_files", views=("files", "file_batch"), sql=f"""
 WITH s AS (SELECT device_uuid, path, hash, size, modified_time, modified_time + INTERVAL 1 DAY AS scanned_time
            FROM file_batch WHERE error IS NULL
-           QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ord DESC) = 1),
+           QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ord DESC, ord2 DESC) = 1),
 j AS (SELECT f.*, s.device_uuid AS s_dev, s.path AS s_path, s.hash AS s_hash, s.size AS s_size,
              s.modified_time AS s_mt, s.scanned_time AS s_st
       FROM files f FULL OUTER JOIN s ON f.device_uuid = s.device_uuid AND f.path = s.path)
@@ -136,7 +140,7 @@ SELECT CASE WHEN id IS NOT NULL THEN id
 FROM j""")
 def k10_migrate_files(spark, sf_dir):
     b = cat.file_batch(spark, sf_dir).where(F.col("error").isNull())
-    b = latest_per_key(b, ["device_uuid", "path"], "ord")
+    b = latest_per_key(b, ["device_uuid", "path"], ORDER())
     b = b.withColumn("scanned_time", F.col("modified_time") + F.expr("INTERVAL 1 DAY"))
     return M.migrate_files(cat.files(spark, sf_dir), b, AS_OF).table
 

@@ -18,6 +18,10 @@ from ..sources.catalogue import read_table
 from .q_paths import _EXT_SQL
 from .registry import register
 
+# write order inside a batch: line number (+ part, supplier), then price in cents
+def ORDER():
+    return F.struct("ord", "ord2")
+
 _PATHS_SQL = """
 SELECT id, CASE id % 8 WHEN 0 THEN '/devices/' || path WHEN 1 THEN '/usr2/' || path
     WHEN 2 THEN '/home/u/' || path WHEN 3 THEN '/Volumes/Recovery/' || path
@@ -123,10 +127,10 @@ def a5_scan_stats(spark, sf_dir):
 
 
 @register("A12_dedupe_scanned_paths", views=("files", "file_batch"), sql="""
-SELECT path, device_uuid, system_id, size, hash, modified_time, ord, error FROM file_batch
-QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord DESC) = 1""")
+SELECT path, device_uuid, system_id, size, hash, modified_time, ord, ord2, error FROM file_batch
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord DESC, ord2 DESC) = 1""")
 def a12_dedupe_paths(spark, sf_dir):
-    return SC.dedupe_paths(cat.file_batch(spark, sf_dir), "ord")
+    return SC.dedupe_paths(cat.file_batch(spark, sf_dir), ORDER())
 
 
 @register("X18_X19_document_hashes", sql="""

@@ -8,13 +8,17 @@ from ..operators import upsert as U
 from ..sources import catalogue as cat
 from .registry import register
 
+# write order inside a batch: line number (+ part, supplier), then price in cents
+def ORDER():
+    return F.struct("ord", "ord2")
+
 AS_OF = "2024-01-01 00:00:00"
 AS_OF_SQL = f"TIMESTAMP '{AS_OF}'"
 
 _BATCH_SQL = """
 b AS (
   SELECT device_uuid, path, system_id, size, hash, modified_time FROM file_batch WHERE error IS NULL
-  QUALIFY row_number() OVER (PARTITION BY device_uuid, path, system_id ORDER BY ord DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY device_uuid, path, system_id ORDER BY ord DESC, ord2 DESC) = 1)"""
 
 
 def _clean_batch(spark, sf_dir):
@@ -25,7 +29,7 @@ def _clean_batch(spark, sf_dir):
 def k1_result(spark, sf_dir):
     return U.upsert(cat.files(spark, sf_dir), _clean_batch(spark, sf_dir),
                     ["device_uuid", "path", "system_id"], ["hash", "size", "modified_time"],
-                    as_of=AS_OF, order_col="ord",
+                    as_of=AS_OF, order_col=ORDER(),
                     insert_values={"scanned_time": U.ts_lit(AS_OF)})
 
 
@@ -77,13 +81,13 @@ SELECT * FROM kept UNION ALL SELECT * FROM ins""")
 def k2_replace_files(spark, sf_dir):
     return U.upsert(cat.files(spark, sf_dir), _clean_batch(spark, sf_dir),
                     ["device_uuid", "path", "system_id"], ["hash", "size", "modified_time"],
-                    mode="replace", as_of=AS_OF, order_col="ord",
+                    mode="replace", as_of=AS_OF, order_col=ORDER(),
                     insert_values={"scanned_time": U.ts_lit(AS_OF)}).table
 
 
 def k3_result(spark, sf_dir):
     return U.upsert(cat.files(spark, sf_dir), _clean_batch(spark, sf_dir), ["device_uuid", "path"],
-                    ["system_id", "hash", "size", "modified_time"], as_of=AS_OF, order_col="ord",
+                    ["system_id", "hash", "size", "modified_time"], as_of=AS_OF, order_col=ORDER(),
                     insert_values={"scanned_time": U.ts_lit(AS_OF)},
                     update_values={"scanned_time": U.ts_lit(AS_OF)})
 
@@ -91,7 +95,7 @@ def k3_result(spark, sf_dir):
 _BATCH2_SQL = """
 b AS (
   SELECT device_uuid, path, system_id, size, hash, modified_time FROM file_batch WHERE error IS NULL
-  QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ord DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ord DESC, ord2 DESC) = 1)"""
 
 
 @register("K3_upsert_files_path_key", views=("files", "file_batch"), sql=f"""

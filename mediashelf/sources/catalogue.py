@@ -178,6 +178,7 @@ def file_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("modified_time"),
         # write order: line number, ties (repeated line numbers) broken by part and supplier
         (ln.cast("bigint") * 1_000_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"),
+        F.floor(F.col("l_extendedprice") * 100).cast("bigint").alias("ord2"),
         F.when((F.col("l_returnflag") == "R") & (ln % 2 == 1), F.lit("stat failed"))
         .otherwise(F.lit(None).cast("string")).alias("error"),
     )
