@@ -43,15 +43,25 @@ def acted(df: DataFrame, me: str, cutoff) -> DataFrame:
     return df.where(dirty(df, me, cutoff) & ~F.col("system_id").eqNullSafe(F.lit(me)))
 
 
-def _one_per_full_key(df: DataFrame, full_key: Sequence[str]) -> DataFrame:
-    ordered = df.withColumn("_ls", F.coalesce(F.col("last_sync"), F.lit("0001-01-01").cast("timestamp_ntz")))
-    kept = newest_per_key(ordered, list(full_key), "_ls", tie_col="id")
-    return kept.drop("_ls").select(*df.columns)
+def _one_per_full_key(df: DataFrame, full_key: Sequence[str], touched: Column | None = None) -> DataFrame:
+    """Keep one row per full key among the rows the takeover touched (newest last_sync,
+    NULLs last, then largest id). Untouched rows keep keys no touched row can share (the
+    touched ones are exactly the rows of the acted keys), so they pass through without
+    any aggregation: the dedupe costs the dirty subset, not the table."""
+    cols = [c for c in df.columns if c != "_hit"]
+    if touched is None:
+        touched_rows, rest = df, None
+    else:
+        touched_rows, rest = df.where(touched), df.where(~touched)
+    ordered = touched_rows.withColumn("_ls", F.coalesce(F.col("last_sync"), F.lit("0001-01-01").cast("timestamp_ntz")))
+    kept = newest_per_key(ordered.select(*cols, "_ls"), list(full_key), "_ls", tie_col="id").select(*cols)
+    return kept if rest is None else rest.select(*cols).unionByName(kept)
 
 
 def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, present_col: str,
            set_cols: dict[str, Column]) -> DataFrame:
-    """Update every row whose key is in ``winners`` (present) and delete those absent."""
+    """Update every row whose key is in ``winners`` (present) and delete those absent;
+    the result carries ``_hit`` (row updated)."""
     w = winners.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(present_col).alias("_present"),
                        *[F.col(c).alias(f"_v_{c}") for c in winners.columns if c not in keys and c != present_col])
     cond = None
@@ -59,7 +69,7 @@ def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, present_col:
         c = df[k] == w[f"_k_{k}"]
         cond = c if cond is None else cond & c
     j = df.join(w, cond, "left")
-    hit = F.col("_present") == F.lit(True)
+    hit = F.coalesce(F.col("_present") == F.lit(True), F.lit(False))
     gone = F.col("_present") == F.lit(False)
     out = []
     for c in df.columns:
@@ -67,7 +77,7 @@ def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, present_col:
             out.append(F.when(hit, set_cols[c]).otherwise(df[c]).cast(dict(df.dtypes)[c]).alias(c))
         else:
             out.append(df[c])
-    return j.where(~F.coalesce(gone, F.lit(False))).select(*out)
+    return j.where(~F.coalesce(gone, F.lit(False))).select(*out, hit.alias("_hit"))
 
 
 def _winners(rows: DataFrame, keys: Sequence[str], value_cols: Sequence[str], present: DataFrame | None,
@@ -115,7 +125,8 @@ def sync_devices(devices: DataFrame, me: str, as_of, present_uuids: DataFrame |
         else:
             v = devices[c]
         out.append(v.alias(c))
-    return _one_per_full_key(j.select(*out), ["uuid", "system_id"])
+    return _one_per_full_key(j.select(*out, F.coalesce(hit, F.lit(False)).alias("_hit")),
+                             ["uuid", "system_id"], F.col("_hit"))
 
 
 def sync_files(files: DataFrame, me: str, as_of, present_files: DataFrame | None = None) -> DataFrame:
@@ -128,7 +139,7 @@ def sync_files(files: DataFrame, me: str, as_of, present_files: DataFrame | None
     sets = {c: F.col(f"_v_{c}") for c in vals}
     sets.update({"system_id": F.lit(me), "last_sync": now})
     return _one_per_full_key(_apply(files, ["device_uuid", "path"], w, "present", sets),
-                             ["device_uuid", "path", "system_id"])
+                             ["device_uuid", "path", "system_id"], F.col("_hit"))
 
 
 def sync_scan_progress(progress: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
@@ -140,7 +151,8 @@ def sync_scan_progress(progress: DataFrame, me: str, as_of, present_uuids: DataF
     w = _winners(a, ["device_uuid"], vals, present_uuids, ["uuid"] if present_uuids is not None else [])
     sets = {c: F.col(f"_v_{c}") for c in vals}
     sets.update({"system_id": F.lit(me), "last_sync": now})
-    return _one_per_full_key(_apply(progress, ["device_uuid"], w, "present", sets), ["device_uuid", "system_id"])
+    return _one_per_full_key(_apply(progress, ["device_uuid"], w, "present", sets), ["device_uuid", "system_id"],
+                             F.col("_hit"))
 
 
 def sync_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -> DataFrame:
@@ -152,7 +164,7 @@ def sync_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -
     w = _winners(a, ["file_id"], vals, files.select(F.col("id").alias("file_id")), ["file_id"])
     sets = {c: F.col(f"_v_{c}") for c in vals}
     sets.update({"system_id": F.lit(me), "last_sync": now})
-    return _apply(analyses, ["file_id"], w, "present", sets)
+    return _apply(analyses, ["file_id"], w, "present", sets).drop("_hit")
 
 
 @dataclass

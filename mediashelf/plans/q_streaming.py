@@ -70,7 +70,16 @@ def t7_stream_progress(spark, sf_dir):
     return spark.read.schema(PR.PROGRESS_SCHEMA).parquet(state["last"])
 
 
-@register("T6_stream_sync_rounds")
+def _t6_sql() -> str:
+    from .q_sync import _T2_CTES, CUT, NOW
+    max_ts = "(SELECT MAX(ts) FROM events)"
+    ctes = _T2_CTES.replace(CUT, f"({max_ts} - INTERVAL 5 MINUTE)").replace(NOW, max_ts)
+    ctes = ctes.replace("p2 AS (SELECT DISTINCT device_uuid, path FROM file_batch WHERE error IS NULL)",
+                        "p2 AS (SELECT DISTINCT device_uuid, path FROM files)")
+    return f"WITH {ctes}\nSELECT * FROM files2"
+
+
+@register("T6_stream_sync_rounds", views=("files", "file_batch"), sql=_t6_sql())
 def t6_stream_sync(spark, sf_dir):
     base = FE.work_dir(spark, "sync")
     initial = {"devices": cat.devices(spark, sf_dir), "files": cat.files(spark, sf_dir),
