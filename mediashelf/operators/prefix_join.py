@@ -9,8 +9,9 @@ by the longest mount string), and those prefixes are equi-joined to the mount ta
 * larger mount tables take a shuffle join; AQE's skew handling splits a hot prefix
   (such as a mount ``/`` that every path matches).
 
-The longest match per path is a ``max_by`` partial aggregate; the result is joined back
-to the input on its key, so paths without a match keep a NULL mount.
+The longest match per path is a primitive ``max`` of matched prefix lengths (hash
+aggregate); the result is joined back to the input on its key, so paths without a match
+keep a NULL mount, and the mount's uuid comes from one more lookup on the mount string.
 """
 
 from __future__ import annotations
@@ -47,22 +48,23 @@ def longest_prefix_mount(paths: DataFrame, mounts: DataFrame, key_cols: Sequence
         raise ValueError(f"mount longer than {MAX_MOUNT_LENGTH} characters")
     norm = abspath_like(F.col(path_col))
     keys = list(key_cols)
-    if not lengths:
-        best = None
-    else:
-        cand = paths.select(*keys, norm.alias("_p"))
+    out = paths.withColumn("_p", norm)
+    if lengths:
+        mb = maybe_broadcast(m)
+        cand = out.select(*keys, "_p")
         cand = cand.select(*keys, "_p", F.explode(
             F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_p"))).alias("_n"))
         cand = cand.select(*keys, "_n", F.expr("substring(_p, 1, _n)").alias("_prefix"))
-        matched = cand.join(maybe_broadcast(m), cand["_prefix"] == m["_mount"], "inner")
-        best = matched.groupBy(*keys).agg(
-            F.max_by(F.struct(F.col("_mount").alias("mount_path"), F.col("_uuid").alias("device_uuid")),
-                     F.col("_n")).alias("_best"))
-    if best is None:
+        matched = cand.join(mb.select("_mount"), cand["_prefix"] == mb["_mount"], "left_semi")
+        # the longest match is the path's own prefix of the largest matched length, so a
+        # primitive max (hash aggregate, map-side combined) is all the grouping needs
+        best = matched.groupBy(*keys).agg(F.max("_n").alias("_best_n"))
+        out = out.join(best, keys, "left")
+        out = out.withColumn("_best", F.expr("substring(_p, 1, _best_n)"))
+        out = out.join(mb, out["_best"] == mb["_mount"], "left")
+        out = out.select(*[paths[c] for c in paths.columns],
+                         F.col("_mount").alias("mount_path"), F.col("_uuid").alias("device_uuid"))
+    else:
         out = paths.withColumn("mount_path", F.lit(None).cast("string")) \
                    .withColumn("device_uuid", F.lit(None).cast("string"))
-    else:
-        out = paths.join(best, keys, "left").select(
-            *[paths[c] for c in paths.columns],
-            F.col("_best.mount_path").alias("mount_path"), F.col("_best.device_uuid").alias("device_uuid"))
     return out.withColumn("device_label", basename(F.col("mount_path")))
