@@ -162,3 +162,18 @@ def rewrite_status(path: ColumnOrName, mount_point: ColumnOrName) -> Column:
         .when(_c(mount_point).isNull(), F.lit("error"))
         .otherwise(F.lit("convertible"))
     )
+
+
+def join_path(base: ColumnOrName, rel: ColumnOrName) -> Column:
+    """``os.path.join(base, rel)`` on POSIX: an absolute ``rel`` wins, an empty base or one
+    ending with ``/`` is concatenated directly, otherwise a ``/`` goes between."""
+    b, r = _c(base), _c(rel)
+    return (F.when(F.startswith(r, F.lit("/")), r)
+            .when((b == "") | F.endswith(b, F.lit("/")), F.concat(b, r))
+            .otherwise(F.concat(b, F.lit("/"), r)))
+
+
+def system_id_of(os_name: ColumnOrName, host: ColumnOrName, lower: bool = True) -> Column:
+    """``lower(os)-host`` (configuration form) or ``OS-host`` (sync form)."""
+    o = F.lower(_c(os_name)) if lower else _c(os_name)
+    return F.concat_ws("-", o, _c(host))

@@ -138,3 +138,26 @@ def upsert_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "
     missing = b.join(progress.select("device_uuid").distinct(), "device_uuid", "left_anti")
     return upsert(updated, missing, ["device_uuid", "system_id"], ["total_files", "new_files"], as_of=as_of,
                   insert_values={"last_updated": now}).table
+
+
+def restore_paths(requests: DataFrame, files: DataFrame, devices: DataFrame, mount_points: DataFrame,
+                  system_id: str, listing: DataFrame | None = None) -> DataFrame:
+    """J3 (+ J10, J12): for each requested ``file_id``, its full path on this system:
+    the file must exist and its device be known (any system), the mount comes from J10,
+    the path is ``os.path.join(mount, rel_path)``; with a live ``listing`` (column
+    ``path``) a path not present there gives NULL, as a failed existence check does."""
+    from ..functions.paths import join_path
+    f = files.select(F.col("id").alias("file_id"), "device_uuid", F.col("path").alias("rel_path"))
+    f = f.join(requests.select("file_id").distinct(), "file_id", "left_semi")
+    f = f.join(devices.select(F.col("uuid").alias("device_uuid")).distinct(), "device_uuid", "left_semi")
+    req = f.select("device_uuid").distinct().withColumn("system_id", F.lit(system_id))
+    mounts = device_mount_point(req, mount_points, devices).select("device_uuid", "mount_path")
+    j = f.join(mounts, "device_uuid", "left")
+    full = F.when(F.coalesce(F.col("mount_path"), F.lit("")) == "", F.lit(None).cast("string")) \
+        .otherwise(join_path("mount_path", "rel_path"))
+    out = j.select("file_id", full.alias("full_path"))
+    if listing is not None:
+        live = listing.select(F.col("path").alias("_live")).distinct()
+        out = out.join(live, out["full_path"] == live["_live"], "left") \
+            .select("file_id", F.when(F.col("_live").isNotNull(), F.col("full_path")).alias("full_path"))
+    return requests.select("file_id").distinct().join(out, "file_id", "left")

@@ -129,3 +129,22 @@ def x28_objects_json(spark, sf_dir):
     return i.select("file_id", arr.alias("labels"),
                     F.when(arr.isNull(), F.lit(None)).otherwise(F.size(arr)).alias("n_labels"),
                     MM.labels_to_json(arr).alias("objects_json"))
+
+
+@register("K8_store_video_analyses", views=("files", "video_probes"), sql="""
+WITH v AS (SELECT id AS file_id FROM files
+           WHERE path LIKE '%.mp4' OR path LIKE '%.avi' OR path LIKE '%.mov' OR path LIKE '%.mkv'),
+new AS (SELECT v.file_id, CASE WHEN p.fps > 0 THEN p.frame_count / p.fps END AS duration,
+          CAST(p.width AS INTEGER) AS width, CAST(p.height AS INTEGER) AS height, p.fps, p.created_time
+        FROM v JOIN video_probes p ON v.file_id = p.file_id WHERE p.created_time >= TIMESTAMP '1995-01-01 00:00:00'),
+old AS (SELECT p.file_id, CASE WHEN p.fps > 0 THEN p.frame_count / (2 * p.fps) END AS duration,
+          CAST(p.width AS INTEGER) AS width, CAST(p.height AS INTEGER) AS height, 2 * p.fps AS fps, p.created_time
+        FROM v JOIN video_probes p ON v.file_id = p.file_id)
+SELECT * FROM old WHERE file_id NOT IN (SELECT file_id FROM new)
+UNION ALL SELECT * FROM new""")
+def k8_store_video_analyses(spark, sf_dir):
+    videos = A.select_videos(cat.files(spark, sf_dir))
+    probes = cat.video_probes(spark, sf_dir)
+    old = A.video_analyses(videos, probes.withColumn("fps", F.col("fps") * 2))
+    new = A.video_analyses(videos, probes.where(F.col("created_time") >= F.lit("1995-01-01").cast("timestamp_ntz")))
+    return A.store_video_analyses(old, new).table

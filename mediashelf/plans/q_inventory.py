@@ -96,3 +96,14 @@ GROUP BY host, captured_at, uuid""")
 def j11_first_mount(spark, sf_dir):
     d = inv.all_devices(cat.inventory_lines(spark, sf_dir), cat.inventory_homes(spark, sf_dir))
     return inv.first_mount_of_uuid(d)
+
+
+@register("X12_system_ids", views=("inventory_lines",), sql="""
+SELECT DISTINCT host, os, lower(os) || '-' || host AS system_id, os || '-' || host AS sync_system_id
+FROM inventory_lines""")
+def x12_system_ids(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from ..functions.paths import system_id_of
+    h = cat.inventory_lines(spark, sf_dir).select("host", "os").distinct()
+    return h.select("host", "os", system_id_of("os", "host").alias("system_id"),
+                    system_id_of("os", "host", lower=False).alias("sync_system_id"))

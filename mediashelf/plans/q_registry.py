@@ -145,3 +145,40 @@ def k6_progress_device_scope(spark, sf_dir):
                                      F.count_if(F.col("op") == "upsert").alias("new_files"))
          .withColumn("system_id", F.lit("sys-0")))
     return R.upsert_progress(cat.scan_progress(spark, sf_dir), b, AS_OF, scope="device")
+
+
+_RESTORE_SQL = """
+WITH f AS (SELECT id AS file_id, device_uuid, path AS rel_path FROM files
+           WHERE device_uuid IN (SELECT uuid FROM devices)),
+r AS (SELECT DISTINCT device_uuid FROM f),
+mp AS (SELECT device_uuid, mount_path FROM device_mount_points WHERE system_id = 'sys-0'
+       QUALIFY row_number() OVER (PARTITION BY device_uuid, system_id
+                                  ORDER BY last_updated DESC NULLS FIRST, id DESC) = 1),
+d AS (SELECT uuid, arg_min(mount_path, id) AS d_mount FROM devices WHERE system_id = 'sys-0' GROUP BY uuid),
+m AS (SELECT r.device_uuid, COALESCE(mp.mount_path, d.d_mount) AS mount_path FROM r
+      LEFT JOIN mp ON r.device_uuid = mp.device_uuid LEFT JOIN d ON r.device_uuid = d.uuid),
+fp AS (SELECT f.file_id, CASE WHEN COALESCE(m.mount_path, '') = '' THEN NULL
+                 WHEN starts_with(f.rel_path, '/') THEN f.rel_path
+                 WHEN ends_with(m.mount_path, '/') THEN m.mount_path || f.rel_path
+                 ELSE m.mount_path || '/' || f.rel_path END AS full_path
+         FROM f LEFT JOIN m ON f.device_uuid = m.device_uuid),
+live AS (SELECT DISTINCT fp.full_path AS path FROM fp JOIN files x ON fp.file_id = x.id
+         WHERE fp.full_path IS NOT NULL AND EXISTS (
+           SELECT 1 FROM file_batch b WHERE b.error IS NULL AND b.device_uuid = x.device_uuid AND b.path = x.path))
+SELECT o.id AS file_id, CASE WHEN fp.full_path IN (SELECT path FROM live) THEN fp.full_path END AS full_path
+FROM files o LEFT JOIN fp ON o.id = fp.file_id"""
+
+
+@register("J3_J12_restore_paths", views=("files", "devices", "device_mount_points", "file_batch"), sql=_RESTORE_SQL)
+def j3_restore_paths(spark, sf_dir):
+    from ..functions.paths import join_path
+    files = cat.files(spark, sf_dir)
+    devices = cat.devices(spark, sf_dir)
+    mps = cat.device_mount_points(spark, sf_dir)
+    # the live listing: full paths of the files the rescan saw (error-free rows)
+    seen = cat.file_batch(spark, sf_dir).where(F.col("error").isNull()).select("device_uuid", "path").distinct()
+    seen_ids = files.join(seen, ["device_uuid", "path"], "left_semi").select(F.col("id").alias("file_id"))
+    all_paths = R.restore_paths(files.select(F.col("id").alias("file_id")), files, devices, mps, "sys-0")
+    listing = all_paths.join(seen_ids, "file_id", "left_semi").select(F.col("full_path").alias("path")) \
+        .where(F.col("path").isNotNull())
+    return R.restore_paths(files.select(F.col("id").alias("file_id")), files, devices, mps, "sys-0", listing)

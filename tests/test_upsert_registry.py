@@ -143,3 +143,29 @@ def test_longest_prefix_brute_force(spark):
     for i, p in enumerate(paths):
         cands = [m for m in mounts if m and norm(p).startswith(m)]
         assert got[i] == (max(cands, key=len) if cands else None), p
+
+
+def test_restore_paths(spark):
+    files = spark.createDataFrame([(1, "u1", "Photos/a.jpg"), (2, "u2", "b.jpg"), (3, "u9", "c.jpg"), (4, "u1", "/abs.jpg")],
+                                  "id long, device_uuid string, path string")
+    devs = spark.createDataFrame([(1, "u1", "/Volumes/X/", "me"), (2, "u2", "", "me")],
+                                 "id long, uuid string, mount_path string, system_id string")
+    mps = spark.createDataFrame([], "id long, device_uuid string, system_id string, mount_path string, "
+                                    "last_updated timestamp_ntz")
+    req = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "file_id long")
+    got = {r["file_id"]: r["full_path"] for r in R.restore_paths(req, files, devs, mps, "me").collect()}
+    assert got == {1: "/Volumes/X/Photos/a.jpg", 2: None, 3: None, 4: "/abs.jpg", 5: None}
+    live = spark.createDataFrame([("/abs.jpg",)], "path string")
+    got = {r["file_id"]: r["full_path"] for r in R.restore_paths(req, files, devs, mps, "me", live).collect()}
+    assert got[4] == "/abs.jpg" and got[1] is None
+
+
+def test_init_catalogue_idempotent(spark, tmpdir_path):
+    from mediashelf.schemas import SCHEMAS, init_catalogue
+    paths = init_catalogue(spark, tmpdir_path)
+    assert set(paths) == set(SCHEMAS)
+    spark.createDataFrame([(1, "u", "/m", "l", None, None, "s", None, True)], SCHEMAS["devices"]) \
+        .write.mode("overwrite").parquet(paths["devices"])
+    init_catalogue(spark, tmpdir_path)
+    assert spark.read.parquet(paths["devices"]).count() == 1
+    assert spark.read.parquet(paths["files"]).count() == 0
