@@ -118,3 +118,19 @@ def dedupe_paths(listing: DataFrame, order_col: str | None = None) -> DataFrame:
         return listing.dropDuplicates(["path"])
     from .upsert import latest_per_key
     return latest_per_key(listing, ["path"], order_col)
+
+
+def observe_scan(files: DataFrame, eligible: Column, name: str = "scan_counters"):
+    """A5 runtime counters: the same counts as ``scan_stats`` gathered as a side effect of
+    whatever action runs ``files`` (``df.observe``), so the scan is not read twice.
+    Returns ``(observed_df, observation)``; ``observation.get`` is filled after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    err = F.col("error").isNotNull()
+    df = files.observe(obs,
+                       F.count_if(eligible).alias("total_files"),
+                       F.count_if(eligible & ~err).alias("processed_files"),
+                       F.count_if(~eligible).alias("skipped_files"),
+                       F.count_if(eligible & err).alias("error_files"),
+                       F.coalesce(F.sum(F.when(eligible & ~err, F.col("size"))), F.lit(0)).alias("total_size"))
+    return df, obs

@@ -167,6 +167,22 @@ def sync_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -
     return _apply(analyses, ["file_id"], w, "present", sets).drop("_hit")
 
 
+def change_log(table_name: str, before: DataFrame, after: DataFrame, me: str, as_of,
+               id_col: str = "id") -> DataFrame:
+    """The ``sync_logs`` rows of one table: ``delete`` for ids gone after the round,
+    ``update`` for ids whose ``last_sync`` became ``as_of``. Two joins on the id column
+    only (the wide rows are not shuffled)."""
+    now = ts_lit(as_of)
+    b = before.select(F.col(id_col).alias("_id"), F.col("last_sync").alias("_b_ls"))
+    a = after.select(F.col(id_col).alias("_id"), F.col("last_sync").alias("_a_ls"))
+    deleted = b.join(a, "_id", "left_anti").select("_id", F.lit("delete").alias("operation"))
+    updated = (a.join(b, "_id").where(F.col("_a_ls").eqNullSafe(now) & ~F.col("_b_ls").eqNullSafe(now))
+               .select("_id", F.lit("update").alias("operation")))
+    return deleted.unionByName(updated).select(
+        F.lit(table_name).alias("table_name"), F.col("_id").cast("string").alias("record_id"), "operation",
+        F.lit(me).alias("system_id"), now.alias("sync_time"))
+
+
 @dataclass
 class SyncRound:
     devices: DataFrame
@@ -174,6 +190,7 @@ class SyncRound:
     scan_progress: DataFrame
     image_analysis: DataFrame
     log: DataFrame  # table_name, operation, rows (A11 per table and operation)
+    changes: DataFrame  # sync_logs rows: table_name, record_id, operation, system_id, sync_time
 
 
 def sync_all(devices: DataFrame, files: DataFrame, progress: DataFrame, analyses: DataFrame,
@@ -196,4 +213,7 @@ def sync_all(devices: DataFrame, files: DataFrame, progress: DataFrame, analyses
     log = parts[0]
     for p in parts[1:]:
         log = log.unionByName(p)
-    return SyncRound(d2, f2, p2, i2, log)
+    changes = change_log("devices", devices, d2, me, as_of)
+    for name, b, a in (("files", files, f2), ("scan_progress", progress, p2), ("image_analysis", analyses, i2)):
+        changes = changes.unionByName(change_log(name, b, a, me, as_of))
+    return SyncRound(d2, f2, p2, i2, log, changes)

@@ -198,3 +198,11 @@ def touch_access(files: DataFrame, accesses: DataFrame, id_col: str = "id",
         else:
             out.append(files[c])
     return j.select(*out)
+
+
+def existing_keys(batch: DataFrame, current: DataFrame, keys: Sequence[str], exists: bool = True) -> DataFrame:
+    """Batch rows whose key is already in ``current`` (``left_semi``), or, with
+    ``exists=False``, the new ones (``left_anti``). Only the key columns of ``current``
+    are read and shuffled."""
+    k = current.select(*keys)
+    return batch.join(k, list(keys), "left_semi" if exists else "left_anti")

@@ -142,3 +142,17 @@ def a11_sync_round_counts(spark, sf_dir):
     rnd = S.sync_all(cat.devices(spark, sf_dir), cat.files(spark, sf_dir), cat.scan_progress(spark, sf_dir),
                      cat.image_analysis_full(spark, sf_dir), ME, SYNC_AS_OF)
     return rnd.log
+
+
+@register("T5_sync_change_log", views=("files", "file_batch"), sql=f"""
+WITH {_T2_CTES}
+SELECT 'files' AS table_name, CAST(f.id AS VARCHAR) AS record_id, 'delete' AS operation,
+  '{ME}' AS system_id, {NOW} AS sync_time
+FROM files f WHERE f.id NOT IN (SELECT id FROM files2)
+UNION ALL
+SELECT 'files', CAST(n.id AS VARCHAR), 'update', '{ME}', {NOW}
+FROM files2 n JOIN files o ON n.id = o.id
+WHERE n.last_sync IS NOT DISTINCT FROM {NOW} AND o.last_sync IS DISTINCT FROM {NOW}""")
+def t5_sync_change_log(spark, sf_dir):
+    files = cat.files(spark, sf_dir)
+    return S.change_log("files", files, _t2(spark, sf_dir), ME, SYNC_AS_OF)

@@ -163,3 +163,12 @@ def w4_serial_ids(spark, sf_dir):
     keys = cat.scan_events(spark, sf_dir).select("device_uuid", "path", "system_id").distinct()
     base = U.max_id(cat.files(spark, sf_dir))
     return U.assign_serial_ids(keys, ["device_uuid", "path", "system_id"], base)
+
+
+@register("J8_existing_batch_keys", views=("files", "file_batch"), sql="""
+SELECT b.* FROM file_batch b
+WHERE EXISTS (SELECT 1 FROM files f WHERE f.device_uuid = b.device_uuid AND f.path = b.path
+                                      AND f.system_id = b.system_id)""")
+def j8_existing_batch_keys(spark, sf_dir):
+    return U.existing_keys(cat.file_batch(spark, sf_dir), cat.files(spark, sf_dir),
+                           ["device_uuid", "path", "system_id"])

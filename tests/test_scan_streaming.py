@@ -113,3 +113,29 @@ def test_stream_equals_batch(spark, tmpdir_path):
     FE.log_writer(log_dir)(scan_events_from(spark.read.parquet(os.path.join(src, "chunk=0"))), 0)
     again = FE.snapshot(files, FE.read_log(spark, log_dir))
     assert sorted(map(tuple, again.select(cols).collect())) == got_rows
+
+
+def test_observed_counters_match_stats(spark):
+    from mediashelf.sources import catalogue as cat
+    b = cat.file_batch(spark, "/root/testdata/sf0.001")
+    elig = SC.should_scan_file("path", [".jpg", ".png"])
+    df, obs = SC.observe_scan(b, elig)
+    df.write.format("noop").mode("overwrite").save()
+    got = obs.get
+    want = SC.scan_stats(b, elig, 1.0).first()
+    for k in ("total_files", "processed_files", "skipped_files", "error_files", "total_size"):
+        assert got[k] == want[k], k
+
+
+def test_detector_hook(spark):
+    from mediashelf.operators import analysis as A
+
+    def model(pdf):
+        import pandas as pd
+        rows = [(fid, "face" if len(c) % 2 else "dog", len(c) / 100.0) for fid, c in zip(pdf.file_id, pdf.content)]
+        return pd.DataFrame(rows, columns=["file_id", "label", "confidence"])
+
+    imgs = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"abcdefghij"))], "file_id long, content binary")
+    det = A.detect(imgs, model)
+    got = {r["file_id"]: (r["objects"], r["has_faces"]) for r in A.labels_per_file(det).collect()}
+    assert got == {1: (["face"], False), 2: (["dog"], False)}
