@@ -9,7 +9,7 @@ Parquet tables have no row-level DML, so every operator here is a pure function
 * the batch is first reduced to one row per key with ``max_by`` (partial aggregation,
   map-side), so repeated events for one hot key never reach the join as duplicates;
 * new serial ids are dense ranks in key order, computed from per-partition counts of a
-  range-partitioned, checkpointed copy of the inserted rows only (no single-task window).
+  checkpointed, range-partitioned copy of the inserted rows only (no single-task window).
 """
 
 from __future__ import annotations
@@ -55,16 +55,21 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
     """``id = start_after + row_number() OVER (ORDER BY order_cols)`` without a
     single-partition window.
 
-    Rows are range-partitioned and sorted on ``order_cols`` and checkpointed (so every
-    later read sees the same partition layout, even after an executor is lost); each
-    partition's row count (one small row per partition) gives its offset.
+    The rows are checkpointed first (so an expensive input, such as the upsert's join, is
+    computed once), then range-partitioned, sorted and numbered and checkpointed again:
+    range bounds come from sampling, which is not repeatable across executions, so the
+    numbered layout itself must be materialized before per-partition counts are taken.
+    Every later read, also after an executor loss, sees the same ids. Each partition's row
+    count (one small row per partition) gives its offset.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = cut_lineage(df)
+    sortable = [c for c, t in src.dtypes
+                if c not in order_cols and not t.startswith(("array", "map", "struct", "binary"))]
     cols = [F.col(c) for c in order_cols]
-    ranked = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranked = cut_lineage(ranked)
+    ranked = cut_lineage(src.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *sortable)
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r["_pid"]: r["n"] for r in
@@ -74,7 +79,7 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
         offsets.append(acc)
         acc += counts.get(p, 0)
     if not offsets:
-        return ranked.drop("_mid").withColumn(id_col, F.lit(None).cast("bigint"))
+        return src.withColumn(id_col, F.lit(None).cast("bigint"))
     off = F.array(*[F.lit(o).cast("bigint") for o in offsets])
     new_id = F.lit(start_after).cast("bigint") + F.element_at(off, (pid + 1).cast("int")) + pos + 1
     return ranked.withColumn(id_col, new_id).drop("_mid")
@@ -99,7 +104,7 @@ class UpsertResult:
 
 def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
            update_cols: Sequence[str] | None = None, *, mode: str = "update",
-           as_of=None, order_col: str | None = None, id_col: str | None = "id",
+           as_of=None, order_col: str | Column | None = None, id_col: str | None = "id",
            insert_values: dict[str, Column] | None = None,
            update_values: dict[str, Column] | None = None,
            stamp_col: str | None = "last_sync") -> UpsertResult:
@@ -110,42 +115,54 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
       ``stamp_col = as_of`` (K15: the update trigger); an unmatched batch row is inserted.
     * ``mode='replace'`` (K2, SQLite ``INSERT OR REPLACE``): a matched row is deleted and
       the batch row inserted with a new id; columns the batch lacks become NULL.
-    * ``insert_values``: expressions (over batch columns) for inserted rows' columns.
+    * ``insert_values``: expressions (over ``_b_<col>`` batch columns) for inserted rows.
     * ``order_col``: when set, the batch is first reduced to its last row per key (W3).
     * ``id_col``: serial id column of ``current``; inserted rows get ids above the max.
+
+    Plan: the reduced batch is checkpointed once; the new version is ``current LEFT JOIN
+    batch`` (updated or kept rows) plus the inserted rows ``batch LEFT ANTI
+    current(keys)``; the anti join reads only the key columns of the big table, and in
+    replace mode inserts need no join at all.
     """
     if order_col is not None:
         batch = latest_per_key(batch, keys, order_col)
+    keys = list(keys)
     cols = current.columns
-    update_cols = [c for c in (update_cols if update_cols is not None else batch.columns)
-                   if c not in keys]
+    ctypes = dict(current.dtypes)
+    update_cols = [c for c in (update_cols if update_cols is not None else batch.columns) if c not in keys]
     insert_values = dict(insert_values or {})
     update_values = dict(update_values or {})
     stamp = ts_lit(as_of) if as_of is not None else None
 
     b_cols = [c for c in batch.columns if c not in keys]
-    b = batch.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in b_cols], F.lit(True).alias("_b_hit"))
-    c_ = current.select(*keys, *[F.col(c).alias(f"_c_{c}") for c in cols if c not in keys],
-                        F.lit(True).alias("_c_hit"))
-    j = c_.join(b, list(keys), "full_outer")
-    hit_c = F.col("_c_hit").isNotNull()
-    hit_b = F.col("_b_hit").isNotNull()
-    action = (F.when(hit_c & hit_b, F.lit(UPDATE if mode == "update" else INSERT))
-              .when(hit_b, F.lit(INSERT)).otherwise(F.lit(KEEP)))
-    j = j.withColumn("action", action)
+    # the batch (the incremental side) feeds both the insert and the update path:
+    # materialise it once in the shared checkpoint folder
+    b = cut_lineage(batch.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in b_cols]))
+    cur_keys = current.select(*keys)
 
     def bcol(c: str) -> Column:
         return F.col(f"_b_{c}") if c in b_cols else F.lit(None)
 
-    out = []
+    # rows to insert, with every column of the table
+    new_rows = b if mode == "replace" else b.join(cur_keys, keys, "left_anti")
+    ins_cols = []
     for c in cols:
         if c in keys:
-            out.append(F.col(c))
-            continue
-        ctype = dict(current.dtypes)[c]
-        old = F.col(f"_c_{c}")
-        ins = insert_values[c] if c in insert_values else bcol(c)
-        if mode == "update":
+            ins_cols.append(F.col(c).cast(ctypes[c]).alias(c))
+        else:
+            v = insert_values[c] if c in insert_values else bcol(c)
+            ins_cols.append(v.cast(ctypes[c]).alias(c))
+    inserted = new_rows.select(*ins_cols)
+
+    if mode == "update":
+        j = current.join(b.withColumn("_b_hit", F.lit(True)), keys, "left")
+        hit = F.col("_b_hit").isNotNull()
+        out = []
+        for c in cols:
+            if c in keys:
+                out.append(F.col(c))
+                continue
+            old = current[c]
             if c in update_values:
                 upd = update_values[c]
             elif c in update_cols:
@@ -154,24 +171,23 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
                 upd = stamp
             else:
                 upd = old
-            v = F.when(F.col("action") == UPDATE, upd).when(F.col("action") == INSERT, ins).otherwise(old)
-        else:
-            v = F.when(F.col("action") == INSERT, ins).otherwise(old)
-        out.append(v.cast(ctype).alias(c))
-    staged = j.select(*out, "action")
+            out.append(F.when(hit, upd).otherwise(old).cast(ctypes[c]).alias(c))
+        kept = j.select(*out)
+        matched = b.join(cur_keys.distinct(), keys, "left_semi").select(*keys, F.lit(UPDATE).alias("action"))
+        changes = matched.unionByName(new_rows.select(*keys, F.lit(INSERT).alias("action")))
+    elif mode == "replace":
+        kept = current.join(b.select(*keys), keys, "left_anti")
+        deleted = current.join(b.select(*keys), keys, "left_semi").select(*keys, F.lit(DELETE).alias("action"))
+        changes = b.select(*keys, F.lit(INSERT).alias("action")).unionByName(deleted)
+    else:
+        raise ValueError(f"unknown mode {mode}")
 
     if id_col and id_col in cols and id_col not in keys and id_col not in insert_values \
             and id_col not in b_cols:
         base = max_id(current, id_col)
-        kept = staged.where(F.col("action") != INSERT)
-        fresh = assign_serial_ids(staged.where(F.col("action") == INSERT).drop(id_col), keys, base, id_col)
-        staged = kept.unionByName(fresh)
-    table = staged.drop("action")
-    changes = staged.where(F.col("action") != KEEP).select(*keys, "action")
-    if mode == "replace":
-        replaced = j.where(hit_c & hit_b).select(*keys, F.lit(DELETE).alias("action"))
-        changes = changes.unionByName(replaced)
-    return UpsertResult(table.select(*cols), changes)
+        inserted = assign_serial_ids(inserted.drop(id_col), keys, base, id_col)
+    table = kept.select(*cols).unionByName(inserted.select(*cols))
+    return UpsertResult(table, changes)
 
 
 def stamp_updated(df: DataFrame, updated: Column, as_of, stamp_col: str = "last_sync") -> DataFrame:
