@@ -167,8 +167,10 @@ def s1_binaryfile_tree(spark, sf_dir):
 SELECT lang, SUM(strlen(text) + 1) AS total_bytes, SUM(strlen(text) + 1) AS content_bytes FROM documents GROUP BY lang""")
 def s2_walked_tree(spark, sf_dir):
     root = _document_tree(spark, sf_dir)
-    # one seed per top-level directory: the walk of each subtree is its own task
-    seeds = L.seeds_of(spark, [os.path.join(root, d) for d in sorted(os.listdir(root)) if d.startswith("lang=")])
+    # one seed per top-level directory (found by a Spark listing, not the driver's file
+    # system): the walk of each subtree is its own task
+    seeds = L.binary_files(spark, root).select(
+        F.regexp_extract("path", r"^(.*/lang=[^/]*)/", 1).alias("root")).where(F.col("root") != "").distinct()
     walked = L.walk_files(seeds, prune_prefixes=SC.SKIP_DIRS, do_hash=True)
     walked = walked.where(F.col("error").isNull() & SC.should_scan_file("path", [".txt"])
                           & SC.dir_walked("path", "root", SC.SKIP_DIRS))

@@ -64,10 +64,10 @@ FROM j""")
 def t7_stream_progress(spark, sf_dir):
     base = FE.work_dir(spark, "progress")
     events = scan_events_from(_event_stream(spark, sf_dir))
-    q, state = PR.start_progress_stream(events, spark, base, FE.work_dir(spark, "t7-ckpt"),
-                                        cat.scan_progress(spark, sf_dir), AS_OF)
+    q = PR.start_progress_stream(events, spark, base, FE.work_dir(spark, "t7-ckpt"),
+                                 cat.scan_progress(spark, sf_dir), AS_OF)
     q.awaitTermination()
-    return spark.read.schema(PR.PROGRESS_SCHEMA).parquet(state["last"])
+    return PR.latest_version(spark, base, q.lastProgress["batchId"])
 
 
 def _t6_sql() -> str:
@@ -86,7 +86,7 @@ def t6_stream_sync(spark, sf_dir):
                "scan_progress": cat.scan_progress(spark, sf_dir),
                "image_analysis": cat.image_analysis_full(spark, sf_dir)}
     events = _event_stream(spark, sf_dir).select("ts")
-    q, state = SL.start_sync_stream(events, spark, base, FE.work_dir(spark, "t6-ckpt"), initial, "sys-1",
-                                    trigger={"availableNow": True})
+    q = SL.start_sync_stream(events, spark, base, FE.work_dir(spark, "t6-ckpt"), initial, "sys-1",
+                             trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(f"{state['last']}/files")
+    return spark.read.parquet(SL.version_path(base, q.lastProgress["batchId"], "files"))

@@ -2,7 +2,8 @@
 
 A streaming aggregate (state store keyed by device and system) emits, in ``update``
 mode, the cumulative counts of the devices touched by each micro-batch; ``foreachBatch``
-upserts them into the progress table (K5) and writes a new version per batch. The
+upserts them into the progress table (K5) and writes version ``v=<batch id>`` from
+version ``batch id - 1`` (restart-safe, replay-idempotent). The
 grouping key is (device, system) so state stays one row per key however many events
 one device produces.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import upsert_progress
+from .versions import previous_path, version_path
 
 PROGRESS_SCHEMA = ("device_uuid string, system_id string, id long, total_files long, new_files long, "
                    "last_updated timestamp_ntz, last_sync timestamp_ntz")
@@ -25,21 +27,23 @@ def running_counts(events: DataFrame) -> DataFrame:
 
 
 def progress_writer(spark: SparkSession, base_dir: str, initial: DataFrame, as_of):
-    """foreachBatch: read the previous version (or ``initial``), upsert, write ``v=<n>``."""
-    state = {"last": None}
+    """foreachBatch: read version ``n-1`` (or ``initial``), upsert, write version ``n``."""
+    cols = [c.split()[0] for c in PROGRESS_SCHEMA.split(", ")]
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        prev = initial if state["last"] is None else spark.read.schema(PROGRESS_SCHEMA).parquet(state["last"])
-        out = f"{base_dir}/v={batch_id}"
-        upsert_progress(prev, batch_df, as_of).select(*[c.split()[0] for c in PROGRESS_SCHEMA.split(", ")]) \
-            .write.mode("overwrite").parquet(out)
-        state["last"] = out
-    return run, state
+        prev_path = previous_path(base_dir, batch_id)
+        prev = initial if prev_path is None else spark.read.schema(PROGRESS_SCHEMA).parquet(prev_path)
+        upsert_progress(prev, batch_df, as_of).select(*cols) \
+            .write.mode("overwrite").parquet(version_path(base_dir, batch_id))
+    return run
+
+
+def latest_version(spark: SparkSession, base_dir: str, last_batch_id: int) -> DataFrame:
+    return spark.read.schema(PROGRESS_SCHEMA).parquet(version_path(base_dir, last_batch_id))
 
 
 def start_progress_stream(events: DataFrame, spark: SparkSession, base_dir: str, checkpoint: str,
-                          initial: DataFrame, as_of, trigger: dict | None = None):
-    run, state = progress_writer(spark, base_dir, initial, as_of)
-    q = (running_counts(events).writeStream.outputMode("update").foreachBatch(run)
-         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
-    return q, state
+                          initial: DataFrame, as_of, trigger: dict | None = None) -> StreamingQuery:
+    run = progress_writer(spark, base_dir, initial, as_of)
+    return (running_counts(events).writeStream.outputMode("update").foreachBatch(run)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

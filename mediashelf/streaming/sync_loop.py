@@ -8,34 +8,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StreamingQuery
+
 from ..operators.sync import sync_all
+from .versions import previous_path, version_path
 
 TABLES = ("devices", "files", "scan_progress", "image_analysis")
 
 
 def sync_writer(spark: SparkSession, base_dir: str, initial: dict[str, DataFrame], me: str):
-    state = {"last": None, "as_of": []}
-
+    """foreachBatch: version ``n-1`` (or the initial tables) -> one sync round -> version
+    ``n``. A batch without events copies its input through, so versions stay dense."""
     def run(batch_df: DataFrame, batch_id: int) -> None:
         as_of = batch_df.agg(F.max("ts")).first()[0]
-        if as_of is None:
-            return
-        if state["last"] is None:
-            cur = dict(initial)
-        else:
-            cur = {t: spark.read.parquet(f"{state['last']}/{t}") for t in TABLES}
-        rnd = sync_all(cur["devices"], cur["files"], cur["scan_progress"], cur["image_analysis"], me, as_of)
-        out = f"{base_dir}/v={batch_id}"
+        prev = previous_path(base_dir, batch_id)
+        cur = dict(initial) if prev is None else {t: spark.read.parquet(f"{prev}/{t}") for t in TABLES}
+        if as_of is not None:
+            rnd = sync_all(cur["devices"], cur["files"], cur["scan_progress"], cur["image_analysis"], me, as_of)
+            cur = {t: getattr(rnd, t) for t in TABLES}
         for t in TABLES:
-            getattr(rnd, t).write.mode("overwrite").parquet(f"{out}/{t}")
-        state["last"] = out
-        state["as_of"].append(as_of)
-    return run, state
+            cur[t].write.mode("overwrite").parquet(version_path(base_dir, batch_id, t))
+    return run
 
 
 def start_sync_stream(events: DataFrame, spark: SparkSession, base_dir: str, checkpoint: str,
-                      initial: dict[str, DataFrame], me: str, trigger: dict | None = None):
-    run, state = sync_writer(spark, base_dir, initial, me)
-    q = (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-         .trigger(**(trigger or {"processingTime": "300 seconds"})).start())
-    return q, state
+                      initial: dict[str, DataFrame], me: str, trigger: dict | None = None) -> StreamingQuery:
+    run = sync_writer(spark, base_dir, initial, me)
+    return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "300 seconds"})).start())

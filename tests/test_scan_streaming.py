@@ -139,3 +139,28 @@ def test_detector_hook(spark):
     det = A.detect(imgs, model)
     got = {r["file_id"]: (r["objects"], r["has_faces"]) for r in A.labels_per_file(det).collect()}
     assert got == {1: (["face"], False), 2: (["dog"], False)}
+
+
+def test_progress_stream_survives_restart(spark, tmpdir_path):
+    from pyspark.sql import Window
+    from mediashelf.operators.registry import upsert_progress
+    from mediashelf.streaming import progress as PR
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    chunked = ev.withColumn("_c", F.ntile(3).over(Window.orderBy("ts", "event_id")))
+    src = os.path.join(tmpdir_path, "src")
+    initial = spark.createDataFrame([("dev-1", "sys-1", 1, 5, 2, None, None)], PR.PROGRESS_SCHEMA)
+    base, ckpt = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ckpt")
+    as_of = "2024-01-01 00:00:00"
+    last = None
+    for i in range(3):  # a new file arrives, the query is (re)started from its checkpoint
+        chunked.where(F.col("_c") == i + 1).drop("_c").coalesce(1).write.parquet(os.path.join(src, f"chunk={i}"))
+        stream = scan_events_from(spark.readStream.schema(ev.schema).parquet(src))
+        q = PR.start_progress_stream(stream, spark, base, ckpt, initial, as_of)
+        q.awaitTermination()
+        last = q.lastProgress["batchId"]
+    got = PR.latest_version(spark, base, last)
+    counts = scan_events_from(ev).groupBy("device_uuid", "system_id").agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("op") == "upsert").alias("new_files"))
+    want = upsert_progress(initial, counts, as_of)
+    cols = ["device_uuid", "system_id", "total_files", "new_files", "last_updated"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
