@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import is_absolute, rewrite_status, rewrite_to_relative
+from ..functions.paths import rewrite_status, rewrite_to_relative
 from .upsert import UpsertResult, ts_lit, upsert
 
 # Fixed value: owner given to migrated rows.

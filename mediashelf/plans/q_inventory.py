@@ -102,7 +102,6 @@ def j11_first_mount(spark, sf_dir):
 SELECT DISTINCT host, os, lower(os) || '-' || host AS system_id, os || '-' || host AS sync_system_id
 FROM inventory_lines""")
 def x12_system_ids(spark, sf_dir):
-    from pyspark.sql import functions as F
     from ..functions.paths import system_id_of
     h = cat.inventory_lines(spark, sf_dir).select("host", "os").distinct()
     return h.select("host", "os", system_id_of("os", "host").alias("system_id"),

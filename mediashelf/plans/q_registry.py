@@ -171,7 +171,6 @@ FROM files o LEFT JOIN fp ON o.id = fp.file_id"""
 
 @register("J3_J12_restore_paths", views=("files", "devices", "device_mount_points", "file_batch"), sql=_RESTORE_SQL)
 def j3_restore_paths(spark, sf_dir):
-    from ..functions.paths import join_path
     files = cat.files(spark, sf_dir)
     devices = cat.devices(spark, sf_dir)
     mps = cat.device_mount_points(spark, sf_dir)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 
 from ..sources import catalogue as cat
 from ..sources.catalogue import read_table, scan_events_from
