@@ -16,7 +16,8 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
                      deactivate_missing: bool = True) -> UpsertResult:
     """K4 (+ F18, J7): upsert the devices one system sees, keyed by ``(uuid, system_id)``.
 
-    ``seen`` has ``uuid, mount_path, label`` (missing mount/label default to ``''``).
+    ``seen`` has ``uuid`` and optionally ``mount_path``, ``label`` (a missing column means
+    ``''`` for every row; a NULL value stays NULL).
     Rows without a uuid are skipped. An existing row gets mount_path, label,
     last_seen = as_of, is_active = true (and last_sync = as_of); a new row gets
     first_seen = last_seen = as_of. Afterwards every other active device of this system
@@ -24,10 +25,11 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
     """
     now = ts_lit(as_of)
     cols = seen.columns
+    # a missing field defaults to '' (dict.get default); a present NULL stays NULL
     batch = seen.select(
         F.col("uuid"),
-        (F.coalesce(F.col("mount_path"), F.lit("")) if "mount_path" in cols else F.lit("")).alias("mount_path"),
-        (F.coalesce(F.col("label"), F.lit("")) if "label" in cols else F.lit("")).alias("label"),
+        (F.col("mount_path") if "mount_path" in cols else F.lit("")).alias("mount_path"),
+        (F.col("label") if "label" in cols else F.lit("")).alias("label"),
     ).where(F.coalesce(F.col("uuid"), F.lit("")) != "").withColumn("system_id", F.lit(system_id))
     batch = batch.dropDuplicates(["uuid", "system_id"])
     res = upsert(

@@ -12,7 +12,7 @@ from .registry import register
 
 def _k4_sql(seen: str) -> str:
     return f"""
-WITH s AS (SELECT DISTINCT uuid, COALESCE(mount_path, '') AS mount_path, COALESCE(label, '') AS label
+WITH s AS (SELECT DISTINCT uuid, mount_path, label
            FROM {seen} WHERE COALESCE(uuid, '') <> ''),
 j AS (SELECT d.*, s.uuid AS s_uuid, s.mount_path AS s_mount, s.label AS s_label
       FROM devices d FULL OUTER JOIN s ON d.uuid = s.uuid AND d.system_id = 'sys-1'),

@@ -92,11 +92,18 @@ def test_register_devices(spark):
     assert out[("u1", "me")]["first_seen"] == T0 and out[("u1", "me")]["last_seen"] == now
     assert out[("u1", "me")]["mount_path"] == "/V/new"
     assert out[("u9", "me")]["first_seen"] == now == out[("u9", "me")]["last_seen"]
-    assert out[("u9", "me")]["label"] == ""
+    assert out[("u9", "me")]["label"] is None  # a NULL label stays NULL
     # a NULL uuid in the seen list disables the deactivation (NOT IN with NULL)
     assert out[("u2", "me")]["is_active"] is True
 
 
+def test_register_devices_missing_fields(spark):
+    seen = spark.createDataFrame([("u7",)], "uuid string")
+    out = {(r["uuid"], r["system_id"]): r for r in
+           R.register_devices(devices(spark), seen, "me", "2022-02-02 00:00:00").table.collect()}
+    assert out[("u7", "me")]["mount_path"] == "" and out[("u7", "me")]["label"] == ""
+
+
 def test_mark_inactive_rules(spark):
     d = devices(spark)
     empty = spark.createDataFrame([], "uuid string")
