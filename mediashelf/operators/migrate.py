@@ -149,3 +149,9 @@ def rewrite_stats(plan: DataFrame, skipped_devices: DataFrame | None = None) ->
         F.count_if(~skip & ~err).alias("updated"),
         F.count_if(skip).alias("skipped"),
         F.count_if(~skip & err).alias("errors"))
+
+
+def can_widen_key(df: DataFrame, keys: Sequence[str]) -> bool:
+    """The new unique key may be declared when no key value repeats; reads at most one
+    violating group (``limit(1)``) rather than the whole audit."""
+    return duplicate_keys(df, keys).limit(1).count() == 0

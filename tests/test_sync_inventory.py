@@ -81,3 +81,21 @@ def test_windows_and_home(spark):
     assert got == [("/home/me", "HOME-my-host-lan-me"), ("D:", "\\\\?\\Volume{2}\\")]
     first = {r["uuid"]: r["mount_path"] for r in inv.first_mount_of_uuid(inv.all_devices(df, homes)).collect()}
     assert first["HOME-my-host-lan-me"] == "/home/me"
+
+
+def test_migration_rewrite_dry_run_and_key_widening(spark):
+    from mediashelf.operators import migrate as M
+    files = spark.createDataFrame([(1, "u", "/Volumes/X/a/b.jpg", None, None), (2, "u", "c.jpg", "migration", None),
+                                   (3, "u", "/Volumes/X/d.jpg", "other", None), (4, "v", "/Volumes/Y/e.jpg", "", None)],
+                                  "id long, device_uuid string, path string, system_id string, last_sync timestamp_ntz")
+    devs = spark.createDataFrame([(10, "u", "/Volumes/X", "me")], "id long, uuid string, mount_path string, system_id string")
+    dry = M.apply_rewrite(files, devs, "me", NOW, dry_run=True)
+    assert sorted(map(tuple, dry.collect())) == sorted(map(tuple, files.collect()))
+    out = {r["id"]: (r["path"], r["system_id"]) for r in M.apply_rewrite(files, devs, "me", NOW).collect()}
+    assert out == {1: ("a/b.jpg", "me"), 2: ("c.jpg", "me"), 3: ("/Volumes/X/d.jpg", "other"),
+                   4: ("/Volumes/Y/e.jpg", "")}
+    stats = {r["device_uuid"]: (r["total"], r["updated"]) for r in
+             M.rewrite_stats(M.rewrite_plan(files, devs, "me")).collect()}
+    assert stats == {"u": (2, 2), None: (2, 2)}
+    assert M.can_widen_key(files, ["device_uuid", "path"])
+    assert not M.can_widen_key(files, ["device_uuid"])
