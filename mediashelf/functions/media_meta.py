@@ -12,14 +12,23 @@ from .paths import ColumnOrName, _c
 EXIF_TIME_FORMAT = "yyyy:MM:dd HH:mm:ss"
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def epoch_to_timestamp(seconds: ColumnOrName) -> Column:
-    """Epoch seconds -> wall-clock timestamp in the session zone (pinned to UTC)."""
-    return F.timestamp_seconds(_c(seconds)).cast("timestamp_ntz")
+    """Epoch seconds -> UTC wall-clock ``timestamp_ntz``, to the microsecond.
+
+    Computed as epoch + microseconds, so the result does not depend on the session zone."""
+    micros = (_c(seconds).cast("double") * 1_000_000).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def exif_time(text: ColumnOrName) -> Column:
-    """``YYYY:MM:DD HH:MM:SS`` text -> timestamp; unparsable -> NULL."""
-    return F.try_to_timestamp(_c(text), F.lit(EXIF_TIME_FORMAT)).cast("timestamp_ntz")
+    """``YYYY:MM:DD HH:MM:SS`` text -> ``timestamp_ntz`` with the same wall clock;
+    unparsable -> NULL. The text is parsed with an explicit ``+0000`` offset and moved to
+    the epoch-based wall clock, so no session zone (or its DST gaps) can shift it."""
+    instant = F.try_to_timestamp(F.concat(_c(text), F.lit(" +0000")), F.lit(EXIF_TIME_FORMAT + " Z"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def rational(num: ColumnOrName, den: ColumnOrName) -> Column:

@@ -69,8 +69,10 @@ def search_files(files: DataFrame, devices: DataFrame, keyword: str | None = Non
 def _as_ts(x) -> Column:
     if isinstance(x, Column):
         return x
-    if isinstance(x, (_dt.date, _dt.datetime)):
-        return F.lit(x).cast("timestamp_ntz")
+    if isinstance(x, _dt.datetime):
+        return F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    if isinstance(x, _dt.date):
+        return F.lit(x.isoformat()).cast("timestamp_ntz")
     # bare dates mean midnight of that day, as in PostgreSQL
     return F.lit(str(x)).cast("timestamp_ntz")
 

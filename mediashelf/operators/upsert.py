@@ -31,7 +31,8 @@ def ts_lit(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of).cast("timestamp_ntz")
+        # through text: a datetime literal would pass through the session zone
+        return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 

@@ -95,3 +95,19 @@ def test_gps_and_times(spark):
     assert [r["d"] for r in df.select(MM.video_duration("f", "fps").alias("d")).collect()] == [None, 4.0]
     df = spark.createDataFrame([(0, 0), (5, 10)], "d long, t long")
     assert [r["p"] for r in df.select(MM.percent("d", "t").alias("p")).collect()] == [0.0, 50.0]
+
+
+def test_times_do_not_depend_on_session_zone(spark):
+    import datetime as dt
+    from mediashelf.operators.upsert import ts_lit
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("2024:03:10 02:30:00", 1710037800.5)], "t string, e double")
+        r = df.select(MM.exif_time("t").alias("t"), MM.epoch_to_timestamp("e").alias("e"),
+                      ts_lit(dt.datetime(2024, 3, 10, 2, 30)).alias("a")).first()
+        assert r["t"] == dt.datetime(2024, 3, 10, 2, 30)
+        assert r["e"] == dt.datetime(2024, 3, 10, 2, 30, 0, 500000)
+        assert r["a"] == dt.datetime(2024, 3, 10, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
