@@ -8,6 +8,7 @@ directory trees with ``os.walk`` inside ``mapInPandas``: one task per seed direc
 hashing run in parallel across executors. It reports ctime (``created_at``), keeps
 hidden names, turns unreadable entries into ``error`` rows, and can hash the first N
 bytes of each file by ranged reads (files above the 2 GiB binaryFile limit included).
+A device is split into its sub-directories first, so one large device is not one task.
 """
 
 from __future__ import annotations
@@ -52,45 +53,92 @@ def _prefix_hash(path: str, limit: int | None) -> str:
 
 
 def _walker(prune_prefixes: list[str], hash_bytes: int | None, do_hash: bool):
+    def one_file(root, p, out):
+        try:
+            st = os.stat(p)
+            digest = None
+            if do_hash:
+                try:
+                    digest = _prefix_hash(p, hash_bytes)
+                except OSError:
+                    digest = None  # a failed hash only gives NULL
+            out.append((root, p, st.st_size, st.st_mtime, st.st_ctime, digest, None))
+        except OSError as e:
+            out.append((root, p, None, None, None, None, str(e)))
+
     def run(batches):
         for pdf in batches:
             out = []
-            for root in pdf["root"]:
+            for root, start, recursive in zip(pdf["root"], pdf["start"], pdf["recursive"]):
+                if not recursive:
+                    # only the files directly under ``start``
+                    try:
+                        with os.scandir(start) as it:
+                            names = [e.name for e in it if not e.is_dir(follow_symlinks=False)]
+                    except OSError as e:
+                        out.append((root, start, None, None, None, None, str(e)))
+                        continue
+                    for name in names:
+                        one_file(root, os.path.join(start, name), out)
+                    continue
+
                 def onerror(err, root=root):
                     out.append((root, getattr(err, "filename", None), None, None, None, None, str(err)))
-                for dirpath, dirnames, filenames in os.walk(root, onerror=onerror):
+                for dirpath, dirnames, filenames in os.walk(start, onerror=onerror):
                     if any(dirpath.startswith(p) for p in prune_prefixes):
                         dirnames[:] = []
                         continue
                     for name in filenames:
-                        p = os.path.join(dirpath, name)
-                        try:
-                            st = os.stat(p)
-                            digest = None
-                            if do_hash:
-                                try:
-                                    digest = _prefix_hash(p, hash_bytes)
-                                except OSError:
-                                    digest = None  # a failed hash only gives NULL
-                            out.append((root, p, st.st_size, st.st_mtime, st.st_ctime, digest, None))
-                        except OSError as e:
-                            out.append((root, p, None, None, None, None, str(e)))
+                        one_file(root, os.path.join(dirpath, name), out)
             yield pd.DataFrame(out, columns=["root", "path", "size", "mtime", "ctime", "hash", "error"])
     return run
 
 
+def _expander(prune_prefixes: list[str]):
+    """One level down: an entry's directory becomes a non-recursive entry for its own
+    files plus one recursive entry per sub-directory (pruned prefixes are not entered);
+    the scan root travels along."""
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for root, start in zip(pdf["root"], pdf["start"]):
+                out.append((root, start, False))
+                try:
+                    with os.scandir(start) as it:
+                        subdirs = [e.path for e in it if e.is_dir(follow_symlinks=False)]
+                except OSError:
+                    subdirs = []
+                for d in subdirs:
+                    if not any(d.startswith(p) for p in prune_prefixes):
+                        out.append((root, d, True))
+            yield pd.DataFrame(out, columns=["root", "start", "recursive"])
+    return run
+
+
 def walk_files(seeds: DataFrame, prune_prefixes: list[str] | None = None, do_hash: bool = False,
-               hash_bytes: int | None = HASH_PREFIX_BYTES, partitions: int | None = None) -> DataFrame:
+               hash_bytes: int | None = HASH_PREFIX_BYTES, partitions: int | None = None,
+               split_depth: int = 1) -> DataFrame:
     """S1/S3 by directory walk: one output row per file under each ``root`` of ``seeds``.
 
-    ``prune_prefixes`` stops the walk below directories with such a raw prefix (F4's
-    pruning; the exact filters are applied again as Column expressions by the caller).
-    ``hash_bytes=None`` hashes whole files (X19), else the first ``hash_bytes`` (X18).
+    Each root is first split ``split_depth`` levels down (its own files, then one entry per
+    sub-directory), and the entries are spread over tasks, so one big device is walked
+    and hashed by many tasks. ``prune_prefixes`` stops the walk below directories with
+    such a raw prefix (F4's pruning; the exact filters are applied again as Column
+    expressions by the caller). ``hash_bytes=None`` hashes whole files (X19), else the
+    first ``hash_bytes`` (X18). The ``root`` column stays the scan root (for F3).
     """
-    spark = seeds.sparkSession
+    prunes = list(prune_prefixes or [])
     n = partitions or max(1, min(seeds.sparkSession.sparkContext.defaultParallelism, 1 << 12))
-    s = seeds.select(F.col("root").cast("string")).distinct().repartition(n, "root")
-    walked = s.mapInPandas(_walker(list(prune_prefixes or []), hash_bytes, do_hash), WALK_SCHEMA)
+    entries = seeds.select(F.col("root").cast("string")).distinct() \
+        .select("root", F.col("root").alias("start"), F.lit(True).alias("recursive"))
+    for _ in range(split_depth):
+        rec = entries.where("recursive")
+        flat = entries.where("NOT recursive")
+        expanded = rec.select("root", "start").mapInPandas(
+            _expander(prunes), "root string, start string, recursive boolean")
+        entries = flat.unionByName(expanded)
+    entries = entries.repartition(n, "start")
+    walked = entries.mapInPandas(_walker(prunes, hash_bytes, do_hash), WALK_SCHEMA)
     return walked.select(
         "root", "path", "size",
         epoch_to_timestamp(F.col("mtime")).alias("modified_time"),

@@ -50,11 +50,13 @@ def brute(root, exts):
 def test_walk_matches_brute_force(spark, tmpdir_path):
     make_tree(tmpdir_path)
     exts = [".jpg", ".mp4"]
-    walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, hash_bytes=None)
-    walked = walked.where(SC.should_scan_file("path", exts) & SC.dir_walked("path", "root"))
-    got = {r["path"]: (r["size"], r["hash"]) for r in walked.collect()}
-    assert got == brute(tmpdir_path, exts)
-    assert os.path.join(tmpdir_path, "_under", "z.jpg") in got  # underscore names are kept
+    want = brute(tmpdir_path, exts)
+    for depth in (0, 1, 2):
+        walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, hash_bytes=None, split_depth=depth)
+        walked = walked.where(SC.should_scan_file("path", exts) & SC.dir_walked("path", "root"))
+        got = {r["path"]: (r["size"], r["hash"]) for r in walked.collect()}
+        assert got == want, depth
+        assert os.path.join(tmpdir_path, "_under", "z.jpg") in got  # underscore names are kept
 
 
 def test_binaryfile_hash_and_hidden_names(spark, tmpdir_path):
