@@ -57,13 +57,17 @@ def search_files(files: DataFrame, devices: DataFrame, keyword: str | None = Non
     if match_system:
         cond.append(f["system_id"] == d["_d_system_id"])
     joined = f.join(maybe_broadcast(d), all_of(cond), "inner")
-    ordered = joined.orderBy(F.col("modified_time").desc_nulls_first(), f["id"].asc(), F.col("_d_id").asc())
-    if offset:
-        ordered = ordered.offset(offset)
-    if limit:
-        ordered = ordered.limit(limit)
-    return ordered.select(f["id"], f["device_uuid"], "path", "hash", "size", "modified_time",
-                          "scanned_time", "last_accessed", "device_label")
+    out = joined
+    if limit or offset:
+        # a page: per-task top-k of (limit + offset) rows, no global sort
+        out = joined.orderBy(F.col("modified_time").desc_nulls_first(), f["id"].asc(), F.col("_d_id").asc())
+        if offset:
+            out = out.offset(offset)
+        if limit:
+            out = out.limit(limit)
+    # without a page the rows stay unsorted: a global sort of the whole result serves no one
+    return out.select(f["id"], f["device_uuid"], "path", "hash", "size", "modified_time",
+                      "scanned_time", "last_accessed", "device_label")
 
 
 def _as_ts(x) -> Column:
