@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rewrite_status, rewrite_to_relative
@@ -127,9 +127,10 @@ def apply_rewrite(files: DataFrame, devices: DataFrame, system_id: str, as_of, d
 
 
 def preview(plan: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` files (by id) of each device."""
-    w = Window.partitionBy("device_uuid").orderBy("id")
-    return plan.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` files (by id) of each device; a salted two-stage top-n, so a
+    device holding a third of all files is not ranked in one task."""
+    from ._util import top_n_per_group
+    return top_n_per_group(plan, ["device_uuid"], [F.col("id").asc()], n, salt_col="id")
 
 
 def rewrite_stats(plan: DataFrame, skipped_devices: DataFrame | None = None) -> DataFrame:

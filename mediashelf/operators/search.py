@@ -133,16 +133,17 @@ def pick_device(devices: DataFrame, uuid_or_mount: str) -> DataFrame:
 
 
 def devices_table(devices: DataFrame, system_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """F15 + L2: the device table view, by id; ``limit`` None/0 means all rows."""
+    """F15 + L2: the device table view, first ``limit`` rows by id (top-k); ``limit``
+    None/0 means all rows, unsorted (a global sort of a whole table serves no one)."""
     d = devices if not system_id else devices.where(F.col("system_id") == system_id)
     d = d.select("id", "uuid", "mount_path", "label", "first_seen", "last_seen", "system_id", "is_active")
-    d = d.orderBy("id")
-    return d.limit(limit) if limit else d
+    return d.orderBy("id").limit(limit) if limit else d
 
 
 def files_table(files: DataFrame, device_uuid: str | None = None, system_id: str | None = None,
                 limit: int | None = 10, display: bool = True) -> DataFrame:
-    """F15 + L2 (+ X14/X15): the file table view, by id, with shortened hash and path."""
+    """F15 + L2 (+ X14/X15): the file table view with shortened hash and path; the first
+    ``limit`` rows by id, or all rows unsorted when ``limit`` is None/0."""
     f = files
     if device_uuid:
         f = f.where(F.col("device_uuid") == device_uuid)
@@ -152,7 +153,6 @@ def files_table(files: DataFrame, device_uuid: str | None = None, system_id: str
             short_path("path").alias("path") if display else F.col("path"),
             short_hash("hash").alias("hash") if display else F.col("hash"),
             F.col("size"), F.col("modified_time"), F.col("scanned_time"), F.col("system_id")]
-    f = f.orderBy("id")
     if limit:
-        f = f.limit(limit)
+        f = f.orderBy("id").limit(limit)
     return f.select(*cols)

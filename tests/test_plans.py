@@ -68,3 +68,15 @@ def test_hot_key_batch(spark):
     assert t.count() == 1 + 2 * n // 3
     assert t.where("path = 'hot'").first()["id"] == 1
     assert t.select("id").distinct().count() == t.count()
+
+
+def test_salted_top_n_matches_plain_window(spark):
+    from pyspark.sql import Window
+    from mediashelf.operators._util import top_n_per_group
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("g"),
+        ((F.col("id") * 7919) % 20000).alias("v"))
+    got = sorted(map(tuple, top_n_per_group(df, ["g"], [F.col("v").desc()], 10, salt_col="v").collect()))
+    w = Window.partitionBy("g").orderBy(F.col("v").desc())
+    want = sorted(map(tuple, df.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r").collect()))
+    assert got == want
