@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rewrite_status, rewrite_to_relative
+from ._util import maybe_broadcast
 from .upsert import UpsertResult, ts_lit, upsert
 
 # Fixed value: owner given to migrated rows.
@@ -92,7 +93,7 @@ def files_to_rewrite(files: DataFrame, devices: DataFrame, system_id: str) -> Da
     """J13 + F13: unowned files of the devices this system knows, with the device mount."""
     d = devices.where(F.col("system_id") == system_id).select(
         F.col("id").alias("device_id"), F.col("uuid").alias("device_uuid"), F.col("mount_path"))
-    return files.where(unowned()).join(d, "device_uuid", "inner")
+    return files.where(unowned()).join(maybe_broadcast(d), "device_uuid", "inner")
 
 
 def rewrite_plan(files: DataFrame, devices: DataFrame, system_id: str) -> DataFrame:

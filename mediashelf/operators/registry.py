@@ -151,10 +151,12 @@ def restore_paths(requests: DataFrame, files: DataFrame, devices: DataFrame, mou
     from ..functions.paths import join_path
     f = files.select(F.col("id").alias("file_id"), "device_uuid", F.col("path").alias("rel_path"))
     f = f.join(requests.select("file_id").distinct(), "file_id", "left_semi")
-    f = f.join(devices.select(F.col("uuid").alias("device_uuid")).distinct(), "device_uuid", "left_semi")
+    # device-keyed joins: the device side is small and proven so, a hot device never skews
+    f = f.join(maybe_broadcast(devices.select(F.col("uuid").alias("device_uuid")).distinct()),
+               "device_uuid", "left_semi")
     req = f.select("device_uuid").distinct().withColumn("system_id", F.lit(system_id))
     mounts = device_mount_point(req, mount_points, devices).select("device_uuid", "mount_path")
-    j = f.join(mounts, "device_uuid", "left")
+    j = f.join(maybe_broadcast(mounts), "device_uuid", "left")
     full = F.when(F.coalesce(F.col("mount_path"), F.lit("")) == "", F.lit(None).cast("string")) \
         .otherwise(join_path("mount_path", "rel_path"))
     out = j.select("file_id", full.alias("full_path"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media_meta import gigabytes, percent, rate
 from ..functions.paths import ColumnOrName, _c, basename, dirname, extension, relative_path
+from ._util import maybe_broadcast
 
 # Default extension list of the device scanner (F1).
 DEFAULT_SCAN_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".mp4", ".mov", ".avi", ".mkv"]
@@ -63,7 +64,8 @@ def scan_diff(stored: DataFrame, scanned: DataFrame, keys: Sequence[str] = ("dev
     keys = list(keys)
     seen = scanned.select(*keys).distinct().withColumn("_s", F.lit(True))
     devs = scanned.select("device_uuid").distinct()
-    st = stored.join(devs, "device_uuid", "left_semi").select(*keys).distinct().withColumn("_t", F.lit(True))
+    st = stored.join(maybe_broadcast(devs), "device_uuid", "left_semi").select(*keys).distinct() \
+        .withColumn("_t", F.lit(True))
     j = st.join(seen, keys, "full_outer")
     cls = (F.when(F.col("_s").isNotNull() & F.col("_t").isNotNull(), F.lit("updated"))
            .when(F.col("_s").isNotNull(), F.lit("new")).otherwise(F.lit("deleted")))
@@ -76,6 +78,7 @@ def delete_vanished(files: DataFrame, scanned: DataFrame) -> DataFrame:
     nothing seen loses all its rows (``scanned`` then carries the device with a NULL path)."""
     seen = scanned.where(F.col("path").isNotNull()).select("device_uuid", "path").distinct()
     devs = scanned.select("device_uuid").distinct()
+    devs = maybe_broadcast(devs)  # one row per scanned device: a hot device never skews
     of_scanned = files.join(devs, "device_uuid", "left_semi")
     others = files.join(devs, "device_uuid", "left_anti")
     kept = of_scanned.join(seen, ["device_uuid", "path"], "left_semi")
