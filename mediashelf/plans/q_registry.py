@@ -181,3 +181,12 @@ def j3_restore_paths(spark, sf_dir):
     listing = all_paths.join(seen_ids, "file_id", "left_semi").select(F.col("full_path").alias("path")) \
         .where(F.col("path").isNotNull())
     return R.restore_paths(files.select(F.col("id").alias("file_id")), files, devices, mps, "sys-0", listing)
+
+
+@register("J7_mark_inactive_empty_list", views=("devices",), sql="""
+SELECT id, uuid, mount_path, label, first_seen, last_seen, system_id, last_sync, is_active FROM devices""")
+def j7_mark_inactive_empty(spark, sf_dir):
+    d = cat.devices(spark, sf_dir)
+    # an empty active list (a contradiction keeps no row): NOT IN () must change nothing
+    active = d.where(F.col("label").isNull() & F.col("label").isNotNull()).select("uuid")
+    return R.mark_inactive(d, active, "sys-2", AS_OF)
