@@ -137,3 +137,19 @@ def observe_scan(files: DataFrame, eligible: Column, name: str = "scan_counters"
                        F.count_if(eligible & err).alias("error_files"),
                        F.coalesce(F.sum(F.when(eligible & ~err, F.col("size"))), F.lit(0)).alias("total_size"))
     return df, obs
+
+
+def scan_result_counts(stored: DataFrame, scanned: DataFrame, keys: Sequence[str] = ("device_uuid", "path"),
+                       order_col=None) -> DataFrame:
+    """Per (device, scanning system) the number of files written and how many were
+    new (key not stored before). The scan is first reduced to one row per key (the last
+    write when ``order_col`` is given); only the key columns of ``stored`` are read."""
+    keys = list(keys)
+    s = scanned
+    if order_col is not None:
+        from .upsert import latest_per_key
+        s = latest_per_key(s, keys, order_col)
+    known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
+    j = s.select(*keys, "system_id").join(known, keys, "left")
+    return j.groupBy("device_uuid", "system_id").agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("_known").isNull()).alias("new_files"))

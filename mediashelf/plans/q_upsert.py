@@ -129,11 +129,8 @@ FROM b LEFT JOIN files f ON f.device_uuid = b.device_uuid AND f.path = b.path
 GROUP BY b.device_uuid, b.system_id""")
 def a6_scan_result_counts(spark, sf_dir):
     # per (device, system) of the batch: rows written and rows that were new (K3's is_new)
-    res = k3_result(spark, sf_dir)
-    t = res.table.select("device_uuid", "path", "system_id")
-    ch = res.changes.join(t, ["device_uuid", "path"])
-    return ch.groupBy("device_uuid", "system_id").agg(
-        F.count("*").alias("total_files"), F.count_if(F.col("action") == U.INSERT).alias("new_files"))
+    from ..operators.scan import scan_result_counts
+    return scan_result_counts(cat.files(spark, sf_dir), _clean_batch(spark, sf_dir), order_col=ORDER())
 
 
 @register("K14_touch_access", views=("files", "file_accesses"), sql="""
