@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sync import sync_all
+from ..operators.sync import sync_devices, sync_files, sync_image_analysis, sync_scan_progress
 from .versions import previous_path, version_path
 
 TABLES = ("devices", "files", "scan_progress", "image_analysis")
@@ -23,11 +23,18 @@ def sync_writer(spark: SparkSession, base_dir: str, initial: dict[str, DataFrame
         as_of = batch_df.agg(F.max("ts")).first()[0]
         prev = previous_path(base_dir, batch_id)
         cur = dict(initial) if prev is None else {t: spark.read.parquet(f"{prev}/{t}") for t in TABLES}
-        if as_of is not None:
-            rnd = sync_all(cur["devices"], cur["files"], cur["scan_progress"], cur["image_analysis"], me, as_of)
-            cur = {t: getattr(rnd, t) for t in TABLES}
-        for t in TABLES:
-            cur[t].write.mode("overwrite").parquet(version_path(base_dir, batch_id, t))
+        out = {t: version_path(base_dir, batch_id, t) for t in TABLES}
+        if as_of is None:
+            for t in TABLES:
+                cur[t].write.mode("overwrite").parquet(out[t])
+            return
+        # T1 -> T2 -> T3, then T4 against the files version just written (T2 is not recomputed)
+        sync_devices(cur["devices"], me, as_of).write.mode("overwrite").parquet(out["devices"])
+        sync_files(cur["files"], me, as_of).write.mode("overwrite").parquet(out["files"])
+        sync_scan_progress(cur["scan_progress"], me, as_of).write.mode("overwrite").parquet(out["scan_progress"])
+        files_now = spark.read.parquet(out["files"])
+        sync_image_analysis(cur["image_analysis"], files_now, me, as_of) \
+            .write.mode("overwrite").parquet(out["image_analysis"])
     return run
 
 
