@@ -140,6 +140,9 @@ DETECTION_SCHEMA = "file_id long, label string, confidence double"
 def detect(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Hook: run a user detector over ``(file_id, content)`` batches with Arrow
     (``mapInPandas``); it must return ``file_id, label, confidence`` rows. No model ships."""
+    from ..session import ship_package
+    ship_package(images.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield model(pdf)[["file_id", "label", "confidence"]]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_PREFIX_BYTES
 from ..functions.media_meta import epoch_to_timestamp
+from ..session import ship_package
 
 WALK_SCHEMA = ("root string, path string, size long, mtime double, ctime double, "
                "hash string, error string")
@@ -127,6 +128,7 @@ def walk_files(seeds: DataFrame, prune_prefixes: list[str] | None = None, do_has
     expressions by the caller). ``hash_bytes=None`` hashes whole files (X19), else the
     first ``hash_bytes`` (X18). The ``root`` column stays the scan root (for F3).
     """
+    ship_package(seeds.sparkSession)  # the walker runs in Python workers
     prunes = list(prune_prefixes or [])
     n = partitions or max(1, min(seeds.sparkSession.sparkContext.defaultParallelism, 1 << 12))
     entries = seeds.select(F.col("root").cast("string")).distinct() \
