@@ -117,7 +117,9 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
     * ``mode='replace'`` (K2, SQLite ``INSERT OR REPLACE``): a matched row is deleted and
       the batch row inserted with a new id; columns the batch lacks become NULL.
     * ``insert_values``: expressions (over ``_b_<col>`` batch columns) for inserted rows.
-    * ``order_col``: when set, the batch is first reduced to its last row per key (W3).
+    * ``order_col``: when set, the batch is first reduced to its last row per key (W3);
+      without it the batch keys must be unique (as one bulk ``ON CONFLICT`` statement
+      requires: it rejects a key twice).
     * ``id_col``: serial id column of ``current``; inserted rows get ids above the max.
 
     Plan: the reduced batch is checkpointed once; the new version is ``current LEFT JOIN
