@@ -82,6 +82,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
+    # driver-side staging of code only (no data): Spark serves the file to every executor,
+    # exactly as spark-submit does with --py-files from the submitting machine
     archive = os.path.join(tempfile.mkdtemp(prefix="mediashelf-pyfiles-"), "mediashelf.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, dirs, files in os.walk(pkg_dir):
