@@ -36,6 +36,21 @@ KEYS: dict[str, list[str]] = {
 }
 
 
+# Bucket columns per table: the key prefix every join of that table shares. ``files`` is
+# bucketed on (device_uuid, path): the upsert (3-column key), the sync (2-column key) and
+# the scan diff then all scan it bucket by bucket, with
+# ``spark.sql.requireAllClusterKeysForCoPartition=false`` so a join on a superset of the
+# bucket columns reuses the buckets.
+BUCKET_KEYS: dict[str, list[str]] = {
+    "devices": ["uuid"],
+    "device_mount_points": ["device_uuid"],
+    "files": ["device_uuid", "path"],
+    "scan_progress": ["device_uuid"],
+    "image_analysis": ["file_id"],
+    "video_analysis": ["file_id"],
+}
+
+
 def schema_of(spark: SparkSession, table: str) -> StructType:
     return spark.createDataFrame([], SCHEMAS[table]).schema
 

@@ -25,6 +25,8 @@ def build_session(master: str = "local[8]", app: str = "mediashelf",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins on a superset of a table's bucket columns reuse its buckets
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         # remove checkpoint files once the checkpointed data is no longer referenced

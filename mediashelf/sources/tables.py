@@ -1,6 +1,6 @@
 """Catalogue table sink: bucketed on the upsert key so later joins co-locate.
 
-A ``files`` version written with ``save_bucketed(df, name, KEYS['files'])`` is read back
+A ``files`` version written with ``save_bucketed(df, name, BUCKET_KEYS["files"])`` is read back
 with its bucket spec: the upsert's left join, the insert anti join, the scan diff and the
 sync joins on that key then shuffle only the (small) batch side into the table's
 buckets; the table itself is scanned bucket by bucket without an exchange. Each version
