@@ -1,4 +1,4 @@
-"""Catalogue table sink: bucketed on the upsert key so later joins co-locate.
+"""Catalogue table sink: bucketed on the join-key prefix so later joins co-locate.
 
 A ``files`` version written with ``save_bucketed(df, name, BUCKET_KEYS["files"])`` is read back
 with its bucket spec: the upsert's left join, the insert anti join, the scan diff and the
