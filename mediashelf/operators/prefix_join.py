@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
-from ._util import maybe_broadcast
+from ._util import BROADCAST_MAX_ROWS, maybe_broadcast
 
 # A mount string longer than this is refused (guards the collected length list).
 MAX_MOUNT_LENGTH = 4096
@@ -37,7 +37,7 @@ def abspath_like(path) -> "F.Column":
 
 def longest_prefix_mount(paths: DataFrame, mounts: DataFrame, key_cols: Sequence[str],
                          path_col: str = "path", mount_col: str = "mount_path",
-                         uuid_col: str = "uuid") -> DataFrame:
+                         uuid_col: str = "uuid", broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Adds ``mount_path``, ``device_uuid`` and ``device_label`` (basename of the mount) of
     the longest mount that is a raw prefix of the (normalised) path; NULL when none.
     An empty mount never matches. ``mounts`` must hold one row per mount string."""
@@ -50,7 +50,7 @@ def longest_prefix_mount(paths: DataFrame, mounts: DataFrame, key_cols: Sequence
     keys = list(key_cols)
     out = paths.withColumn("_p", norm)
     if lengths:
-        mb = maybe_broadcast(m)
+        mb = maybe_broadcast(m, broadcast_max_rows)
         cand = out.select(*keys, "_p")
         cand = cand.select(*keys, "_p", F.explode(
             F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_p"))).alias("_n"))

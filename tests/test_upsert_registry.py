@@ -176,3 +176,21 @@ def test_init_catalogue_idempotent(spark, tmpdir_path):
     init_catalogue(spark, tmpdir_path)
     assert spark.read.parquet(paths["devices"]).count() == 1
     assert spark.read.parquet(paths["files"]).count() == 0
+
+
+def test_longest_prefix_shuffle_path_with_hot_mount(spark):
+    random.seed(11)
+    mounts = ["/"] + sorted({"/" + "".join(random.choice("ab") for _ in range(random.randint(1, 4))) for _ in range(20)})
+    paths = ["/" + "".join(random.choice("ab/") for _ in range(random.randint(0, 8))) for _ in range(400)]
+    mdf = spark.createDataFrame([(m, f"u{i}") for i, m in enumerate(mounts)], "mount_path string, uuid string")
+    pdf = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
+    out = longest_prefix_mount(pdf, mdf, ["id"], broadcast_max_rows=1)  # mount side "too big": shuffle join
+    got = {r["id"]: r["mount_path"] for r in out.collect()}
+    import re
+
+    def norm(p):
+        p = re.sub("/+", "/", p)
+        return p if p == "/" else p.rstrip("/")
+    for i, p in enumerate(paths):
+        cands = [m for m in mounts if norm(p).startswith(m)]
+        assert got[i] == (max(cands, key=len) if cands else None), p
