@@ -194,3 +194,45 @@ def test_longest_prefix_shuffle_path_with_hot_mount(spark):
     for i, p in enumerate(paths):
         cands = [m for m in mounts if norm(p).startswith(m)]
         assert got[i] == (max(cands, key=len) if cands else None), p
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_key = st.tuples(st.sampled_from(["d1", "d2"]), st.sampled_from(["a", "b", "c", "d"]), st.sampled_from(["s1", "s2"]))
+
+
+def py_upsert(current, batch, as_of):
+    last = {}
+    for dev, path, h, size, sysid, ord_ in batch:
+        k = (dev, path, sysid)
+        if k not in last or ord_ > last[k][2]:
+            last[k] = (h, size, ord_)
+    out = []
+    keys = set()
+    for id_, dev, path, h, size, sysid, ls in current:
+        k = (dev, path, sysid)
+        keys.add(k)
+        if k in last:
+            out.append((id_, dev, path, last[k][0], last[k][1], sysid, as_of))
+        else:
+            out.append((id_, dev, path, h, size, sysid, ls))
+    nxt = max([r[0] for r in current], default=0)
+    for k in sorted(k for k in last if k not in keys):
+        nxt += 1
+        out.append((nxt, k[0], k[1], last[k][0], last[k][1], k[2], None))
+    return sorted(out)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(_key, unique=True, max_size=8), st.lists(st.tuples(_key, st.integers(0, 99)), max_size=15))
+def test_upsert_matches_python_model(spark, cur_keys, batch_rows):
+    current = [(i * 10 + 1, d, p, f"h{i}", i, s, T0) for i, (d, p, s) in enumerate(cur_keys)]
+    batch = [(d, p, f"n{j}", v, s, j) for j, ((d, p, s), v) in enumerate(batch_rows)]
+    cdf = spark.createDataFrame(current, FILES)
+    bdf = spark.createDataFrame(batch, BATCH)
+    got = U.upsert(cdf, bdf, ["device_uuid", "path", "system_id"], ["hash", "size"],
+                   as_of="2021-01-01 00:00:00", order_col="ord").table
+    rows = sorted(tuple(r[c] for c in ("id", "device_uuid", "path", "hash", "size", "system_id", "last_sync"))
+                  for r in got.collect())
+    assert rows == py_upsert(current, batch, dt.datetime(2021, 1, 1))
