@@ -99,3 +99,47 @@ def test_migration_rewrite_dry_run_and_key_widening(spark):
     assert stats == {"u": (2, 2), None: (2, 2)}
     assert M.can_widen_key(files, ["device_uuid", "path"])
     assert not M.can_widen_key(files, ["device_uuid"])
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_sys = st.sampled_from(["me", "other", "third", None])
+_ls = st.sampled_from([None, OLD, NOW])
+
+
+def py_sync_files(rows, me, now, cutoff):
+    """The reference loop: dirty rows (SQL NULL rules) owned by another system (Python !=),
+    each acted row in id order updating every row of its (device, path); then one row per
+    full key: newest last_sync (NULLs last), then largest id."""
+    def dirty(r):
+        a = None if r["last_sync"] is None else r["last_sync"] < cutoff
+        b = None if r["system_id"] is None else r["system_id"] != me
+        return (a is True) or (b is True)
+    table = [dict(r) for r in rows]
+    acted = sorted((dict(r) for r in rows if dirty(r) and r["system_id"] != me), key=lambda r: r["id"])
+    for a in acted:
+        for r in table:
+            if r["device_uuid"] == a["device_uuid"] and r["path"] == a["path"]:
+                r.update(hash=a["hash"], size=a["size"], system_id=me, last_sync=now)
+    best = {}
+    for r in table:
+        k = (r["device_uuid"], r["path"], r["system_id"])
+        rank = (r["last_sync"] is not None, r["last_sync"] or dt.datetime.min, r["id"])
+        if k not in best or rank > best[k][0]:
+            best[k] = (rank, r)
+    return sorted((r["id"], r["device_uuid"], r["path"], r["hash"], r["size"], r["system_id"], r["last_sync"])
+                  for _, r in best.values())
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["u", "v"]), st.sampled_from(["a", "b", "c"]), _sys, _ls),
+                min_size=1, max_size=10, unique_by=lambda t: (t[0], t[1], t[2])))  # a valid table: unique full key
+def test_sync_files_matches_reference_loop(spark, specs):
+    rows = [dict(id=i + 1, device_uuid=d, path=p, hash=f"h{i}", size=i, modified_time=None, scanned_time=None,
+                 system_id=s, last_sync=ls) for i, (d, p, s, ls) in enumerate(specs)]
+    df = spark.createDataFrame([tuple(r[c] for c in ("id", "device_uuid", "path", "hash", "size", "modified_time",
+                                                      "scanned_time", "system_id", "last_sync")) for r in rows], FILES)
+    got = sorted((r["id"], r["device_uuid"], r["path"], r["hash"], r["size"], r["system_id"], r["last_sync"])
+                 for r in S.sync_files(df, "me", NOW).collect())
+    assert got == py_sync_files(rows, "me", NOW, S.cutoff_of(NOW))
