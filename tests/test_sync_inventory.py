@@ -143,3 +143,85 @@ def test_sync_files_matches_reference_loop(spark, specs):
     got = sorted((r["id"], r["device_uuid"], r["path"], r["hash"], r["size"], r["system_id"], r["last_sync"])
                  for r in S.sync_files(df, "me", NOW).collect())
     assert got == py_sync_files(rows, "me", NOW, S.cutoff_of(NOW))
+
+
+def py_macos(lines):
+    """Plain statement of the fold: volumes start at 'Device Identifier:'; keep the last
+    UUID value and the last valid mount; save volumes with identifier, UUID and mount;
+    later volumes overwrite a mount; keep /Volumes/* (not Recovery/VM) and '/'."""
+    devices, vol, data = {}, None, {}
+
+    def save():
+        if vol and "UUID" in data and "Mount Point" in data:
+            devices[data["Mount Point"]] = data["UUID"]
+    for raw in lines:
+        line = raw.strip()
+        if line.startswith("Device Identifier:"):
+            save()
+            vol = line.split(":")[1].strip()
+            data = {}
+        elif "Volume UUID:" in line:
+            data["UUID"] = line.split(":", 1)[1].strip()
+        elif "Mount Point:" in line:
+            mp = line.split(":", 1)[1].strip()
+            if mp and mp != "(not mounted)":
+                data["Mount Point"] = mp
+    save()
+    return sorted((m, u) for m, u in devices.items()
+                  if (m.startswith("/Volumes/") and not m.startswith("/Volumes/Recovery")
+                      and not m.startswith("/Volumes/VM")) or m == "/")
+
+
+_mac_line = st.one_of(
+    st.sampled_from(["Device Identifier: disk1", "Device Identifier:", "  Device Identifier: disk2s1 "]),
+    st.sampled_from(["Volume UUID: A", "   Volume UUID: B-1", "Volume UUID:", "Volume UUID: C:D"]),
+    st.sampled_from(["Mount Point: /Volumes/Data", "Mount Point: (not mounted)", "Mount Point: /",
+                     "Mount Point: /Volumes/Recovery", "Mount Point: /Volumes/VMx", "Mount Point:",
+                     "  Mount Point:   /Volumes/Other  ", "Mount Point: /private/var"]),
+    st.sampled_from(["Bus Protocol: USB", "", "   Volume Name: X"]))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(_mac_line, max_size=14))
+def test_macos_fold_matches_plain_statement(spark, lines):
+    from mediashelf.sources import inventory as inv
+    df = spark.createDataFrame([("h", "Darwin", NOW, i, l) for i, l in enumerate(lines)],
+                               "host string, os string, captured_at timestamp_ntz, seq long, line string")
+    got = sorted((r["mount_path"], r["uuid"]) for r in inv.macos_devices(df).collect())
+    assert got == py_macos(lines)
+
+
+def py_linux(lines):
+    out = {}
+    for line in lines:
+        parts = line.strip().split()
+        if len(parts) >= 3:
+            uuid, mount = parts[1], " ".join(parts[2:])
+            if uuid and mount and mount not in ["/boot", "/"]:
+                out[mount] = uuid
+    return sorted(out.items())
+
+
+def py_windows(lines):
+    out = {}
+    for line in lines[1:]:
+        parts = line.strip().split()
+        if len(parts) >= 2 and parts[0] and parts[1] and parts[0] != "C:":
+            out[parts[0]] = parts[1]
+    return sorted(out.items())
+
+
+_tok = st.sampled_from(["/dev/sda1", "U1", "U2", "/boot", "/", "/media/a", "b", "C:", "D:", "\\\\?\\Vol{1}\\"])
+_ws = st.sampled_from([" ", "  ", "\t", " \t "])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.tuples(_tok, _ws), max_size=5), min_size=1, max_size=8))
+def test_linux_windows_match_plain_statement(spark, raw):
+    from mediashelf.sources import inventory as inv
+    lines = ["".join(t + w for t, w in parts) for parts in raw]
+    for os_name, parse, model in (("Linux", inv.linux_devices, py_linux), ("Windows", inv.windows_devices, py_windows)):
+        df = spark.createDataFrame([("h", os_name, NOW, i, l) for i, l in enumerate(lines)],
+                                   "host string, os string, captured_at timestamp_ntz, seq long, line string")
+        got = sorted((r["mount_path"], r["uuid"]) for r in parse(df).collect())
+        assert got == model(lines), os_name
