@@ -236,3 +236,52 @@ def test_upsert_matches_python_model(spark, cur_keys, batch_rows):
     rows = sorted(tuple(r[c] for c in ("id", "device_uuid", "path", "hash", "size", "system_id", "last_sync"))
                   for r in got.collect())
     assert rows == py_upsert(current, batch, dt.datetime(2021, 1, 1))
+
+
+def py_register(devs, seen, me, now):
+    """Plain statement: per seen device with a uuid, update (mount, label, last_seen,
+    active, last_sync) or insert (first_seen = last_seen = now); then mark inactive the
+    active devices of ``me`` not in the seen uuids (no change if the list is empty or has
+    a NULL)."""
+    table = [dict(r) for r in devs]
+    nxt = max([r["id"] for r in table], default=0)
+    new = []
+    for s in seen:
+        if not s["uuid"]:
+            continue
+        hit = [r for r in table if r["uuid"] == s["uuid"] and r["system_id"] == me]
+        if hit:
+            for r in hit:
+                r.update(mount_path=s["mount_path"], label=s["label"], last_seen=now, is_active=True, last_sync=now)
+        elif not any(n["uuid"] == s["uuid"] for n in new):
+            new.append(dict(uuid=s["uuid"], mount_path=s["mount_path"], label=s["label"], first_seen=now,
+                            last_seen=now, system_id=me, last_sync=None, is_active=True))
+    for n in sorted(new, key=lambda n: n["uuid"]):
+        nxt += 1
+        n["id"] = nxt
+        table.append(n)
+    active = [s["uuid"] for s in seen]
+    if active and None not in active:
+        for r in table:
+            if r["system_id"] == me and r["is_active"] and r["uuid"] is not None and r["uuid"] not in active:
+                r.update(is_active=False, last_sync=now)
+    cols = ("id", "uuid", "mount_path", "label", "first_seen", "last_seen", "system_id", "last_sync", "is_active")
+    return sorted(tuple(r[c] for c in cols) for r in table)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["u1", "u2", "u3"]), st.sampled_from(["me", "other"]), st.booleans()),
+                unique_by=lambda t: (t[0], t[1]), max_size=5),
+       st.lists(st.tuples(st.sampled_from(["u1", "u3", "u4", "", None]), st.sampled_from(["/V/a", "/V/b"])),
+                unique_by=lambda t: t[0], max_size=4))
+def test_register_devices_matches_plain_statement(spark, devspec, seenspec):
+    now = dt.datetime(2022, 2, 2)
+    devs = [dict(id=i + 1, uuid=u, mount_path="/old", label="L", first_seen=T0, last_seen=T0, system_id=s,
+                 last_sync=T0, is_active=a) for i, (u, s, a) in enumerate(devspec)]
+    seen = [dict(uuid=u, mount_path=m, label=(m or "").split("/")[-1]) for u, m in seenspec]
+    cols = ("id", "uuid", "mount_path", "label", "first_seen", "last_seen", "system_id", "last_sync", "is_active")
+    ddf = spark.createDataFrame([tuple(d[c] for c in cols) for d in devs], DEV)
+    sdf = spark.createDataFrame([(s["uuid"], s["mount_path"], s["label"]) for s in seen],
+                                "uuid string, mount_path string, label string")
+    got = sorted(tuple(r[c] for c in cols) for r in R.register_devices(ddf, sdf, "me", now).table.collect())
+    assert got == py_register(devs, seen, "me", now)
