@@ -32,3 +32,14 @@ def digest(cols, rows) -> tuple[str, list[str]]:
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(canon(r[i]) for i in order) for r in rows)
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
+
+
+# Spark simple type names and the DuckDB type names of the same values.
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]", "float": "FLOAT"}
+
+
+def type_diffs(spark_dtypes, duck_columns, duck_types) -> dict:
+    """Columns whose Spark type does not map to the oracle's DuckDB type."""
+    ot = {c: str(t) for c, t in zip(duck_columns, duck_types)}
+    return {c: (t, ot.get(c)) for c, t in spark_dtypes if DUCK_TYPES.get(t, t) != ot.get(c)}

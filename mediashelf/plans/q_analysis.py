@@ -119,7 +119,7 @@ def x21_scalars(spark, sf_dir):
 
 
 @register("X28_objects_json", views=("image_analysis",), sql="""
-SELECT file_id, CAST(objects AS VARCHAR[]) AS labels, len(CAST(objects AS VARCHAR[])) AS n_labels,
+SELECT file_id, CAST(objects AS VARCHAR[]) AS labels, CAST(len(CAST(objects AS VARCHAR[])) AS INTEGER) AS n_labels,
   CASE WHEN objects IS NULL THEN NULL ELSE '[' || array_to_string(
     [('"' || x || '"') FOR x IN CAST(objects AS VARCHAR[])], ',') || ']' END AS objects_json
 FROM image_analysis""")

@@ -27,8 +27,8 @@ m3 AS (SELECT *, (NOT is_vol AND contains(l, 'Volume UUID:')) AS is_uuid FROM m2
 m4 AS (SELECT *, (NOT is_vol AND NOT is_uuid AND contains(l, 'Mount Point:')) AS is_mount,
          {_TRIM.format(c="regexp_extract(l, '^[^:]*:(.*)$', 1)")} AS value,
          {_TRIM.format(c="COALESCE(string_split(l, ':')[2], '')")} AS ident,
-         SUM(CASE WHEN is_vol THEN 1 ELSE 0 END) OVER (
-           PARTITION BY host, captured_at ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vol
+         CAST(SUM(CASE WHEN is_vol THEN 1 ELSE 0 END) OVER (
+           PARTITION BY host, captured_at ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS vol
        FROM m3),
 mv AS (SELECT host, captured_at, vol,
          arg_max(ident, seq) FILTER (WHERE is_vol) AS ident,

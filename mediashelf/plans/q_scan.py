@@ -100,7 +100,7 @@ _ELIG = f"(NOT starts_with({_BASE.format(p='path')}, '.') AND {_EXT_SQL.format(p
 
 
 @register("A4_pre_scan_totals", views=("files", "file_batch"), sql=f"""
-SELECT device_uuid, COUNT(*) AS total_files, COALESCE(SUM(size), 0) AS total_size
+SELECT device_uuid, COUNT(*) AS total_files, COALESCE(CAST(SUM(size) AS BIGINT), 0) AS total_size
 FROM file_batch WHERE {_ELIG} GROUP BY device_uuid""")
 def a4_pre_scan_totals(spark, sf_dir):
     b = cat.file_batch(spark, sf_dir)
@@ -115,7 +115,7 @@ WITH s AS (
     COUNT(*) FILTER (WHERE {_ELIG} AND error IS NULL) AS processed_files,
     COUNT(*) FILTER (WHERE NOT {_ELIG}) AS skipped_files,
     COUNT(*) FILTER (WHERE {_ELIG} AND error IS NOT NULL) AS error_files,
-    COALESCE(SUM(CASE WHEN {_ELIG} AND error IS NULL THEN size END), 0) AS total_size
+    COALESCE(CAST(SUM(CASE WHEN {_ELIG} AND error IS NULL THEN size END) AS BIGINT), 0) AS total_size
   FROM file_batch GROUP BY device_uuid)
 SELECT *, round(CASE WHEN total_files = 0 THEN 0.0 ELSE processed_files * 100.0 / total_files END, 6) AS percent,
   round(total_size / 1073741824.0, 9) AS gb, round(processed_files / 12.5, 6) AS files_per_sec
@@ -154,7 +154,7 @@ def _document_tree(spark, sf_dir) -> str:
 
 
 @register("S1_A4_binaryfile_tree_bytes", sql="""
-SELECT lang, SUM(strlen(text) + 1) AS total_bytes FROM documents GROUP BY lang""")
+SELECT lang, CAST(SUM(strlen(text) + 1) AS BIGINT) AS total_bytes FROM documents GROUP BY lang""")
 def s1_binaryfile_tree(spark, sf_dir):
     root = _document_tree(spark, sf_dir)
     listing = L.binary_files(spark, root)
@@ -164,7 +164,8 @@ def s1_binaryfile_tree(spark, sf_dir):
 
 
 @register("S2_S3_X18_walked_tree_bytes", sql="""
-SELECT lang, SUM(strlen(text) + 1) AS total_bytes, SUM(strlen(text) + 1) AS content_bytes FROM documents GROUP BY lang""")
+SELECT lang, CAST(SUM(strlen(text) + 1) AS BIGINT) AS total_bytes,
+  CAST(SUM(strlen(text) + 1) AS BIGINT) AS content_bytes FROM documents GROUP BY lang""")
 def s2_walked_tree(spark, sf_dir):
     root = _document_tree(spark, sf_dir)
     # one seed per top-level directory (found by a Spark listing, not the driver's file

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from mediashelf.plans.compare import digest
+from mediashelf.plans.compare import digest, type_diffs
 from mediashelf.session import TABLES
 
 from .conftest import SF_SMALL
@@ -36,6 +36,8 @@ def test_every_query_has_oracle_or_is_stream():
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(SQL[name])
+    assert type_diffs(df.dtypes, rel.columns, rel.types) == {}
     cur = duck.execute(SQL[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
