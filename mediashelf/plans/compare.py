@@ -5,6 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import hashlib
+import os
+
+# exact float text (no rounding) when MEDIASHELF_STRICT_FLOATS is set
+STRICT = bool(os.environ.get("MEDIASHELF_STRICT_FLOATS"))
 
 
 def canon(v) -> str:
@@ -13,7 +17,7 @@ def canon(v) -> str:
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return repr(v) if STRICT else repr(round(v, 9))
     if isinstance(v, decimal.Decimal):
         return repr(round(float(v), 9))
     if isinstance(v, (dt.datetime, dt.date)):
