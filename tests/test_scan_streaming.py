@@ -111,6 +111,11 @@ def test_stream_equals_batch(spark, tmpdir_path):
     cols = ["device_uuid", "path", "size", "system_id", "scanned_time"]
     got_rows = sorted(map(tuple, got.select(cols).collect()))
     assert got_rows == sorted(map(tuple, want.select(cols).collect()))
+    # incremental compaction: fold batches 0-1, then 2-3 onto that version
+    from mediashelf.session import cut_lineage
+    first = cut_lineage(FE.snapshot(files, FE.read_log(spark, log_dir, upto_batch=1)))
+    second = FE.snapshot(first, FE.read_log(spark, log_dir, after_batch=1))
+    assert sorted(map(tuple, second.select(cols).collect())) == got_rows
     # replaying the log (the sink is idempotent) changes nothing
     FE.log_writer(log_dir)(scan_events_from(spark.read.parquet(os.path.join(src, "chunk=0"))), 0)
     again = FE.snapshot(files, FE.read_log(spark, log_dir))
