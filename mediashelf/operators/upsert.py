@@ -225,3 +225,10 @@ def existing_keys(batch: DataFrame, current: DataFrame, keys: Sequence[str], exi
     are read and shuffled."""
     k = current.select(*keys)
     return batch.join(k, list(keys), "left_semi" if exists else "left_anti")
+
+
+def unknown_accesses(accesses: DataFrame, files: DataFrame, id_col: str = "id") -> DataFrame:
+    """K14's warning case: accessed file ids with no file row (the UPDATE touched 0 rows),
+    with how often each was accessed. An anti join on the id column only."""
+    per_id = accesses.groupBy("file_id").agg(F.count("*").alias("accesses"))
+    return per_id.join(files.select(F.col(id_col).alias("file_id")), "file_id", "left_anti")

@@ -169,3 +169,14 @@ WHERE EXISTS (SELECT 1 FROM files f WHERE f.device_uuid = b.device_uuid AND f.pa
 def j8_existing_batch_keys(spark, sf_dir):
     return U.existing_keys(cat.file_batch(spark, sf_dir), cat.files(spark, sf_dir),
                            ["device_uuid", "path", "system_id"])
+
+
+@register("K14_unknown_file_accesses", views=("files",), sql="""
+SELECT event_id * 7 AS file_id, COUNT(*) AS accesses FROM events
+WHERE event_id * 7 NOT IN (SELECT id FROM files)
+GROUP BY event_id * 7""")
+def k14_unknown_accesses(spark, sf_dir):
+    from ..sources.catalogue import read_table
+    # accesses name file ids by a rule over the event ids: part of them lie beyond the catalogue
+    acc = read_table(spark, sf_dir, "events").select((F.col("event_id") * 7).alias("file_id"), "ts")
+    return U.unknown_accesses(acc, cat.files(spark, sf_dir))
