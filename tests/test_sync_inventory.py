@@ -225,3 +225,46 @@ def test_linux_windows_match_plain_statement(spark, raw):
                                    "host string, os string, captured_at timestamp_ntz, seq long, line string")
         got = sorted((r["mount_path"], r["uuid"]) for r in parse(df).collect())
         assert got == model(lines), os_name
+
+
+def py_sync_devices(rows, me, now, cutoff, present=None):
+    """Reference loop for devices: dirty rows owned by another system; per such row, if its
+    uuid is present every row of the uuid takes ownership (last_seen, owner, last_sync,
+    active), else every row of the uuid is marked inactive (and stamped); then one row per
+    (uuid, owner): newest last_sync (NULLs last), then largest id."""
+    def dirty(r):
+        a = None if r["last_sync"] is None else r["last_sync"] < cutoff
+        b = None if r["system_id"] is None else r["system_id"] != me
+        return (a is True) or (b is True)
+    table = [dict(r) for r in rows]
+    for a in sorted((dict(r) for r in rows if dirty(r) and r["system_id"] != me), key=lambda r: r["id"]):
+        ok = present is None or a["uuid"] in present
+        for r in table:
+            if r["uuid"] == a["uuid"]:
+                if ok:
+                    r.update(last_seen=now, system_id=me, last_sync=now, is_active=True)
+                else:
+                    r.update(is_active=False, last_sync=now)
+    best = {}
+    for r in table:
+        k = (r["uuid"], r["system_id"])
+        rank = (r["last_sync"] is not None, r["last_sync"] or dt.datetime.min, r["id"])
+        if k not in best or rank > best[k][0]:
+            best[k] = (rank, r)
+    cols = ("id", "uuid", "last_seen", "system_id", "last_sync", "is_active")
+    return sorted(tuple(r[c] for c in cols) for _, r in best.values())
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["u1", "u2", "u3"]), _sys, _ls, st.booleans()),
+                min_size=1, max_size=8, unique_by=lambda t: (t[0], t[1])),
+       st.one_of(st.none(), st.lists(st.sampled_from(["u1", "u2", "u3"]), unique=True)))
+def test_sync_devices_matches_reference_loop(spark, specs, present):
+    rows = [dict(id=i + 1, uuid=u, mount_path="/m", label="L", first_seen=OLD, last_seen=OLD, system_id=s,
+                 last_sync=ls, is_active=a) for i, (u, s, ls, a) in enumerate(specs)]
+    cols = ("id", "uuid", "mount_path", "label", "first_seen", "last_seen", "system_id", "last_sync", "is_active")
+    df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], DEV)
+    pdf = None if present is None else spark.createDataFrame([(u,) for u in present], "uuid string")
+    got = sorted(tuple(r[c] for c in ("id", "uuid", "last_seen", "system_id", "last_sync", "is_active"))
+                 for r in S.sync_devices(df, "me", NOW, pdf).collect())
+    assert got == py_sync_devices(rows, "me", NOW, S.cutoff_of(NOW), None if present is None else set(present))
