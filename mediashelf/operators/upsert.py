@@ -2,12 +2,15 @@
 
 Parquet tables have no row-level DML, so every operator here is a pure function
 ``(current, batch) -> new version``; the caller writes the result to a new location
-(never over the path being read). One upsert is one full outer join on the key:
+(never over the path being read). One upsert is ``current LEFT JOIN batch`` (updated and
+kept rows) plus ``batch LEFT ANTI current(keys)`` (inserted rows):
 
-* current and batch are both hash-partitioned on the *whole* key, so a device holding a
-  third of all files still spreads over many partitions (the path is part of the key);
+* both joins are on the *whole* key, so a device holding a third of all files still
+  spreads over many partitions (the path is part of the key); a catalogue stored bucketed
+  on the key prefix (``sources.tables``) is not shuffled at all;
 * the batch is first reduced to one row per key with ``max_by`` (partial aggregation,
-  map-side), so repeated events for one hot key never reach the join as duplicates;
+  map-side), so repeated events for one hot key never reach the join as duplicates, and
+  checkpointed once because both joins read it;
 * new serial ids are dense ranks in key order, computed from per-partition counts of a
   checkpointed, range-partitioned copy of the inserted rows only (no single-task window).
 """
