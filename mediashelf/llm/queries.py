@@ -7,5 +7,5 @@ from ._common import QUERIES
 
 def load_all() -> dict:
     """Import every operator module (each registers its query on import)."""
-    from . import chat, mixing, parity_join, suffix_dedup  # noqa: F401
+    from . import chat, langid, mixing, parity_join, suffix_dedup, toxicity  # noqa: F401
     return QUERIES
