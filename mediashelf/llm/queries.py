@@ -7,5 +7,7 @@ from ._common import QUERIES
 
 def load_all() -> dict:
     """Import every operator module (each registers its query on import)."""
-    from . import chat, langid, mixing, parity_join, suffix_dedup, toxicity  # noqa: F401
+    from . import (  # noqa: F401
+        chat, langid, metric_join, mixing, parity_join, posting_lists, suffix_dedup, toxicity,
+    )
     return QUERIES
