@@ -8,6 +8,7 @@ from ._common import QUERIES
 def load_all() -> dict:
     """Import every operator module (each registers its query on import)."""
     from . import (  # noqa: F401
-        chat, langid, metric_join, mixing, parity_join, posting_lists, suffix_dedup, toxicity,
+        chat, langid, metric_join, mixing, parity_join, posting_lists, suffix_dedup, token_counts,
+        toxicity,
     )
     return QUERIES

@@ -32,7 +32,7 @@ from ._common import fold_of, mix64, passes, powers, register, utf8
 #: Labelled documents of each label that the model is fitted on.
 FIT_ROWS = 1500
 #: Hashed feature space.
-SLOT_BITS = 18
+SLOT_BITS = 22
 PREFIXES = (4, 5, 6)
 #: A feature marks toxic words when it is so many times as frequent in toxic documents as in the
 #: others, and the chance of that among all features (a Chernoff bound) is below this level.
