@@ -1,14 +1,68 @@
-"""Corpus pipeline: the stages that turn ``documents`` into mixed, tokenised training rows."""
+"""Corpus pipeline: the stages that turn ``documents`` into mixed, tokenised training rows.
+
+Each stage takes and returns rows with the columns of ``documents``; the last returns each row's
+token ids. Nulls, empty texts, repeated rows, empty tables and further columns are handled as the
+operators' docstrings say; what a stage adds to that stands in its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mediashelf.llm import langid, mixing, parity_join, piece_lattice, suffix_dedup
 from mediashelf.llm._common import staged
 
-STAGES: list = []
 
-#: Several stages are models or iterative graph jobs that SQL cannot express.
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model learns from their own ``lang``. When
+    nothing can be learned, only documents without a letter go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with
+    the smallest id, once. Documents without an id stay."""
+    found = staged(parity_join.jaccard_components(docs))
+    drop = found.where("doc_id != component_id").select("doc_id")
+    kept = docs.join(drop.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that an earlier document has; characters go
+    whole, ``n_chars`` follows, and a document of which nothing but white space is left goes."""
+    cut = suffix_dedup.suffix_dedup(docs, 50, whole_chars=True)
+    text = F.col("kept").cast("string")
+    columns = {"doc_id": F.col("doc_id"), "text": F.when(F.col("n_bytes") > 0, text).otherwise(""),
+               "n_chars": F.length(text).cast("long")}
+    gone = (F.col("n_removed") > 0) & (F.regexp_count(text, F.lit(r"\S")) == 0)
+    return cut.where(~gone).select(*[columns.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that their sources meet the target weights."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` of every row."""
+    return piece_lattice.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix_sources", mix_sources),
+    ("token_ids", token_ids),
+]
+
+#: The language model, the similarity components and the suffix classes are not SQL.
 ORACLE_SQL = None
 
 

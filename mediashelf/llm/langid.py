@@ -198,6 +198,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return base.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                for rows, raw, offsets in passes(batch.slice(a, BLOCK), batch.schema.names[at]):
+                    yield rows.filter(pa.array(~shared.value.predict(raw, offsets)[3]))
+    return docs.mapInArrow(run, docs.schema)
+
+
 @register("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the folds that are not held out."""

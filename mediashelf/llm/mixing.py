@@ -7,7 +7,8 @@ fraction, decided by a hash of the document's id and a seed. ``mix`` emits the c
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order;
 a source without words gets target 0 and no copies; repeated ids share one draw; an empty table
-gives an empty result; the added columns replace input columns of the same name.
+gives an empty result; in ``mix_plan`` the added columns replace input columns of the same name, ``mix``
+keeps all input columns.
 """
 
 from __future__ import annotations
@@ -65,34 +66,34 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float,
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
              max_repeat: float = 2.0, seed: int = 7, id_col: str = "doc_id",
-             text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``size, source_size, target, rate, copies``.
+             text_col: str = "text", source_col: str = "source", prefix: str = "") -> DataFrame:
+    """``docs`` with ``size, source_size, target, rate, copies`` (their names after ``prefix``).
 
     The sizes are summed per source with partial aggregates, so a hot source costs one row
     per task. Documents meet the targets by a broadcast of the finished source table when
     its measured size allows it, else by a shuffle join that AQE splits."""
-    added = ["size", "source_size", "target", "rate", "copies"]
-    base = docs.drop(*added).withColumn("size", word_count(F.col(text_col)))
-    sums = base.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+    size, source_size, target, rate, copies = (prefix + c for c in ("size", "source_size", "target", "rate", "copies"))
+    base = docs.drop(size, source_size, target, rate, copies).withColumn(size, word_count(F.col(text_col)))
+    sums = base.groupBy(F.col(source_col).alias("source")).agg(F.sum(size).alias("source_size"))
     targets = staged(source_targets(sums, weights, share, max_repeat))
     n_bytes = targets.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 48)).first()[0] or 0
-    right = targets.select(F.col("source").alias("_source"), "source_size", "target",
+    right = targets.select(F.col("source").alias("_source"), F.col("source_size").alias(source_size),
+                           F.col("target").alias(target),
                            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-                           .otherwise(0.0).alias("rate"))
+                           .otherwise(0.0).alias(rate))
     if n_bytes <= BROADCAST_BYTES:
         right = F.broadcast(right)
     joined = base.join(right, base[source_col].eqNullSafe(right["_source"])).drop("_source")
-    whole = F.floor("rate")
+    whole = F.floor(rate)
     return joined.withColumn(
-        "copies", (whole + (draw(F.col(id_col), seed) < F.col("rate") - whole).cast("long")).cast("long"))
+        copies, (whole + (draw(F.col(id_col), seed) < F.col(rate) - whole).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every document ``copies`` times, with the columns of ``docs``."""
-    plan = mix_plan(docs, **options)
-    return (plan.where("copies > 0")
-            .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*[plan[c] for c in docs.columns]))
+    plan = mix_plan(docs, prefix="_mix_", **options).where("_mix_copies > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("_mix_copy")
+    return plan.select(*[plan[c] for c in docs.columns], copy).drop("_mix_copy")
 
 
 SQL = r"""

@@ -368,7 +368,15 @@ def merge_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - group[ends] * top], 1)
 
 
-def cut_out(docs: pa.Table, spans: pa.Table) -> pa.Table:
+def _whole_characters(text: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """``keep`` widened to all bytes of each UTF-8 character of which some byte stays."""
+    start = (text & 0xC0) != 0x80
+    start[:1] = True
+    at = np.flatnonzero(start)
+    return np.logical_or.reduceat(keep, at)[np.cumsum(start) - 1] if len(at) else keep
+
+
+def cut_out(docs: pa.Table, spans: pa.Table, whole_chars: bool) -> pa.Table:
     """Documents of one bucket with their removed spans and the remaining bytes."""
     found = merge_spans(np.stack([spans.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "end")], 1)
                         if spans.num_rows else np.empty((0, 3), np.int64))
@@ -382,8 +390,11 @@ def cut_out(docs: pa.Table, spans: pa.Table) -> pa.Table:
         mask = np.zeros(len(text) + 1, np.int8)
         mask[own[:, 0]] += 1
         mask[own[:, 1]] -= 1
-        kept.append(text[np.cumsum(mask[:-1]) == 0].tobytes())
-        removed.append(len(text) - len(kept[-1]))
+        keep = np.cumsum(mask[:-1]) == 0
+        removed.append(len(text) - int(keep.sum()))
+        if whole_chars and len(own):
+            keep = _whole_characters(text, keep)
+        kept.append(text[keep].tobytes())
         count.append(len(own))
         lists.append([{"start": int(x), "end": int(y)} for x, y in own])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -393,9 +404,12 @@ def cut_out(docs: pa.Table, spans: pa.Table) -> pa.Table:
                      "spans": pa.array(lists, span)})
 
 
-def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                 whole_chars: bool = False) -> DataFrame:
     """``(doc_id, rest, kept, n_bytes, n_removed, n_spans, spans)``: ``kept`` holds the remaining
-    bytes, ``spans`` the maximal removed runs and ``rest`` the other columns of the row."""
+    bytes, ``spans`` the maximal removed runs and ``rest`` the other columns of the row.
+
+    With ``whole_chars`` a character goes from ``kept`` only with all its bytes, so it stays text."""
     if min_bytes < 16:
         raise ValueError("min_bytes must be at least 16")
     spark = docs.sparkSession
@@ -418,7 +432,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", t
     back = spans.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(max(n, parts))).cast("int"))
     rest = base.schema["rest"].dataType.simpleString()
     return (base.groupBy("db").cogroup(back.groupBy("db"))
-            .applyInArrow(cut_out, f"doc_id long, rest {rest}, kept binary, n_bytes long, n_removed long, "
+            .applyInArrow(lambda a, b: cut_out(a, b, whole_chars), f"doc_id long, rest {rest}, kept binary, n_bytes long, n_removed long, "
                                    "n_spans long, spans array<struct<start: long, end: long>>"))
 
 
