@@ -39,6 +39,8 @@ PREFIXES = (4, 5, 6)
 MARK_RATIO, MARK_LEVEL = 12.0, 0.01
 #: Words on each side of a labelled word in a training window.
 CONTEXT = 8
+#: Marginals below this do not add to a document's expected toxic words.
+FLOOR = 0.1
 #: Bytes of text whose chains run together.
 GROUP_BYTES = 24 << 20
 
@@ -123,10 +125,12 @@ class Model:
 
 
 def _summary(m: np.ndarray, docs: np.ndarray, n_docs: int) -> np.ndarray:
-    """Columns: 1, log of expected toxic words, highest marginal."""
+    """Columns: 1, log of expected toxic words, highest marginal. Marginals under ``FLOOR`` count
+    as none: in a very long text they would add up to several words."""
     top = np.zeros(n_docs)
     np.maximum.at(top, docs, m)
-    return np.stack([np.ones(n_docs), np.log1p(np.bincount(docs, m, minlength=n_docs)), top], 1)
+    some = m >= FLOOR
+    return np.stack([np.ones(n_docs), np.log1p(np.bincount(docs[some], m[some], minlength=n_docs)), top], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
