@@ -6,12 +6,14 @@ import pytest
 
 import __spark_entry__ as E
 from mediashelf.plans.compare import digest, type_diffs
+from mediashelf.plans.registry import load_all
 from mediashelf.session import TABLES
 
 from .conftest import SF_SMALL
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+OWN = load_all()
+SQL = {name: sql for name, sql in E.oracle_sql().items() if name in OWN}
+QUERIES = {name: build for name, build in E.queries().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
