@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -40,33 +40,62 @@ def fold_of(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a task: links reduced to one from every node to the smallest of its group."""
+    for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = roots(at[:len(a)], at[len(a):], len(nodes))
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root[far]]), pa.array(nodes[far])], names=["u", "v"])
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of the component of each of ``n`` nodes under the links ``a - b``."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        new = np.minimum(new, new[label])
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph given by ``edges`` (two long columns).
 
     Returns one row ``(node, component)`` per node that has an edge, ``component`` being
-    the smallest node of its component. Alternates large-star and small-star rounds: each is
-    a grouped minimum and a join on the node, so edges stay spread over the cluster, and
-    the number of rounds is logarithmic. Every round is staged; only two sums reach the driver."""
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
+    the smallest node of its component. Links are first reduced within each task; then large-star and
+    small-star rounds alternate. A round is a grouped minimum (partial aggregates) and a join on the
+    node, which splits a node with very many links, and its result is staged. The number of
+    rounds is logarithmic; only a count and a sum reach the driver."""
+    def star(rows: DataFrame) -> DataFrame:
+        """``(u, v)`` rows to ``(m, v)`` with ``m`` the smallest of ``u`` and its ``v``."""
+        low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return rows.join(low, "u").select("m", "u", "v")
+
+    e = staged(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
+               .mapInArrow(_forest, "u long, v long").distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        # after the large star every edge points from the larger node (u) to a smaller one (v)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))))
-        e = staged(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-                   .where("u < v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == tuple(now):
+        large = star(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u AND m < v")
+        large = staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")))  # from a node to a smaller one
+        small = star(large)
+        small = small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
+        seen = Observation()
+        e = staged(small.observe(seen, F.count("*").alias("n"), F.sum(
+            F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = (seen.get["n"], seen.get["h"])
+        if now == before or now[0] == 0:
             break
-        before = tuple(now)
-    nodes = e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
-    roots = e.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
-    return nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+        before = now
+    leaves = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return leaves.unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
 # ---------------------------------------------------------------- text as numpy arrays

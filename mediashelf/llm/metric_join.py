@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from ._common import connected_components, register, staged
+from ._common import connected_components, register, roots, staged
 from ._vectors import lists, matrix, sample, usable
 
 #: Home members of a cell that one block holds, and vectors it is compared with.
@@ -62,21 +62,6 @@ def present_cells(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray | None,
     return home, here
 
 
-def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of the component of each of ``n`` nodes under the links ``a - b``."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        new = np.minimum(new, new[label])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def join_block(table: pa.Table, cosine: float, d: int) -> pa.Table:
     """One block: weighted partner counts of the vectors and links that span their components.
 

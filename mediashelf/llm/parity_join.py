@@ -14,10 +14,9 @@ on empty parts too, which can matter only between two of them. Candidates are ve
 whole sets. Nothing is capped.
 
 Links are not expanded into all pairs: identical sets are one class; in each bucket
-members are compared with its smallest member; buckets whose members lie in several
-components are then compared with further members, in growing steps, until every pair within
-a bucket is in one component or was compared. Groups of copies therefore cost a number of rows in
-proportion to their size.
+members are verified against its smallest member; only in buckets that then still hold several
+components, members of different ones are compared by fine parity sketches (their Hamming distance
+lower-bounds the difference, too), in blocks within a task, and just the pairs that pass are verified.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; repeated
 rows of one id count as one document; a null id gets its size and a null component; empty tables
@@ -33,7 +32,6 @@ from math import ceil, exp, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import read_table
@@ -41,6 +39,8 @@ from ._common import connected_components, mix64, passes, register, shingle_hash
 
 #: Key rows packed into one row of the staged table.
 PACK = 8192
+#: Members of a bucket that one task compares with as many others.
+BUCKET_ROWS = 4096
 #: Largest table of ids that is broadcast (bytes, from its exact count).
 BROADCAST_BYTES = 8 << 20
 
@@ -173,13 +173,55 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(keys[at:at + (1 << 16)]), pa.array(docs[at:at + (1 << 16)])], names=["key", "node"])
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """``(node, hashes)``: the whole shingle set of each document as sorted 64-bit values."""
+def sketch_words(n: int, num: int, den: int) -> int:
+    """64-bit words of the fine sketch of a set: a power of two with several bits per difference."""
+    t = 2 * n * (den - num) // (den + num) + 1
+    return max(4, 1 << int(8 * t / 64).bit_length())
+
+
+def fine_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketch of ``64 * words`` bits: each shingle flips one. Halves XORed give the sketch of half the size."""
+    bit = mix64(hashes ^ np.uint64(0x5555555555555555)) % np.uint64(64 * words)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def shingle_sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """``(node, n, sketch, hashes)``: fine sketch and whole shingle set (sorted 64-bit values)."""
     for batch in batches:
         for rows, raw, offsets in passes(batch):
-            sets = [s.tobytes() for s in doc_sets(raw, offsets, n)]
+            sets = doc_sets(raw, offsets, n)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+                [rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([fine_sketch(s, sketch_words(len(s), num, den)).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "hashes"])
+
+
+def near_in_bucket(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of a bucket's members in different components whose fine sketches differ in no more
+    bits than linked sets of their sizes can. Members of the largest component meet only others."""
+    node, comp = table.column("node").to_numpy(), table.column("c").to_numpy()
+    side = table.column("side").to_numpy()
+    n = table.column("n").to_numpy()
+    raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch")]
+    words = min(map(len, raw), default=1)
+    x = np.stack([np.bitwise_xor.reduce(r.reshape(-1, words), axis=0) for r in raw]) if raw else np.empty((0, 1), np.uint64)
+    names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    few = np.flatnonzero(at != sizes.argmax()) if len(names) else np.empty(0, np.int64)
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, (1 << 22) // max(1, x.size))
+    for k in range(0, len(few), step):
+        i = few[k:k + step]
+        most = (n[i][:, None] + n) * (den - num) // (den + num)
+        ok = (comp[i][:, None] != comp) & ((side[i][:, None] != side) | (side[i][:, None] == 2))
+        ok &= (np.minimum(n[i][:, None], n) * den >= np.maximum(n[i][:, None], n) * num)
+        r, c = np.nonzero(ok)
+        r, c = r[(d := np.bitwise_count(x[i[r]] ^ x[c]).sum(axis=1) <= most[r, c])], c[d]
+        out_a.append(node[i[r]])
+        out_b.append(node[c])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -223,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     few = nodes.count() * 8 <= BROADCAST_BYTES
     wanted = docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
     sets = staged(wanted.mapInArrow(
-        lambda it: shingle_sets(it, n), "node long, hashes binary"))
+        lambda it: shingle_sets(it, n, num, den), "node long, n long, sketch binary, hashes binary"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
@@ -231,26 +273,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return staged(both.mapInArrow(lambda it: verified(it, num, den), "a long, b long"))
 
+    # every bucket's members against its smallest one
     hubs = members.groupBy("key").agg(F.min("node").alias("a"))
     star = members.join(hubs, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    links = links_of(star)
-    at, step = 1, 7
-    while True:
-        labels = connected_components(links)
-        named = members.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("c"))
-        open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        ranked = staged(named.join(open_keys.select("key"), "key", "left_semi").withColumn(
-            "rank", F.row_number().over(W.partitionBy("key").orderBy("node")) - 1))
-        hub = ranked.where((F.col("rank") >= at) & (F.col("rank") < at + step)).select(
-            "key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra"))
-        pairs = staged(hub.join(ranked, "key").where("rank > ra AND c != ca")
-                       .select("a", F.col("node").alias("b")).distinct())
-        if ranked.where(F.col("rank") > at).isEmpty():
-            break
-        if not pairs.isEmpty():
-            links = staged(links.unionByName(links_of(pairs)))
-        at, step = at + step, step * 8
+    labels = staged(connected_components(links_of(star)))
+    # buckets that still hold several components: all their pairs across components, in blocks
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(
+        "lo < hi").select("key", F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (named.join(open_keys, "key").withColumn("own", block)
+             .select("key", "node", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("key", "node", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     # blocks of one kind meet the other kind; a block meets itself (2)
+                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
+    close = (dealt.join(sets.select("node", "n", "sketch"), "node").groupBy("key", "i", "j")
+             .applyInArrow(lambda t: near_in_bucket(t, num, den), "a long, b long").distinct())
+    more = links_of(close)
+    if not more.isEmpty():
+        to = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+        joined = more.join(to[0], "a", "left").join(to[1], "b", "left").select(
+            F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = staged(connected_components(joined))
+        labels = (labels.join(above.withColumnRenamed("component", "top"), labels["component"] == above["node"], "left")
+                  .select(labels["node"], F.coalesce("top", "component").alias("component"))
+                  .unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "component")))
     return (sizes.select("doc_id", F.col("n").alias("n_shingles"))
             .join(copies, "doc_id", "left")
             .join(labels, F.coalesce("rep", "doc_id") == labels["node"], "left")
