@@ -75,7 +75,9 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each run of neighbouring windows of one document with one name: ``(runs, names)``, a
     run being ``(document index, first window, number of windows)`` in positions of ``raw``."""
-    if len(raw) < width:
+    lengths = np.diff(offsets)
+    docs = np.flatnonzero(lengths >= width)
+    if not len(docs):
         return np.empty((0, 3), np.int64), np.empty(0, np.uint64)
     gram = min(GRAM, width)
     power, inverse = powers(len(raw))
@@ -88,8 +90,6 @@ def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
         low = np.minimum(low[:-step], low[step:])
         reach += step
     # low[i] names the window that starts at i; windows over a document's end don't exist
-    lengths = np.diff(offsets)
-    docs = np.flatnonzero(lengths >= width)
     change = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     first, last = offsets[docs], offsets[docs + 1] - width  # first and last window of each document
     starts = np.union1d(change, first)
@@ -176,9 +176,10 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
         for batch in docs.combine_chunks().to_batches():
             for rows, raw, offsets in passes(batch):
                 runs, name = window_names(raw, offsets, width)
-                keep = np.isin(name, known)
+                column = rows.column(0)
+                keep = np.isin(name, known) & column.is_valid().to_numpy(zero_copy_only=False)[runs[:, 0]]
                 runs, name = runs[keep], name[keep]
-                ids = rows.column(0).to_numpy(zero_copy_only=False)[runs[:, 0]].astype(np.int64)
+                ids = column.fill_null(0).to_numpy(zero_copy_only=False)[runs[:, 0]].astype(np.int64)
                 data, at = raw.tobytes(), offsets[runs[:, 0]]
                 for doc, start, n, k, o in zip(ids.tolist(), runs[:, 1].tolist(), runs[:, 2].tolist(),
                                                (name % np.uint64(n_suffix)).tolist(), at.tolist()):
@@ -424,7 +425,8 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", t
     some = base.where("doc_id IS NOT NULL").select("doc_id", "text", "db")
     names = some.mapInArrow(lambda it: task_names(it, min_bytes, max(n, parts), parts), "bucket int, packed binary")
     shared = names.groupBy("bucket").applyInArrow(shared_names, "db int, names binary")
-    pieces = (some.groupBy("db").cogroup(shared.groupBy("db"))
+    # both cogroups deal out the same rows, so Spark moves the texts once
+    pieces = (base.groupBy("db").cogroup(shared.groupBy("db"))
               .applyInArrow(lambda a, b: candidate_pieces(a, b, min_bytes, max(n, parts)),
                             "sb int, bytes binary, pieces binary, spans binary"))
     spans = pieces.groupBy("sb").applyInArrow(
