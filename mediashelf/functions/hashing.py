@@ -7,24 +7,17 @@ from pyspark.sql import functions as F
 
 from .paths import ColumnOrName, _c
 
-# Fixed value: the prefix-hash cap of the scanner, 10 MiB.
+# Fixed value: the length of the scanner's prefix hash, 10 MiB (callers ask for it explicitly).
 HASH_PREFIX_BYTES = 10 * 1024 * 1024
 
 
-def prefix_sha256(content: ColumnOrName, max_bytes: int = HASH_PREFIX_BYTES) -> Column:
+def prefix_sha256(content: ColumnOrName, max_bytes: int) -> Column:
     """SHA-256 hex of the first ``max_bytes`` bytes (string input is hashed as UTF-8)."""
     b = _c(content).cast("binary")
     return F.sha2(F.substring(b, 1, max_bytes), 256)
 
 
-def full_sha256(content: ColumnOrName, max_bytes: int | None = None) -> Column:
-    """SHA-256 hex of the whole content; NULL above ``max_bytes`` when a cap is set.
-
-    The reference gives up after a wall-clock timeout; a size cap is the deterministic
-    counterpart (the listing source hashes larger files by ranged reads instead).
-    """
-    b = _c(content).cast("binary")
-    h = F.sha2(b, 256)
-    if max_bytes is None:
-        return h
-    return F.when(F.octet_length(b) <= max_bytes, h).otherwise(F.lit(None).cast("string"))
+def full_sha256(content: ColumnOrName) -> Column:
+    """SHA-256 hex of the whole content, whatever its size (the directory walker hashes
+    files beyond the column limit by ranged reads)."""
+    return F.sha2(_c(content).cast("binary"), 256)

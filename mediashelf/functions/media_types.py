@@ -48,16 +48,6 @@ def is_media(path: ColumnOrName) -> Column:
     return media_type(path).isNotNull()
 
 
-def supported_extensions(spark: SparkSession) -> DataFrame:
-    """Reference table ``(media_type, extensions)``; an unknown type joins to nothing
-    (callers left-join and ``coalesce`` to an empty array)."""
-    rows = [(t, i, e) for t in MEDIA_ORDER for i, e in enumerate(MEDIA_EXTENSIONS[t])]
-    df = spark.createDataFrame(rows, "media_type string, pos int, extension string")
-    return df.groupBy("media_type").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "extension"))), lambda s: s["extension"])
-        .alias("extensions"))
-
-
 def extensions_for(media: ColumnOrName) -> Column:
     """X9 as an expression: the extension list of a type column, empty when unknown."""
     m = _c(media)

@@ -96,14 +96,6 @@ def mount_point_pattern(system: str | None) -> str:
     return MOUNT_PATTERNS.get(system or "", MOUNT_PATTERNS["Linux"])
 
 
-# Whole-mount forms of the patterns above (one group = the mount as returned).
-_MOUNT_EXTRACT = {
-    "Darwin": r"^(/Volumes/[^/]+)",
-    "Linux": r"^(/media/[^/]+/[^/]+)",
-    "Windows": r"^([A-Z]:)",
-}
-
-
 def extract_mount_point(path: ColumnOrName, system: str | Column | None) -> Column:
     """Mount part of a path for an OS; unknown OS gives NULL even when a pattern matches.
 
@@ -112,8 +104,8 @@ def extract_mount_point(path: ColumnOrName, system: str | Column | None) -> Colu
     p = normalize_path(path)
     sys_col = F.lit(system) if not isinstance(system, Column) else system
     out = None
-    for name, pat in _MOUNT_EXTRACT.items():
-        branch = F.nullif(F.regexp_extract(p, pat, 1), F.lit(""))
+    for name, pat in MOUNT_PATTERNS.items():
+        branch = F.nullif(F.regexp_extract(p, pat, 0), F.lit(""))  # the whole match is the mount
         out = F.when(sys_col == name, branch) if out is None else out.when(sys_col == name, branch)
     return out.otherwise(F.lit(None).cast("string"))
 

@@ -7,22 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast without asking Catalyst (rows). A device / mount table
-# holds one row per physical volume and system, so this bound is generous; anything
-# larger takes the shuffle join path and AQE may still switch at run time.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Proves ``count(df) <= max_rows`` reading at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def all_of(preds: list[Column]) -> Column:
     """AND of a list of predicates; TRUE when empty."""
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)

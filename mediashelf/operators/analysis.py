@@ -115,9 +115,12 @@ def image_analyses(images: DataFrame, tags: DataFrame, detections: DataFrame) ->
 
 def store_image_analyses(current: DataFrame, analyses: DataFrame, as_of) -> UpsertResult:
     """K7: ``INSERT OR REPLACE`` keyed by file_id: a new id, the listed columns, the
-    analysis time = as_of, every other column NULL."""
-    cols = [c for c in analyses.columns if c in current.columns]
-    return upsert(current, analyses.select(*cols), ["file_id"], mode="replace",
+    analysis time = as_of, every other column NULL. A column that ``current`` lacks is an
+    error: nothing that was computed is dropped."""
+    missing = sorted(set(analyses.columns) - set(current.columns))
+    if missing:
+        raise ValueError(f"the analysis table lacks {', '.join(missing)}")
+    return upsert(current, analyses, ["file_id"], mode="replace",
                   insert_values={"analyzed_time": ts_lit(as_of)})
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import rewrite_status, rewrite_to_relative
-from ._util import maybe_broadcast
 from .upsert import UpsertResult, ts_lit, upsert
 
 # Fixed value: owner given to migrated rows.
@@ -93,7 +92,7 @@ def files_to_rewrite(files: DataFrame, devices: DataFrame, system_id: str) -> Da
     """J13 + F13: unowned files of the devices this system knows, with the device mount."""
     d = devices.where(F.col("system_id") == system_id).select(
         F.col("id").alias("device_id"), F.col("uuid").alias("device_uuid"), F.col("mount_path"))
-    return files.where(unowned()).join(maybe_broadcast(d), "device_uuid", "inner")
+    return files.where(unowned()).join(d, "device_uuid", "inner")
 
 
 def rewrite_plan(files: DataFrame, devices: DataFrame, system_id: str) -> DataFrame:
@@ -110,14 +109,16 @@ def apply_rewrite(files: DataFrame, devices: DataFrame, system_id: str, as_of, d
     rows; with ``dry_run`` the table is returned unchanged."""
     if dry_run:
         return files
-    plan = rewrite_plan(files, devices, system_id).where(F.col("status") != "error").select(
-        F.col("id").alias("_id"), F.col("rel_path").alias("_rel"))
-    j = files.join(plan, files["id"] == plan["_id"], "left")
-    hit = F.col("_id").isNotNull()
+    # one left join to this system's devices decides every row in place
+    d = devices.where(F.col("system_id") == system_id).select(
+        F.col("uuid").alias("_uuid"), F.col("mount_path").alias("_mount"))
+    j = files.join(d, files["device_uuid"] == d["_uuid"], "left")
+    owner = F.coalesce(files["system_id"], F.lit("")).isin("", MIGRATION_OWNER)
+    hit = owner & F.col("_uuid").isNotNull() & (rewrite_status(files["path"], F.col("_mount")) != "error")
     out = []
     for c in files.columns:
         if c == "path":
-            out.append(F.when(hit, F.col("_rel")).otherwise(files[c]).alias(c))
+            out.append(F.when(hit, rewrite_to_relative(files["path"], F.col("_mount"))).otherwise(files[c]).alias(c))
         elif c == "system_id":
             out.append(F.when(hit, F.lit(system_id)).otherwise(files[c]).alias(c))
         elif c == "last_sync":

@@ -1,31 +1,21 @@
 """Longest raw-string-prefix join of paths to mount points.
 
 The rule has no ``/`` boundary (``/V/Extra`` matches mount ``/V/Ext``), so it is not an
-equi join on path components. It becomes one on *character prefixes*: each path is
-expanded only to the prefix lengths that some mount actually has (a short list, bounded
-by the longest mount string), and those prefixes are equi-joined to the mount table:
-
-* mounts proven small are broadcast (hash join, no shuffle of the paths);
-* larger mount tables take a shuffle join; AQE's skew handling splits a hot prefix
-  (such as a mount ``/`` that every path matches).
-
-The longest match per path is a primitive ``max`` of matched prefix lengths (hash
-aggregate); the result is joined back to the input on its key, so paths without a match
-keep a NULL mount, and the mount's uuid comes from one more lookup on the mount string.
+equi join on path components. It is one per *mount length*: for each length that some mount
+has, the path's prefix of that length is looked up with one left join, and the longest
+hit wins (``coalesce``, longest first). Rows of ``paths`` keep their place: nothing is
+exploded or regrouped, so no key is needed, and while the mounts of a length are small enough
+for Spark to broadcast them the paths are not shuffled at all. Larger mount tables take
+shuffle joins, whose hot prefixes AQE splits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
-from ._util import BROADCAST_MAX_ROWS, maybe_broadcast
-
-# A mount string longer than this is refused (guards the collected length list).
-MAX_MOUNT_LENGTH = 4096
+from ..session import stage_table
 
 
 def abspath_like(path) -> "F.Column":
@@ -35,36 +25,31 @@ def abspath_like(path) -> "F.Column":
     return F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))
 
 
-def longest_prefix_mount(paths: DataFrame, mounts: DataFrame, key_cols: Sequence[str],
-                         path_col: str = "path", mount_col: str = "mount_path",
-                         uuid_col: str = "uuid", broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def longest_prefix_mount(paths: DataFrame, mounts: DataFrame, path_col: str = "path",
+                         mount_col: str = "mount_path", uuid_col: str = "uuid") -> DataFrame:
     """Adds ``mount_path``, ``device_uuid`` and ``device_label`` (basename of the mount) of
     the longest mount that is a raw prefix of the (normalised) path; NULL when none.
-    An empty mount never matches. ``mounts`` must hold one row per mount string."""
-    m = (mounts.select(F.col(mount_col).alias("_mount"), F.col(uuid_col).alias("_uuid"))
-         .where(F.length("_mount") > 0))
-    lengths = sorted(r[0] for r in m.select(F.length("_mount").alias("n")).distinct().collect())
-    if lengths and lengths[-1] > MAX_MOUNT_LENGTH:
-        raise ValueError(f"mount longer than {MAX_MOUNT_LENGTH} characters")
-    norm = abspath_like(F.col(path_col))
-    keys = list(key_cols)
-    out = paths.withColumn("_p", norm)
-    if lengths:
-        mb = maybe_broadcast(m, broadcast_max_rows)
-        cand = out.select(*keys, "_p")
-        cand = cand.select(*keys, "_p", F.explode(
-            F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_p"))).alias("_n"))
-        cand = cand.select(*keys, "_n", F.expr("substring(_p, 1, _n)").alias("_prefix"))
-        matched = cand.join(mb.select("_mount"), cand["_prefix"] == mb["_mount"], "left_semi")
-        # the longest match is the path's own prefix of the largest matched length, so a
-        # primitive max (hash aggregate, map-side combined) is all the grouping needs
-        best = matched.groupBy(*keys).agg(F.max("_n").alias("_best_n"))
-        out = out.join(best, keys, "left")
-        out = out.withColumn("_best", F.expr("substring(_p, 1, _best_n)"))
-        out = out.join(mb, out["_best"] == mb["_mount"], "left")
-        out = out.select(*[paths[c] for c in paths.columns],
-                         F.col("_mount").alias("mount_path"), F.col("_uuid").alias("device_uuid"))
-    else:
-        out = paths.withColumn("mount_path", F.lit(None).cast("string")) \
-                   .withColumn("device_uuid", F.lit(None).cast("string"))
-    return out.withColumn("device_label", basename(F.col("mount_path")))
+    An empty mount never matches. ``mounts`` must hold one row per mount string.
+
+    The mounts are staged as a table once, so that Spark joins by their real size; the
+    driver sees only their distinct lengths."""
+    m = stage_table(mounts.select(F.col(mount_col).alias("_mount"), F.col(uuid_col).alias("_uuid"))
+                    .where(F.length("_mount") > 0))
+    lengths = sorted((r[0] for r in m.select(F.length("_mount")).distinct().collect()), reverse=True)
+    out = paths.withColumn("_p", abspath_like(F.col(path_col)))
+    for n in lengths:
+        of_n = m.where(F.length("_mount") == n).select(F.col("_mount").alias(f"_m{n}"), F.col("_uuid").alias(f"_u{n}"))
+        # a path that has a longer mount is not looked up again
+        missing = F.lit(True) if n == lengths[0] else F.col("_best").isNull()
+        prefix = F.when(missing & (F.length("_p") >= n), F.substring("_p", 1, n))
+        out = out.join(of_n, prefix == F.col(f"_m{n}"), "left")
+        best, uuid = F.col(f"_m{n}"), F.col(f"_u{n}")
+        if n != lengths[0]:
+            uuid = F.when(F.col("_best").isNotNull(), F.col("_best_uuid")).otherwise(uuid)
+            best = F.coalesce("_best", best)
+        out = out.select(*[F.col(c) for c in paths.columns], "_p", best.alias("_best"), uuid.alias("_best_uuid"))
+    none = F.lit(None).cast("string")
+    return out.select(*[F.col(c) for c in paths.columns],
+                      (F.col("_best") if lengths else none).alias("mount_path"),
+                      (F.col("_best_uuid") if lengths else none).alias("device_uuid")) \
+        .withColumn("device_label", basename(F.col("mount_path")))

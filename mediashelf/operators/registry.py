@@ -8,17 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import maybe_broadcast
-from .upsert import UpsertResult, ts_lit, upsert
+from .upsert import UpsertResult, latest_per_key, ts_lit, upsert
 
 
 def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
-                     deactivate_missing: bool = True) -> UpsertResult:
+                     deactivate_missing: bool = True, order_col: str | None = None) -> UpsertResult:
     """K4 (+ F18, J7): upsert the devices one system sees, keyed by ``(uuid, system_id)``.
 
     ``seen`` has ``uuid`` and optionally ``mount_path``, ``label`` (a missing column means
     ``''`` for every row; a NULL value stays NULL).
-    Rows without a uuid are skipped. An existing row gets mount_path, label,
+    Rows without a uuid are skipped. Of several reports of one uuid the last by ``order_col``
+    wins (without it: the largest mount path, then label). An existing row gets mount_path, label,
     last_seen = as_of, is_active = true (and last_sync = as_of); a new row gets
     first_seen = last_seen = as_of. Afterwards every other active device of this system
     is marked inactive (J7) unless the seen list is empty or holds a NULL uuid.
@@ -30,8 +30,10 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
         F.col("uuid"),
         (F.col("mount_path") if "mount_path" in cols else F.lit("")).alias("mount_path"),
         (F.col("label") if "label" in cols else F.lit("")).alias("label"),
+        (F.col(order_col) if order_col else F.struct(
+            *[F.col(c) for c in ("mount_path", "label") if c in cols] or [F.lit(0)])).alias("_order"),
     ).where(F.coalesce(F.col("uuid"), F.lit("")) != "").withColumn("system_id", F.lit(system_id))
-    batch = batch.dropDuplicates(["uuid", "system_id"])
+    batch = latest_per_key(batch, ["uuid", "system_id"], "_order").drop("_order")
     res = upsert(
         devices, batch, ["uuid", "system_id"], ["mount_path", "label"], as_of=as_of,
         insert_values={"first_seen": now, "last_seen": now, "is_active": F.lit(True),
@@ -40,8 +42,8 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
     )
     if not deactivate_missing:
         return res
-    table = mark_inactive(res.table, seen.select("uuid"), system_id, as_of)
-    return UpsertResult(table, res.changes)
+    return UpsertResult(lambda: mark_inactive(res.table, seen.select("uuid"), system_id, as_of), res.changes,
+                        lambda: res.high_water)
 
 
 def mark_inactive(devices: DataFrame, active_uuids: DataFrame, system_id: str, as_of,
@@ -60,7 +62,7 @@ def mark_inactive(devices: DataFrame, active_uuids: DataFrame, system_id: str, a
     if n == 0 or nulls > 0:
         return devices
     distinct_act = act.distinct()
-    d = devices.join(maybe_broadcast(distinct_act), devices[uuid_col] == distinct_act["_a_uuid"], "left")
+    d = devices.join(distinct_act, devices[uuid_col] == distinct_act["_a_uuid"], "left")
     hit = (F.col("system_id") == system_id) & (F.col("is_active") == F.lit(True)) \
         & F.col("_a_uuid").isNull() & F.col(uuid_col).isNotNull()
     out = []
@@ -104,13 +106,6 @@ def device_mount_point(requests: DataFrame, mount_points: DataFrame, devices: Da
             .select("device_uuid", "system_id", F.coalesce("_m", "d_mount").alias("mount_path")))
 
 
-def device_by_uuid(requests: DataFrame, mounts: DataFrame, uuid_col: str = "uuid") -> DataFrame:
-    """Uuid -> the first mount (lowest listing ``seq``) carrying it, NULL when none."""
-    first = mounts.groupBy(F.col("uuid").alias("_u")).agg(
-        F.min_by(F.col("mount_path"), F.col("seq")).alias("mount_path"))
-    return requests.join(first, requests[uuid_col] == first["_u"], "left").drop("_u")
-
-
 def upsert_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "system") -> DataFrame:
     """K5 (and K6 with ``scope='device'``): progress upsert.
 
@@ -151,12 +146,12 @@ def restore_paths(requests: DataFrame, files: DataFrame, devices: DataFrame, mou
     from ..functions.paths import join_path
     f = files.select(F.col("id").alias("file_id"), "device_uuid", F.col("path").alias("rel_path"))
     f = f.join(requests.select("file_id").distinct(), "file_id", "left_semi")
-    # device-keyed joins: the device side is small and proven so, a hot device never skews
-    f = f.join(maybe_broadcast(devices.select(F.col("uuid").alias("device_uuid")).distinct()),
-               "device_uuid", "left_semi")
-    req = f.select("device_uuid").distinct().withColumn("system_id", F.lit(system_id))
-    mounts = device_mount_point(req, mount_points, devices).select("device_uuid", "mount_path")
-    j = f.join(maybe_broadcast(mounts), "device_uuid", "left")
+    # every known device with its mount on this system, from the device tables alone: one join
+    # with the files answers both questions
+    known = devices.select(F.col("uuid").alias("device_uuid")).distinct().withColumn("system_id", F.lit(system_id))
+    mounts = device_mount_point(known, mount_points.where(F.col("system_id") == system_id),
+                                devices.where(F.col("system_id") == system_id)).select("device_uuid", "mount_path")
+    j = f.join(mounts, "device_uuid")
     full = F.when(F.coalesce(F.col("mount_path"), F.lit("")) == "", F.lit(None).cast("string")) \
         .otherwise(join_path("mount_path", "rel_path"))
     out = j.select("file_id", full.alias("full_path"))

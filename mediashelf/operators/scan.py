@@ -4,13 +4,15 @@ K13, A6), totals and statistics (A4, A5, A12)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.media_meta import gigabytes, percent, rate
 from ..functions.paths import ColumnOrName, _c, basename, dirname, extension, relative_path
-from ._util import maybe_broadcast
+from ..session import cut_lineage, stage_table
 
 # Default extension list of the device scanner (F1).
 DEFAULT_SCAN_EXTENSIONS = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".mp4", ".mov", ".avi", ".mkv"]
@@ -39,7 +41,7 @@ def should_scan_file(path: ColumnOrName, include_extensions: Sequence[str] = (),
 def should_skip_dir(dir_path: ColumnOrName, skip_dirs: Sequence[str] = SKIP_DIRS) -> Column:
     """the directory has one of the raw prefixes (``/devices`` matches ``/dev``)."""
     d = _c(dir_path)
-    return F.exists(F.array(*[F.lit(p) for p in skip_dirs]), lambda p: F.startswith(d, p))
+    return reduce(lambda a, b: a | b, [F.startswith(d, F.lit(p)) for p in skip_dirs], F.lit(False))
 
 
 def dir_walked(path: ColumnOrName, scan_root: ColumnOrName, skip_dirs: Sequence[str] = ()) -> Column:
@@ -64,7 +66,7 @@ def scan_diff(stored: DataFrame, scanned: DataFrame, keys: Sequence[str] = ("dev
     keys = list(keys)
     seen = scanned.select(*keys).distinct().withColumn("_s", F.lit(True))
     devs = scanned.select("device_uuid").distinct()
-    st = stored.join(maybe_broadcast(devs), "device_uuid", "left_semi").select(*keys).distinct() \
+    st = stored.join(devs, "device_uuid", "left_semi").select(*keys).distinct() \
         .withColumn("_t", F.lit(True))
     j = st.join(seen, keys, "full_outer")
     cls = (F.when(F.col("_s").isNotNull() & F.col("_t").isNotNull(), F.lit("updated"))
@@ -76,19 +78,67 @@ def delete_vanished(files: DataFrame, scanned: DataFrame) -> DataFrame:
     """Drop the rows of each scanned device (whatever their owner) whose path
     was not seen. Rows whose stat or write failed count as unseen. A device scanned with
     nothing seen loses all its rows (``scanned`` then carries the device with a NULL path)."""
-    seen = scanned.where(F.col("path").isNotNull()).select("device_uuid", "path").distinct()
-    devs = scanned.select("device_uuid").distinct()
-    devs = maybe_broadcast(devs)  # one row per scanned device: a hot device never skews
-    of_scanned = files.join(devs, "device_uuid", "left_semi")
-    others = files.join(devs, "device_uuid", "left_anti")
-    kept = of_scanned.join(seen, ["device_uuid", "path"], "left_semi")
-    return others.unionByName(kept)
-
-
-def listing_rows(listing: DataFrame, mount: str, device_uuid: str, system_id: str) -> DataFrame:
-    """S1 shaping: device-relative path (X2) plus device and owner columns."""
-    return listing.withColumn("rel_path", relative_path(F.col("path"), F.lit(mount))) \
-        .withColumn("device_uuid", F.lit(device_uuid)).withColumn("system_id", F.lit(system_id))
+    # ``files`` is read once: a flag for scanned devices (one row each, so a small side that a
+    # hot device does not grow), a flag for seen paths, and a filter
+    devs = scanned.select(F.col("device_uuid").alias("_dev")).distinct()
+    seen = scanned.where(F.col("path").isNotNull()).select(
+        F.col("device_uuid").alias("_sdev"), F.col("path").alias("_spath")).distinct()
+    flagged = (files.join(devs, files["device_uuid"] == F.col("_dev"), "left")
+               .join(seen, (files["device_uuid"] == F.col("_sdev")) & (files["path"] == F.col("_spath")), "left"))
+    return flagged.where(F.col("_dev").isNull() | F.col("_sdev").isNotNull()).select(
+        *[files[c] for c in files.columns])
+
+
+def listing_rows(listing: DataFrame, devices: DataFrame, system_id: str) -> DataFrame:
+    """S1 shaping: device-relative path (X2) plus device and owner columns. ``devices`` has one
+    row ``(root, device_uuid)`` per scanned mount."""
+    return (listing.join(devices.select("root", "device_uuid"), "root")
+            .withColumn("rel_path", relative_path(F.col("path"), F.col("root")))
+            .withColumn("system_id", F.lit(system_id)))
+
+
+@dataclass
+class ScanResult:
+    """One scan: new table versions, what was written per device, and rows that failed."""
+    files: DataFrame
+    progress: DataFrame
+    counts: DataFrame
+    errors: DataFrame
+
+
+def scan_devices(files: DataFrame, progress: DataFrame, devices: DataFrame, system_id: str, as_of, *,
+                 extensions: Sequence[str] = DEFAULT_SCAN_EXTENSIONS, include_all: bool = False,
+                 skip_dirs: Sequence[str] = SKIP_DIRS, do_hash: bool = True,
+                 listing: DataFrame | None = None, id_floor: int = 0) -> ScanResult:
+    """One call for a whole scan: list the devices (``devices``: ``root, device_uuid``), keep wanted
+    names (F1-F4, before stat and hash), make paths device-relative (X2), upsert them by device and
+    path (K3: owner, size, times and hash; scan time = ``as_of``), drop rows of the scanned devices whose
+    path was not seen or failed (J6, F17), update the progress per device and system (K5) and count
+    files and first inserts (A6).
+
+    ``listing`` (see ``sources.listing.listing_of``) replaces the walk where executors cannot open the
+    paths; it is filtered by the same rules. The listing is materialised once."""
+    from ..sources.listing import walk_files
+    from .registry import upsert_progress
+    from .upsert import ts_lit, upsert
+    if listing is None:
+        listing = walk_files(devices.select("root"), skip_dirs, do_hash,
+                             extensions=None if include_all else extensions, hidden=False)
+    else:
+        parent = listing.withColumn("_dir", dirname("path"))
+        listing = parent.where(should_scan_file("path", extensions, include_all) & dir_walked("path", F.col("root"))
+                               & ~should_skip_dir("_dir", skip_dirs)).drop("_dir")
+    rows = stage_table(listing_rows(listing, devices, system_id).select(
+        "device_uuid", F.col("rel_path").alias("path"), "system_id", "size", "hash", "modified_time", "error"))
+    good = rows.where(F.col("error").isNull()).drop("error")
+    counts = cut_lineage(scan_result_counts(files, good))
+    res = upsert(files, good, ["device_uuid", "path"], ["system_id", "size", "hash", "modified_time"], as_of=as_of,
+                 insert_values={"scanned_time": ts_lit(as_of)}, update_values={"scanned_time": ts_lit(as_of)},
+                 id_floor=id_floor)
+    seen = good.select("device_uuid", "path").unionByName(
+        devices.select("device_uuid", F.lit(None).cast("string").alias("path")))
+    return ScanResult(delete_vanished(res.table, seen), upsert_progress(progress, counts, as_of), counts,
+                      rows.where(F.col("error").isNotNull()))
 
 
 def pre_scan_totals(listing: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import short_hash, short_path
-from ._util import all_of, like_escape, maybe_broadcast
+from ._util import all_of, like_escape
 
 
 def _like(col: Column, pattern: str, case_sensitive: bool) -> Column:
@@ -35,19 +35,35 @@ def file_predicates(keyword: str | None = None, device_uuid: str | None = None,
     return preds
 
 
+def _later_in_order(after: tuple, file_id: Column) -> Column:
+    """Rows behind ``(modified_time, id, device id)`` in the search order (newest first, NULL
+    times before all others)."""
+    time, fid, did = after
+    behind = (file_id > fid) | ((file_id == fid) & (F.col("_d_id") > did))
+    if time is None:
+        return F.col("modified_time").isNotNull() | behind
+    t = _as_ts(time)
+    return F.coalesce((F.col("modified_time") < t) | ((F.col("modified_time") == t) & behind), F.lit(False))
+
+
 def search_files(files: DataFrame, devices: DataFrame, keyword: str | None = None,
                  device_uuid: str | None = None, file_type: str | None = None,
                  min_size: int | None = None, max_size: int | None = None,
                  limit: int | None = 100, offset: int = 0, match_system: bool = False,
-                 case_sensitive: bool = True) -> DataFrame:
+                 case_sensitive: bool = True, after: tuple | None = None) -> DataFrame:
     """F8 + J2 + L1: filtered files joined to their device label, newest first, paged.
 
     The join is on uuid only, so a device known on several systems repeats its files
     (the reference's behaviour); ``match_system=True`` also matches ``system_id``.
     Order: ``modified_time DESC NULLS FIRST``, then file id, then device id, so pages are
-    stable. The device side is broadcast only when its size is proven small; the page is
-    a TakeOrderedAndProject (per-task top-k, no global sort).
+    stable. Catalyst and AQE pick the join from real sizes; the page is a
+    TakeOrderedAndProject (per-task top-k, no global sort). An ``offset`` needs a ``limit``:
+    alone it would sort and move the whole result through one task. Deep pages are
+    better asked for by ``after``, the ``(modified_time, id, device id)`` of the last row shown:
+    a filter instead of skipped rows.
     """
+    if offset and not limit:
+        raise ValueError("an offset needs a limit")
     f = files.where(all_of(file_predicates(keyword, device_uuid, file_type, min_size,
                                            max_size, case_sensitive)))
     d = devices.select(F.col("uuid").alias("device_uuid"),
@@ -56,15 +72,14 @@ def search_files(files: DataFrame, devices: DataFrame, keyword: str | None = Non
     cond = [f["device_uuid"] == d["device_uuid"]]
     if match_system:
         cond.append(f["system_id"] == d["_d_system_id"])
-    joined = f.join(maybe_broadcast(d), all_of(cond), "inner")
+    joined = f.join(d, all_of(cond), "inner")
+    if after is not None:
+        joined = joined.where(_later_in_order(after, f["id"]))
     out = joined
-    if limit or offset:
+    if limit:
         # a page: per-task top-k of (limit + offset) rows, no global sort
         out = joined.orderBy(F.col("modified_time").desc_nulls_first(), f["id"].asc(), F.col("_d_id").asc())
-        if offset:
-            out = out.offset(offset)
-        if limit:
-            out = out.limit(limit)
+        out = out.offset(offset).limit(limit) if offset else out.limit(limit)
     # without a page the rows stay unsorted: a global sort of the whole result serves no one
     return out.select(f["id"], f["device_uuid"], "path", "hash", "size", "modified_time",
                       "scanned_time", "last_accessed", "device_label")

@@ -9,7 +9,7 @@ as_of``) of every row sharing the key or deletes them when the thing is gone.
 Everything is set-based: the acted keys are reduced to one row per key (partial
 aggregate), then joined back with a left join (update) or ``left_anti`` (delete). The
 takeover can make two rows share the full key (the reference keys drop system_id); one
-row per full key is kept: newest ``last_sync`` (NULLs last), then largest id.
+row per full key is kept: the largest id (their ``last_sync`` is the same then).
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .registry import newest_per_key
 from .upsert import ts_lit
 
 # Fixed value: the look-back of a sync round.
@@ -43,144 +43,127 @@ def acted(df: DataFrame, me: str, cutoff) -> DataFrame:
     return df.where(dirty(df, me, cutoff) & ~F.col("system_id").eqNullSafe(F.lit(me)))
 
 
-def _one_per_full_key(df: DataFrame, full_key: Sequence[str], touched: Column | None = None) -> DataFrame:
-    """Keep one row per full key among the rows the takeover touched (newest last_sync,
-    NULLs last, then largest id). Untouched rows keep keys no touched row can share (the
-    touched ones are exactly the rows of the acted keys), so they pass through without
-    any aggregation: the dedupe costs the dirty subset, not the table."""
-    cols = [c for c in df.columns if c != "_hit"]
-    if touched is None:
-        touched_rows, rest = df, None
+def _winners(df: DataFrame, rows: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
+             present: DataFrame | None, present_keys: Sequence[str]) -> DataFrame:
+    """One acted row per key (largest id wins, as a deterministic stand-in for the
+    reference's fetch order) with a ``_present`` flag from the optional presence set and
+    ``_keep``, the largest id among all rows of ``df`` with that key: the row that stays when
+    the takeover makes their full keys equal."""
+    vals = [c for c in value_cols if c not in keys]
+    w = (rows.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("id")).alias("_w")).select(*keys, "_w.*") if vals
+         else rows.select(*keys).distinct())
+    kept = df.join(w.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max("id").alias("_keep"))
+    w = w.join(kept, keys)
+    if present is None:
+        flag = w.withColumn("_present", F.lit(True))
     else:
-        touched_rows, rest = df.where(touched), df.where(~touched)
-    ordered = touched_rows.withColumn("_ls", F.coalesce(F.col("last_sync"), F.lit("0001-01-01").cast("timestamp_ntz")))
-    kept = newest_per_key(ordered.select(*cols, "_ls"), list(full_key), "_ls", tie_col="id").select(*cols)
-    return kept if rest is None else rest.select(*cols).unionByName(kept)
-
-
-def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, present_col: str,
-           set_cols: dict[str, Column]) -> DataFrame:
-    """Update every row whose key is in ``winners`` (present) and delete those absent;
-    the result carries ``_hit`` (row updated)."""
-    w = winners.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(present_col).alias("_present"),
-                       *[F.col(c).alias(f"_v_{c}") for c in winners.columns if c not in keys and c != present_col])
-    cond = None
-    for k in keys:
-        c = df[k] == w[f"_k_{k}"]
-        cond = c if cond is None else cond & c
-    j = df.join(w, cond, "left")
-    hit = F.coalesce(F.col("_present") == F.lit(True), F.lit(False))
+        p = present.select(*[F.col(a).alias(b) for a, b in zip(present_keys, keys)]).distinct() \
+            .withColumn("_p", F.lit(True))
+        flag = w.join(p, keys, "left").withColumn("_present", F.coalesce("_p", F.lit(False))).drop("_p")
+    return flag.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_present", "_keep",
+                       *[F.col(c).alias(f"_v_{c}") for c in vals])
+
+
+def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, set_cols: dict[str, Column],
+           absent_cols: dict[str, Column] | None = None, one_per_key: bool = True) -> DataFrame:
+    """``df`` with ``_op``: NULL for rows that the round leaves alone, ``update`` for rows of a
+    present key (``set_cols`` applied), ``delete`` for rows that go: those of an absent key (unless
+    ``absent_cols`` updates them instead) and, with ``one_per_key``, all but the largest id of a
+    key. One left join on the key."""
+    cond = reduce(lambda a, b: a & b, [df[k] == winners[f"_k_{k}"] for k in keys])
+    j = df.join(winners, cond, "left")
+    hit = F.coalesce("_present", F.lit(False))
     gone = F.col("_present") == F.lit(False)
+    op = F.when(gone, F.lit("delete" if absent_cols is None else "update")).when(
+        hit, F.when((df["id"] < F.col("_keep")) & F.lit(one_per_key), F.lit("delete")).otherwise(F.lit("update")))
+    types = dict(df.dtypes)
     out = []
     for c in df.columns:
+        v = df[c]
+        if absent_cols and c in absent_cols:
+            v = F.when(gone, absent_cols[c]).otherwise(v)
         if c in set_cols:
-            out.append(F.when(hit, set_cols[c]).otherwise(df[c]).cast(dict(df.dtypes)[c]).alias(c))
-        else:
-            out.append(df[c])
-    return j.where(~F.coalesce(gone, F.lit(False))).select(*out, hit.alias("_hit"))
+            v = F.when(hit, set_cols[c]).otherwise(v)
+        out.append(v.cast(types[c]).alias(c))
+    return j.select(*out, df["last_sync"].alias("_old_sync"), op.alias("_op"))
 
 
-def _winners(rows: DataFrame, keys: Sequence[str], value_cols: Sequence[str], present: DataFrame | None,
-             present_keys: Sequence[str]) -> DataFrame:
-    """One acted row per key (largest id wins, as a deterministic stand-in for the
-    reference's fetch order) with a ``present`` flag from the optional presence set."""
-    cols = [c for c in value_cols if c not in keys]
-    w = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("id")).alias("_w")) if cols else \
-        rows.select(*keys).distinct()
-    if cols:
-        w = w.select(*keys, "_w.*")
-    if present is None:
-        return w.withColumn("present", F.lit(True))
-    p = present.select(*[F.col(a).alias(f"_p_{b}") for a, b in zip(present_keys, keys)]).distinct() \
-        .withColumn("_p", F.lit(True))
-    cond = None
-    for k in keys:
-        c = w[k] == p[f"_p_{k}"]
-        cond = c if cond is None else cond & c
-    return (w.join(p, cond, "left").withColumn("present", F.coalesce("_p", F.lit(False)))
-            .drop("_p", *[f"_p_{k}" for k in keys]))
+def kept_rows(marked: DataFrame) -> DataFrame:
+    """The table after a round: all rows but the deleted ones."""
+    return marked.where(F.col("_op").isNull() | (F.col("_op") == "update")).drop("_op", "_old_sync")
+
+
+def changed_rows(marked: DataFrame) -> DataFrame:
+    """The rows that a round changes, with ``_op`` (``update`` rows hold their new values)."""
+    return marked.where(F.col("_op").isNotNull()).drop("_old_sync")
+
+
+def mark_devices(devices: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
+    """T1 as marked rows (see ``_apply``)."""
+    now = ts_lit(as_of)
+    w = _winners(devices, acted(devices, me, cutoff_of(as_of)), ["uuid"], [], present_uuids, ["uuid"])
+    return _apply(devices, ["uuid"], w,
+                  {"last_seen": now, "system_id": F.lit(me), "last_sync": now, "is_active": F.lit(True)},
+                  {"last_sync": now, "is_active": F.lit(False)})
+
+
+def mark_files(files: DataFrame, me: str, as_of, present_files: DataFrame | None = None) -> DataFrame:
+    """T2 as marked rows."""
+    return _takeover(files, ["device_uuid", "path"], ["hash", "size", "modified_time", "scanned_time"], me, as_of,
+                     present_files, ["device_uuid", "path"])
+
+
+def mark_scan_progress(progress: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
+    """T3 as marked rows."""
+    return _takeover(progress, ["device_uuid"], ["total_files", "new_files", "last_updated"], me, as_of,
+                     present_uuids, ["uuid"])
+
+
+def mark_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -> DataFrame:
+    """T4 as marked rows; only ``files.id`` is read."""
+    vals = [c for c in analyses.columns if c not in ("id", "file_id", "system_id", "last_sync")]
+    return _takeover(analyses, ["file_id"], vals, me, as_of, files.select(F.col("id").alias("file_id")), ["file_id"],
+                     one_per_key=False)
+
+
+def _takeover(df: DataFrame, keys: Sequence[str], vals: Sequence[str], me: str, as_of, present: DataFrame | None,
+              present_keys: Sequence[str], one_per_key: bool = True) -> DataFrame:
+    w = _winners(df, acted(df, me, cutoff_of(as_of)), keys, vals, present, present_keys)
+    sets = {c: F.col(f"_v_{c}") for c in vals} | {"system_id": F.lit(me), "last_sync": ts_lit(as_of)}
+    return _apply(df, keys, w, sets, one_per_key=one_per_key)
 
 
 def sync_devices(devices: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
     """Keyed by uuid. Present -> last_seen = now, system_id = me, last_sync = now,
     is_active = true on every row of that uuid; absent -> is_active = false, last_sync = now."""
-    now = ts_lit(as_of)
-    a = acted(devices, me, cutoff_of(as_of))
-    w = _winners(a, ["uuid"], [], present_uuids, ["uuid"] if present_uuids is not None else [])
-    w = w.select("uuid", "present")
-    j = devices.join(w.select(F.col("uuid").alias("_u"), F.col("present").alias("_present")),
-                     devices["uuid"] == F.col("_u"), "left")
-    hit = F.col("_present") == F.lit(True)
-    miss = F.col("_present") == F.lit(False)
-    out = []
-    for c in devices.columns:
-        if c == "last_seen":
-            v = F.when(hit, now).otherwise(F.col(c))
-        elif c == "system_id":
-            v = F.when(hit, F.lit(me)).otherwise(F.col(c))
-        elif c == "last_sync":
-            v = F.when(hit | miss, now).otherwise(F.col(c))
-        elif c == "is_active":
-            v = F.when(hit, F.lit(True)).when(miss, F.lit(False)).otherwise(F.col(c))
-        else:
-            v = devices[c]
-        out.append(v.alias(c))
-    return _one_per_full_key(j.select(*out, F.coalesce(hit, F.lit(False)).alias("_hit")),
-                             ["uuid", "system_id"], F.col("_hit"))
+    return kept_rows(mark_devices(devices, me, as_of, present_uuids))
 
 
 def sync_files(files: DataFrame, me: str, as_of, present_files: DataFrame | None = None) -> DataFrame:
     """Keyed by (device_uuid, path). Present -> the acted row's hash/size/times,
     system_id = me, last_sync = now on every row of the key; absent -> rows deleted."""
-    now = ts_lit(as_of)
-    vals = ["hash", "size", "modified_time", "scanned_time"]
-    a = acted(files, me, cutoff_of(as_of))
-    w = _winners(a, ["device_uuid", "path"], vals, present_files, ["device_uuid", "path"])
-    sets = {c: F.col(f"_v_{c}") for c in vals}
-    sets.update({"system_id": F.lit(me), "last_sync": now})
-    return _one_per_full_key(_apply(files, ["device_uuid", "path"], w, "present", sets),
-                             ["device_uuid", "path", "system_id"], F.col("_hit"))
+    return kept_rows(mark_files(files, me, as_of, present_files))
 
 
 def sync_scan_progress(progress: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
     """Keyed by device_uuid. Present -> the acted row's counts, system_id = me,
     last_sync = now on every row of the device; absent -> rows deleted."""
-    now = ts_lit(as_of)
-    vals = ["total_files", "new_files", "last_updated"]
-    a = acted(progress, me, cutoff_of(as_of))
-    w = _winners(a, ["device_uuid"], vals, present_uuids, ["uuid"] if present_uuids is not None else [])
-    sets = {c: F.col(f"_v_{c}") for c in vals}
-    sets.update({"system_id": F.lit(me), "last_sync": now})
-    return _one_per_full_key(_apply(progress, ["device_uuid"], w, "present", sets), ["device_uuid", "system_id"],
-                             F.col("_hit"))
+    return kept_rows(mark_scan_progress(progress, me, as_of, present_uuids))
 
 
 def sync_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -> DataFrame:
     """T4: keyed by file_id. The file row still exists (by id) -> the acted row's values,
     system_id = me, last_sync = now; else the analysis rows are deleted (orphans)."""
+    return kept_rows(mark_image_analysis(analyses, files, me, as_of))
+
+
+def change_log(table_name: str, marked: DataFrame, me: str, as_of) -> DataFrame:
+    """The ``sync_logs`` rows of one table from its marked rows: ``delete`` for rows that go,
+    ``update`` for rows whose ``last_sync`` became ``as_of``. No second look at the table."""
     now = ts_lit(as_of)
-    vals = [c for c in analyses.columns if c not in ("id", "file_id", "system_id", "last_sync")]
-    a = acted(analyses, me, cutoff_of(as_of))
-    w = _winners(a, ["file_id"], vals, files.select(F.col("id").alias("file_id")), ["file_id"])
-    sets = {c: F.col(f"_v_{c}") for c in vals}
-    sets.update({"system_id": F.lit(me), "last_sync": now})
-    return _apply(analyses, ["file_id"], w, "present", sets).drop("_hit")
-
-
-def change_log(table_name: str, before: DataFrame, after: DataFrame, me: str, as_of,
-               id_col: str = "id") -> DataFrame:
-    """The ``sync_logs`` rows of one table: ``delete`` for ids gone after the round,
-    ``update`` for ids whose ``last_sync`` became ``as_of``. Two joins on the id column
-    only (the wide rows are not shuffled)."""
-    now = ts_lit(as_of)
-    b = before.select(F.col(id_col).alias("_id"), F.col("last_sync").alias("_b_ls"))
-    a = after.select(F.col(id_col).alias("_id"), F.col("last_sync").alias("_a_ls"))
-    deleted = b.join(a, "_id", "left_anti").select("_id", F.lit("delete").alias("operation"))
-    updated = (a.join(b, "_id").where(F.col("_a_ls").eqNullSafe(now) & ~F.col("_b_ls").eqNullSafe(now))
-               .select("_id", F.lit("update").alias("operation")))
-    return deleted.unionByName(updated).select(
-        F.lit(table_name).alias("table_name"), F.col("_id").cast("string").alias("record_id"), "operation",
-        F.lit(me).alias("system_id"), now.alias("sync_time"))
+    return (marked.where((F.col("_op") == "delete") | ((F.col("_op") == "update") & ~F.col("_old_sync").eqNullSafe(now)))
+            .select(F.lit(table_name).alias("table_name"), F.col("id").cast("string").alias("record_id"),
+                    F.col("_op").alias("operation"), F.lit(me).alias("system_id"), now.alias("sync_time")))
 
 
 @dataclass
@@ -191,29 +174,28 @@ class SyncRound:
     image_analysis: DataFrame
     log: DataFrame  # table_name, operation, rows (A11 per table and operation)
     changes: DataFrame  # sync_logs rows: table_name, record_id, operation, system_id, sync_time
+    marked: dict[str, DataFrame]  # every table's rows with what the round does to them
 
 
 def sync_all(devices: DataFrame, files: DataFrame, progress: DataFrame, analyses: DataFrame,
              me: str, as_of, present_uuids: DataFrame | None = None,
              present_files: DataFrame | None = None) -> SyncRound:
     """T5: one round, T1 -> T2 -> T3 -> T4 (T4 sees T2's deletions), with the counts of
-    processed (dirty) rows per table (A11) and of rows updated / deleted."""
+    processed (dirty) rows per table (A11) and the log of updated and deleted rows."""
     cut = cutoff_of(as_of)
-    d2 = sync_devices(devices, me, as_of, present_uuids)
-    f2 = sync_files(files, me, as_of, present_files)
-    p2 = sync_scan_progress(progress, me, as_of, present_uuids)
-    i2 = sync_image_analysis(analyses, f2, me, as_of)
+    marked = {"devices": mark_devices(devices, me, as_of, present_uuids),
+              "files": mark_files(files, me, as_of, present_files),
+              "scan_progress": mark_scan_progress(progress, me, as_of, present_uuids)}
+    # the files that T4 still finds: all but T2's deletions (ids only, from T2's marks)
+    still = files.select("id").join(marked["files"].where("_op = 'delete'").select("id"), "id", "left_anti")
+    marked["image_analysis"] = mark_image_analysis(analyses, still, me, as_of)
 
     def processed(name: str, df: DataFrame) -> DataFrame:
         return df.where(dirty(df, me, cut)).agg(F.count("*").alias("rows")) \
             .select(F.lit(name).alias("table_name"), F.lit("processed").alias("operation"), "rows")
 
-    parts = [processed("devices", devices), processed("files", files),
-             processed("scan_progress", progress), processed("image_analysis", analyses)]
-    log = parts[0]
-    for p in parts[1:]:
-        log = log.unionByName(p)
-    changes = change_log("devices", devices, d2, me, as_of)
-    for name, b, a in (("files", files, f2), ("scan_progress", progress, p2), ("image_analysis", analyses, i2)):
-        changes = changes.unionByName(change_log(name, b, a, me, as_of))
-    return SyncRound(d2, f2, p2, i2, log, changes)
+    log = reduce(DataFrame.unionByName, [
+        processed("devices", devices), processed("files", files),
+        processed("scan_progress", progress), processed("image_analysis", analyses)])
+    changes = reduce(DataFrame.unionByName, [change_log(name, m, me, as_of) for name, m in marked.items()])
+    return SyncRound(*[kept_rows(m) for m in marked.values()], log, changes, marked)

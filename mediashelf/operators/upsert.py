@@ -18,8 +18,8 @@ kept rows) plus ``batch LEFT ANTI current(keys)`` (inserted rows):
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,11 +95,26 @@ def max_id(df: DataFrame, id_col: str = "id") -> int:
     return int(v) if v is not None else 0
 
 
-@dataclass
 class UpsertResult:
-    """New table version plus the per-row action of the change set."""
-    table: DataFrame
-    changes: DataFrame  # key columns + ``action``
+    """New table version plus the per-row action of the change set.
+
+    ``table`` is built on first use: ids, which need jobs of their own, are not given out
+    when only the changes or their counts are asked for. ``changes`` has the key columns and
+    ``action``; ``high_water`` is the largest id ever given out (the next ``id_floor``)."""
+
+    def __init__(self, table: Callable[[], DataFrame] | DataFrame, changes: DataFrame,
+                 high_water: Callable[[], int] | None = None):
+        self._table, self.changes, self._high_water = table, changes, high_water
+
+    @property
+    def table(self) -> DataFrame:
+        if callable(self._table):
+            self._table = self._table()
+        return self._table
+
+    @property
+    def high_water(self) -> int | None:
+        return self._high_water() if self._high_water else None
 
     def counts(self) -> DataFrame:
         """Affected rows per action (insert / update / delete)."""
@@ -111,7 +126,7 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
            as_of=None, order_col: str | Column | None = None, id_col: str | None = "id",
            insert_values: dict[str, Column] | None = None,
            update_values: dict[str, Column] | None = None,
-           stamp_col: str | None = "last_sync") -> UpsertResult:
+           stamp_col: str | None = "last_sync", id_floor: int = 0) -> UpsertResult:
     """K1 core: ``INSERT ... ON CONFLICT (keys) DO UPDATE SET update_cols``.
 
     * ``mode='update'``: a matched row takes ``update_cols`` from the batch (and
@@ -123,7 +138,9 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
     * ``order_col``: when set, the batch is first reduced to its last row per key (W3);
       without it the batch keys must be unique (as one bulk ``ON CONFLICT`` statement
       requires: it rejects a key twice).
-    * ``id_col``: serial id column of ``current``; inserted rows get ids above the max.
+    * ``id_col``: serial id column of ``current``; inserted rows get ids above the largest id in
+      it and above ``id_floor``, the largest id ever given out (a SERIAL never gives an id
+      again, also after its row was deleted). The result's ``high_water`` is the next floor.
 
     Plan: the reduced batch is checkpointed once; the new version is ``current LEFT JOIN
     batch`` (updated or kept rows) plus the inserted rows ``batch LEFT ANTI
@@ -190,15 +207,18 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
 
     if id_col and id_col in cols and id_col not in keys and id_col not in insert_values \
             and id_col not in b_cols:
-        base = max_id(current, id_col)
-        inserted = assign_serial_ids(inserted.drop(id_col), keys, base, id_col)
-    table = kept.select(*cols).unionByName(inserted.select(*cols))
-    return UpsertResult(table, changes)
+        numbered = functools.cache(lambda: _numbered(current, inserted, keys, id_col, id_floor))
+        return UpsertResult(lambda: kept.select(*cols).unionByName(numbered()[0].select(*cols)), changes,
+                            lambda: numbered()[1])
+    return UpsertResult(lambda: kept.select(*cols).unionByName(inserted.select(*cols)), changes)
 
 
-def stamp_updated(df: DataFrame, updated: Column, as_of, stamp_col: str = "last_sync") -> DataFrame:
-    """``stamp_col = as_of`` on rows where ``updated`` holds, untouched elsewhere."""
-    return df.withColumn(stamp_col, F.when(updated, ts_lit(as_of)).otherwise(F.col(stamp_col)))
+def _numbered(current: DataFrame, inserted: DataFrame, keys: list[str], id_col: str,
+              id_floor: int) -> tuple[DataFrame, int]:
+    """Inserted rows with their serial ids, and the new high-water mark."""
+    base = max(max_id(current, id_col), id_floor)
+    rows = assign_serial_ids(inserted.drop(id_col), keys, base, id_col)
+    return rows, max(base, max_id(rows, id_col))
 
 
 def touch_access(files: DataFrame, accesses: DataFrame, id_col: str = "id",
@@ -214,9 +234,10 @@ def touch_access(files: DataFrame, accesses: DataFrame, id_col: str = "id",
     out = []
     for c in files.columns:
         if c == "last_accessed":
-            out.append(F.when(hit, F.col("_a_ts")).otherwise(F.col(c)).cast("timestamp_ntz").alias(c))
+            # an older access batch never moves the times back
+            out.append(F.when(hit, F.greatest("_a_ts", c)).otherwise(F.col(c)).cast("timestamp_ntz").alias(c))
         elif stamp and c == "last_sync":
-            out.append(F.when(hit, F.col("_a_ts")).otherwise(F.col(c)).cast("timestamp_ntz").alias(c))
+            out.append(F.when(hit, F.greatest("_a_ts", c)).otherwise(F.col(c)).cast("timestamp_ntz").alias(c))
         else:
             out.append(files[c])
     return j.select(*out)

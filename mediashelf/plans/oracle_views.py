@@ -45,7 +45,8 @@ SELECT o_orderkey AS file_id,
   CASE o_custkey % 3 WHEN 0 THEN '["dog","person"]' WHEN 1 THEN '["car"]' ELSE NULL END AS objects
 FROM orders WHERE o_orderkey % 12 < 5""",
     "image_analysis_full": """
-SELECT i.*, o_orderkey * 10 AS id, o_orderdate + INTERVAL '90' DAY AS analyzed_time,
+SELECT i.*, CAST(o_custkey % 50 * 80 AS INTEGER) AS width, CAST(o_custkey % 40 * 60 AS INTEGER) AS height,
+  o_orderkey * 10 AS id, o_orderdate + INTERVAL '90' DAY AS analyzed_time,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'sys-' || CAST(o_orderkey % 4 AS VARCHAR) END AS system_id,
   CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate + INTERVAL '100' DAY END AS last_sync
 FROM image_analysis i JOIN orders ON i.file_id = o_orderkey""",
@@ -56,6 +57,10 @@ SELECT event_id, 'dev-' || CAST(user_id % 34 AS VARCHAR) AS device_uuid,
   CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op,
   CAST(FLOOR(value * 1000) AS BIGINT) AS size, ts
 FROM events""",
+    "stored_events": """
+SELECT e.event_id, COALESCE(f.device_uuid, e.device_uuid) AS device_uuid, e.system_id,
+  COALESCE(f.path, e.path) AS path, e.op, e.size, e.ts
+FROM scan_events e LEFT JOIN files f ON e.event_id % 3 = 0 AND f.id = e.event_id""",
     "device_mount_points": """
 SELECT o_orderkey AS id, 'dev-' || CAST(o_custkey % 40 + 20 AS VARCHAR) AS device_uuid,
   'sys-' || CAST(o_orderkey % 4 AS VARCHAR) AS system_id,
@@ -155,6 +160,7 @@ DEPENDS = {
     "legacy_devices": ["devices"],
     "file_batch": ["files"],
     "image_analysis_full": ["image_analysis"],
+    "stored_events": ["scan_events", "files"],
     "scan_progress": ["files"],
 }
 

@@ -75,12 +75,12 @@ lab AS (SELECT file_id, '[' || string_agg('"' || label || '"', ',' ORDER BY labe
 faces AS (SELECT file_id, COUNT(*) FILTER (WHERE label = 'face' AND confidence >= 0.5) > 0 AS has_faces
           FROM detections GROUP BY file_id),
 lab2 AS (SELECT lab.file_id, lab.objects, faces.has_faces FROM lab JOIN faces ON lab.file_id = faces.file_id),
-an AS (SELECT i.file_id, ex.camera_model, ex.taken_time, ex.gps_lat, ex.gps_lon,
+an AS (SELECT i.file_id, ex.camera_model, ex.taken_time, ex.gps_lat, ex.gps_lon, ex.width, ex.height,
          COALESCE(lab2.has_faces, false) AS has_faces, COALESCE(lab2.objects, '[]') AS objects
        FROM imgs i LEFT JOIN ex ON i.file_id = ex.file_id LEFT JOIN lab2 ON i.file_id = lab2.file_id)
 SELECT * FROM image_analysis_full WHERE file_id NOT IN (SELECT file_id FROM an)
 UNION ALL
-SELECT file_id, camera_model, taken_time, gps_lat, gps_lon, has_faces, objects,
+SELECT file_id, camera_model, taken_time, gps_lat, gps_lon, has_faces, objects, width, height,
   (SELECT MAX(id) FROM image_analysis_full) + row_number() OVER (ORDER BY file_id) AS id,
   {AS_OF_SQL} AS analyzed_time, CAST(NULL AS VARCHAR) AS system_id, CAST(NULL AS TIMESTAMP) AS last_sync
 FROM an""")

@@ -97,8 +97,11 @@ def a3_duplicate_file_keys(spark, sf_dir):
 
 
 @register("K9_S9_migrate_devices", views=("devices",), sql=f"""
-WITH t AS (SELECT * FROM devices WHERE system_id = 'sys-0'),
-s AS (SELECT uuid, mount_path, label, first_seen, last_seen FROM devices WHERE system_id = 'sys-1'),
+WITH t AS (SELECT * FROM devices QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY id) = 1),
+s AS (SELECT CASE WHEN id % 5 = 0 THEN uuid || '-old' ELSE uuid END AS uuid, mount_path, label, first_seen, last_seen
+      FROM devices
+      QUALIFY row_number() OVER (PARTITION BY CASE WHEN id % 5 = 0 THEN uuid || '-old' ELSE uuid END
+                                 ORDER BY last_seen DESC, id DESC) = 1),
 j AS (SELECT t.*, s.uuid AS s_uuid, s.mount_path AS s_mount, s.label AS s_label, s.first_seen AS s_fs,
              s.last_seen AS s_ls FROM t FULL OUTER JOIN s ON t.uuid = s.uuid)
 SELECT CASE WHEN id IS NOT NULL THEN id
@@ -114,10 +117,12 @@ SELECT CASE WHEN id IS NOT NULL THEN id
 FROM j""")
 def k9_migrate_devices(spark, sf_dir):
     d = cat.devices(spark, sf_dir)
-    # the legacy table is read by position (S9): id, uuid, mount_path, label, first_seen, last_seen
-    legacy = M.read_positional(d.where(F.col("system_id") == "sys-1").drop("system_id"),
-                               ["id", "uuid", "mount_path", "label", "first_seen", "last_seen"])
-    return M.migrate_devices(d.where(F.col("system_id") == "sys-0"), legacy, AS_OF).table
+    # the legacy table is read by position (S9): id, uuid, mount_path, label, first_seen, last_seen;
+    # both sides are whole tables, one row per uuid (target: the first, legacy: the newest)
+    old = d.withColumn("uuid", F.when(F.col("id") % 5 == 0, F.concat("uuid", F.lit("-old"))).otherwise(F.col("uuid")))
+    legacy = M.read_positional(old.drop("system_id"), ["id", "uuid", "mount_path", "label", "first_seen", "last_seen"])
+    legacy = latest_per_key(legacy, ["uuid"], F.struct("last_seen", "id"))
+    return M.migrate_devices(latest_per_key(d, ["uuid"], -F.col("id")).select(*d.columns), legacy, AS_OF).table
 
 
 @register("K10_migrate_files", views=("files", "file_batch"), sql=f"""
@@ -146,7 +151,7 @@ def k10_migrate_files(spark, sf_dir):
 
 
 @register("K11_migrate_scan_progress", views=("scan_progress", "scan_events"), sql=f"""
-WITH t AS (SELECT * FROM scan_progress WHERE system_id = 'sys-0'),
+WITH t AS (SELECT * FROM scan_progress QUALIFY row_number() OVER (PARTITION BY device_uuid ORDER BY id) = 1),
 s AS (SELECT device_uuid, COUNT(*) AS total_files, COUNT(*) FILTER (WHERE op = 'upsert') AS new_files,
              MAX(ts) AS last_updated FROM scan_events GROUP BY device_uuid),
 j AS (SELECT t.*, s.device_uuid AS s_dev, s.total_files AS s_total, s.new_files AS s_new, s.last_updated AS s_lu
@@ -165,7 +170,8 @@ def k11_migrate_scan_progress(spark, sf_dir):
     s = e.groupBy("device_uuid").agg(F.count("*").alias("total_files"),
                                      F.count_if(F.col("op") == "upsert").alias("new_files"),
                                      F.max("ts").alias("last_updated"))
-    t = cat.scan_progress(spark, sf_dir).where(F.col("system_id") == "sys-0")
+    p = cat.scan_progress(spark, sf_dir)
+    t = latest_per_key(p, ["device_uuid"], -F.col("id")).select(*p.columns)  # one row per device: the first
     return M.migrate_scan_progress(t, s, AS_OF).table
 
 
@@ -173,12 +179,14 @@ def k11_migrate_scan_progress(spark, sf_dir):
 SELECT * FROM image_analysis_full
 UNION ALL
 SELECT file_id, camera_model, taken_time, gps_lat, gps_lon, CAST(CAST(has_faces AS INT) AS BOOLEAN), objects,
+  CAST(NULL AS INTEGER), CAST(NULL AS INTEGER),
   (SELECT MAX(id) FROM image_analysis_full)
     + row_number() OVER (ORDER BY file_id, taken_time + INTERVAL 1 DAY) AS id,
   taken_time + INTERVAL 1 DAY, 'migration', {AS_OF_SQL}
 FROM image_analysis""")
 def k12_migrate_image_analysis(spark, sf_dir):
-    legacy = cat.image_analysis(spark, sf_dir)
+    legacy = cat.image_analysis(spark, sf_dir).withColumns(  # an older table without sizes
+        {c: F.lit(None).cast("int") for c in ("width", "height")})
     legacy = legacy.withColumn("has_faces", F.col("has_faces").cast("int")) \
                    .withColumn("analyzed_time", F.col("taken_time") + F.expr("INTERVAL 1 DAY"))
     return M.migrate_image_analysis(cat.image_analysis_full(spark, sf_dir), legacy, AS_OF)

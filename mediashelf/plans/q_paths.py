@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import media_types as mt
@@ -9,16 +11,17 @@ from ..functions import paths as P
 from ..sources import catalogue as cat
 from .registry import register
 
-# full paths of every owned file: files joined to the device row of the same owner
+# full paths of every file: files joined to the device row of the same owner; a file
+# without such a row keeps a NULL mount and path
 _FULL = """
 SELECT f.id, f.path AS rel, d.mount_path AS mount, d.mount_path || '/' || f.path AS p
-FROM files f JOIN devices d ON f.device_uuid = d.uuid AND f.system_id = d.system_id"""
+FROM files f LEFT JOIN devices d ON f.device_uuid = d.uuid AND f.system_id = d.system_id"""
 
 
 def _full(spark, sf_dir):
     f = cat.files(spark, sf_dir)
     d = cat.devices(spark, sf_dir)
-    return (f.join(d, (f.device_uuid == d.uuid) & (f.system_id == d.system_id))
+    return (f.join(d, (f.device_uuid == d.uuid) & (f.system_id == d.system_id), "left")
             .select(f.id, f.path.alias("rel"), d.mount_path.alias("mount"),
                     F.concat(d.mount_path, F.lit("/"), f.path).alias("p")))
 
@@ -101,7 +104,10 @@ SELECT id, path, system,
     WHEN 'Darwin' THEN nullif(regexp_extract(replace(path, '\\', '/'), '^(/Volumes/[^/]+)', 1), '')
     WHEN 'Linux' THEN nullif(regexp_extract(replace(path, '\\', '/'), '^(/media/[^/]+/[^/]+)', 1), '')
     WHEN 'Windows' THEN nullif(regexp_extract(replace(path, '\\', '/'), '^([A-Z]:)', 1), '')
-    ELSE NULL END AS mount_point
+    ELSE NULL END AS mount_point,
+  regexp_matches(replace(path, '\\', '/'), CASE system
+    WHEN 'Darwin' THEN '^/Volumes/([^/]+)' WHEN 'Windows' THEN '^([A-Z]:)'
+    ELSE '^/media/([^/]+)/([^/]+)' END) AS has_pattern
 FROM v""")
 def x5_extract_mount(spark, sf_dir):
     b = _full(spark, sf_dir)
@@ -111,7 +117,11 @@ def x5_extract_mount(spark, sf_dir):
               .otherwise(F.lit("Windows")))
     path = F.when(F.col("id") % 7 == 0, F.replace("p", F.lit("/"), F.lit("\\"))).otherwise(F.col("p"))
     v = b.select("id", path.alias("path"), system.alias("system"))
-    return v.select("id", "path", "system", P.extract_mount_point("path", F.col("system")).alias("mount_point"))
+    # The pattern of the row's system, unknown systems by the default one
+    pattern = reduce(lambda rest, name: F.when(F.col("system") == name, F.lit(P.mount_point_pattern(name))).otherwise(rest),
+                     P.MOUNT_PATTERNS, F.lit(P.mount_point_pattern(None)))
+    return v.select("id", "path", "system", P.extract_mount_point("path", F.col("system")).alias("mount_point"),
+                    F.regexp_like(P.normalize_path("path"), pattern).alias("has_pattern"))
 
 
 _EXT_SQL = r"lower(regexp_extract(regexp_extract({p}, '([^/]*)$', 1), '^\.*[^.].*(\.[^.]*)$', 1))"
@@ -240,4 +250,4 @@ def j5_longest_prefix(spark, sf_dir):
     b = _full(spark, sf_dir)
     path = F.when(F.col("id") % 3 == 0, F.col("p")).otherwise(
         F.concat(F.replace("p", F.lit("/"), F.lit("//")), F.lit("/")))
-    return longest_prefix_mount(b.select("id", path.alias("path")), _mounts(spark, sf_dir), ["id"])
+    return longest_prefix_mount(b.select("id", path.alias("path")), _mounts(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
+from ..operators.upsert import latest_per_key
 from ..sources import catalogue as cat
 from .q_upsert import AS_OF, AS_OF_SQL
 from .registry import register
@@ -125,9 +126,11 @@ def k5_progress_upsert(spark, sf_dir):
 
 
 @register("K6_progress_device_scope", views=("scan_progress", "scan_events"), sql=f"""
-WITH b AS (SELECT device_uuid, 'sys-0' AS system_id, COUNT(*) AS total_files,
-                  COUNT(*) FILTER (WHERE op = 'upsert') AS new_files
-           FROM scan_events WHERE system_id = 'sys-0' GROUP BY device_uuid),
+WITH e AS (SELECT device_uuid, system_id, COUNT(*) AS total_files,
+                  COUNT(*) FILTER (WHERE op = 'upsert') AS new_files, MAX(ts) AS last_ts
+           FROM scan_events GROUP BY device_uuid, system_id),
+b AS (SELECT device_uuid, system_id, total_files, new_files FROM e
+      QUALIFY row_number() OVER (PARTITION BY device_uuid ORDER BY last_ts DESC, system_id DESC) = 1),
 upd AS (SELECT p.id, p.device_uuid, p.system_id,
           CASE WHEN b.device_uuid IS NOT NULL THEN b.total_files ELSE p.total_files END AS total_files,
           CASE WHEN b.device_uuid IS NOT NULL THEN b.new_files ELSE p.new_files END AS new_files,
@@ -140,10 +143,11 @@ ins AS (SELECT (SELECT MAX(id) FROM scan_progress) + row_number() OVER (ORDER BY
         FROM b WHERE device_uuid NOT IN (SELECT device_uuid FROM scan_progress))
 SELECT * FROM upd UNION ALL SELECT * FROM ins""")
 def k6_progress_device_scope(spark, sf_dir):
-    b = (cat.scan_events(spark, sf_dir).where(F.col("system_id") == "sys-0")
-         .groupBy("device_uuid").agg(F.count("*").alias("total_files"),
-                                     F.count_if(F.col("op") == "upsert").alias("new_files"))
-         .withColumn("system_id", F.lit("sys-0")))
+    # all systems' events; per device the counts of the system that wrote last
+    e = cat.scan_events(spark, sf_dir).groupBy("device_uuid", "system_id").agg(
+        F.count("*").alias("total_files"), F.count_if(F.col("op") == "upsert").alias("new_files"),
+        F.max("ts").alias("last_ts"))
+    b = latest_per_key(e, ["device_uuid"], F.struct("last_ts", "system_id")).drop("last_ts")
     return R.upsert_progress(cat.scan_progress(spark, sf_dir), b, AS_OF, scope="device")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import paths as P
 from ..operators import scan as SC
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from ..sources import catalogue as cat
 from ..sources import listing as L
 from ..sources.catalogue import read_table
@@ -61,11 +61,12 @@ FROM e""")
 def f1_f4_scan_filters(spark, sf_dir):
     n = _scan_paths(spark, sf_dir)
     root = F.regexp_extract("path", r"^(/[^/]*)", 1)
+    n = n.withColumn("_dir", P.dirname("path"))  # computed once, tested against every prefix
     return n.select(
         "id", "path",
         SC.keep_extension("path").alias("keep_f1"),
         SC.should_scan_file("path", [".jpg", ".png", ".mp4"]).alias("scan_f2"),
-        SC.should_skip_dir(P.dirname("path")).alias("skip_f4"),
+        SC.should_skip_dir("_dir").alias("skip_f4"),
         SC.dir_walked("path", root, skip_dirs=["/home/u/dir1"]).alias("walked_f3"))
 
 
@@ -134,52 +135,106 @@ def a12_dedupe_paths(spark, sf_dir):
 
 
 @register("X18_X19_document_hashes", sql="""
-SELECT doc_id, sha256(text) AS prefix_hash, sha256(text) AS full_hash,
-  CASE WHEN strlen(text) <= 20000 THEN sha256(text) END AS capped_hash
+SELECT doc_id, sha256(encode(text)[1:1000]) AS prefix_hash, sha256(text) AS full_hash
 FROM documents""")
 def x18_x19_hashes(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", H.prefix_sha256("text").alias("prefix_hash"),
-                    H.full_sha256("text").alias("full_hash"),
-                    H.full_sha256("text", max_bytes=20000).alias("capped_hash"))
+    return d.select("doc_id", H.prefix_sha256("text", 1000).alias("prefix_hash"),
+                    H.full_sha256("text").alias("full_hash"))
 
 
 def _document_tree(spark, sf_dir) -> str:
-    """Write every document as text under ``lang=<lang>/`` in the shared checkpoint folder
-    (a file tree that Spark derives from the table) and return its root."""
+    """Write every document as a file of a known name into the shared checkpoint folder and return
+    the tree's root: ``lang/d<id>.txt``, every 20th with a leading dot, every 21st under a hidden
+    directory, every 11th as ``.TXT``, every 13th as ``.md``, and every 17th under ``skip/``."""
+    ship_package(spark)
     base = ensure_checkpoint_dir(spark)
     root = os.path.join(base.replace("file:", ""), f"doc-tree-{_uuid.uuid4().hex}")
-    read_table(spark, sf_dir, "documents").select("text", "lang").write.partitionBy("lang").text(root)
+
+    def write(batches):
+        for pdf in batches:
+            for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
+                path = os.path.join(root, _doc_path(int(doc), lang))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(text.encode())
+            yield pdf[["doc_id"]]
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs.mapInPandas(write, "doc_id long").agg(F.count("*")).collect()
     return root
 
 
-@register("S1_A4_binaryfile_tree_bytes", sql="""
-SELECT lang, CAST(SUM(strlen(text) + 1) AS BIGINT) AS total_bytes FROM documents GROUP BY lang""")
+def _doc_path(doc: int, lang: str) -> str:
+    name = f"d{doc}" + (".TXT" if doc % 11 == 0 else ".md" if doc % 13 == 0 else ".txt")
+    folder = f"skip/{lang}" if doc % 17 == 0 else f".hid/{lang}" if doc % 21 == 0 else lang
+    return f"{folder}/." + name if doc % 20 == 0 else f"{folder}/{name}"
+
+
+_DOC_PATH_SQL = """
+SELECT doc_id, text,
+  CASE WHEN doc_id % 17 = 0 THEN 'skip/' || lang WHEN doc_id % 21 = 0 THEN '.hid/' || lang ELSE lang END || '/'
+    || CASE WHEN doc_id % 20 = 0 THEN '.' ELSE '' END || 'd' || doc_id
+    || CASE WHEN doc_id % 11 = 0 THEN '.TXT' WHEN doc_id % 13 = 0 THEN '.md' ELSE '.txt' END AS path
+FROM documents"""
+
+
+@register("S1_A4_binaryfile_tree", sql=f"""
+SELECT path, strlen(text) AS size, sha256(text) AS hash FROM ({_DOC_PATH_SQL}) d
+WHERE doc_id % 20 <> 0 AND (doc_id % 17 = 0 OR doc_id % 21 <> 0)""")
 def s1_binaryfile_tree(spark, sf_dir):
+    # Spark's own listing: names and folders with a leading dot are not in it
     root = _document_tree(spark, sf_dir)
-    listing = L.binary_files(spark, root)
-    listing = listing.where(SC.should_scan_file("path", [".txt"]))
-    lang = F.regexp_extract("path", r"/lang=([^/]*)/", 1)
-    return listing.groupBy(lang.alias("lang")).agg(F.sum("size").alias("total_bytes"))
+    files = L.binary_files(spark, root, with_content=True)
+    return files.select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size",
+                        H.full_sha256("content").alias("hash"))
 
 
-@register("S2_S3_X18_walked_tree_bytes", sql="""
-SELECT lang, CAST(SUM(strlen(text) + 1) AS BIGINT) AS total_bytes,
-  CAST(SUM(strlen(text) + 1) AS BIGINT) AS content_bytes FROM documents GROUP BY lang""")
+@register("S2_S3_walked_tree", sql=f"""
+SELECT path, strlen(text) AS size, sha256(text) AS hash, true AS has_times, CAST(NULL AS VARCHAR) AS error
+FROM ({_DOC_PATH_SQL}) d WHERE doc_id % 17 <> 0""")
 def s2_walked_tree(spark, sf_dir):
+    # every name, hidden ones too; the pruned folder is not entered
+    root = _document_tree(spark, sf_dir)
+    walked = L.walk_files(L.seeds_of(spark, [root]), prune_prefixes=[f"{root}/skip"], do_hash=True)
+    now = F.current_timestamp().cast("timestamp_ntz")
+    ok = F.col("modified_time").between(now - F.expr("INTERVAL 1 DAY"), now + F.expr("INTERVAL 1 DAY")) \
+        & F.col("created_at").isNotNull()
+    return walked.select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size", "hash",
+                         ok.alias("has_times"), "error")
+
+
+_SCANNED_SQL = f"""
+s AS (SELECT doc_id, text, path FROM ({_DOC_PATH_SQL}) d
+      WHERE doc_id % 17 <> 0 AND doc_id % 20 <> 0 AND doc_id % 21 <> 0 AND doc_id % 13 <> 0 OR
+            (doc_id % 13 = 0 AND doc_id % 11 = 0 AND doc_id % 17 <> 0 AND doc_id % 20 <> 0 AND doc_id % 21 <> 0)),
+stored AS (SELECT doc_id AS id, path, 'old' AS hash, CAST(1 AS BIGINT) AS size, 'sys-0' AS system_id
+           FROM ({_DOC_PATH_SQL}) d WHERE doc_id % 3 = 0)"""
+
+
+@register("S1_K3_J6_A6_scan_devices", sql=f"""
+WITH {_SCANNED_SQL}
+SELECT s.path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash, 'sys-1' AS system_id,
+  COALESCE(t.id, (SELECT MAX(id) FROM stored) + row_number() OVER (PARTITION BY t.id IS NULL ORDER BY s.path)) AS id,
+  (SELECT COUNT(*) FROM s) AS total_files,
+  (SELECT COUNT(*) FROM s WHERE path NOT IN (SELECT path FROM stored)) AS new_files
+FROM s LEFT JOIN stored t ON s.path = t.path""")
+def s1_scan_devices(spark, sf_dir):
+    # the stored catalogue knows a third of the documents under old sizes; files that are hidden, under
+    # the skipped folder or of another type were never to be scanned, so their rows vanish
     root = _document_tree(spark, sf_dir)
-    # one seed per top-level directory (found by a Spark listing, not the driver's file
-    # system): the walk of each subtree is its own task
-    seeds = L.binary_files(spark, root).select(
-        F.regexp_extract("path", r"^(.*/lang=[^/]*)/", 1).alias("root")).where(F.col("root") != "").distinct()
-    walked = L.walk_files(seeds, prune_prefixes=SC.SKIP_DIRS, do_hash=True)
-    walked = walked.where(F.col("error").isNull() & SC.should_scan_file("path", [".txt"])
-                          & SC.dir_walked("path", "root", SC.SKIP_DIRS))
-    # the content read by binaryFile must hash the same as the walker's ranged read
-    content = L.binary_files(spark, root, with_content=True).select(
-        "path", H.prefix_sha256("content").alias("_h"), F.octet_length("content").alias("_n"))
-    j = walked.join(content, "path", "left")
-    lang = F.regexp_extract("path", r"/lang=([^/]*)/", 1)
-    return j.groupBy(lang.alias("lang")).agg(
-        F.sum("size").alias("total_bytes"),
-        F.sum(F.when(F.col("_h") == F.col("hash"), F.col("_n"))).alias("content_bytes"))
+    doc = F.col("doc_id")
+    name = F.concat(F.lit("d"), doc.cast("string"), F.when(doc % 11 == 0, ".TXT").when(doc % 13 == 0, ".md").otherwise(".txt"))
+    folder = F.when(doc % 17 == 0, F.concat(F.lit("skip/"), "lang")).when(
+        doc % 21 == 0, F.concat(F.lit(".hid/"), "lang")).otherwise(F.col("lang"))
+    path = F.concat(folder, F.lit("/"), F.when(doc % 20 == 0, ".").otherwise(""), name)
+    empty = F.lit(None).cast("timestamp_ntz")
+    stored = read_table(spark, sf_dir, "documents").where(doc % 3 == 0).select(
+        doc.alias("id"), F.lit("dev-docs").alias("device_uuid"), path.alias("path"), F.lit("old").alias("hash"),
+        F.lit(1).cast("long").alias("size"), empty.alias("modified_time"), empty.alias("scanned_time"),
+        empty.alias("last_accessed"), F.lit("sys-0").alias("system_id"), empty.alias("last_sync"))
+    devices = spark.createDataFrame([(root, "dev-docs")], "root string, device_uuid string")
+    res = SC.scan_devices(stored, cat.scan_progress(spark, sf_dir), devices, "sys-1", "2024-01-01 00:00:00",
+                          extensions=[".txt"], skip_dirs=[f"{root}/skip"])
+    done = res.progress.where((F.col("device_uuid") == "dev-docs") & (F.col("system_id") == "sys-1")).select(
+        "total_files", "new_files")
+    return res.files.select("path", "size", "hash", "system_id", "id").join(F.broadcast(done))

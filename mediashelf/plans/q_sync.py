@@ -44,7 +44,10 @@ u AS (SELECT d.id, d.uuid, d.mount_path, d.label, d.first_seen,
 SELECT * FROM u {KEEP1.format(k='uuid, system_id')}"""
 
 
-@register("T1_sync_devices", views=("devices",), sql=_t1_sql(None))
+_T1_SQL = _t1_sql(None)
+
+
+@register("T1_sync_devices", views=("devices",), sql=_T1_SQL)
 def t1_sync_devices(spark, sf_dir):
     return S.sync_devices(cat.devices(spark, sf_dir), ME, SYNC_AS_OF)
 
@@ -95,7 +98,7 @@ def t2_sync_files(spark, sf_dir):
     return _t2(spark, sf_dir)
 
 
-@register("T3_sync_scan_progress", views=("scan_progress",), sql=f"""
+_T3_SQL = f"""
 WITH a AS (SELECT * FROM scan_progress WHERE {ACTED}),
 w AS (SELECT device_uuid, total_files, new_files, last_updated FROM a
       QUALIFY row_number() OVER (PARTITION BY device_uuid ORDER BY id DESC) = 1),
@@ -106,17 +109,19 @@ u AS (SELECT p.id, p.device_uuid,
         CASE WHEN w.device_uuid IS NOT NULL THEN '{ME}' ELSE p.system_id END AS system_id,
         CASE WHEN w.device_uuid IS NOT NULL THEN {NOW} ELSE p.last_sync END AS last_sync
       FROM scan_progress p LEFT JOIN w ON p.device_uuid = w.device_uuid)
-SELECT * FROM u {KEEP1.format(k='device_uuid, system_id')}""")
+SELECT * FROM u {KEEP1.format(k='device_uuid, system_id')}"""
+
+
+@register("T3_sync_scan_progress", views=("scan_progress",), sql=_T3_SQL)
 def t3_sync_scan_progress(spark, sf_dir):
     return S.sync_scan_progress(cat.scan_progress(spark, sf_dir), ME, SYNC_AS_OF)
 
 
-_IA_VALS = ["camera_model", "taken_time", "gps_lat", "gps_lon", "has_faces", "objects", "analyzed_time"]
+_IA_VALS = ["camera_model", "taken_time", "gps_lat", "gps_lon", "has_faces", "objects", "width", "height", "analyzed_time"]
 
 
-@register("T4_T5_sync_image_analysis", views=("files", "file_batch", "image_analysis_full"), sql=f"""
-WITH {_T2_CTES},
-a4 AS (SELECT * FROM image_analysis_full WHERE {ACTED}),
+_T4_SQL = f"""
+WITH a4 AS (SELECT * FROM image_analysis_full WHERE {ACTED}),
 w4 AS (SELECT file_id, {', '.join(_IA_VALS)} FROM a4
        QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY id DESC) = 1),
 x4 AS (SELECT w4.*, EXISTS (SELECT 1 FROM files2 f WHERE f.id = w4.file_id) AS present FROM w4)
@@ -125,7 +130,11 @@ SELECT i.id, i.file_id,
   CASE WHEN x4.present THEN '{ME}' ELSE i.system_id END AS system_id,
   CASE WHEN x4.present THEN {NOW} ELSE i.last_sync END AS last_sync
 FROM image_analysis_full i LEFT JOIN x4 ON i.file_id = x4.file_id
-WHERE NOT COALESCE(x4.present = false, false)""")
+WHERE NOT COALESCE(x4.present = false, false)"""
+
+
+@register("T4_T5_sync_image_analysis", views=("files", "file_batch", "image_analysis_full"),
+          sql=f"WITH {_T2_CTES}\n{_T4_SQL.replace('WITH a4', ', a4', 1)}")
 def t4_sync_image_analysis(spark, sf_dir):
     rnd = S.sync_all(cat.devices(spark, sf_dir), cat.files(spark, sf_dir), cat.scan_progress(spark, sf_dir),
                      cat.image_analysis_full(spark, sf_dir), ME, SYNC_AS_OF,
@@ -144,15 +153,33 @@ def a11_sync_round_counts(spark, sf_dir):
     return rnd.log
 
 
-@register("T5_sync_change_log", views=("files", "file_batch"), sql=f"""
-WITH {_T2_CTES}
-SELECT 'files' AS table_name, CAST(f.id AS VARCHAR) AS record_id, 'delete' AS operation,
+def _log_sql(name: str, before: str, after: str) -> str:
+    """Log rows of one table by comparing its rows before and after the round."""
+    return f"""
+SELECT '{name}' AS table_name, CAST(b.id AS VARCHAR) AS record_id, 'delete' AS operation,
   '{ME}' AS system_id, {NOW} AS sync_time
-FROM files f WHERE f.id NOT IN (SELECT id FROM files2)
+FROM {before} b WHERE b.id NOT IN (SELECT id FROM {after})
 UNION ALL
-SELECT 'files', CAST(n.id AS VARCHAR), 'update', '{ME}', {NOW}
-FROM files2 n JOIN files o ON n.id = o.id
-WHERE n.last_sync IS NOT DISTINCT FROM {NOW} AND o.last_sync IS DISTINCT FROM {NOW}""")
+SELECT '{name}', CAST(n.id AS VARCHAR), 'update', '{ME}', {NOW}
+FROM {after} n JOIN {before} o ON n.id = o.id
+WHERE n.last_sync IS NOT DISTINCT FROM {NOW} AND o.last_sync IS DISTINCT FROM {NOW}"""
+
+
+def _round_sql() -> str:
+    """CTEs ``files2, devices2, progress2, analysis2``: the four tables after one round."""
+    return f"""{_T2_CTES},
+devices2 AS ({_T1_SQL}),
+progress2 AS ({_T3_SQL}),
+analysis2 AS ({_T4_SQL})"""
+
+
+@register("T5_sync_change_log", views=("devices", "files", "scan_progress", "file_batch", "image_analysis_full"), sql=f"""
+WITH {_round_sql()}
+{_log_sql('devices', 'devices', 'devices2')} UNION ALL {_log_sql('files', 'files', 'files2')}
+UNION ALL {_log_sql('scan_progress', 'scan_progress', 'progress2')}
+UNION ALL {_log_sql('image_analysis', 'image_analysis_full', 'analysis2')}""")
 def t5_sync_change_log(spark, sf_dir):
-    files = cat.files(spark, sf_dir)
-    return S.change_log("files", files, _t2(spark, sf_dir), ME, SYNC_AS_OF)
+    rnd = S.sync_all(cat.devices(spark, sf_dir), cat.files(spark, sf_dir), cat.scan_progress(spark, sf_dir),
+                     cat.image_analysis_full(spark, sf_dir), ME, SYNC_AS_OF,
+                     present_files=_present_files(spark, sf_dir))
+    return rnd.changes

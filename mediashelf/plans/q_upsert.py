@@ -136,12 +136,34 @@ def a6_scan_result_counts(spark, sf_dir):
 @register("K14_touch_access", views=("files", "file_accesses"), sql="""
 WITH a AS (SELECT file_id, MAX(ts) AS ts FROM file_accesses GROUP BY file_id)
 SELECT f.id, f.device_uuid, f.path, f.hash, f.size, f.modified_time, f.scanned_time,
-  CASE WHEN a.file_id IS NOT NULL THEN a.ts ELSE f.last_accessed END AS last_accessed,
+  CASE WHEN a.ts IS NOT NULL AND (f.last_accessed IS NULL OR a.ts > f.last_accessed) THEN a.ts
+       ELSE f.last_accessed END AS last_accessed,
   f.system_id,
-  CASE WHEN a.file_id IS NOT NULL THEN a.ts ELSE f.last_sync END AS last_sync
-FROM files f LEFT JOIN a ON f.id = a.file_id""")
+  CASE WHEN a.ts IS NOT NULL AND (f.last_sync IS NULL OR a.ts > f.last_sync) THEN a.ts ELSE f.last_sync END AS last_sync
+FROM (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN TIMESTAMP '1996-06-01 00:00:00' END AS last_accessed) FROM files) f
+LEFT JOIN a ON f.id = a.file_id""")
 def k14_touch_access(spark, sf_dir):
-    return U.touch_access(cat.files(spark, sf_dir), cat.file_accesses(spark, sf_dir))
+    # a third of the files was accessed before, some of them later than any access of the batch
+    f = cat.files(spark, sf_dir).withColumn(
+        "last_accessed", F.when(F.col("id") % 3 == 0, U.ts_lit("1996-06-01 00:00:00")))
+    return U.touch_access(f, cat.file_accesses(spark, sf_dir))
+
+
+@register("W4_ids_never_reused", views=("files", "file_batch"), sql=f"""
+WITH {_BATCH_SQL},
+f AS (SELECT * FROM files WHERE id <= (SELECT MAX(id) FROM files) - 100),
+n AS (SELECT device_uuid, path, system_id FROM b WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.device_uuid = b.device_uuid AND f.path = b.path AND f.system_id = b.system_id))
+SELECT (SELECT MAX(id) FROM files) + row_number() OVER (ORDER BY device_uuid, path, system_id) AS id,
+  device_uuid, path, system_id FROM n""")
+def w4_ids_never_reused(spark, sf_dir):
+    # the rows with the largest ids were deleted; rows inserted now must not get those ids
+    files = cat.files(spark, sf_dir)
+    mark = U.max_id(files)
+    rest = files.where(F.col("id") <= mark - 100)
+    out = U.upsert(rest, _clean_batch(spark, sf_dir), ["device_uuid", "path", "system_id"],
+                   as_of=AS_OF, order_col=ORDER(), id_floor=mark).table
+    return out.where(F.col("id") > mark).select("id", "device_uuid", "path", "system_id")
 
 
 @register("W3_latest_event_per_file", views=("scan_events",), sql="""

@@ -62,9 +62,5 @@ def init_catalogue(spark: SparkSession, root: str) -> dict[str, str]:
     for name, ddl in SCHEMAS.items():
         path = os.path.join(root, name)
         out[name] = path
-        try:
-            spark.read.parquet(path).schema
-            continue
-        except Exception:  # noqa: BLE001 - missing table
-            spark.createDataFrame([], ddl).write.mode("ignore").parquet(path)
+        spark.createDataFrame([], ddl).write.mode("ignore").parquet(path)  # does nothing where the path exists
     return out

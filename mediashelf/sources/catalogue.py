@@ -83,10 +83,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def image_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return o.where(k % 12 < 5).select(
+def _image_columns(k: Column, c: Column) -> list[Column]:
+    return [
         k.alias("file_id"),
         _pick(k % 4, CAMERAS_BY_KEY_MOD_4).alias("camera_model"),
         F.col("o_orderdate").alias("taken_time"),
@@ -94,15 +92,23 @@ def image_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((c % 360).cast("double") - 180).alias("gps_lon"),
         (c % 2 == 0).alias("has_faces"),
         _pick(c % 3, OBJECTS_BY_CUST_MOD_3).alias("objects"),
-    )
+    ]
+
+
+def image_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.where(k % 12 < 5).select(*_image_columns(k, c))
 
 
 def image_analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image_analysis`` with the ownership columns the sync operators need."""
+    """``image_analysis`` with the size, time and ownership columns (one projection)."""
     o = read_table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    own = o.where(k % 12 < 5).select(
-        k.alias("file_id"),
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.where(k % 12 < 5).select(
+        *_image_columns(k, c),
+        ((c % 50) * 80).cast("int").alias("width"),
+        ((c % 40) * 60).cast("int").alias("height"),
         (k * 10).alias("id"),
         (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("analyzed_time"),
         F.when(k % 7 == 0, F.lit(None).cast("string"))
@@ -110,7 +116,6 @@ def image_analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 0, F.lit(None).cast("timestamp_ntz"))
         .otherwise(F.col("o_orderdate") + F.expr("INTERVAL 100 DAYS")).alias("last_sync"),
     )
-    return image_analysis(spark, sf_dir).join(own, "file_id")
 
 
 def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +137,16 @@ def scan_events_from(e: DataFrame) -> DataFrame:
     )
 
 
+def stored_events_from(e: DataFrame, files: DataFrame) -> DataFrame:
+    """As ``scan_events_from``, but every third event names the stored file with its id, when
+    there is one: such events update and delete catalogue rows."""
+    named = files.select(F.col("id").alias("_id"), F.col("device_uuid").alias("_dev"), F.col("path").alias("_path"))
+    key = F.when(F.col("event_id") % 3 == 0, F.col("event_id"))
+    j = scan_events_from(e).join(named, key == F.col("_id"), "left")
+    return j.select("event_id", F.coalesce("_dev", "device_uuid").alias("device_uuid"), "system_id",
+                    F.coalesce("_path", "path").alias("path"), "op", "size", "ts")
+
+
 def device_mount_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")

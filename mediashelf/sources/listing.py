@@ -1,46 +1,66 @@
-"""File listings (S1-S3): Spark's binaryFile source, and a partitioned directory walker.
+"""File listings (S1-S3): Spark's binaryFile source, a partitioned directory walker, and listings
+that arrive as a table.
 
 ``binaryFile`` lists and reads files on the executors (content is only read when the
 ``content`` column is used: a pruned projection lists sizes only). Spark's listing skips
-names beginning with ``.`` or ``_``; the reference does not, so a second source walks
-directory trees with ``os.walk`` inside ``mapInPandas``: one task per seed directory
-(a device mount, or its top-level sub-directories for a big device), so listing and
-hashing run in parallel across executors. It reports ctime (``created_at``), keeps
-hidden names, turns unreadable entries into ``error`` rows, and can hash the first N
-bytes of each file by ranged reads (files above the 2 GiB binaryFile limit included).
-A device is split into its sub-directories first, so one large device is not one task.
+names beginning with ``.`` or ``_``; the reference does not, so the walker lists directories with
+``os.scandir`` inside Spark tasks, for paths that every executor mounts. On object stores a
+listing table (an inventory report) takes its place: ``listing_of``.
+
+The walker works in two steps. Directories become paths: the first ``split_depth`` levels are
+expanded one level per step, so a device spreads over tasks, and names that the scan does not
+want (extension, hidden, pruned prefixes) are dropped before anything is opened. Then the
+paths are dealt out evenly and each is statted and, if asked, hashed whole by ranged reads, so
+that a flat folder of any size is hashed by many tasks. Rows leave the tasks in chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import HASH_PREFIX_BYTES
 from ..functions.media_meta import epoch_to_timestamp
 from ..session import ship_package
 
 WALK_SCHEMA = ("root string, path string, size long, mtime double, ctime double, "
                "hash string, error string")
+LISTING_COLS = ["root", "path", "size", "modified_time", "created_at", "hash", "error"]
+#: Rows that a task holds before it hands them on.
+CHUNK = 1000
+
+
+def _utc(timestamp: str):
+    """A file timestamp as UTC wall-clock time, whatever the session's zone."""
+    return epoch_to_timestamp(F.unix_micros(timestamp) / F.lit(1_000_000.0))
 
 
 def binary_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """S1 via ``binaryFile``: ``path`` (local form), ``size``, ``modified_time`` and, when
+    """S1 via ``binaryFile``: ``path`` (local form), ``size``, ``modified_time`` (UTC) and, when
     asked, ``content``. Hidden / underscore names are not listed by Spark."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     cols = [F.regexp_replace("path", "^file:", "").alias("path"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").cast("timestamp_ntz").alias("modified_time")]
+            F.col("length").alias("size"), _utc("modificationTime").alias("modified_time")]
     if with_content:
         cols.append(F.col("content"))
     return df.select(*cols)
 
 
-def _prefix_hash(path: str, limit: int | None) -> str:
+def listing_of(table: DataFrame, root: str) -> DataFrame:
+    """A listing that arrives as a table (``path`` and any of the other listing columns), in the
+    walker's shape. Nothing is filtered by name."""
+    kinds = {"size": "long", "modified_time": "timestamp_ntz", "created_at": "timestamp_ntz", "hash": "string",
+             "error": "string"}
+    return table.select(F.lit(root).alias("root"), "path", *[
+        (F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def file_hash(path: str, limit: int | None = None) -> str:
+    """SHA-256 of a file (or of its first ``limit`` bytes), read in pieces."""
     h = hashlib.sha256()
     left = limit if limit is not None else float("inf")
     with open(path, "rb") as fh:
@@ -53,99 +73,101 @@ def _prefix_hash(path: str, limit: int | None) -> str:
     return h.hexdigest()
 
 
-def _walker(prune_prefixes: list[str], hash_bytes: int | None, do_hash: bool):
-    def one_file(root, p, out):
-        try:
-            st = os.stat(p)
-            digest = None
-            if do_hash:
-                try:
-                    digest = _prefix_hash(p, hash_bytes)
-                except OSError:
-                    digest = None  # a failed hash only gives NULL
-            out.append((root, p, st.st_size, st.st_mtime, st.st_ctime, digest, None))
-        except OSError as e:
-            out.append((root, p, None, None, None, None, str(e)))
+def _lister(prune: Sequence[str], extensions: Sequence[str] | None, hidden: bool, levels: int | None):
+    """Directories to ``(root, path, is_dir, error)``: wanted files, and the sub-directories that
+    remain after ``levels`` levels (None: walk to the end). A link to a directory is neither listed
+    nor entered, as ``os.walk`` has it."""
+    def wanted(name: str) -> bool:
+        if not hidden and name.startswith("."):
+            return False
+        return extensions is None or os.path.splitext(name.lower())[1] in extensions
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for pdf in batches:
-            out = []
-            for root, start, recursive in zip(pdf["root"], pdf["start"], pdf["recursive"]):
-                if not recursive:
-                    # only the files directly under ``start``
-                    try:
-                        with os.scandir(start) as it:
-                            names = [e.name for e in it if not e.is_dir(follow_symlinks=False)]
-                    except OSError as e:
-                        out.append((root, start, None, None, None, None, str(e)))
+            for root, start in zip(pdf["root"], pdf["path"]):
+                stack = [(start, levels)]
+                while stack:
+                    path, left = stack.pop()
+                    if any(path.startswith(p) for p in prune):
                         continue
-                    for name in names:
-                        one_file(root, os.path.join(start, name), out)
-                    continue
-
-                def onerror(err, root=root):
-                    out.append((root, getattr(err, "filename", None), None, None, None, None, str(err)))
-                for dirpath, dirnames, filenames in os.walk(start, onerror=onerror):
-                    if any(dirpath.startswith(p) for p in prune_prefixes):
-                        dirnames[:] = []
+                    if left == 0:
+                        out.append((root, path, True, None))
                         continue
-                    for name in filenames:
-                        one_file(root, os.path.join(dirpath, name), out)
-            yield pd.DataFrame(out, columns=["root", "path", "size", "mtime", "ctime", "hash", "error"])
+                    try:
+                        with os.scandir(path) as entries:
+                            for e in entries:
+                                if not e.is_dir():
+                                    if wanted(e.name):
+                                        out.append((root, e.path, False, None))
+                                elif e.is_dir(follow_symlinks=False) and (hidden or not e.name.startswith(".")):
+                                    stack.append((e.path, None if left is None else left - 1))
+                                if len(out) >= CHUNK:
+                                    yield pd.DataFrame(out, columns=["root", "path", "is_dir", "error"])
+                                    out = []
+                    except OSError as e:
+                        out.append((root, path, False, str(e)))
+        yield pd.DataFrame(out, columns=["root", "path", "is_dir", "error"])
     return run
 
 
-def _expander(prune_prefixes: list[str]):
-    """One level down: an entry's directory becomes a non-recursive entry for its own
-    files plus one recursive entry per sub-directory (pruned prefixes are not entered);
-    the scan root travels along."""
-    def run(batches):
+def _reader(do_hash: bool, hash_bytes: int | None):
+    """Paths to stat rows; a file that cannot be read becomes an ``error`` row, a failed hash NULL."""
+    def one(root: str, path: str) -> tuple:
+        try:
+            st = os.stat(path)
+        except OSError as e:
+            return root, path, None, None, None, None, str(e)
+        digest = None
+        if do_hash:
+            try:
+                digest = file_hash(path, hash_bytes)
+            except OSError:
+                pass
+        return root, path, st.st_size, st.st_mtime, st.st_ctime, digest, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in WALK_SCHEMA.split(", ")]
         for pdf in batches:
-            out = []
-            for root, start in zip(pdf["root"], pdf["start"]):
-                out.append((root, start, False))
-                try:
-                    with os.scandir(start) as it:
-                        subdirs = [e.path for e in it if e.is_dir(follow_symlinks=False)]
-                except OSError:
-                    subdirs = []
-                for d in subdirs:
-                    if not any(d.startswith(p) for p in prune_prefixes):
-                        out.append((root, d, True))
-            yield pd.DataFrame(out, columns=["root", "start", "recursive"])
+            for a in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[a:a + CHUNK]
+                yield pd.DataFrame([one(r, p) for r, p in zip(part["root"], part["path"])], columns=names)
     return run
 
 
-def walk_files(seeds: DataFrame, prune_prefixes: list[str] | None = None, do_hash: bool = False,
-               hash_bytes: int | None = HASH_PREFIX_BYTES, partitions: int | None = None,
-               split_depth: int = 1) -> DataFrame:
-    """S1/S3 by directory walk: one output row per file under each ``root`` of ``seeds``.
+def walk_files(seeds: DataFrame, prune_prefixes: Sequence[str] = (), do_hash: bool = False,
+               hash_bytes: int | None = None, extensions: Sequence[str] | None = None,
+               hidden: bool = True, split_depth: int = 1) -> DataFrame:
+    """S1/S3 by directory walk: one output row per wanted file under each ``root`` of ``seeds``.
 
-    Each root is first split ``split_depth`` levels down (its own files, then one entry per
-    sub-directory), and the entries are spread over tasks, so one big device is walked
-    and hashed by many tasks. ``prune_prefixes`` stops the walk below directories with
-    such a raw prefix (F4's pruning; the exact filters are applied again as Column
-    expressions by the caller). ``hash_bytes=None`` hashes whole files (X19), else the
-    first ``hash_bytes`` (X18). The ``root`` column stays the scan root (for F3).
-    """
+    ``extensions`` (lower-case, None: all) and ``hidden=False`` (no names with a leading dot, at any
+    level) select files by name before they are opened (F1, F2, F3); ``prune_prefixes`` stops the walk
+    at directories with such a raw prefix, the root included (F4). The first ``split_depth`` levels are
+    expanded in steps of one level, each dealt out anew. ``hash_bytes`` asks for the prefix form
+    of the hash (X18); by default the whole file is hashed (X19). ``root`` stays the scan root."""
     ship_package(seeds.sparkSession)  # the walker runs in Python workers
-    prunes = list(prune_prefixes or [])
-    n = partitions or max(1, min(seeds.sparkSession.sparkContext.defaultParallelism, 1 << 12))
-    entries = seeds.select(F.col("root").cast("string")).distinct() \
-        .select("root", F.col("root").alias("start"), F.lit(True).alias("recursive"))
+    kind = "root string, path string, is_dir boolean, error string"
+    names = set(extensions) if extensions is not None else None
+
+    def listed(dirs: DataFrame, levels: int | None) -> DataFrame:
+        return dirs.select("root", "path").repartition("path").mapInPandas(
+            _lister(tuple(prune_prefixes), names, hidden, levels), kind)
+    dirs = seeds.select(F.col("root").cast("string").alias("root")).distinct().withColumn("path", F.col("root"))
+    found = None
     for _ in range(split_depth):
-        rec = entries.where("recursive")
-        flat = entries.where("NOT recursive")
-        expanded = rec.select("root", "start").mapInPandas(
-            _expander(prunes), "root string, start string, recursive boolean")
-        entries = flat.unionByName(expanded)
-    entries = entries.repartition(n, "start")
-    walked = entries.mapInPandas(_walker(prunes, hash_bytes, do_hash), WALK_SCHEMA)
-    return walked.select(
-        "root", "path", "size",
-        epoch_to_timestamp(F.col("mtime")).alias("modified_time"),
-        epoch_to_timestamp(F.col("ctime")).alias("created_at"),
-        "hash", "error")
+        step = listed(dirs, 1)
+        files = step.where("NOT is_dir")
+        found = files if found is None else found.unionByName(files)
+        dirs = step.where("is_dir")
+    rest = listed(dirs, None)
+    found = rest if found is None else found.unionByName(rest)
+    read = (found.where("error IS NULL").select("root", "path").repartition("path")
+            .mapInPandas(_reader(do_hash, hash_bytes), WALK_SCHEMA))
+    failed = found.where("error IS NOT NULL").select("root", "path", "error")
+    return read.select(
+        "root", "path", "size", epoch_to_timestamp(F.col("mtime")).alias("modified_time"),
+        epoch_to_timestamp(F.col("ctime")).alias("created_at"), "hash", "error").unionByName(
+        failed, allowMissingColumns=True)
 
 
 def seeds_of(spark: SparkSession, roots: list[str]) -> DataFrame:

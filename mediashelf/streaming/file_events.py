@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import latest_per_key, upsert
-from ..session import ensure_checkpoint_dir
-from ..sources.catalogue import scan_events_from
+from ..operators.upsert import UpsertResult, latest_per_key, max_id, upsert
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 KEYS = ["device_uuid", "path"]
 EVENT_COLS = ["event_id", "device_uuid", "system_id", "path", "op", "size", "ts"]
@@ -50,10 +49,10 @@ def log_writer(log_dir: str):
     return run
 
 
-def start_file_event_stream(raw_events: DataFrame, log_dir: str, checkpoint: str,
+def start_file_event_stream(events: DataFrame, log_dir: str, checkpoint: str,
                             trigger: dict | None = None) -> StreamingQuery:
-    """Start the T8 stream from raw ``events`` rows (a streaming DataFrame)."""
-    w = (scan_events_from(raw_events).writeStream.foreachBatch(log_writer(log_dir))
+    """Start the T8 stream of file events (a streaming DataFrame with ``EVENT_COLS``)."""
+    w = (events.writeStream.foreachBatch(log_writer(log_dir))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
@@ -72,16 +71,27 @@ def read_log(spark: SparkSession, log_dir: str, after_batch: int | None = None,
     return log
 
 
-def snapshot(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Fold the event log into ``files``: the last event per key (batch, time, id)
-    deletes the row or upserts it (K3-style on ``(device_uuid, path)``: size, owner and
-    scan time = event time; new rows get serial ids)."""
-    last = latest_per_key(log, KEYS, F.struct("batch_id", "ts", "event_id"))
+def snapshot(files: DataFrame, log: DataFrame, id_floor: int = 0) -> DataFrame:
+    """Fold the event log into ``files`` (see ``fold``): the new table version."""
+    return fold(files, log, id_floor).table
+
+
+def fold(files: DataFrame, log: DataFrame, id_floor: int = 0) -> UpsertResult:
+    """The last event per key (batch, time, id) deletes the row or upserts it (K3-style on
+    ``(device_uuid, path)``: size, owner, scan time = event time).
+
+    An updated row gets ``last_sync`` = event time (K15) and a NULL ``hash``, since its content has
+    changed and it has not been hashed again. New rows get serial ids above the largest id of
+    ``files`` before the deletions and above ``id_floor``, so an id never comes back. The folded log is
+    materialised once."""
+    last = cut_lineage(latest_per_key(log, KEYS, F.struct("batch_id", "ts", "event_id")))
     deletes = last.where(F.col("op") == "delete").select(*KEYS)
     upserts = last.where(F.col("op") == "upsert").select(
         *KEYS, "system_id", "size", F.col("ts").alias("scanned_time"))
     base = files.join(deletes, KEYS, "left_anti")
-    return upsert(base, upserts, KEYS, ["system_id", "size", "scanned_time"], as_of=None).table
+    return upsert(base, upserts, KEYS, ["system_id", "size", "scanned_time"], as_of=None,
+                  update_values={"last_sync": F.col("_b_scanned_time"), "hash": F.lit(None)},
+                  id_floor=max(id_floor, max_id(files)))
 
 
 def batch_equivalent(files: DataFrame, events: DataFrame) -> DataFrame:

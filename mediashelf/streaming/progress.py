@@ -1,11 +1,11 @@
 """Running scan progress per (device_uuid, system_id) from a file-event stream.
 
-A streaming aggregate (state store keyed by device and system) emits, in ``update``
-mode, the cumulative counts of the devices touched by each micro-batch; ``foreachBatch``
-upserts them into the progress table (K5) and writes version ``v=<batch id>`` from
-version ``batch id - 1`` (restart-safe, replay-idempotent). The
-grouping key is (device, system) so state stays one row per key however many events
-one device produces.
+Each micro-batch appends two small tables under ``batch_id=<n>``: ``counts``, the files it
+scanned (upsert events) and how many were first inserts, per device and system; and ``first``, the
+keys it saw first. A scan is a first insert when the catalogue did not hold the path and no
+earlier event named it; inside a batch the earliest event (time, id) counts. Nothing is
+rewritten: a replayed batch overwrites its own folders, an empty batch writes nothing, and
+``progress`` sums the counts into the table (K5) whenever it is read or compacted.
 """
 
 from __future__ import annotations
@@ -15,35 +15,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import upsert_progress
-from .versions import previous_path, version_path
+from ..session import cut_lineage
+from .versions import append_batch, read_batches
 
 PROGRESS_SCHEMA = ("device_uuid string, system_id string, id long, total_files long, new_files long, "
                    "last_updated timestamp_ntz, last_sync timestamp_ntz")
+KEYS = ["device_uuid", "path"]
+COUNTS = "device_uuid string, system_id string, total_files long, new_files long"
+FIRST = "device_uuid string, path string"
 
 
-def running_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("device_uuid", "system_id").agg(
-        F.count("*").alias("total_files"), F.count_if(F.col("op") == "upsert").alias("new_files"))
+def count_scans(events: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(counts, first)`` of one batch: scanned files and first inserts per device and system,
+    and the keys that are not in ``known``. Only the keys of ``known`` are read."""
+    scanned = events.where(F.col("op") == "upsert")
+    first = (scanned.groupBy(*KEYS).agg(F.min_by("system_id", F.struct("ts", "event_id")).alias("system_id"))
+             .join(known.select(*KEYS), KEYS, "left_anti"))
+    total = scanned.groupBy("device_uuid", "system_id").agg(F.count("*").alias("total_files"))
+    new = first.groupBy("device_uuid", "system_id").agg(F.count("*").alias("new_files"))
+    counts = total.join(new, ["device_uuid", "system_id"], "left").select(
+        "device_uuid", "system_id", "total_files", F.coalesce("new_files", F.lit(0)).alias("new_files"))
+    return counts, first.select(*KEYS)
 
 
-def progress_writer(spark: SparkSession, base_dir: str, initial: DataFrame, as_of):
-    """foreachBatch: read version ``n-1`` (or ``initial``), upsert, write version ``n``."""
-    cols = [c.split()[0] for c in PROGRESS_SCHEMA.split(", ")]
-
+def progress_writer(spark: SparkSession, base_dir: str, stored: DataFrame):
+    """foreachBatch: append the batch's counts and first keys."""
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        prev_path = previous_path(base_dir, batch_id)
-        prev = initial if prev_path is None else spark.read.schema(PROGRESS_SCHEMA).parquet(prev_path)
-        upsert_progress(prev, batch_df, as_of).select(*cols) \
-            .write.mode("overwrite").parquet(version_path(base_dir, batch_id))
+        if batch_df.isEmpty():
+            return
+        seen = read_batches(spark, f"{base_dir}/first", FIRST, before=batch_id).select(*KEYS)
+        counts, first = count_scans(batch_df, stored.select(*KEYS).unionByName(seen))
+        append_batch(first, f"{base_dir}/first", batch_id)
+        append_batch(counts, f"{base_dir}/counts", batch_id)
     return run
 
 
-def latest_version(spark: SparkSession, base_dir: str, last_batch_id: int) -> DataFrame:
-    return spark.read.schema(PROGRESS_SCHEMA).parquet(version_path(base_dir, last_batch_id))
+def progress(spark: SparkSession, base_dir: str, initial: DataFrame, as_of) -> DataFrame:
+    """The progress table: ``initial`` with the summed counts of all batches (K5)."""
+    cols = [c.split()[0] for c in PROGRESS_SCHEMA.split(", ")]
+    sums = read_batches(spark, f"{base_dir}/counts", COUNTS).groupBy("device_uuid", "system_id").agg(
+        F.sum("total_files").alias("total_files"), F.sum("new_files").alias("new_files"))
+    return upsert_progress(initial, cut_lineage(sums), as_of).select(*cols)
 
 
 def start_progress_stream(events: DataFrame, spark: SparkSession, base_dir: str, checkpoint: str,
-                          initial: DataFrame, as_of, trigger: dict | None = None) -> StreamingQuery:
-    run = progress_writer(spark, base_dir, initial, as_of)
-    return (running_counts(events).writeStream.outputMode("update").foreachBatch(run)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+                          stored: DataFrame, trigger: dict | None = None) -> StreamingQuery:
+    """Start T7 over file events; ``stored`` is the catalogue's files table (its keys)."""
+    run = progress_writer(spark, base_dir, stored)
+    return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())

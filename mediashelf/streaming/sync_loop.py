@@ -1,45 +1,85 @@
 """The sync loop as a stream. Each micro-batch of the driving event stream runs one
-sync round (T5) with ``as_of`` = the batch's latest event time (so a replay repeats the
-same result) and writes the four tables as a new version ``v=<batch_id>``. In production
-the trigger is ``processingTime='300 seconds'``; tests use ``availableNow``."""
+sync round (T5) with ``as_of`` = the batch's latest event time, so a replay repeats the
+same result. In production the trigger is ``processingTime='300 seconds'``; tests use
+``availableNow``.
+
+A round writes only what it changes: under ``batch_id=<n>``, per table the updated rows and the
+deleted ids, the sync log and the counts of processed rows. The current tables are the base
+tables with the newest change per id folded in; ``compact`` writes that as a new base, as a job of
+its own. A batch without events writes nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..operators.sync import sync_devices, sync_files, sync_image_analysis, sync_scan_progress
-from .versions import previous_path, version_path
+from ..operators.sync import changed_rows, sync_all
+from ..operators.upsert import latest_per_key
+from ..session import stage_table
+from .versions import append_batch, read_batches
 
 TABLES = ("devices", "files", "scan_progress", "image_analysis")
+LOG = "table_name string, record_id string, operation string, system_id string, sync_time timestamp_ntz"
+ROUND = "table_name string, operation string, rows long"
+
+
+def changes_of(spark: SparkSession, base_dir: str, table: str, base: DataFrame, before: int | None = None) -> DataFrame:
+    """Changes of one table so far: its columns, ``_op`` and ``batch_id``."""
+    schema = StructType(base.schema.fields[:]).add("_op", "string")
+    return read_batches(spark, f"{base_dir}/changes/{table}", schema, before)
+
+
+def fold_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """``base`` with the newest change per id: one left join on the id."""
+    last = latest_per_key(changes, ["id"], "batch_id")
+    new = last.select(F.col("id").alias("_id"), F.struct(*[F.col(c) for c in base.columns if c != "id"]).alias("_new"),
+                      F.col("_op").alias("_change"))
+    j = base.join(new, base["id"] == new["_id"], "left").where(F.coalesce(F.col("_change") != "delete", F.lit(True)))
+    return j.select(*[base[c] if c == "id" else
+                      F.when(F.col("_id").isNotNull(), F.col("_new")[c]).otherwise(base[c]).alias(c)
+                      for c in base.columns])
+
 
+def current_tables(spark: SparkSession, base_dir: str, base: dict[str, DataFrame],
+                   before: int | None = None) -> dict[str, DataFrame]:
+    """The four tables after all rounds (or those before one)."""
+    return {t: fold_changes(base[t], changes_of(spark, base_dir, t, base[t], before)) for t in TABLES}
 
-def sync_writer(spark: SparkSession, base_dir: str, initial: dict[str, DataFrame], me: str):
-    """foreachBatch: version ``n-1`` (or the initial tables) -> one sync round -> version
-    ``n``. A batch without events copies its input through, so versions stay dense."""
+
+def sync_log(spark: SparkSession, base_dir: str) -> DataFrame:
+    return read_batches(spark, f"{base_dir}/sync_logs", LOG)
+
+
+def round_counts(spark: SparkSession, base_dir: str) -> DataFrame:
+    return read_batches(spark, f"{base_dir}/rounds", ROUND)
+
+
+def sync_writer(spark: SparkSession, base_dir: str, base: dict[str, DataFrame], me: str):
+    """foreachBatch: tables so far -> one sync round -> its changes, log and counts."""
     def run(batch_df: DataFrame, batch_id: int) -> None:
         as_of = batch_df.agg(F.max("ts")).first()[0]
-        prev = previous_path(base_dir, batch_id)
-        cur = dict(initial) if prev is None else {t: spark.read.parquet(f"{prev}/{t}") for t in TABLES}
-        out = {t: version_path(base_dir, batch_id, t) for t in TABLES}
         if as_of is None:
-            for t in TABLES:
-                cur[t].write.mode("overwrite").parquet(out[t])
             return
-        # T1 -> T2 -> T3, then T4 against the files version just written (T2 is not recomputed)
-        sync_devices(cur["devices"], me, as_of).write.mode("overwrite").parquet(out["devices"])
-        sync_files(cur["files"], me, as_of).write.mode("overwrite").parquet(out["files"])
-        sync_scan_progress(cur["scan_progress"], me, as_of).write.mode("overwrite").parquet(out["scan_progress"])
-        files_now = spark.read.parquet(out["files"])
-        sync_image_analysis(cur["image_analysis"], files_now, me, as_of) \
-            .write.mode("overwrite").parquet(out["image_analysis"])
+        cur = current_tables(spark, base_dir, base, before=batch_id)
+        rnd = sync_all(*[cur[t] for t in TABLES], me, as_of)
+        for t in TABLES:
+            append_batch(changed_rows(rnd.marked[t]), f"{base_dir}/changes/{t}", batch_id)
+        append_batch(rnd.changes, f"{base_dir}/sync_logs", batch_id)
+        append_batch(rnd.log, f"{base_dir}/rounds", batch_id)
     return run
 
 
+def compact(spark: SparkSession, base_dir: str, base: dict[str, DataFrame], upto_batch: int) -> dict[str, DataFrame]:
+    """New base tables with the changes up to a batch folded in, staged as Parquet. Rounds after
+    it read only later batches when started with a new ``base_dir``."""
+    return {t: stage_table(df) for t, df in current_tables(spark, base_dir, base, upto_batch + 1).items()}
+
+
 def start_sync_stream(events: DataFrame, spark: SparkSession, base_dir: str, checkpoint: str,
-                      initial: dict[str, DataFrame], me: str, trigger: dict | None = None) -> StreamingQuery:
-    run = sync_writer(spark, base_dir, initial, me)
+                      base: dict[str, DataFrame], me: str, trigger: dict | None = None) -> StreamingQuery:
+    run = sync_writer(spark, base_dir, base, me)
     return (events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "300 seconds"})).start())

@@ -1,16 +1,24 @@
-"""Versioned outputs of ``foreachBatch`` sinks: micro-batch ``n`` reads version ``n-1``
-(or the initial tables for the first batch) from storage and writes version ``n``.
-Nothing lives in driver memory, so a restarted query continues from its checkpoint,
-and replaying batch ``n`` rewrites the same version from the same input."""
+"""Append-only outputs of ``foreachBatch`` sinks: micro-batch ``n`` writes ``batch_id=<n>`` below a
+table's folder and reads the batches before it. Nothing lives in driver memory, so a
+restarted query continues from its checkpoint, and replaying batch ``n`` overwrites its own
+folder with the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-def version_path(base_dir: str, batch_id: int, table: str | None = None) -> str:
-    p = f"{base_dir}/v={batch_id}"
-    return f"{p}/{table}" if table else p
 
+def append_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
-def previous_path(base_dir: str, batch_id: int, table: str | None = None) -> str | None:
-    """Where the input of micro-batch ``batch_id`` lives (None: use the initial tables)."""
-    return None if batch_id == 0 else version_path(base_dir, batch_id - 1, table)
+
+def read_batches(spark: SparkSession, folder: str, schema: str | StructType, before: int | None = None) -> DataFrame:
+    """Rows of all batches (or those before one) with their ``batch_id``; no rows when nothing
+    was written yet. ``batch_id`` is a partition column, so other batches are not read."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    # an empty batch of its own makes the folder exist from the first read on
+    spark.createDataFrame([], kind).write.mode("ignore").parquet(f"{folder}/batch_id=-1")
+    rows = spark.read.schema(StructType(kind.fields[:]).add("batch_id", "long")).parquet(folder)
+    return rows if before is None else rows.where(F.col("batch_id") < before)

@@ -34,7 +34,7 @@ def test_page_is_top_k_without_global_sort(spark):
 def test_prefix_join_broadcasts_small_mounts(spark):
     mounts = spark.createDataFrame([("/a", "u1"), ("/a/b", "u2")], "mount_path string, uuid string")
     paths = spark.range(0, 1000).select(F.col("id"), F.concat(F.lit("/a/b/"), F.col("id").cast("string")).alias("path"))
-    out = longest_prefix_mount(paths, mounts, ["id"])
+    out = longest_prefix_mount(paths, mounts)
     assert out.where(F.col("mount_path") == "/a/b").count() == 1000
     assert "BroadcastHashJoin" in plan(out)
 

@@ -52,17 +52,51 @@ def test_walk_matches_brute_force(spark, tmpdir_path):
     exts = [".jpg", ".mp4"]
     want = brute(tmpdir_path, exts)
     for depth in (0, 1, 2):
-        walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, hash_bytes=None, split_depth=depth)
-        walked = walked.where(SC.should_scan_file("path", exts) & SC.dir_walked("path", "root"))
-        got = {r["path"]: (r["size"], r["hash"]) for r in walked.collect()}
-        assert got == want, depth
+        walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, split_depth=depth)
+        filtered = walked.where(SC.should_scan_file("path", exts) & SC.dir_walked("path", "root"))
+        early = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, split_depth=depth, extensions=exts, hidden=False)
+        for rows in (filtered, early):  # filtered afterwards, or by name before anything is opened
+            got = {r["path"]: (r["size"], r["hash"]) for r in rows.collect()}
+            assert got == want, depth
         assert os.path.join(tmpdir_path, "_under", "z.jpg") in got  # underscore names are kept
 
 
+def test_walker_links_errors_and_pruned_root(spark, tmpdir_path):
+    make_tree(tmpdir_path)
+    os.symlink(os.path.join(tmpdir_path, "subdir_0"), os.path.join(tmpdir_path, "linkdir.jpg"))
+    os.symlink(os.path.join(tmpdir_path, "doc.txt"), os.path.join(tmpdir_path, "link.txt"))
+    os.symlink(os.path.join(tmpdir_path, "nothing"), os.path.join(tmpdir_path, "dangling.txt"))
+    want = {os.path.join(d, f) for d, _, fs in os.walk(tmpdir_path) for f in fs}
+    for depth in (0, 1, 2):
+        rows = L.walk_files(L.seeds_of(spark, [tmpdir_path]), split_depth=depth).collect()
+        assert {r["path"] for r in rows} == want
+        assert [r["path"] for r in rows if r["error"]] == [os.path.join(tmpdir_path, "dangling.txt")]
+        assert L.walk_files(L.seeds_of(spark, [tmpdir_path]), [tmpdir_path], split_depth=depth).count() == 0
+
+
+def test_scan_devices_from_a_listing_table(spark, tmpdir_path):
+    from mediashelf.schemas import SCHEMAS
+    make_tree(tmpdir_path)
+    devices = spark.createDataFrame([(tmpdir_path, "dev")], "root string, device_uuid string")
+    empty = [spark.createDataFrame([], SCHEMAS[t]) for t in ("files", "scan_progress")]
+    progress = spark.createDataFrame([], "device_uuid string, system_id string, id long, total_files long, "
+                                         "new_files long, last_updated timestamp_ntz, last_sync timestamp_ntz")
+    walked = SC.scan_devices(empty[0], progress, devices, "me", "2024-01-01 00:00:00")
+    table = L.listing_of(L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True).drop("root"), tmpdir_path)
+    listed = SC.scan_devices(empty[0], progress, devices, "me", "2024-01-01 00:00:00", listing=table)
+    cols = ["id", "device_uuid", "path", "size", "hash", "system_id"]
+    a, b = (sorted(map(tuple, r.files.select(cols).collect())) for r in (walked, listed))
+    assert a == b and len(a) == 5
+    os.remove(os.path.join(tmpdir_path, "subdir_1", "test_file_1.jpg"))
+    again = SC.scan_devices(walked.files, walked.progress, devices, "me", "2024-01-02 00:00:00")
+    assert again.files.count() == 4
+    assert [tuple(r) for r in again.counts.select("total_files", "new_files").collect()] == [(4, 0)]
+
+
 def test_binaryfile_hash_and_hidden_names(spark, tmpdir_path):
     files = make_tree(tmpdir_path)
     df = L.binary_files(spark, tmpdir_path, with_content=True)
-    got = {r["path"]: (r["size"], r["h"]) for r in df.select("path", "size", H.prefix_sha256("content").alias("h")).collect()}
+    got = {r["path"]: (r["size"], r["h"]) for r in df.select("path", "size", H.full_sha256("content").alias("h")).collect()}
     for p, (size, h) in got.items():
         assert size == len(files[p]) and h == hashlib.sha256(files[p][:10 * 1024 * 1024]).hexdigest()
     # Spark's listing drops names starting with '.' or '_' (why the walker exists)
@@ -103,7 +137,7 @@ def test_stream_equals_batch(spark, tmpdir_path):
                                   "last_accessed timestamp_ntz, system_id string, last_sync timestamp_ntz")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
     log_dir = os.path.join(tmpdir_path, "log")
-    q = FE.start_file_event_stream(stream, log_dir, os.path.join(tmpdir_path, "ckpt"))
+    q = FE.start_file_event_stream(scan_events_from(stream), log_dir, os.path.join(tmpdir_path, "ckpt"))
     q.awaitTermination()
     assert len([d for d in os.listdir(log_dir) if d.startswith("batch_id=")]) == 4
     got = FE.snapshot(files, FE.read_log(spark, log_dir))
@@ -158,17 +192,24 @@ def test_progress_stream_survives_restart(spark, tmpdir_path):
     initial = spark.createDataFrame([("dev-1", "sys-1", 1, 5, 2, None, None)], PR.PROGRESS_SCHEMA)
     base, ckpt = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ckpt")
     as_of = "2024-01-01 00:00:00"
-    last = None
+    stored = spark.createDataFrame([("dev-1", "e/1.jpg"), ("dev-2", "e/2.jpg")], "device_uuid string, path string")
     for i in range(3):  # a new file arrives, the query is (re)started from its checkpoint
         chunked.where(F.col("_c") == i + 1).drop("_c").coalesce(1).write.parquet(os.path.join(src, f"chunk={i}"))
         stream = scan_events_from(spark.readStream.schema(ev.schema).parquet(src))
-        q = PR.start_progress_stream(stream, spark, base, ckpt, initial, as_of)
+        q = PR.start_progress_stream(stream, spark, base, ckpt, stored)
         q.awaitTermination()
-        last = q.lastProgress["batchId"]
-    got = PR.latest_version(spark, base, last)
-    counts = scan_events_from(ev).groupBy("device_uuid", "system_id").agg(
-        F.count("*").alias("total_files"), F.count_if(F.col("op") == "upsert").alias("new_files"))
+    got = PR.progress(spark, base, initial, as_of)
+    ups = scan_events_from(ev).where("op = 'upsert'")
+    nth = F.row_number().over(Window.partitionBy("device_uuid", "path").orderBy("ts", "event_id"))
+    known = stored.select("device_uuid", "path", F.lit(True).alias("_known"))
+    counts = ups.withColumn("nth", nth).join(known, ["device_uuid", "path"], "left").groupBy(
+        "device_uuid", "system_id").agg(
+        F.count("*").alias("total_files"),
+        F.count_if((F.col("nth") == 1) & F.col("_known").isNull()).alias("new_files"))
     want = upsert_progress(initial, counts, as_of)
+    # a replayed batch changes nothing
+    PR.progress_writer(spark, base, stored)(scan_events_from(spark.read.parquet(os.path.join(src, "chunk=0"))), 0)
+    assert PR.progress(spark, base, initial, as_of).agg(F.sum("new_files")).first() == want.agg(F.sum("new_files")).first()
     cols = ["device_uuid", "system_id", "total_files", "new_files", "last_updated"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
@@ -192,14 +233,23 @@ def test_sync_stream_equals_sequential_rounds(spark, tmpdir_path):
     q = SLP.start_sync_stream(stream, spark, base, os.path.join(tmpdir_path, "ckpt"), initial, "sys-1",
                               trigger={"availableNow": True})
     q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    cur = dict(initial)
+    cur, logs, counts = dict(initial), [], []
     for i in range(3):
         as_of = chunked.where(F.col("_c") == i + 1).agg(F.max("ts")).first()[0]
         rnd = sync_all(cur["devices"], cur["files"], cur["scan_progress"], cur["image_analysis"], "sys-1", as_of)
+        logs.append(sorted(map(tuple, rnd.changes.collect())))
+        counts.append(sorted(map(tuple, rnd.log.collect())))
         cur = {t: cut_lineage(getattr(rnd, t)) for t in SLP.TABLES}  # one materialised version per round
-    for t in SLP.TABLES:
-        got = spark.read.parquet(SLP.version_path(base, last, t))
+    for i in range(3):
+        log, rounds = (x.where(f"batch_id = {i}").drop("batch_id") for x in (SLP.sync_log(spark, base), SLP.round_counts(spark, base)))
+        assert sorted(map(tuple, log.collect())) == logs[i]
+        assert sorted(map(tuple, rounds.collect())) == counts[i]
+    # an empty batch writes nothing; a compacted base plus nothing is the same state
+    SLP.sync_writer(spark, base, initial, "sys-1")(spark.createDataFrame([], "ts timestamp_ntz"), 3)
+    assert not os.path.exists(os.path.join(base, "rounds", "batch_id=3"))
+    done = SLP.compact(spark, base, initial, 2)
+    assert done["files"].exceptAll(cur["files"].select(*done["files"].columns)).isEmpty()
+    for t, got in SLP.current_tables(spark, base, initial).items():
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cur[t].select(got.columns).collect())), t
 
 
@@ -220,7 +270,8 @@ def test_scan_upsert_restore_end_to_end(spark, tmpdir_path):
     files = spark.createDataFrame([], SCHEMAS["files"])
     for system, mount in (("sys1", root), ("sys2", other_mount)):
         walked = L.walk_files(L.seeds_of(spark, [mount]), do_hash=True)
-        rows = SC.listing_rows(walked.where(SC.should_scan_file("path", [".jpg"])), mount, "test_dev", system)
+        dev = spark.createDataFrame([(mount, "test_dev")], "root string, device_uuid string")
+        rows = SC.listing_rows(walked.where(SC.should_scan_file("path", [".jpg"])), dev, system)
         batch = rows.select("device_uuid", F.col("rel_path").alias("path"), "system_id", "size", "hash",
                             "modified_time")
         files = U.upsert(files, batch, ["device_uuid", "path", "system_id"], ["size", "hash", "modified_time"],

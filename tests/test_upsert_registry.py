@@ -130,7 +130,7 @@ def test_longest_prefix_cases(spark):
                                    "mount_path string, uuid string")
     paths = spark.createDataFrame([(1, "/V/External/b"), (2, "/V/Extra"), (3, "/q"), (4, "/V//Ext/")],
                                   "id long, path string")
-    got = {r["id"]: (r["mount_path"], r["device_label"]) for r in longest_prefix_mount(paths, mounts, ["id"]).collect()}
+    got = {r["id"]: (r["mount_path"], r["device_label"]) for r in longest_prefix_mount(paths, mounts).collect()}
     assert got == {1: ("/V/External", "External"), 2: ("/V/Ext", "Ext"), 3: (None, None), 4: ("/V/Ext", "Ext")}
 
 
@@ -141,7 +141,7 @@ def test_longest_prefix_brute_force(spark):
     paths = ["/" + "".join(random.choice(alphabet) for _ in range(random.randint(0, 9))) for _ in range(300)]
     mdf = spark.createDataFrame([(m, f"u{i}") for i, m in enumerate(mounts)], "mount_path string, uuid string")
     pdf = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
-    got = {r["id"]: r["mount_path"] for r in longest_prefix_mount(pdf, mdf, ["id"]).collect()}
+    got = {r["id"]: r["mount_path"] for r in longest_prefix_mount(pdf, mdf).collect()}
 
     def norm(p):
         import re
@@ -184,8 +184,11 @@ def test_longest_prefix_shuffle_path_with_hot_mount(spark):
     paths = ["/" + "".join(random.choice("ab/") for _ in range(random.randint(0, 8))) for _ in range(400)]
     mdf = spark.createDataFrame([(m, f"u{i}") for i, m in enumerate(mounts)], "mount_path string, uuid string")
     pdf = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
-    out = longest_prefix_mount(pdf, mdf, ["id"], broadcast_max_rows=1)  # mount side "too big": shuffle join
-    got = {r["id"]: r["mount_path"] for r in out.collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # mount side "too big": shuffle joins
+    try:
+        got = {r["id"]: r["mount_path"] for r in longest_prefix_mount(pdf, mdf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     import re
 
     def norm(p):
