@@ -19,7 +19,7 @@ def epoch_to_timestamp(seconds: ColumnOrName) -> Column:
     """Epoch seconds -> UTC wall-clock ``timestamp_ntz``, to the microsecond.
 
     Computed as epoch + microseconds, so the result does not depend on the session zone."""
-    micros = (_c(seconds).cast("double") * 1_000_000).cast("bigint")
+    micros = F.rint(_c(seconds).cast("double") * 1_000_000).cast("bigint")  # half-even, as Python rounds
     return F.timestamp_add("MICROSECOND", micros, F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 

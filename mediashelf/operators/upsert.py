@@ -59,20 +59,19 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
     """``id = start_after + row_number() OVER (ORDER BY order_cols)`` without a
     single-partition window.
 
-    The rows are checkpointed first (so an expensive input, such as the upsert's join, is
-    computed once), then range-partitioned, sorted and numbered and checkpointed again:
-    range bounds come from sampling, which is not repeatable across executions, so the
-    numbered layout itself must be materialized before per-partition counts are taken.
+    The rows are range-partitioned, sorted and numbered, and that layout is checkpointed once:
+    range bounds come from sampling, which is not repeatable across executions, so it
+    must be materialized before per-partition counts are taken. (Sampling reads the input
+    a second time; the upsert's anti join is cheaper to repeat than its full rows are to write.)
     Every later read, also after an executor loss, sees the same ids. Each partition's row
     count (one small row per partition) gives its offset.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = cut_lineage(df)
-    sortable = [c for c, t in src.dtypes
+    sortable = [c for c, t in df.dtypes
                 if c not in order_cols and not t.startswith(("array", "map", "struct", "binary"))]
     cols = [F.col(c) for c in order_cols]
-    ranked = cut_lineage(src.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *sortable)
+    ranked = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *sortable)
                          .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
@@ -83,7 +82,7 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
         offsets.append(acc)
         acc += counts.get(p, 0)
     if not offsets:
-        return src.withColumn(id_col, F.lit(None).cast("bigint"))
+        return ranked.drop("_mid").withColumn(id_col, F.lit(None).cast("bigint"))
     off = F.array(*[F.lit(o).cast("bigint") for o in offsets])
     new_id = F.lit(start_after).cast("bigint") + F.element_at(off, (pid + 1).cast("int")) + pos + 1
     return ranked.withColumn(id_col, new_id).drop("_mid")

@@ -93,7 +93,7 @@ WITH base AS (
   SELECT 'host-' || CAST(s_nationkey % 8 AS VARCHAR) AS host,
     CASE WHEN s_nationkey % 8 <= 2 THEN 'Linux' WHEN s_nationkey % 8 <= 4 THEN 'Darwin'
          WHEN s_nationkey % 8 <= 6 THEN 'Windows' ELSE 'Plan9' END AS os,
-    TIMESTAMP '2024-01-01 00:00:00' AS captured_at, s_suppkey AS k,
+    TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (s_suppkey // 64) HOUR AS captured_at, s_suppkey AS k,
     CASE s_suppkey % 5
       WHEN 0 THEN '/dev/sda' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR) || ' /media/u/Disk ' || CAST(s_suppkey AS VARCHAR)
       WHEN 1 THEN '/dev/sdb' || CAST(s_suppkey AS VARCHAR) || ' U' || CAST(s_suppkey AS VARCHAR) || ' /boot'

@@ -108,13 +108,13 @@ def x26_video_analyses(spark, sf_dir):
 
 
 @register("X21_X27_X28_scalar_conversions", views=("image_analysis",), sql="""
-SELECT e.event_id, make_timestamp(CAST(e.event_id * 86400 AS BIGINT) * 1000000) AS from_epoch,
+SELECT e.event_id, make_timestamp(CAST(round_even((e.event_id * 86400 + e.value / 7) * 1000000, 0) AS BIGINT)) AS from_epoch,
   CAST(e.event_id % 2 AS BOOLEAN) AS flag, CAST(CAST(e.event_id % 2 AS BOOLEAN) AS INTEGER) AS flag_int
 FROM events e""")
 def x21_scalars(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
     flag = MM.to_flag(F.col("event_id") % 2)
-    return e.select("event_id", MM.epoch_to_timestamp(F.col("event_id") * 86400).alias("from_epoch"),
+    return e.select("event_id", MM.epoch_to_timestamp(F.col("event_id") * 86400 + F.col("value") / 7).alias("from_epoch"),
                     flag.alias("flag"), MM.flag_to_int(flag).alias("flag_int"))
 
 

@@ -259,7 +259,9 @@ def inventory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     win = F.concat(F.chr(65 + k % 20), F.lit(": \\\\?\\Volume{"), ks, F.lit("}\\"))
     os_ = _host_os(h)
     base = s.select(F.concat(F.lit("host-"), h.cast("string")).alias("host"), os_.alias("os"),
-                    F.lit(_INV_AT).cast("timestamp_ntz").alias("captured_at"), k.alias("k"),
+                    # a capture is one command's output: one per block of suppliers and host
+                    F.timestamp_add("HOUR", F.floor(k / 64).cast("int"), F.lit(_INV_AT).cast("timestamp_ntz"))
+                    .alias("captured_at"), k.alias("k"),
                     linux.alias("linux"), win.alias("win"), *[m.alias(f"mac{i}") for i, m in enumerate(mac)])
     out = None
     for i in range(4):
