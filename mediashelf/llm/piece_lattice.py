@@ -3,16 +3,19 @@
 Texts are cut into words at the meta space (no piece of a valid model crosses that cut), and each
 distinct word of the corpus is segmented once:
 
-1. documents are packed into blocks; each block sends its distinct words;
-2. the lattice: every distinct word's substrings up to the longest piece are exploded and
-   equi-joined to the piece table (broadcast: its size is the vocabulary's), and the matching
-   edges are grouped by word, where the words already lie;
-3. the fold over a word's edges. For a unigram model it is Viterbi by Spark's ``aggregate``. For a BPE
-   model the best path of summed scores is not the model's segmentation, which is defined by
-   merging the best adjacent pair again and again; its fold does that over the same edges;
+1. documents are packed into blocks; each block sends its distinct words to their buckets;
+2. the lattice: every distinct word's substrings up to the longest piece meet the piece table
+   (broadcast: its size is the vocabulary's) in an equi-join, and the matching edges are grouped by word;
+3. the fold over a word's edges;
 4. words return to the blocks that hold them, and blocks look their words up.
 
-Characters without a piece become byte pieces, or the unknown piece where the model has none.
+For a unigram model, 2 and 3 are DataFrame operations: ``lattice`` explodes, joins and groups, and
+``viterbi`` folds with Spark's ``aggregate``. For a BPE model the best path of summed scores is not the
+model's segmentation, which is defined by merging the best adjacent pair again and again; that fold,
+and its lattice, run on whole buckets of words as arrays (``bpe_bucket``), because the row form
+exceeded the limits on disk and CPU time (figures in the README).
+
+Blocks name words by 64-bit hashes. Characters without a piece become byte pieces, or the unknown piece where the model has none.
 ``decode`` reverses the encoding exactly, up to meta space characters written literally in a text,
 which the model itself cannot tell from spaces.
 
@@ -26,26 +29,26 @@ not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import read_table
-from ._common import register
+from ._common import PASS_BYTES, mix64, powers, register
+from .suffix_dedup import pack, unpack
 
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A word: meta spaces with what follows them, or a line break (which is in no piece).
 WORD = re.compile(f"{META}*[^{META}\n]+|{META}+|\n")
 #: Bytes of text in a block of documents, and in a bucket of distinct words at most.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 class Pieces:
@@ -56,6 +59,13 @@ class Pieces:
         if any(META in p.lstrip(META) for p in table) or any("\n" in p and p != "\n" for p in table):
             raise ValueError("pieces that cross words are not supported")
         self.longest = max(map(len, table), default=1)
+        self._arrays: PieceArrays | None = None
+
+    def arrays(self) -> "PieceArrays":
+        """The table by length, built once in each worker."""
+        if self._arrays is None:
+            self._arrays = PieceArrays(self)
+        return self._arrays
 
     @classmethod
     def read(cls, path: str = MODEL) -> "Pieces":
@@ -76,63 +86,112 @@ class Pieces:
 
 
 def split(text: str | None) -> list[str]:
+    """Words of a text, with meta spaces for spaces."""
     return WORD.findall(META + text.replace(" ", META)) if text else []
 
 
 # ---------------------------------------------------------------- blocks of documents
 
-def _packed(strings: list[str]) -> bytes:
-    data = [s.encode() for s in strings]
-    head = np.array([len(data), *map(len, data)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(data))
-
-
-def _unpacked(blob: bytes) -> list[str]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 * (n + 1)
-    begin, out = 4 * (n + 1), []
-    for e in ends.tolist():
-        out.append(data[begin:e].decode())
-        begin = e
-    return out
-
-
 def pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(block, ids, texts)``: a batch's documents of each block, texts compressed."""
+    """Rows ``(block, ids, sizes, texts)``: a batch's documents of each block. A text that is not
+    empty is preceded by the space that the model puts there; all texts are one compressed value."""
+    zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         block = batch.column(0).to_numpy()
         order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else []
-        for part in np.split(order, cuts[1:]) if len(order) else []:
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for part in np.split(order, cuts) if len(order) else []:
             rows = batch.take(pa.array(part))
-            texts = [t or "" for t in rows.column(2).to_pylist()]
+            texts = [b" " + t.replace(META, " ").encode() if t else b"" for t in rows.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block[part[0]])], pa.int32()), pa.array([rows.column(1).to_pylist()], pa.list_(pa.int64())),
-                 pa.array([_packed(texts)], pa.binary())], names=["block", "ids", "texts"])
+                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                 pa.array([zip_.compress(b"".join(texts))], pa.binary())], names=["block", "ids", "sizes", "texts"])
+
+
+def packed_texts(sizes: pa.Array, blob: pa.Scalar) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Texts of a packed row in pieces of about ``PASS_BYTES``: bytes and offsets."""
+    data = zstandard.ZstdDecompressor().decompress(blob.as_py())
+    offsets = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())]).astype(np.int64)
+    at = 0
+    while at < len(offsets) - 1:
+        to = min(len(offsets) - 1, max(at + 1, int(np.searchsorted(offsets, offsets[at] + PASS_BYTES, "right")) - 1))
+        yield data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        at = to
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit name, first and end byte of every word: a word begins with a text, at a line break,
+    after one, and at a space that follows no space."""
+    empty = np.empty(0, np.int64)
+    if not len(raw):
+        return np.empty(0, np.uint64), empty, empty
+    first = raw == 0x20
+    first[1:] &= ~first[:-1]
+    line = raw == 0x0A
+    first |= line
+    first[1:] |= line[:-1]
+    first[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    start = np.flatnonzero(first)
+    end = np.append(start[1:], len(raw))
+    power, inverse = powers(len(raw))
+    values = (raw.astype(np.uint64) + np.uint64(1)) * power
+    return mix64(np.add.reduceat(values, start) * inverse[start]), start, end
 
 
 def block_words(table: pa.Table, buckets: int) -> pa.Table:
-    """The block's distinct words, packed per word bucket."""
-    words: set[str] = set()
-    for blob in table.column("texts"):
-        for text in _unpacked(blob.as_py()):
-            words.update(split(text))
-    parts: dict[int, list[str]] = {}
-    for w in words:
-        parts.setdefault(crc32(w.encode()) % buckets, []).append(w)
+    """The block's distinct words, packed per word bucket in the order of their names."""
+    names, words = [np.empty(0, np.uint64)], []
+    known = names[0]
+    for sizes, blob in zip(table.column("sizes"), table.column("texts")):
+        for data, offsets in packed_texts(sizes, blob):
+            h, start, end = word_bounds(np.frombuffer(data, np.uint8), offsets)
+            h, at = np.unique(h, return_index=True)
+            new = ~np.isin(h, known, assume_unique=True)
+            at = at[new]
+            names.append(h[new])
+            known = np.concatenate([known, h[new]])
+            words += [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+    name = np.concatenate(names)
+    bucket = (name % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((name, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = [(int(k), _packed([words[i] for i in order[cuts[k]:cuts[k + 1]].tolist()])) for k in np.flatnonzero(np.diff(cuts))]
     block = table.column("block")[0].as_py() if table.num_rows else 0
-    return pa.table({"bucket": pa.array(list(parts), pa.int32()), "block": pa.array([block] * len(parts), pa.int32()),
-                     "words": pa.array([_packed(sorted(p)) for p in parts.values()], pa.binary())})
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
+                     "words": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def bucket_words(table: pa.Table) -> pa.Table:
-    """Each distinct word of a bucket with the blocks that hold it."""
-    blocks: dict[str, list[int]] = {}
-    for block, blob in zip(table.column("block").to_pylist(), table.column("words")):
-        for w in _unpacked(blob.as_py()):
-            blocks.setdefault(w, []).append(block)
-    return pa.table({"word": pa.array(list(blocks), pa.string()), "blocks": pa.array(list(blocks.values()), pa.list_(pa.int32()))})
+def _packed(words: list[bytes]) -> bytes:
+    head = np.array([len(words), *map(len, words)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(words))
+
+
+def _unpacked(blob: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[:4], "little")
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
+
+
+def bucket_words(table: pa.Table) -> tuple[list[str], list[tuple[int, np.ndarray]]]:
+    """Distinct words of a bucket, and each block's words as positions in them."""
+    index: dict[bytes, int] = {}
+    held = [(block, np.array([index.setdefault(w, len(index)) for w in _unpacked(blob.as_py())], np.int64))
+            for block, blob in zip(table.column("block").to_pylist(), table.column("words"))]
+    return [w.decode(errors="replace").replace(" ", META) for w in index], held
+
+
+def word_rows(table: pa.Table) -> pa.Table:
+    """The bucket's words as rows, each with the ``(block, place)`` that hold it."""
+    words, held = bucket_words(table)
+    bucket = table.column("bucket")[0].as_py()
+    blocks: list[list[dict]] = [[] for _ in words]
+    for block, at in held:
+        for place, i in enumerate(at.tolist()):
+            blocks[i].append({"bucket": bucket, "block": block, "place": place})
+    kind = pa.list_(pa.struct([("bucket", pa.int32()), ("block", pa.int32()), ("place", pa.int32())]))
+    return pa.table({"word": pa.array(words, pa.string()), "blocks": pa.array(blocks, kind)})
 
 
 # ---------------------------------------------------------------- lattice and folds
@@ -191,44 +250,97 @@ def viterbi(word: Column, edges: Column, unknown: Column) -> Column:
                        back, lambda s: s["path"])
 
 
-def merge(n: int, edges: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """BPE fold: symbols ``(start, end)`` left when the adjacent pair with the best score (ties: the
-    leftmost) whose union is an edge has been merged until no pair is one."""
-    end, prev = list(range(1, n + 1)), list(range(-1, n - 1))  # by the symbol's start
-    heap: list[tuple[float, int, int, int]] = []
-
-    def offer(a: int) -> None:
-        b = end[a]
-        if b < n and (score := edges.get((a, end[b]))) is not None:
-            heapq.heappush(heap, (-score, a, b, end[b]))
-    for i in range(n - 1):
-        offer(i)
-    alive = [True] * n
-    while heap:
-        _, a, b, c = heapq.heappop(heap)
-        if not alive[a] or end[a] != b or not alive[b] or end[b] != c:
-            continue
-        alive[b] = False
-        end[a] = c
-        if c < n:
-            prev[c] = a
-        offer(a)
-        if prev[a] >= 0:
-            offer(prev[a])
-    return [(a, end[a]) for a in range(n) if alive[a]]
-
-
-def bpe_ids(word: str, starts: list, ends: list, scores: list, ids: list, pieces: Pieces) -> list[int]:
-    edges = dict(zip(zip(starts, ends), scores))
-    at = dict(zip(zip(starts, ends), ids))
-    out: list[int] = []
-    for s in merge(len(word), edges):
-        i = at.get(s)
-        if i is None:
-            out += pieces.fallback(word[s[0]:s[1]])
-        else:
-            out.append(i)
-    return out
+class PieceArrays:
+    """The piece table by length: sorted substring hashes with the pieces' ids and score ranks."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, pieces: Pieces):
+        order = {x: r for r, x in enumerate(sorted({s for _, s in pieces.table.values()}, reverse=True))}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(p) for p in pieces.table}):
+            own = [(p, i, order[s]) for p, (i, s) in pieces.table.items() if len(p) == n]
+            h = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                h = self.step(h, np.array([ord(p[k]) for p, _, _ in own], np.uint64))
+            by = np.argsort(h)
+            self.by_length[n] = (h[by], np.array([i for _, i, _ in own], np.int64)[by],
+                                 np.array([r for _, _, r in own], np.int64)[by])
+
+    @staticmethod
+    def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return mix64(h + c + np.uint64(1))
+
+    def edges(self, points: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id and score rank of the piece that starts at each character and has each length
+        (``(characters, longest + 1)``; -1 and ``NONE`` without one). ``end``: end of the character's word."""
+        longest = max(self.by_length)
+        ids = np.full((len(points), longest + 1), -1, np.int32)
+        ranks = np.full((len(points), longest + 1), self.NONE, np.int32)
+        at = np.arange(len(points))
+        h = np.zeros(len(points), np.uint64)
+        for n in range(1, longest + 1):  # substrings of n characters, inside their word
+            inside = at + n <= end[at]
+            at, h = at[inside], h[inside]
+            h = self.step(h, points[at + n - 1].astype(np.uint64))
+            if n in self.by_length:
+                table, piece, rank = self.by_length[n]
+                k = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                hit = np.flatnonzero(table[k] == h)
+                ids[at[hit], n], ranks[at[hit], n] = piece[k[hit]], rank[k[hit]]
+        return ids, ranks
+
+
+def merge_words(ranks: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """BPE fold over many words at once: end of the symbol that starts at each character, 0 where
+    none does. ``ranks`` as from ``PieceArrays.edges``, ``word`` numbers each character's word."""
+    n, longest = len(word), ranks.shape[1] - 1
+    to = np.arange(1, n + 1)
+    start = np.arange(n)  # symbols of the words still at work, in order
+    while len(start):
+        follows = np.flatnonzero(to[start] < end[start])  # symbols with a neighbour in their word
+        a = start[follows]
+        c = to[to[a]]
+        length = c - a
+        rank = np.full(len(a), PieceArrays.NONE, np.int64)
+        short = length <= longest
+        rank[short] = ranks[a[short], length[short]]
+        some = np.flatnonzero(rank < PieceArrays.NONE)
+        if not len(some):
+            break
+        a, c, rank = a[some], c[some], rank[some]
+        first = np.flatnonzero(np.concatenate([[True], word[a[1:]] != word[a[:-1]]]))
+        best = np.minimum.reduceat((rank << 32) | a, first)  # best score, then leftmost
+        a = (best & 0xFFFFFFFF).astype(np.int64)
+        b = to[a]
+        to[a] = to[b]
+        to[b] = 0
+        busy = np.zeros(word[-1] + 1, bool)
+        busy[word[a]] = True
+        start = start[busy[word[start]] & (to[start] > 0)]
+    return to
+
+
+def bpe_bucket(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, one after the other, and the number of each word's ids."""
+    size = np.array([len(w) for w in words], np.int64)
+    text = "".join(words)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    word = np.repeat(np.arange(len(words)), size)
+    end = np.repeat(np.cumsum(size), size)
+    ids, ranks = pieces.arrays().edges(points, end)
+    to = merge_words(ranks, end, word)
+    start = np.flatnonzero(to)
+    found = ids[start, np.minimum(to[start] - start, ids.shape[1] - 1)].astype(np.int64)
+    count = np.ones(len(start), np.int64)
+    odd = np.flatnonzero(found < 0)  # characters without a piece
+    spelled = {i: pieces.fallback(text[start[i]:to[start[i]]]) for i in odd.tolist()}
+    count[odd] = [len(spelled[i]) for i in odd.tolist()]
+    out = np.repeat(found, count)
+    first = np.cumsum(count) - count
+    for i, v in spelled.items():
+        out[first[i]:first[i] + len(v)] = v
+    return out, np.bincount(word[start], count, minlength=len(words)).astype(np.int64)
 
 
 def path_ids(word: str, path: list[dict], pieces: Pieces) -> list[int]:
@@ -240,54 +352,49 @@ def path_ids(word: str, path: list[dict], pieces: Pieces) -> list[int]:
     return out
 
 
-def _replies(words: list[str], blocks: list[list[int]], ids: list[list[int]]) -> pa.RecordBatch:
-    """Words with their ids, packed per block."""
-    of: dict[int, list[int]] = {}
-    for i, b in enumerate(blocks):
-        for x in b:
-            of.setdefault(x, []).append(i)
-    packed, sizes = [], []
-    for rows in of.values():
-        packed.append(_packed([words[i] for i in rows]))
-        flat = np.array([v for i in rows for v in (len(ids[i]), *ids[i])], "<u4")
-        sizes.append(zstandard.ZstdCompressor(level=3).compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())],
-                                      names=["block", "words", "ids"])
+def answer_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]], ids: np.ndarray, size: np.ndarray) -> pa.Table:
+    """``(block, bucket, places, words)`` with the words' ids packed."""
+    first = np.cumsum(size) - size
+    return pa.table({
+        "block": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
+        "ids": pa.array([pack(place, size[i], ids[spread(first[i], size[i])]) for _, _, place, i in rows], pa.binary())})
+
 
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs that start at ``first`` and have ``size`` elements, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-def encode_block(docs: pa.Table, replies: pa.Table) -> pa.Table:
+
+def encode_block(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Ids of a block's documents from its words' ids."""
-    index: dict[str, int] = {}
-    sizes, flat = [], []
-    for words, ids in zip(replies.column("words"), replies.column("ids")):
-        for w in _unpacked(words.as_py()):
-            index[w] = len(index)
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids.as_py()), np.uint8).reshape(4, -1)
-        values = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-        at = 0
-        while at < len(values):
-            n = int(values[at])
-            sizes.append(n)
-            flat.append(values[at + 1:at + 1 + n])
-            at += n + 1
-    size = np.array(sizes, np.int64)
-    ids = np.concatenate(flat).astype(np.int32) if flat else np.empty(0, np.int32)
-    first = np.cumsum(size) - size
-    out_id, out = [], []
-    for doc_ids, blob in zip(docs.column("ids").to_pylist(), docs.column("texts")):
-        found, counts = [], []
-        for text in _unpacked(blob.as_py()):
-            words = split(text)
-            found.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-            counts.append(size[found[-1]].sum())
-        w = np.concatenate(found) if found else np.empty(0, np.int64)
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for sizes, blob in zip(docs.column("sizes"), docs.column("texts")):
+            for data, offsets in packed_texts(sizes, blob):
+                yield (*word_bounds(np.frombuffer(data, np.uint8), offsets)[:2], offsets)
+    # names are made twice rather than kept: a piece of text at a time is in memory
+    name = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(h) for h, _, _ in pieces())]))
+    # the words' order: by bucket, then by name; answers come in places within their bucket
+    bucket = (name % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((name, bucket))
+    begin = np.searchsorted(bucket[order], np.arange(buckets))
+    size, first, parts, total = np.full(len(name), -1, np.int64), np.zeros(len(name), np.int64), [np.empty(0, np.int64)], 0
+    for k, blob in zip(answers.column("bucket").to_pylist(), answers.column("ids")):
+        place, n, ids = (x.astype(np.int64) for x in unpack(blob.as_py()))
+        word = order[begin[k] + place]
+        size[word], first[word] = n, total + np.cumsum(n) - n
+        parts.append(ids)
+        total += len(ids)
+    if (size < 0).any():
+        raise RuntimeError("a block's words came back incomplete")
+    ids = np.concatenate(parts).astype(np.int32)
+    out = []
+    for h, start, offsets in pieces():
+        w = np.searchsorted(name, h)
         n = size[w]
-        places = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[places])))
-        out_id += doc_ids
-    return pa.table({"doc_id": pa.array(out_id, pa.int64()),
-                     "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+        ends = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offsets, "left")].astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[spread(first[w], n)])))
+    doc_ids = docs.column("ids").combine_chunks().flatten()
+    return pa.table({"doc_id": doc_ids, "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
 
 
 def encode(docs: DataFrame, model: str = MODEL, fold: str = "bpe", id_col: str = "doc_id", text_col: str = "text",
@@ -302,56 +409,70 @@ def encode(docs: DataFrame, model: str = MODEL, fold: str = "bpe", id_col: str =
     packed = docs.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        pack_docs, "block int, ids array<long>, texts binary")
-    words = (packed.groupBy("block").applyInArrow(lambda t: block_words(t, buckets), "bucket int, block int, words binary")
-             .groupBy("bucket").applyInArrow(bucket_words, "word string, blocks array<int>"))
-    table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
-    grouped = lattice(words, table, pieces.longest)
-    if fold == "unigram":
+        pack_docs, "block int, ids array<long>, sizes array<long>, texts binary")
+    words = packed.groupBy("block").applyInArrow(
+        lambda t: block_words(t, buckets), "bucket int, block int, words binary").groupBy("bucket")
+    answer = "block int, bucket int, ids binary"
+    if fold == "bpe":
+        def bpe(table: pa.Table) -> pa.Table:
+            names, held = bucket_words(table)
+            bucket = table.column("bucket")[0].as_py()
+            return answer_rows([(b, bucket, np.arange(len(at)), at) for b, at in held], *bpe_bucket(names, shared.value))
+        answers = words.applyInArrow(bpe, answer)
+    else:
+        table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.table.items()],
+                                      "piece string, id int, score double")
         low = min((s for _, s in pieces.table.values()), default=0.0) - 10.0
-        grouped = grouped.select("word", "blocks", viterbi(F.col("word"), F.col("edges"), F.lit(low)).alias("path"))
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if fold == "unigram":
-                ids = [path_ids(w, p, shared.value) for w, p in zip(words, batch.column(2).to_pylist())]
-            else:
-                edges = batch.column(2)
-                cut = edges.offsets.to_pylist()
-                values = edges.values
-                cols = [values.field(k).to_pylist() for k in ("start", "end", "score", "id")]
-                ids = [bpe_ids(w, *(c[a:b] for c in cols), shared.value) for w, a, b in zip(words, cut, cut[1:])]
-            yield _replies(words, blocks, ids)
-    replies = grouped.mapInArrow(folded, "block int, words binary, ids binary")
-    return (packed.groupBy("block").cogroup(replies.groupBy("block"))
-            .applyInArrow(encode_block, "doc_id long, ids array<int>"))
+        grouped = lattice(words.applyInArrow(
+            word_rows, "word string, blocks array<struct<bucket: int, block: int, place: int>>"), table, pieces.longest)
+        paths = grouped.select("word", "blocks", viterbi(F.col("word"), F.col("edges"), F.lit(low)).alias("path"))
+
+        def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                ids = [path_ids(w, p, shared.value) for w, p in zip(names, batch.column(2).to_pylist())]
+                of: dict[tuple[int, int], list] = {}
+                for i, held in enumerate(batch.column(1).to_pylist()):
+                    for x in held:
+                        of.setdefault((x["block"], x["bucket"]), []).append((x["place"], i))
+                rows = [(*key, *np.array(at, np.int64).T) for key, at in of.items()]
+                flat = np.array([v for x in ids for v in x], np.int64)
+                yield from answer_rows(rows, flat, np.array([len(x) for x in ids], np.int64)).to_batches()
+        answers = paths.mapInArrow(spelled, answer)
+    return (packed.groupBy("block").cogroup(answers.groupBy("block"))
+            .applyInArrow(lambda d, a: encode_block(d, a, buckets), "doc_id long, ids array<int>"))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", pieces: Pieces | None = None) -> DataFrame:
     """``encoded`` with the column ``text`` read back from the ids; unknown ids give U+FFFD."""
     pieces = pieces or Pieces.read(model)
-    values = [n.encode() for n in pieces.names]
+    values = [n.replace(META, " ").encode() for n in pieces.names]
     for b, i in pieces.byte_ids.items():
         values[i] = bytes([b])
-    for i in range(len(values)):
-        if i not in pieces.byte_ids.values() and pieces.names[i] not in pieces.table:
-            values[i] = b"" if i != pieces.unknown else "�".encode()
+    for i, n in enumerate(pieces.names):
+        if i not in pieces.byte_ids.values() and n not in pieces.table:
+            values[i] = b"" if i != pieces.unknown else "\ufffd".encode()
     shared = encoded.sparkSession.sparkContext.broadcast(values)
     base = encoded.drop("text")
     at = base.columns.index(ids_col)
-    from pyspark.sql.types import StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = shared.value
-        for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                data = b"".join(map(values.__getitem__, ids.values.to_pylist())) if ids.is_valid else b""
-                text = data.decode(errors="replace").replace(META, " ")
-                texts.append(text[1:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, "text"])
+        data = np.frombuffer(b"".join(values), np.uint8)
+        size = np.array([len(v) for v in values], np.int64)
+        first = np.cumsum(size) - size
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                lists = batch.column(at)
+                ids = lists.flatten().to_numpy()
+                ends = np.cumsum([len(x) if x.is_valid else 0 for x in lists])
+                n = size[ids]
+                raw = data[spread(first[ids], n)].tobytes()
+                cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends]).astype(np.int64)].tolist()
+                texts = [raw[x + raw.startswith(b" ", x, y):y].decode(errors="replace") for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+                                                 names=[*batch.schema.names, "text"])
     return base.mapInArrow(run, StructType(base.schema.fields[:]).add("text", "string"))
 
 
