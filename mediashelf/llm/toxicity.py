@@ -233,20 +233,19 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", k
         return flat
     raw, offsets = utf8(table.column("text"))
     slots, doc, _, _ = words(raw, offsets)
-    size = 1 << SLOT_BITS
     # labels: features far more frequent in toxic documents
     hit = np.zeros(len(doc), bool)
     for i in range(slots.shape[1]):
-        pair = np.unique(doc.astype(np.int64) * size + slots[:, i])
-        of, slot = pair // size, pair % size
-        pos = np.bincount(slot[toxic[of]], minlength=size)
-        neg = np.bincount(slot[~toxic[of]], minlength=size)
+        used, slot = np.unique(slots[:, i], return_inverse=True)
+        pair = np.unique(doc.astype(np.int64) * len(used) + slot)
+        of, own = pair // len(used), pair % len(used)
+        pos = np.bincount(own[toxic[of]], minlength=len(used))
+        neg = np.bincount(own[~toxic[of]], minlength=len(used))
         ratio = ((pos + 0.5) / (toxic.sum() + 1)) / ((neg + 0.5) / ((~toxic).sum() + 1))
         n, q = np.maximum(pos + neg, 1), toxic.mean()
         p = np.clip(pos / n, 1e-9, 1 - 1e-9)
         surprise = n * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q)))
-        sure = surprise > np.log(max(1, (pos + neg > 0).sum()) / MARK_LEVEL)
-        hit |= (sure & (ratio >= MARK_RATIO))[slots[:, i]]
+        hit |= ((surprise > np.log(len(used) / MARK_LEVEL)) & (ratio >= MARK_RATIO))[slot]
     hit &= toxic[doc]
     at = _windows(slots, doc, hit, toxic)
     if not hit.any() or not len(at):
