@@ -24,8 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group linked by five-word shingles at a similarity of 0.8: the one with
     the smallest id, once. Documents without an id stay."""
     found = staged(parity_join.jaccard_components(docs))
-    drop = found.where("doc_id != component_id").select("doc_id")
-    kept = docs.join(drop.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    drop = staged(found.where("doc_id != component_id").select("doc_id").distinct())
+    few = drop.count() * 8 <= parity_join.BROADCAST_BYTES
+    kept = docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept

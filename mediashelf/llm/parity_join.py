@@ -14,9 +14,10 @@ on empty parts too, which can matter only between two of them. Candidates are ve
 whole sets. Nothing is capped.
 
 Links are not expanded into all pairs: identical sets are one class; in each bucket
-members are verified against its smallest member; only in buckets that then still hold several
-components, members of different ones are compared by fine parity sketches (their Hamming distance
-lower-bounds the difference, too), in blocks within a task, and just the pairs that pass are verified.
+members meet its smallest member; only in buckets that then still hold several components,
+members of different ones are compared by fine parity sketches, in blocks within a task. Pairs that the
+Hamming distance (a lower bound of the difference) does not rule out are verified, the closest first, in growing numbers
+until none is left between two components of a bucket.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; repeated
 rows of one id count as one document; a null id gets its size and a null component; empty tables
@@ -37,8 +38,12 @@ from pyspark.sql import functions as F
 from ..session import read_table
 from ._common import connected_components, mix64, passes, register, shingle_hashes, staged, word_hashes
 
-#: Key rows packed into one row of the staged table.
-PACK = 8192
+#: Key rows that leave a task together.
+PACK = 1 << 16
+#: Buckets up to this size are compared together.
+SMALL = 64
+#: Pairs that a member of an open bucket offers per other component at first.
+CLOSEST = 8
 #: Members of a bucket that one task compares with as many others.
 BUCKET_ROWS = 4096
 #: Largest table of ids that is broadcast (bytes, from its exact count).
@@ -101,53 +106,53 @@ def doc_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
 
 
-_SKETCHED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()),
-                       ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+def doc_digests(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, n, d1, d2)``: size and 128-bit digest of each document's shingle set."""
+    for batch in batches:
+        for rows, raw, offsets in passes(batch):
+            out = [(len(s), *_digest(s)) for s in doc_sets(raw, offsets, n)]
+            cols = [pa.array(np.array(c, dtype=np.uint64).astype(np.int64)) for c in zip(*out)]
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *cols], names=["doc_id", "n", "d1", "d2"])
 
 
-def _packed(kind: int, keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), PACK * 64):
-        k, d = (x[at:at + PACK * 64].astype(np.int64) for x in (keys, docs))
-        ends = np.minimum(np.arange(0, len(k) + PACK, PACK), len(k))
-        ends = ends[:1 + -(-len(k) // PACK)].astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (k, d)]
-        nulls = [pa.nulls(len(lists[0]), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(lists[0]), kind, np.int32)), *nulls, *lists], schema=_SKETCHED)
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    return (int(np.bitwise_xor.reduce(mix64(s + np.uint64(1)))),
+            int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
 
 
-def sketch_docs(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """One row per document (kind 0: size and 128-bit digest of its set) and its join keys.
+def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Join keys of a task's documents as ``(part, key, node)``.
 
-    Within the task, sets already seen give no keys, and a key met by several documents goes
-    on once (kind 1, its smallest document) with its members beside it (kind 2)."""
+    Within the task, sets already seen give no keys, and a key that several documents have goes to
+    its partition once (``part`` is the key and ``key`` null, for the smallest document); all its members go beside it,
+    spread by a hash (``key`` set), so that a key of very many documents loads no partition."""
     seen: dict[tuple[int, int, int], int] = {}
     all_keys, all_docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for batch in batches:
         for rows, raw, offsets in passes(batch):
-            ids = rows.column(0)
-            out = []
-            for doc, s in zip(ids.to_pylist(), doc_sets(raw, offsets, n)):
-                d1 = int(np.bitwise_xor.reduce(mix64(s + np.uint64(1)))) if len(s) else 0
-                d2 = int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))) if len(s) else 0
-                out.append((len(s), d1, d2))
-                if len(s) and doc is not None and seen.setdefault((len(s), d1, d2), doc) == doc:
+            for doc, s in zip(rows.column(0).to_pylist(), doc_sets(raw, offsets, n)):
+                if len(s) and doc is not None and seen.setdefault((len(s), *_digest(s)), doc) == doc:
                     keys = part_keys(s, num, den)
                     all_keys.append(keys)
                     all_docs.append(np.full(len(keys), doc, np.int64))
-            cols = [pa.array(np.array(c, dtype=np.uint64).astype(np.int64)) for c in zip(*out)]
-            none = pa.nulls(len(out), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(out), np.int32)), ids.cast(pa.int64()), *cols, none, none], schema=_SKETCHED)
     keys, docs = np.concatenate(all_keys), np.concatenate(all_docs)
+    del all_keys, all_docs
     if not len(keys):
         return
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    yield from _packed(1, keys[first], docs[first])
     many = _in_groups(keys, docs)
-    yield from _packed(2, keys[many], docs[many])
+    for at in range(0, len(keys), PACK):
+        f, m = first[at:at + PACK], many[at:at + PACK]
+        k, d = keys[at:at + PACK], docs[at:at + PACK]
+        part = np.concatenate([k[f], mix64(k[m] ^ mix64(d[m].astype(np.uint64)))]).astype(np.int64)
+        key = np.concatenate([np.zeros(f.sum(), np.int64), k[m].astype(np.int64)])
+        local = np.repeat([True, False], [f.sum(), m.sum()])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(key, mask=local), pa.array(np.concatenate([d[f], d[m]]))], names=["part", "key", "node"])
 
 
 def _in_groups(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -158,11 +163,15 @@ def _in_groups(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a key partition whose key has several documents."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    keys, docs = (np.concatenate(x) for x in zip(*got))
+    """``(key, node)`` of a partition: keys of several documents, and rows known to be such."""
+    parts, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in batches:
+        known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        part, key, node = (batch.column(c).fill_null(0).to_numpy() for c in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(node[known])], names=["key", "node"])
+        parts.append(part[~known])
+        nodes.append(node[~known])
+    keys, docs = np.concatenate(parts), np.concatenate(nodes)
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     if len(keys):
@@ -186,42 +195,111 @@ def fine_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """``(node, n, sketch, hashes)``: fine sketch and whole shingle set (sorted 64-bit values)."""
+def shingle_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """``(node, hashes)``: the whole shingle set of each document as sorted 64-bit values."""
+    for batch in batches:
+        for rows, raw, offsets in passes(batch):
+            sets = [s.tobytes() for s in doc_sets(raw, offsets, n)]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+
+def fine_sketches(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """``(node, n, sketch)``: size and fine parity sketch of each document's shingle set."""
     for batch in batches:
         for rows, raw, offsets in passes(batch):
             sets = doc_sets(raw, offsets, n)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([fine_sketch(s, sketch_words(len(s), num, den)).tobytes() for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "sketch", "hashes"])
+                 pa.array([fine_sketch(s, sketch_words(len(s), num, den)).tobytes() for s in sets], pa.binary())],
+                names=["node", "n", "sketch"])
 
 
-def near_in_bucket(table: pa.Table, num: int, den: int) -> pa.Table:
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both sizes and sketches, those that the Hamming distance does not rule out."""
+    for batch in batches:
+        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        keep = np.minimum(n, m) * den >= np.maximum(n, m) * num
+        most = (n + m) * (den - num) // (den + num)
+        for i in np.flatnonzero(keep).tolist():
+            x, y = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (4, 5))
+            words = min(len(x), len(y))
+            keep[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= most[i]
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Table:
+    """``near_in_bucket`` for all buckets of a group. The many small ones are compared together,
+    neighbour by neighbour, with all their pairs; the others one at a time."""
+    table = table.sort_by([("key", "ascending"), ("node", "ascending")])
+    key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "c", "n"))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    found, more = [np.empty((0, 2), np.int64)], False
+    for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        out = near_in_bucket(table.slice(a, m), num, den, closest)
+        found.append(np.stack([out.column("a").to_numpy(), out.column("b").to_numpy()], 1))
+        more |= bool(out.num_rows and out.column("more")[0].as_py())
+    rows = np.flatnonzero(np.repeat(size <= SMALL, size))
+    key, node, comp, n = key[rows], node[rows], comp[rows], n[rows]
+    raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch").combine_chunks().take(pa.array(rows))]
+    words = np.array([len(r) for r in raw], np.int64)
+    sketch = {int(w): np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw])
+              for w in np.unique(words)}
+    for t in range(1, SMALL):  # every member with the t-th after it in its bucket
+        i = np.flatnonzero(key[t:] == key[:-t]) if t < len(key) else np.empty(0, np.int64)
+        if not len(i):
+            break
+        j = i + t
+        ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        i, j = i[ok], j[ok]
+        most, least = (n[i] + n[j]) * (den - num) // (den + num), np.minimum(words[i], words[j])
+        for w, x in sketch.items():
+            for at in np.array_split(np.flatnonzero(least == w), 1 + len(i) * w // (1 << 21)):
+                d = np.bitwise_count(x[i[at]] ^ x[j[at]]).sum(axis=1, dtype=np.int64)
+                k = at[d <= most[at]]
+                found.append(np.stack([node[i[k]], node[j[k]]], 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": np.full(len(pairs), more)})
+
+
+def near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> pa.Table:
     """Pairs of a bucket's members in different components whose fine sketches differ in no more
-    bits than linked sets of their sizes can. Members of the largest component meet only others."""
+    bits than linked sets of their sizes can: for each member outside the largest component and each other
+    component the ``closest`` ones. ``more`` says that there are others."""
     node, comp = table.column("node").to_numpy(), table.column("c").to_numpy()
-    side = table.column("side").to_numpy()
-    n = table.column("n").to_numpy()
+    side, n = table.column("side").to_numpy(), table.column("n").to_numpy()
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch")]
     words = min(map(len, raw), default=1)
-    x = np.stack([np.bitwise_xor.reduce(r.reshape(-1, words), axis=0) for r in raw]) if raw else np.empty((0, 1), np.uint64)
+    x = np.stack([folded(r, words) for r in raw]) if raw else np.empty((0, 1), np.uint64)
     names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     few = np.flatnonzero(at != sizes.argmax()) if len(names) else np.empty(0, np.int64)
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    pairs, more = [np.empty((0, 2), np.int64)], False
     step = max(1, (1 << 22) // max(1, x.size))
     for k in range(0, len(few), step):
         i = few[k:k + step]
-        most = (n[i][:, None] + n) * (den - num) // (den + num)
         ok = (comp[i][:, None] != comp) & ((side[i][:, None] != side) | (side[i][:, None] == 2))
         ok &= (np.minimum(n[i][:, None], n) * den >= np.maximum(n[i][:, None], n) * num)
         r, c = np.nonzero(ok)
-        r, c = r[(d := np.bitwise_count(x[i[r]] ^ x[c]).sum(axis=1) <= most[r, c])], c[d]
-        out_a.append(node[i[r]])
-        out_b.append(node[c])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        d = np.bitwise_count(x[i[r]] ^ x[c]).sum(axis=1)
+        near = d <= (n[i[r]] + n[c]) * (den - num) // (den + num)
+        r, c, d = r[near], c[near], d[near]
+        order = np.lexsort((node[c], d, at[c], r))
+        r, c = r[order], c[order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (at[c[1:]] != at[c[:-1]])])[:len(r)]
+        start = np.flatnonzero(new)
+        place = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
+        more |= bool((place >= closest).any())
+        take = place < closest
+        a, b = node[i[r[take]]], node[c[take]]
+        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1], "more": np.full(len(found), more)})
 
 
 def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -238,66 +316,94 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
+def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, closest: int) -> DataFrame:
+    """Candidate pairs ``(a, b, more)`` of buckets whose members are in several components. A
+    bucket is cut into blocks of about ``BUCKET_ROWS`` members, and every two blocks meet in one task."""
+    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(
+        "lo < hi").select("key", F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"))
+    dealt = (named.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .select("key", "node", "c", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("key", "node", "c", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     # members of two blocks meet those of the other; a block alone meets itself (2)
+                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
+    dealt, kind = dealt.join(sketches, "node"), "a long, b long, more boolean"
+    # buckets of one block share groups, so that many small ones cost one call
+    groups = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = (dealt.where("blocks = 1").withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g")
+             .applyInArrow(lambda t: near_in_buckets(t, num, den, closest), kind))
+    cut = (dealt.where("blocks > 1").groupBy("key", "i", "j")
+           .applyInArrow(lambda t: near_in_bucket(t, num, den, closest), kind))
+    return whole.unionByName(cut)
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Component labels after more links: the components themselves are linked."""
+    ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = staged(connected_components(between))
+    top = above.withColumnRenamed("component", "top").withColumnRenamed("node", "c")
+    old = labels.join(top, labels["component"] == top["c"], "left").select(
+        labels["node"], F.coalesce("top", "component").alias("component"))
+    return old.unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents linked when the Jaccard similarity of
     their ``n``-word shingle sets is at least ``num / den``; ``component_id`` is the smallest id
     reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = staged(docs.mapInArrow(
-        lambda it: sketch_docs(it, n, num, den),
-        "kind int, doc_id long, n long, d1 long, d2 long, keys array<long>, docs array<long>"))
-    sizes = sketched.where("kind = 0").select("doc_id", "n", "d1", "d2")
+    sizes = staged(docs.mapInArrow(lambda it: doc_digests(it, n), "doc_id long, n long, d1 long, d2 long"))
     classes = (sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2")
                .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last"))
     copies = staged(sizes.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct())
-
-    def rows(kind: int) -> DataFrame:
-        return sketched.where(F.col("kind") == kind).select(
-            F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("docs").alias("node"))))
-    met = (rows(1).repartition("key").mapInArrow(shared_keys, "key long, node long")
-           .unionByName(rows(2)).distinct())
-    members = met.join(copies.withColumnRenamed("doc_id", "node"), "node", "left").select(
-        "key", F.coalesce("rep", "node").alias("node")).distinct()
-    members = staged(members)
-
-    nodes = staged(members.select("node").distinct())
-    few = nodes.count() * 8 <= BROADCAST_BYTES
-    wanted = docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
-    sets = staged(wanted.mapInArrow(
-        lambda it: shingle_sets(it, n, num, den), "node long, n long, sketch binary, hashes binary"))
+    # the texts are hashed again for the keys: less work than to write and read all keys
+    met = (docs.mapInArrow(lambda it: task_keys(it, n, num, den), "part long, key long, node long")
+           .repartition("part").mapInArrow(shared_keys, "key long, node long"))
+    members = staged(met.join(copies.withColumnRenamed("doc_id", "node"), "node", "left").select(
+        "key", F.coalesce("rep", "node").alias("node")).distinct())
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        nodes = staged(nodes.distinct())
+        few = nodes.count() * 8 <= BROADCAST_BYTES
+        return docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
+    sketches = staged(texts_of(members.select("node")).mapInArrow(
+        lambda it: fine_sketches(it, n, num, den), "node long, n long, sketch binary"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, verified on the whole sets of just their documents."""
+        sets = staged(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))).mapInArrow(
+            lambda it: shingle_sets(it, n), "node long, hashes binary"))
         left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return staged(both.mapInArrow(lambda it: verified(it, num, den), "a long, b long"))
 
-    # every bucket's members against its smallest one
+    # every member against the smallest member of its buckets
     hubs = members.groupBy("key").agg(F.min("node").alias("a"))
-    star = members.join(hubs, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    star = members.join(hubs, "key").where("a < node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    own, other = (sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+                  for k in ("a", "b"))
+    star = staged(star.join(own, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+        lambda it: possible(it, num, den), "a long, b long"))
     labels = staged(connected_components(links_of(star)))
-    # buckets that still hold several components: all their pairs across components, in blocks
-    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(
-        "lo < hi").select("key", F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (named.join(open_keys, "key").withColumn("own", block)
-             .select("key", "node", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("key", "node", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     # blocks of one kind meet the other kind; a block meets itself (2)
-                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-    close = (dealt.join(sets.select("node", "n", "sketch"), "node").groupBy("key", "i", "j")
-             .applyInArrow(lambda t: near_in_bucket(t, num, den), "a long, b long").distinct())
-    more = links_of(close)
-    if not more.isEmpty():
-        to = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
-        joined = more.join(to[0], "a", "left").join(to[1], "b", "left").select(
-            F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        above = staged(connected_components(joined))
-        labels = (labels.join(above.withColumnRenamed("component", "top"), labels["component"] == above["node"], "left")
-                  .select(labels["node"], F.coalesce("top", "component").alias("component"))
-                  .unionByName(above.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+    # buckets that still hold several components: pairs across components, the closest first
+    tried, closest = star, CLOSEST
+    while True:
+        close = staged(open_pairs(members, labels, sketches, num, den, closest))
+        fresh = staged(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        more = not close.where("more").isEmpty()
+        if not fresh.isEmpty():
+            links = links_of(fresh)
+            if not links.isEmpty():
+                labels = staged(joined_labels(labels, links))
+            tried = tried.unionByName(fresh)
+        else:
+            closest *= 16
+        if not more:
+            break
     return (sizes.select("doc_id", F.col("n").alias("n_shingles"))
             .join(copies, "doc_id", "left")
             .join(labels, F.coalesce("rep", "doc_id") == labels["node"], "left")

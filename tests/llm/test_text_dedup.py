@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mediashelf.llm import parity_join, suffix_dedup
@@ -185,3 +186,28 @@ def test_whole_characters_stay_text(spark):
         text = bytes(r["kept"]).decode()  # valid UTF-8
         if r["doc_id"] == 2:
             assert text.startswith("xy") and text.endswith("ü tail") and r["n_removed"] >= 51
+
+
+@pytest.mark.parametrize("num", [60, 80, 90])
+def test_open_buckets_lose_no_link(num):
+    """Candidates of small and large buckets hold every link between components."""
+    rng = np.random.default_rng(num)
+    rows = []
+    for key in range(12):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(3, 300))).astype(np.uint64))
+        for _ in range(int(rng.choice([2, 10, 63, 64, 65, 90]))):
+            s = base[rng.random(len(base)) > 0.05 * rng.integers(0, 4)]
+            s = np.unique(np.append(s, rng.integers(0, 1 << 63, int(rng.integers(1, 6))).astype(np.uint64)))
+            rows.append((key, len(rows), int(rng.integers(0, 5)) + 1000 * key, s))
+    table = pa.table({
+        "key": [r[0] for r in rows], "node": [r[1] for r in rows], "c": [r[2] for r in rows], "side": [2] * len(rows),
+        "n": [len(r[3]) for r in rows], "sketch": pa.array([parity_join.fine_sketch(
+            r[3], parity_join.sketch_words(len(r[3]), num, 100)).tobytes() for r in rows], pa.binary())})
+    out = parity_join.near_in_buckets(table, num, 100, 1000)
+    got = set(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    links = {(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1:] if a[0] == b[0] and a[2] != b[2]
+             and 100 * len(np.intersect1d(a[3], b[3])) >= num * len(np.union1d(a[3], b[3]))}
+    assert links and not links - got
+    # with one offer per member and component, the rest is announced
+    few = parity_join.near_in_buckets(table, num, 100, 1)
+    assert few.num_rows <= out.num_rows and few["more"][0].as_py()
