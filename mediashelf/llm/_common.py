@@ -106,7 +106,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that one numpy pass holds; larger batches are cut between documents.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]

@@ -137,12 +137,15 @@ def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
                     keys = part_keys(s, num, den)
                     all_keys.append(keys)
                     all_docs.append(np.full(len(keys), doc, np.int64))
-    keys, docs = np.concatenate(all_keys), np.concatenate(all_docs)
-    del all_keys, all_docs
+    keys = np.concatenate(all_keys)
+    all_keys.clear()
+    docs = np.concatenate(all_docs)
+    all_docs.clear()
     if not len(keys):
         return
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
+    del order
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     many = _in_groups(keys, docs)
     for at in range(0, len(keys), PACK):
