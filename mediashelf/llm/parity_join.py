@@ -252,8 +252,17 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
     key, node, comp, n = key[rows], node[rows], comp[rows], n[rows]
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch").combine_chunks().take(pa.array(rows))]
     words = np.array([len(r) for r in raw], np.int64)
-    sketch = {int(w): np.stack([folded(r, w) if len(r) >= w else np.zeros(w, np.uint64) for r in raw])
-              for w in np.unique(words)}
+    # per sketch length: its rows and longer ones as far as linked sets can be apart, folded to it
+    span = 2
+    while span * num < den:
+        span *= 2
+    sketch, place = {}, {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero((words >= w) & (words <= w * span))
+        sketch[w] = np.stack([folded(raw[i], w) for i in own.tolist()])
+        place[w] = np.zeros(len(words), np.int64)
+        place[w][own] = np.arange(len(own))
+    del raw
     for t in range(1, SMALL):  # every member with the t-th after it in its bucket
         i = np.flatnonzero(key[t:] == key[:-t]) if t < len(key) else np.empty(0, np.int64)
         if not len(i):
@@ -264,7 +273,7 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
         most, least = (n[i] + n[j]) * (den - num) // (den + num), np.minimum(words[i], words[j])
         for w, x in sketch.items():
             for at in np.array_split(np.flatnonzero(least == w), 1 + len(i) * w // (1 << 21)):
-                d = np.bitwise_count(x[i[at]] ^ x[j[at]]).sum(axis=1, dtype=np.int64)
+                d = np.bitwise_count(x[place[w][i[at]]] ^ x[place[w][j[at]]]).sum(axis=1, dtype=np.int64)
                 k = at[d <= most[at]]
                 found.append(np.stack([node[i[k]], node[j[k]]], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
@@ -332,7 +341,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num:
                      F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
     dealt, kind = dealt.join(sketches, "node"), "a long, b long, more boolean"
     # buckets of one block share groups, so that many small ones cost one call
-    groups = 4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = 32 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = (dealt.where("blocks = 1").withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g")
              .applyInArrow(lambda t: near_in_buckets(t, num, den, closest), kind))
     cut = (dealt.where("blocks > 1").groupBy("key", "i", "j")
