@@ -9,8 +9,10 @@ judged on the input.
    distinct names (packed, by name bucket); names met in one document only cannot mark a
    repeat. This filter is lossless.
 2. *Buckets.* Runs of windows with one shared name travel together as one piece of text to the
-   bucket of that name; equal windows therefore meet in one bucket. Pieces that are equal within
-   a task are sent once, for their smallest document.
+   bucket of that name; equal windows therefore meet in one bucket. A name with more than
+   ``HOT_BYTES`` of text is split: its windows travel one by one to the buckets of the hashes of
+   their whole ``min_bytes`` bytes, which equal windows share as well. Pieces and windows that are
+   equal within a document bucket are sent once, for their smallest document.
 3. *Blockwise sorting.* Each bucket is sorted on its own: its suffixes by their first ``v``
    bytes, and ties by the ranks of a difference cover: the bucket's positions ``q`` with ``q mod v``
    in the cover are ranked by their next ``min_bytes - v`` bytes, and for any two suffixes ``i`` and
@@ -18,9 +20,9 @@ judged on the input.
    classes, and windows with a document above the smallest of their class are repeats.
 4. The removed runs return to their documents.
 
-Every bucket holds a bounded share of the text (their number grows with the measured size),
-so memory is bounded by one bucket. A passage in very many documents enters its bucket
-once per task and not once per document.
+The number of buckets grows with the measured size, and what one key brings to its bucket is
+bounded by ``HOT_BYTES`` for a name; for a whole window of a split name it is one piece per document
+bucket (about ``BUCKET_BYTES`` of text) and not one per document.
 
 Defined cases: null and empty texts keep zero bytes; a null id takes no part and its text stays
 whole; rows that repeat an id count as the same document and never delete each other; texts
@@ -47,6 +49,8 @@ GRAM = 24
 NAME_BITS = 48
 #: Text of a document bucket, and of a suffix bucket if all windows were candidates.
 BUCKET_BYTES = 4 << 20
+#: Text of one name above which its windows are dealt out by their whole bytes.
+HOT_BYTES = 1 << 20
 #: A difference cover for each modulus (every residue is a difference of two members).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -72,6 +76,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of which two, times the inverse power of the first's position, hash a substring."""
+    power, inverse = powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    return sums, inverse
+
+
 def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each run of neighbouring windows of one document with one name: ``(runs, names)``, a
     run being ``(document index, first window, number of windows)`` in positions of ``raw``."""
@@ -80,9 +92,7 @@ def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     if not len(docs):
         return np.empty((0, 3), np.int64), np.empty(0, np.uint64)
     gram = min(GRAM, width)
-    power, inverse = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    sums, inverse = _sums(raw)
     low = mix64((sums[gram:] - sums[:-gram]) * inverse[:len(raw) - gram + 1])
     span, reach = width - gram + 1, 1
     while reach < span:
@@ -103,8 +113,9 @@ def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 
 def task_names(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_names: int) -> Iterator[pa.RecordBatch]:
     """The task's distinct (name, document bucket) pairs, packed per name bucket, with a mark on
-    names that several of the task's documents have."""
+    names that several of the task's documents have and the binary logarithm of the pair's text."""
     names, docs, buckets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    sizes = [np.empty(0, np.int32)]
     for batch in batches:
         for rows, raw, offsets in passes(batch):
             runs, name = window_names(raw, offsets, width)
@@ -116,11 +127,14 @@ def task_names(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_nam
             names.append(a[new])
             docs.append(b[new])
             buckets.append(db[order][new])
+            size = (runs[:, 2] + (width - 1))[order]
+            sizes.append((np.add.reduceat(size, np.flatnonzero(new)) if len(size) else size).astype(np.int32))
     name, doc, db = np.concatenate(names), np.concatenate(docs), np.concatenate(buckets).astype(np.int64)
+    size = np.concatenate(sizes)
     if not len(name):
         return
     order = np.lexsort((doc, name))
-    name, doc, db = name[order], doc[order], db[order]
+    name, doc, db, size = name[order], doc[order], db[order], size[order]
     new = np.concatenate([[True], name[1:] != name[:-1]])
     group = np.cumsum(new) - 1
     several = np.zeros(group[-1] + 1, bool)
@@ -128,39 +142,63 @@ def task_names(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_nam
     pair = np.lexsort((db, name))
     name, db, several = name[pair], db[pair], several[group[pair]]
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (db[1:] != db[:-1])])
+    size = np.log2(np.add.reduceat(size[pair], np.flatnonzero(new), dtype=np.int64)).astype(np.uint8)
     name, db, several = name[new], db[new], several[new]
     to = (name % np.uint64(n_names)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    name, db, several, to = name[order], db[order], several[order], to[order]
+    name, db, several, size, to = name[order], db[order], several[order], size[order], to[order]
     cuts = np.searchsorted(to, np.arange(n_names + 1))
     for k in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[k], cuts[k + 1])
         steps = np.diff(name[s], prepend=np.uint64(0))
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(k)], pa.int32()),
-             pa.array([pack(steps, db[s] * 2 + several[s])], pa.binary())], names=["bucket", "packed"])
+             pa.array([pack(steps, db[s] * 2 + several[s], size[s])], pa.binary())], names=["bucket", "packed"])
 
 
-def shared_names(table: pa.Table) -> pa.Table:
-    """Of one name bucket: the names that at least two documents have, per document bucket."""
+def shared_names(table: pa.Table, hot_bytes: int = HOT_BYTES) -> pa.Table:
+    """Of one name bucket: the names that at least two documents have, per document bucket, and
+    whether they have more than about ``hot_bytes`` of text in all."""
     parts = [unpack(x.as_py()) for x in table.column("packed")]
     name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     db = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    size = 1 << np.concatenate([p[2] for p in parts]).astype(np.int64)
     task = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     order = np.argsort(name, kind="stable")
-    name, db, task = name[order], db[order], task[order]
+    name, db, task, size = name[order], db[order], task[order], size[order]
     starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(name)]]))
     many = np.maximum.reduceat(db & 1, starts).astype(bool)
     many |= np.maximum.reduceat(task, starts) != np.minimum.reduceat(task, starts)
     keep = np.repeat(many, sizes)
+    hot = np.repeat(np.add.reduceat(size, starts) > hot_bytes, sizes)[keep]
     name, db = name[keep], db[keep] >> 1
     order = np.lexsort((name, db))
-    name, db = name[order], db[order]
+    name, db, hot = name[order], db[order], hot[order]
     to, at = np.unique(db, return_index=True)
     ends = np.concatenate([at[1:], [len(db)]])
     return pa.table({"db": pa.array(to, pa.int32()), "names": pa.array(
-        [pack(np.diff(name[a:b], prepend=np.uint64(0))) for a, b in zip(at, ends)], pa.binary())})
+        [pack(np.diff(name[a:b], prepend=np.uint64(0)), hot[a:b]) for a, b in zip(at, ends)], pa.binary())})
+
+
+def single_windows(pieces: list, width: int, n_suffix: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """Pieces ``(bytes, document, start)`` cut into runs of equal windows, each with the suffix bucket
+    of its window's hash."""
+    for first in range(0, len(pieces), 4096):
+        group = pieces[first:first + 4096]
+        data = b"".join(p[0] for p in group)
+        length = np.array([len(p[0]) for p in group])
+        n = length - width + 1
+        begin = np.cumsum(length) - length
+        of = np.repeat(np.arange(len(group)), n)
+        at = np.arange(len(of)) - (np.cumsum(n) - n)[of] + begin[of]
+        sums, inverse = _sums(np.frombuffer(data, np.uint8))
+        h = mix64((sums[at + width] - sums[at]) * inverse[at])
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+        end = at[np.concatenate([new[1:], [len(at)]]) - 1] + width
+        for i, a, b, o, k in zip(of[new].tolist(), at[new].tolist(), end.tolist(), (at - begin[of])[new].tolist(),
+                                 (h[new] % np.uint64(n_suffix)).tolist()):
+            yield data[a:b], group[i][1], group[i][2] + o, k
 
 
 def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int) -> pa.Table:
@@ -169,10 +207,26 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
     A piece that a smaller document of the bucket has too is a repeat already and goes as a span."""
     out: dict[int, list] = {}
     done: list[tuple[int, int, int]] = []
-    if shared.num_rows and docs.num_rows:
-        known = np.unique(np.concatenate(
-            [np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x in shared.column("names")]))
+
+    def smallest(found: Iterator[tuple[bytes, int, int, int]]) -> None:
         best: dict[bytes, tuple[int, int, int]] = {}
+        for piece, doc, start, k in found:
+            mine = (doc, start, k)
+            other = best.get(piece)
+            if other is None:
+                best[piece] = mine
+            elif other[0] < doc:
+                done.append((doc, start, start + len(piece)))
+            elif other[0] > doc:
+                best[piece] = mine
+                done.append((other[0], other[1], other[1] + len(piece)))
+            else:  # again in the same document
+                out.setdefault(k, []).append((piece, doc, start))
+        for piece, (doc, start, k) in best.items():
+            out.setdefault(k, []).append((piece, doc, start))
+
+    def found(known: np.ndarray, hot: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
+        """Pieces with their suffix bucket, -1 for names to be split."""
         for batch in docs.combine_chunks().to_batches():
             for rows, raw, offsets in passes(batch):
                 runs, name = window_names(raw, offsets, width)
@@ -181,22 +235,16 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
                 runs, name = runs[keep], name[keep]
                 ids = column.fill_null(0).to_numpy(zero_copy_only=False)[runs[:, 0]].astype(np.int64)
                 data, at = raw.tobytes(), offsets[runs[:, 0]]
+                to = (name % np.uint64(n_suffix)).astype(np.int64)
+                to[np.isin(name, hot)] = -1
                 for doc, start, n, k, o in zip(ids.tolist(), runs[:, 1].tolist(), runs[:, 2].tolist(),
-                                               (name % np.uint64(n_suffix)).tolist(), at.tolist()):
-                    piece = data[start:start + n + width - 1]
-                    mine = (doc, start - o, k)
-                    other = best.get(piece)
-                    if other is None:
-                        best[piece] = mine
-                    elif other[0] < doc:
-                        done.append((doc, start - o, start - o + len(piece)))
-                    elif other[0] > doc:
-                        best[piece] = mine
-                        done.append((other[0], other[1], other[1] + len(piece)))
-                    else:  # again in the same document
-                        out.setdefault(k, []).append((piece, doc, start - o))
-        for piece, (doc, start, k) in best.items():
-            out.setdefault(k, []).append((piece, doc, start))
+                                               to.tolist(), at.tolist()):
+                    yield data[start:start + n + width - 1], doc, start - o, k
+    if shared.num_rows and docs.num_rows:
+        parts = [unpack(x.as_py()) for x in shared.column("names")]
+        name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        smallest(found(np.unique(name), np.unique(name[np.concatenate([p[1] for p in parts]) > 0])))
+        smallest(single_windows(out.pop(-1, []), width, n_suffix))
     rows = []
     zip_ = zstandard.ZstdCompressor(level=1)
     for k, pieces in out.items():
@@ -406,7 +454,7 @@ def cut_out(docs: pa.Table, spans: pa.Table, whole_chars: bool) -> pa.Table:
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text",
-                 whole_chars: bool = False) -> DataFrame:
+                 whole_chars: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``(doc_id, rest, kept, n_bytes, n_removed, n_spans, spans)``: ``kept`` holds the remaining
     bytes, ``spans`` the maximal removed runs and ``rest`` the other columns of the row.
 
@@ -424,7 +472,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", t
         (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest"))
     some = base.where("doc_id IS NOT NULL").select("doc_id", "text", "db")
     names = some.mapInArrow(lambda it: task_names(it, min_bytes, max(n, parts), parts), "bucket int, packed binary")
-    shared = names.groupBy("bucket").applyInArrow(shared_names, "db int, names binary")
+    shared = names.groupBy("bucket").applyInArrow(lambda t: shared_names(t, hot_bytes), "db int, names binary")
     # both cogroups deal out the same rows, so Spark moves the texts once
     pieces = (base.groupBy("db").cogroup(shared.groupBy("db"))
               .applyInArrow(lambda a, b: candidate_pieces(a, b, min_bytes, max(n, parts)),

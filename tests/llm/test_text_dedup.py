@@ -147,6 +147,38 @@ def test_suffix_dedup(spark, seed, width):
     assert got == _suffix_model(rows, width)
 
 
+@pytest.mark.parametrize("seed,width", [(1, 50), (3, 20)])
+def test_suffix_dedup_of_split_names(spark, seed, width):
+    rng = random.Random(seed)
+    line = "this very line stands in a third of all the documents --"
+    rows = []
+    for k in range(90):
+        noise = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 90))) for _ in range(3)]
+        rows.append((rng.choice([k, 1000 - k]), noise[0] + line + noise[1] + "-" * rng.choice([0, 20, 60, 90]) + noise[2] + "ab" * rng.choice([0, 40])))
+    rows = list(dict(rows).items()) + [(5000 + k, rows[3][1]) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))
+           for r in suffix_dedup.suffix_dedup(df, width, hot_bytes=500).collect()}
+    assert got == _suffix_model(rows, width)
+
+
+def test_suffix_buckets_share_a_hot_name():
+    """A line in all documents, with other bytes round it in each: no bucket gets most of the text."""
+    rng = random.Random(5)
+    line = "this very line stands in a third of all the documents --"
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) + line + "".join(rng.choice("abcdefgh ") for _ in range(60))
+             for _ in range(30_000)]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts,
+                     "db": pa.array([0] * len(texts), pa.int32())})
+    names = pa.Table.from_batches(list(suffix_dedup.task_names(iter(docs.to_batches()), 50, 1, 1)))
+    out = suffix_dedup.candidate_pieces(docs, suffix_dedup.shared_names(names), 50, 64)
+    share = defaultdict(int)
+    for k, p in zip(out["sb"].to_pylist(), out["pieces"].to_pylist()):
+        if p is not None:
+            share[k] += int(suffix_dedup.unpack(p)[0].sum())
+    assert len(share) > 32 and max(share.values()) < 0.1 * sum(share.values())
+
+
 def test_window_classes_follow_suffix_order():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 3, 200).astype(np.uint8)
