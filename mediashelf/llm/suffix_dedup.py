@@ -25,13 +25,14 @@ bounded by ``HOT_BYTES`` for a name; for a whole window of a split name it is on
 bucket (about ``BUCKET_BYTES`` of text) and not one per document.
 
 Defined cases: null and empty texts keep zero bytes; a null id takes no part and its text stays
-whole; rows that repeat an id count as the same document and never delete each other; texts
-under ``min_bytes`` stay; empty tables give empty results; other columns travel with their document
+whole; rows that repeat an id count as the same document and never delete each other, and spans
+return to the rows with the text they were found in only; texts under ``min_bytes`` stay; empty tables give empty results; other columns travel with their document
 untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ NAME_BITS = 48
 BUCKET_BYTES = 4 << 20
 #: Text of one name above which its windows are dealt out by their whole bytes.
 HOT_BYTES = 1 << 20
+#: Columns of a span: the variant tells different texts of one id apart.
+SPAN = ("doc_id", "variant", "start", "end")
 #: A difference cover for each modulus (every residue is a difference of two members).
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -181,8 +184,28 @@ def shared_names(table: pa.Table, hot_bytes: int = HOT_BYTES) -> pa.Table:
         [pack(np.diff(name[a:b], prepend=np.uint64(0)), hot[a:b]) for a, b in zip(at, ends)], pa.binary())})
 
 
-def single_windows(pieces: list, width: int, n_suffix: int) -> Iterator[tuple[bytes, int, int, int]]:
-    """Pieces ``(bytes, document, start)`` cut into runs of equal windows, each with the suffix bucket
+def variants(docs: pa.Table) -> np.ndarray:
+    """Number of each row's text among the different texts of its id (0 but for repeated ids)."""
+    out = np.zeros(docs.num_rows, np.int64)
+    column = docs.column("doc_id")
+    some = np.flatnonzero(column.is_valid().to_numpy())
+    ids = column.fill_null(0).to_numpy()[some]
+    _, of, count = np.unique(ids, return_inverse=True, return_counts=True)
+    again = some[count[of] > 1]
+    if len(again):
+        texts = docs.column("text").take(pa.array(again))
+        key = [(i, hashlib.sha256((t.as_py() or "").encode()).digest())
+               for i, t in zip(ids[count[of] > 1].tolist(), texts)]
+        number: dict[tuple[int, bytes], int] = {}
+        before: dict[int, int] = {}
+        for k in sorted(set(key)):
+            number[k] = before[k[0]] = before.get(k[0], -1) + 1
+        out[again] = [number[k] for k in key]
+    return out
+
+
+def single_windows(pieces: list, width: int, n_suffix: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """Pieces ``(bytes, document, start, variant)`` cut into runs of equal windows, each with the suffix bucket
     of its window's hash."""
     for first in range(0, len(pieces), 4096):
         group = pieces[first:first + 4096]
@@ -198,7 +221,7 @@ def single_windows(pieces: list, width: int, n_suffix: int) -> Iterator[tuple[by
         end = at[np.concatenate([new[1:], [len(at)]]) - 1] + width
         for i, a, b, o, k in zip(of[new].tolist(), at[new].tolist(), end.tolist(), (at - begin[of])[new].tolist(),
                                  (h[new] % np.uint64(n_suffix)).tolist()):
-            yield data[a:b], group[i][1], group[i][2] + o, k
+            yield data[a:b], group[i][1], group[i][2] + o, group[i][3], k
 
 
 def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int) -> pa.Table:
@@ -206,27 +229,28 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
 
     A piece that a smaller document of the bucket has too is a repeat already and goes as a span."""
     out: dict[int, list] = {}
-    done: list[tuple[int, int, int]] = []
+    done: list[tuple[int, int, int, int]] = []
 
-    def smallest(found: Iterator[tuple[bytes, int, int, int]]) -> None:
-        best: dict[bytes, tuple[int, int, int]] = {}
-        for piece, doc, start, k in found:
-            mine = (doc, start, k)
+    def smallest(found: Iterator[tuple[bytes, int, int, int, int]]) -> None:
+        best: dict[bytes, tuple[int, int, int, int]] = {}
+        for piece, doc, start, v, k in found:
+            mine = (doc, start, v, k)
             other = best.get(piece)
             if other is None:
                 best[piece] = mine
             elif other[0] < doc:
-                done.append((doc, start, start + len(piece)))
+                done.append((doc, v, start, start + len(piece)))
             elif other[0] > doc:
                 best[piece] = mine
-                done.append((other[0], other[1], other[1] + len(piece)))
+                done.append((other[0], other[2], other[1], other[1] + len(piece)))
             else:  # again in the same document
-                out.setdefault(k, []).append((piece, doc, start))
-        for piece, (doc, start, k) in best.items():
-            out.setdefault(k, []).append((piece, doc, start))
+                out.setdefault(k, []).append((piece, doc, start, v))
+        for piece, (doc, start, v, k) in best.items():
+            out.setdefault(k, []).append((piece, doc, start, v))
 
-    def found(known: np.ndarray, hot: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
+    def found(known: np.ndarray, hot: np.ndarray) -> Iterator[tuple[bytes, int, int, int, int]]:
         """Pieces with their suffix bucket, -1 for names to be split."""
+        variant, row = variants(docs), 0
         for batch in docs.combine_chunks().to_batches():
             for rows, raw, offsets in passes(batch):
                 runs, name = window_names(raw, offsets, width)
@@ -237,9 +261,10 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
                 data, at = raw.tobytes(), offsets[runs[:, 0]]
                 to = (name % np.uint64(n_suffix)).astype(np.int64)
                 to[np.isin(name, hot)] = -1
-                for doc, start, n, k, o in zip(ids.tolist(), runs[:, 1].tolist(), runs[:, 2].tolist(),
-                                               to.tolist(), at.tolist()):
-                    yield data[start:start + n + width - 1], doc, start - o, k
+                for doc, start, n, v, k, o in zip(ids.tolist(), runs[:, 1].tolist(), runs[:, 2].tolist(),
+                                                  variant[row + runs[:, 0]].tolist(), to.tolist(), at.tolist()):
+                    yield data[start:start + n + width - 1], doc, start - o, v, k
+                row += rows.num_rows
     if shared.num_rows and docs.num_rows:
         parts = [unpack(x.as_py()) for x in shared.column("names")]
         name = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
@@ -250,10 +275,10 @@ def candidate_pieces(docs: pa.Table, shared: pa.Table, width: int, n_suffix: int
     for k, pieces in out.items():
         rows.append((k, zip_.compress(b"".join(p[0] for p in pieces)),
                      pack(np.array([len(p[0]) for p in pieces]), _from_signed([p[1] for p in pieces]),
-                          np.array([p[2] for p in pieces])), None))
+                          np.array([p[2] for p in pieces]), np.array([p[3] for p in pieces])), None))
     for at in range(0, len(done), 1 << 16):
         spans = np.array(done[at:at + (1 << 16)], np.int64)
-        rows.append((at % n_suffix, None, None, pack(_from_signed(spans[:, 0]), spans[:, 1], spans[:, 2])))
+        rows.append((at % n_suffix, None, None, pack(_from_signed(spans[:, 0]), *spans[:, 1:].T)))
     cols = list(zip(*rows)) or [[], [], [], []]
     return pa.table({"sb": pa.array(cols[0], pa.int32()), "bytes": pa.array(cols[1], pa.binary()),
                      "pieces": pa.array(cols[2], pa.binary()), "spans": pa.array(cols[3], pa.binary())})
@@ -353,17 +378,18 @@ def window_classes(text: np.ndarray, windows: np.ndarray, width: int) -> np.ndar
 
 
 def bucket_spans(table: pa.Table, width: int) -> pa.Table:
-    """Repeated spans ``(doc_id, start, end)`` of one suffix bucket, and those decided before."""
-    found = [np.empty((0, 3), np.int64)]
+    """Repeated spans ``(doc_id, variant, start, end)`` of one suffix bucket, and those decided before."""
+    found = [np.empty((0, 4), np.int64)]
     for x in table.column("spans").drop_null():
-        doc, start, end = unpack(x.as_py())
-        found.append(np.stack([_to_signed(doc), start.astype(np.int64), end.astype(np.int64)], 1))
+        doc, *others = unpack(x.as_py())
+        found.append(np.stack([_to_signed(doc), *(y.astype(np.int64) for y in others)], 1))
     rows = [(zstandard.ZstdDecompressor().decompress(b.as_py()), *unpack(p.as_py()))
             for b, p in zip(table.column("bytes"), table.column("pieces")) if b.is_valid]
     if rows:
         size = np.concatenate([r[1] for r in rows]).astype(np.int64)
         doc = _to_signed(np.concatenate([r[2] for r in rows]))
         start = np.concatenate([r[3] for r in rows]).astype(np.int64)
+        variant = np.concatenate([r[4] for r in rows]).astype(np.int64)
         data = b"".join(r[0] for r in rows)
         ends = np.cumsum(size)
         # equal pieces once, for their smallest document
@@ -372,7 +398,7 @@ def bucket_spans(table: pa.Table, width: int) -> pa.Table:
         low = np.full(len(kind), np.iinfo(np.int64).max)
         np.minimum.at(low, of, doc)
         over = doc > low[of]
-        found.append(np.stack([doc[over], start[over], start[over] + size[over]], 1))
+        found.append(np.stack([doc[over], variant[over], start[over], start[over] + size[over]], 1))
         text = np.frombuffer(b"".join(kind), np.uint8)
         length = np.array([len(k) for k in kind])
         begin = np.cumsum(length) - length
@@ -397,24 +423,25 @@ def bucket_spans(table: pa.Table, width: int) -> pa.Table:
         lo, hi = np.searchsorted(of[holder], piece, "left"), np.searchsorted(of[holder], piece, "right")
         reps = hi - lo
         who = holder[np.repeat(lo, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
-        found.append(np.stack([doc[who], start[who] + np.repeat(a, reps), start[who] + np.repeat(b, reps)], 1))
+        found.append(np.stack([doc[who], variant[who], start[who] + np.repeat(a, reps),
+                               start[who] + np.repeat(b, reps)], 1))
     spans = merge_spans(np.concatenate(found))
-    return pa.table({"doc_id": spans[:, 0], "start": spans[:, 1], "end": spans[:, 2]})
+    return pa.table({c: spans[:, i] for i, c in enumerate(SPAN)})
 
 
 def merge_spans(spans: np.ndarray) -> np.ndarray:
-    """Union of ``(document, start, end)`` spans, sorted; touching spans become one."""
+    """Union of ``(document, variant, start, end)`` spans, sorted; touching spans become one."""
     if not len(spans):
-        return spans.reshape(0, 3)
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    _, group = np.unique(spans[:, 0], return_inverse=True)
-    top = int(spans[:, 2].max()) + 1
-    reach = np.maximum.accumulate(spans[:, 2] + group * top)
-    new = np.concatenate([[True], spans[1:, 1] + group[1:] * top > reach[:-1]])
-    new[1:] |= group[1:] != group[:-1]
+        return spans.reshape(0, 4)
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    other = np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
+    group = np.cumsum(other) - 1
+    top = int(spans[:, 3].max()) + 1
+    reach = np.maximum.accumulate(spans[:, 3] + group * top)
+    new = np.concatenate([[True], spans[1:, 2] + group[1:] * top > reach[:-1]]) | other
     starts = np.flatnonzero(new)
     ends = np.concatenate([starts[1:], [len(spans)]]) - 1
-    return np.stack([spans[starts, 0], spans[starts, 1], reach[ends] - group[ends] * top], 1)
+    return np.column_stack([spans[starts, :3], reach[ends] - group[ends] * top])
 
 
 def _whole_characters(text: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -427,15 +454,16 @@ def _whole_characters(text: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 def cut_out(docs: pa.Table, spans: pa.Table, whole_chars: bool) -> pa.Table:
     """Documents of one bucket with their removed spans and the remaining bytes."""
-    found = merge_spans(np.stack([spans.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "end")], 1)
-                        if spans.num_rows else np.empty((0, 3), np.int64))
+    found = merge_spans(np.stack([spans.column(c).to_numpy().astype(np.int64) for c in SPAN], 1)
+                        if spans.num_rows else np.empty((0, 4), np.int64))
+    variant = variants(docs)
     raw, offsets = utf8(docs.column("text"))
     kept, removed, count, lists = [], [], [], []
     for i, doc in enumerate(docs.column("doc_id").to_pylist()):
         text = raw[offsets[i]:offsets[i + 1]]
         a, b = (np.searchsorted(found[:, 0], doc, side) for side in ("left", "right")) if doc is not None else (0, 0)
-        own = found[a:b, 1:]
-        own = own[own[:, 1] <= len(text)]
+        own = found[a:b]
+        own = own[own[:, 1] == variant[i], 2:]
         mask = np.zeros(len(text) + 1, np.int8)
         mask[own[:, 0]] += 1
         mask[own[:, 1]] -= 1
@@ -478,7 +506,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", t
               .applyInArrow(lambda a, b: candidate_pieces(a, b, min_bytes, max(n, parts)),
                             "sb int, bytes binary, pieces binary, spans binary"))
     spans = pieces.groupBy("sb").applyInArrow(
-        lambda t: bucket_spans(t, min_bytes), "doc_id long, start long, end long")
+        lambda t: bucket_spans(t, min_bytes), "doc_id long, variant long, start long, end long")
     back = spans.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(max(n, parts))).cast("int"))
     rest = base.schema["rest"].dataType.simpleString()
     return (base.groupBy("db").cogroup(back.groupBy("db"))

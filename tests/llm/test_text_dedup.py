@@ -179,6 +179,18 @@ def test_suffix_buckets_share_a_hot_name():
     assert len(share) > 32 and max(share.values()) < 0.1 * sum(share.values())
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 100])
+def test_suffix_spans_return_to_their_own_text(spark, hot):
+    """Two texts with one id, of which one repeats an earlier document: the other stays whole."""
+    rng = random.Random(7)
+    first, other = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
+    rows = [(1, first), (2, first[:120] + "xy"), (2, other), (2, other), (2, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(df, 50, hot_bytes=hot).collect())
+    assert got == sorted([(1, 0, first.encode()), (2, 120, b"xy"), (2, 0, other.encode()), (2, 0, other.encode()),
+                          (2, 0, b""), (2, 0, b"")])
+
+
 def test_window_classes_follow_suffix_order():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 3, 200).astype(np.uint8)
