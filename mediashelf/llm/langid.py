@@ -83,6 +83,8 @@ def gram_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         own = at < end
         n_letters += np.bincount(doc[own & (x > 0)], minlength=n)
         for k in (1, 2, 3):
+            if k > len(x):
+                break
             h = np.full(len(x) - k + 1, k, np.uint32)
             some = np.zeros(len(h), bool)
             for i in range(k):

@@ -54,6 +54,16 @@ def test_code_points_and_pieces(monkeypatch):
     assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
 
 
+def test_language_of_one_character(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x", "en"), (2, "", "en"), (3, None, "en")], "doc_id long, text string, lang string").coalesce(1)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got == {1: "en", 2: "und", 3: "und"}
+    raw = np.frombuffer(b"abcdex", np.uint8)
+    whole = langid.gram_counts(raw, np.array([0, 6]))
+    monkeypatch.setattr(langid, "PASS_BYTES", 5)
+    assert (langid.gram_counts(raw, np.array([0, 6]))[0] == whole[0]).all()
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(0)
     trans = rng.normal(size=(2, 2))
