@@ -4,7 +4,9 @@ A text is the vector of its 1- to 3-gram counts over lower-cased letters (anythi
 one blank), hashed to ``DIMS`` dimensions, log-scaled, weighted by inverse document frequency and
 normalised. Each language is described by several centroids (spherical k-means over its training
 vectors); the nearest centroid by cosine names the language. A text is *rejected* when it
-has no letter or lies farther from its centroid than training texts of its length do.
+has no letter or when its cosine is far below those that nearly all training texts of its length
+have with centroids they took no part in. Training texts unlike the others of their label are
+left out of the centroids, so a share of wrong or garbage rows does not move the limits.
 
 The classifier is fitted on a bounded sample (``FIT_ROWS`` documents per language, chosen by a
 hash) on the driver; prediction runs over all whole texts in Arrow batches with fixed memory.
@@ -33,9 +35,12 @@ DIMS = 4096
 FIT_ROWS, CENTROIDS = 600, 4
 #: Documents whose vectors are held at once.
 BLOCK = 512
-#: Rejection: distance allowed beyond the farthest training text of the same length class.
-SLACK = 0.08
-#: Texts under 64 letters say little; they are rejected beyond this distance only.
+#: Rejection: below this share of the cosine that all but ``TAIL`` of the training texts, cut to
+#: the same length class, have. ``TRIM`` likewise leaves texts out of the centroids.
+REACH, TRIM, TAIL = 0.4, 0.6, 0.1
+#: Folds of the cross-fit, the least texts that set a limit, and the most that are cut for a class.
+FOLDS, LEAST, CUT_ROWS = 4, 20, 400
+#: Distance allowed where there are too few training texts to set a limit.
 SHORT_RADIUS = 0.95
 #: Sharpness of the score over the languages' best cosines.
 SHARPNESS = 20.0
@@ -142,6 +147,45 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def _usual(x: np.ndarray, n_letters: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Which texts are like the others of their label: near its mean, for their length class."""
+    own = np.empty(len(x))
+    for k in set(lang):
+        mean = x[lang == k].sum(axis=0)
+        own[lang == k] = x[lang == k] @ (mean / max(np.linalg.norm(mean), 1e-12))
+    classes = length_class(n_letters)
+    least, low = np.zeros(13), 0.0
+    for c in range(13):  # a class with few texts has the limit of the next shorter one
+        if (classes == c).sum() >= LEAST:
+            low = TRIM * np.quantile(own[classes == c], TAIL)
+        least[c] = low
+    return own >= least[classes]
+
+
+def _radius(texts: list[str], x: np.ndarray, n_letters: np.ndarray, lang: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Distance allowed for each length class, from texts cut to the class and centroids of other folds."""
+    fold = np.arange(len(x)) % FOLDS
+    rng = np.random.default_rng(1)
+    cents = []
+    for f in range(FOLDS):
+        there = [(fold != f) & (lang == k) for k in sorted(set(lang))]
+        cents.append([_kmeans(x[t], CENTROIDS, rng) for t in there if t.any()])
+    radius, last = np.empty(13), SHORT_RADIUS
+    for c in range(13):
+        rows = np.flatnonzero(n_letters >= 1 << c)
+        rows = rows[::max(1, -(-len(rows) // CUT_ROWS))]
+        rows = rows[[len(cents[f]) > 0 for f in fold[rows]]]
+        if len(rows) >= LEAST:
+            cut = [texts[i][:max(1, int(len(texts[i]) * min(1.0, 1.5 * 2 ** c / n_letters[i])))] for i in rows]
+            counts, some = gram_counts(*utf8(pa.array(cut, pa.string())))
+            v = vectors(counts, idf)
+            cosine = np.array([max((y @ z.T).max() for z in cents[f]) for y, f in zip(v, fold[rows])])
+            if (some > 0).sum() >= LEAST:
+                last = 1 - REACH * np.quantile(cosine[some > 0], TAIL)
+        radius[c] = last
+    return radius
+
+
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS,
         key_col: str = "doc_id") -> Model:
     """Fit on about ``fit_rows`` documents of each language, picked by a hash of ``key_col``."""
@@ -160,22 +204,21 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_ro
                          offsets[a:a + BLOCK + 1] - offsets[a]) for a in range(0, len(lang), BLOCK)]
     counts, n_letters = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((counts.sum(axis=1), n_letters, lang.astype(str)))  # whatever order Spark gave
+    order = order[n_letters[order] > 0]
     counts, n_letters, lang = counts[order], n_letters[order], lang[order]
-    some = n_letters > 0
-    counts, n_letters, lang = counts[some], n_letters[some], lang[some]
+    if not len(order):
+        return Model([], np.empty((0, DIMS), np.float32), np.empty(0, np.int64), np.empty(0), np.empty(0))
     idf = (np.log((len(lang) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
     x = vectors(counts, idf).astype(np.float32)
+    usual = _usual(x, n_letters, lang)
+    x, n_letters, lang, order = x[usual], n_letters[usual], lang[usual], order[usual]
     rng = np.random.default_rng(0)
     langs = [k for k in langs if (lang == k).any()]
     cents = [_kmeans(x[lang == k], CENTROIDS, rng) for k in langs]
     of = np.repeat(np.arange(len(langs)), [len(c) for c in cents])
-    far = 1 - (x @ np.concatenate(cents).T).max(axis=1) if langs else np.empty(0)
-    classes = length_class(n_letters)
-    seen = np.array([far[classes == c].max() if (classes == c).any() else -1.0 for c in range(13)])
-    # a shorter class is at least as wide as any longer one
-    radius = np.maximum.accumulate(seen[::-1])[::-1] + SLACK
-    radius[:6] = np.maximum(radius[:6], SHORT_RADIUS)
-    return Model(langs, np.concatenate(cents) if cents else np.empty((0, DIMS), np.float32), of, idf, radius)
+    texts = rows.column("text").take(pa.array(order)).to_pylist()
+    radius = _radius(texts, x, n_letters, lang, idf)
+    return Model(langs, np.concatenate(cents), of, idf, radius)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mediashelf.llm import langid, toxicity
@@ -29,6 +30,18 @@ def test_language_rejects_other_scripts_and_keeps_documents(spark):
     assert langid.keep_identified(docs, model).count() >= 0.99 * docs.count()
 
 
+@pytest.mark.parametrize("n", [400, 4000])
+def test_language_rejects_labelled_noise(spark, n):
+    """Random Latin letters with a label, in the rows the model learns from, below and above ``FIT_ROWS``."""
+    rng = np.random.default_rng(n)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(n)
+    noise = [(-1 - i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), int(rng.integers(120, 4000)))), "ende"[i % 2 * 2:][:2])
+             for i in range(n // 40)]
+    rows = docs.unionByName(spark.createDataFrame(noise, docs.schema))
+    kept = [r["doc_id"] for r in langid.keep_identified(rows, langid.fit(rows)).select("doc_id").collect()]
+    assert not [i for i in kept if i < 0] and len(kept) >= 0.99 * n
+
+
 def test_language_odd_rows(spark, odd_docs):
     model = langid.fit(odd_docs)
     docs = odd_docs.withColumn("score", F.lit("clash"))
