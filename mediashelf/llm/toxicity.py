@@ -144,30 +144,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _train_chain(slots: np.ndarray, y: np.ndarray, n_windows: int, length: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Fit emission weights, bias and transitions to equally long labelled windows (Adam)."""
+def _train_chain(slots: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Fit emission weights, bias and transitions to labelled windows, one after the other (Adam)."""
     size = 1 << SLOT_BITS
     used, index = np.unique(slots, return_inverse=True)
     index = index.reshape(slots.shape)
     theta = np.zeros(len(used) + 5)  # slot weights, bias, four transitions
     theta[len(used)] = -2.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    yy = y.reshape(n_windows, length)
-    pairs = np.array([[((yy[:, :-1] == i) & (yy[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    starts, lengths = np.arange(n_windows) * length, np.full(n_windows, length)
+    starts = np.cumsum(lengths) - lengths
+    steps = np.arange(lengths.max())
+    there = steps < lengths[:, None]  # one window per row, shorter ones filled up
+    grid = np.where(there, starts[:, None] + steps, 0)
+    both, yy = there[:, 1:], y[grid]
+    pairs = np.array([[(both & (yy[:, :-1] == i) & (yy[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     for step in range(1, 121):
         w, bias, trans = theta[:len(used)], theta[len(used)], theta[len(used) + 1:].reshape(2, 2)
         e = w[index].sum(axis=1) + bias
         m = forward_backward(e, trans, starts, lengths)
         # expected transitions: pair marginals from forward ratio, scores and backward ratio
         x, a = np.exp(np.clip(e, -30, 30)), np.exp(trans)
-        mm = np.clip(m.reshape(n_windows, length), 1e-12, 1 - 1e-12)
-        fwd, bwd = _ratios(x.reshape(n_windows, length), a)
-        f, b = fwd[:, :-1], bwd[:, 1:] * x.reshape(n_windows, length)[:, 1:]
+        mm = np.clip(m, 1e-12, 1 - 1e-12)
+        fwd, bwd = _ratios(x[grid], a, there)
+        f, b = fwd[:, :-1], bwd[:, 1:] * x[grid[:, 1:]]
         p11, p10, p01, p00 = f * a[1, 1] * b, f * a[1, 0], a[0, 1] * b, np.full_like(f, a[0, 0])
         total = p11 + p10 + p01 + p00
-        expected = np.array([[(p00 / total).sum(), (p01 / total).sum()], [(p10 / total).sum(), (p11 / total).sum()]])
-        d = y - mm.reshape(-1)
+        expected = np.array([[(p / total)[both].sum() for p in row] for row in ((p00, p01), (p10, p11))])
+        d = y - mm
         grad = np.concatenate([np.bincount(index.ravel(), np.repeat(d, slots.shape[1]), minlength=len(used)),
                                [d.sum()], (pairs - expected).ravel()])
         grad -= 0.05 * theta
@@ -179,29 +182,30 @@ def _train_chain(slots: np.ndarray, y: np.ndarray, n_windows: int, length: int)
     return weights, float(theta[len(used)]), theta[len(used) + 1:].reshape(2, 2)
 
 
-def _ratios(x: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward message ratios of equally long chains, one per row."""
+def _ratios(x: np.ndarray, a: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward message ratios of chains, one per row, which has the positions ``there``."""
     f, b = np.empty_like(x), np.ones_like(x)
     f[:, 0] = x[:, 0]
     for t in range(1, x.shape[1]):
         f[:, t] = x[:, t] * (f[:, t - 1] * a[1, 1] + a[0, 1]) / (f[:, t - 1] * a[1, 0] + a[0, 0])
         y = x[:, -t] * b[:, -t]
-        b[:, -t - 1] = (a[1, 1] * y + a[1, 0]) / (a[0, 1] * y + a[0, 0])
+        b[:, -t - 1] = np.where(there[:, -t], (a[1, 1] * y + a[1, 0]) / (a[0, 1] * y + a[0, 0]), 1.0)
     return f, b
 
 
-def _windows(slots: np.ndarray, docs: np.ndarray, hit: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Positions ``(windows, 2 * CONTEXT + 1)``: round the toxic documents' labelled words and,
-    as often again, round evenly spaced words of the other documents."""
+def _windows(docs: np.ndarray, hit: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the training windows, one after the other, and their lengths: round the toxic
+    documents' labelled words and, as often again, round evenly spaced words of the other documents.
+    A window has ``2 * CONTEXT + 1`` words, moved into its document, or the whole of a shorter one."""
     length = 2 * CONTEXT + 1
-    if len(docs) < length:
-        return np.empty((0, length), np.int64)
     centre = np.flatnonzero(hit)
     clean = np.flatnonzero(~toxic[docs])
     clean = clean[::max(1, len(clean) // max(2000, 2 * len(centre)))] if len(clean) else clean
-    first = np.clip(np.concatenate([centre, clean]) - CONTEXT, 0, len(docs) - length)
-    first = first[docs[first] == docs[first + length - 1]]
-    return first[:, None] + np.arange(length)
+    at = np.concatenate([centre, clean])
+    low, high = (np.searchsorted(docs, docs[at], side) for side in ("left", "right"))
+    first = np.maximum(np.minimum(at - CONTEXT, high - length), low)
+    lengths = np.minimum(first + length, high) - first
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum()), lengths
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id",
@@ -247,10 +251,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", k
         surprise = n * (p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q)))
         hit |= ((surprise > np.log(len(used) / MARK_LEVEL)) & (ratio >= MARK_RATIO))[slot]
     hit &= toxic[doc]
-    at = _windows(slots, doc, hit, toxic)
-    if not hit.any() or not len(at):
+    if not hit.any():
         return flat
-    weights, bias, trans = _train_chain(slots[at.ravel()], hit[at.ravel()].astype(float), *at.shape)
+    at, lengths = _windows(doc, hit, toxic)
+    weights, bias, trans = _train_chain(slots[at], hit[at].astype(float), lengths)
     model = Model(weights, bias, trans, np.zeros(3))
     m = model.marginals(model.emissions(slots), doc, len(toxic))
     weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))

@@ -124,6 +124,27 @@ def test_toxicity_spans_and_odd_rows(spark, odd_docs):
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_short_texts(spark):
+    """Toxic texts of 5 to 12 words, alone and among long clean ones; labelled words at the edges."""
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("mor", "lin", "tep", "sal", "gor", "vin") for b in ("ane", "ilo", "urt", "ema", "osk", "edi")]
+    bad = ["idiot", "moron", "worthless", "scum"]
+
+    def text(toxic, words):
+        w = [str(x) for x in rng.choice(plain, words)]
+        if toxic:
+            w[int(rng.choice([0, words - 1, words // 2]))] = str(rng.choice(bad))
+        return " ".join(w)
+    for longest in (12, 60):
+        rows = [(i, text(i % 4 == 0, int(rng.integers(5, 13 if i % 4 == 0 else longest + 1))), int(i % 4 == 0)) for i in range(1200)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.fit(df.where("doc_id < 800"))
+        got = {r["doc_id"]: r for r in toxicity.score(df.where("doc_id >= 800"), model).collect()}
+        want = {i: y for i, _, y in rows if i >= 800}
+        assert sum(got[i]["predicted"] == y for i, y in want.items()) >= 0.98 * len(want)
+        assert sum(got[i]["predicted"] for i, y in want.items() if y) >= 0.95 * sum(want.values())
+
+
 def test_toxicity_without_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     ones = spark.createDataFrame([(1, 1), (5, 1), (None, 0), (2, None)], "doc_id long, toxic int")
