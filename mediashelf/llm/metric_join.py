@@ -117,9 +117,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     rows, d = usable(vectors, id_col, vec_col)
     rows = rows.withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64("x", F.lit(1))})
-    classes = staged(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    reps = staged(rows.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["vec_id"])
-                  .select("vec_id", "size", "x"))
+    classes = staged(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+                     .withColumn("node", F.monotonically_increasing_id()))
+    # from here on to the labels a class goes by its node: two classes may have the same smallest id
+    reps = staged(rows.join(classes, ["h1", "h2"]).where("vec_id = rep").dropDuplicates(["node"])
+                  .select(F.col("node").alias("vec_id"), "size", "x"))
     total = reps.count()
     pivots = sample(reps, total, min(MAX_PIVOTS, -(-total // CELL_ROWS)) * 2, 5, d)
     pivots = np.unique(_unit(pivots), axis=0) if len(pivots) else pivots
@@ -180,15 +182,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     links = found.where("count IS NOT NULL").groupBy("vec_id").agg(F.sum("count").alias("count"))
     labels = connected_components(found.where("other IS NOT NULL").select(
         F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    by_class = (classes.join(links, classes["rep"] == links["vec_id"], "left").drop("vec_id")
-                .join(labels, classes["rep"] == labels["node"], "left")
+    least = (labels.join(classes.select("node", "rep"), "node").groupBy("component")
+             .agg(F.min("rep").alias("component_id")))
+    labels = labels.join(least, "component").select("node", "component_id")
+    by_class = (classes.join(links.withColumnRenamed("vec_id", "node"), "node", "left").join(labels, "node", "left")
                 .select("h1", "h2", (F.coalesce("count", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-                        F.coalesce("component", "rep").alias("component_id")))
-    done = rows.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+                        F.coalesce("component_id", "rep").alias("component_id")))
+    done = rows.select("vec_id", "h1", "h2").distinct().join(by_class, ["h1", "h2"])
     x = F.col(vec_col).cast("array<double>")
     left = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2")))
-    out = left.join(done.select("vec_id", "n_links", "component_id").distinct()
-                    .join(rows.select("vec_id", "h1", "h2").distinct(), "vec_id"), ["vec_id", "h1", "h2"], "left")
+    out = left.join(done, ["vec_id", "h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component_id", "vec_id").alias("component_id"),
                       F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

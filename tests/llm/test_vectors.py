@@ -77,3 +77,12 @@ def test_near_duplicates_empty(spark):
     assert metric_join.near_duplicates(df).count() == 0
     one = spark.createDataFrame([(3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in metric_join.near_duplicates(one).collect()] == [(3, 0, 3, True)]
+
+
+def test_near_duplicates_of_one_id_with_two_vectors(spark):
+    """Both vectors of id 1 are the smallest of their classes; each has its own partners."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [0.0, 1.0, 0.05]),
+            (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in metric_join.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]
