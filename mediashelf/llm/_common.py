@@ -35,6 +35,29 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class StagedTables:
+    """Tables staged as Parquet below the shared checkpoint folder that are deleted again, each as soon
+    as what was made of it stands in a table of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark)}/llm-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the tables' files; nothing that is still to be computed may read them."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fold_of(column: str, folds: int) -> Column:
     """``crc32(column as text) mod folds``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
