@@ -12,7 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,15 +116,15 @@ def image_analyses(images: DataFrame, tags: DataFrame, detections: DataFrame) ->
                     labels_to_json(F.coalesce("objects", F.array().cast("array<string>"))).alias("objects"))
 
 
-def store_image_analyses(current: DataFrame, analyses: DataFrame, as_of) -> UpsertResult:
+def store_image_analyses(current: DataFrame, analyses: DataFrame, as_of, **ids) -> UpsertResult:
     """K7: ``INSERT OR REPLACE`` keyed by file_id: a new id, the listed columns, the
     analysis time = as_of, every other column NULL. A column that ``current`` lacks is an
-    error: nothing that was computed is dropped."""
+    error: nothing that was computed is dropped. ``ids``: ``id_floor`` or ``sequence``, as in ``upsert``."""
     missing = sorted(set(analyses.columns) - set(current.columns))
     if missing:
         raise ValueError(f"the analysis table lacks {', '.join(missing)}")
     return upsert(current, analyses, ["file_id"], mode="replace",
-                  insert_values={"analyzed_time": ts_lit(as_of)})
+                  insert_values={"analyzed_time": ts_lit(as_of)}, **ids)
 
 
 def video_analyses(videos: DataFrame, probes: DataFrame) -> DataFrame:
@@ -138,15 +141,57 @@ def store_video_analyses(current: DataFrame, analyses: DataFrame) -> UpsertResul
 
 
 DETECTION_SCHEMA = "file_id long, label string, confidence double"
+DETECTED = DETECTION_SCHEMA + ", error string"
 
 
 def detect(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Hook: run a user detector over ``(file_id, content)`` batches with Arrow
-    (``mapInPandas``); it must return ``file_id, label, confidence`` rows. No model ships."""
+    """The detections of ``detect_files``, without its error rows."""
+    return detect_files(images, model).where("error IS NULL").drop("error")
+
+
+def detect_files(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame],
+                 batch_bytes: int = 64 << 20) -> DataFrame:
+    """Hook: run a user detector over ``(file_id, content)`` rows, for example of ``binaryFile``. The model gets a
+    pandas frame of both columns with at most ``batch_bytes`` of content (or one file) and returns
+    ``file_id, label, confidence`` rows, any number per file. No model ships.
+
+    A batch that fails is tried again file by file: a file that fails alone, or has no content, gives one row
+    with ``error`` and no label, and costs the others nothing. Contents are never shuffled."""
     from ..session import ship_package
     ship_package(images.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield model(pdf)[["file_id", "label", "confidence"]]
-    return images.select("file_id", "content").mapInPandas(run, DETECTION_SCHEMA)
+    def rows_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        got = model(part.to_pandas())[["file_id", "label", "confidence"]]
+        columns = [pa.array(got["file_id"], pa.int64()), pa.array(got["label"], pa.string()),
+                   pa.array(got["confidence"], pa.float64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(got), pa.string())], names=names)
+
+    def failed(file_id: int | None, error: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.nulls(1, pa.string()),
+                                           pa.nulls(1, pa.float64()), pa.array([error])], names=names)
+    names = [c.split()[0] for c in DETECTED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pc.is_valid(batch.column(1)))
+            for file_id in batch.filter(pc.is_null(batch.column(1))).column(0).to_pylist():
+                yield failed(file_id, "no content")
+            ends = np.cumsum(pc.binary_length(some.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < some.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch_bytes, "right")))
+                part = some.slice(at, to - at)
+                at = to
+                try:
+                    yield rows_of(part)
+                    continue
+                except Exception as e:  # the model's own failures are rows, not the job's
+                    if part.num_rows == 1:
+                        yield failed(part.column(0)[0].as_py(), f"{type(e).__name__}: {e}")
+                        continue
+                for i in range(part.num_rows):
+                    try:
+                        yield rows_of(part.slice(i, 1))
+                    except Exception as e:
+                        yield failed(part.column(0)[i].as_py(), f"{type(e).__name__}: {e}")
+    return images.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, DETECTED)

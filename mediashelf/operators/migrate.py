@@ -1,8 +1,10 @@
 """Migration: legacy table reads (S9), bulk upserts K9-K12, owner back-fill (C6, F13),
-key audits (A2, A3, C7), device-relative path rewrite (J13, X13, W2, A10)."""
+key audits (A2, A3, C7), device-relative path rewrite (J13, X13, W2, A10). Where rows get ids, ``ids`` is
+``id_floor`` or ``sequence``, as in ``upsert``."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,35 +27,41 @@ def unowned(col: str = "system_id"):
     return F.coalesce(F.col(col), F.lit("")).isin("", MIGRATION_OWNER)
 
 
-def migrate_devices(target: DataFrame, legacy: DataFrame, as_of) -> UpsertResult:
+def migrate_devices(target: DataFrame, legacy: DataFrame, as_of, **ids) -> UpsertResult:
     """K9: upsert on uuid; inserted rows are owned by ``migration``; a conflict updates
     mount_path, label, last_seen and last_sync (never first_seen or system_id)."""
     now = ts_lit(as_of)
     b = legacy.select("uuid", "mount_path", "label", "first_seen", "last_seen")
     return upsert(target, b, ["uuid"], ["mount_path", "label", "last_seen"], as_of=as_of,
-                  insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now, "is_active": F.lit(True)})
+                  insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now, "is_active": F.lit(True)}, **ids)
 
 
-def migrate_files(target: DataFrame, legacy: DataFrame, as_of) -> UpsertResult:
+def migrate_files(target: DataFrame, legacy: DataFrame, as_of, **ids) -> UpsertResult:
     """Upsert on (device_uuid, path); updates hash, size, times, last_sync."""
     now = ts_lit(as_of)
     b = legacy.select("device_uuid", "path", "hash", "size", "modified_time", "scanned_time")
     return upsert(target, b, ["device_uuid", "path"], ["hash", "size", "modified_time", "scanned_time"],
-                  as_of=as_of, insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now})
+                  as_of=as_of, insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now}, **ids)
 
 
-def migrate_scan_progress(target: DataFrame, legacy: DataFrame, as_of) -> UpsertResult:
+def migrate_scan_progress(target: DataFrame, legacy: DataFrame, as_of, **ids) -> UpsertResult:
     """Upsert on device_uuid; updates totals, last_updated, last_sync."""
     now = ts_lit(as_of)
     b = legacy.select("device_uuid", "total_files", "new_files", "last_updated")
     return upsert(target, b, ["device_uuid"], ["total_files", "new_files", "last_updated"], as_of=as_of,
-                  insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now})
+                  insert_values={"system_id": F.lit(MIGRATION_OWNER), "last_sync": now}, **ids)
 
 
-def migrate_image_analysis(target: DataFrame, legacy: DataFrame, as_of, id_col: str = "id") -> DataFrame:
+def migrate_image_analysis(target: DataFrame, legacy: DataFrame, as_of, id_col: str = "id", **ids) -> DataFrame:
+    """The table of ``append_image_analysis``."""
+    return append_image_analysis(target, legacy, as_of, id_col, **ids).table
+
+
+def append_image_analysis(target: DataFrame, legacy: DataFrame, as_of, id_col: str = "id", id_floor: int = 0,
+                          sequence=None) -> UpsertResult:
     """The conflict target (id) is never supplied, so every row is appended with a
-    new id; ``has_faces`` is cast to boolean, owner ``migration``."""
-    from .upsert import assign_serial_ids, max_id
+    new id; ``has_faces`` is cast to boolean, owner ``migration``. ``changes`` has the file ids."""
+    from .upsert import INSERT, numbered_rows
     now = ts_lit(as_of)
     cols = [c for c in target.columns if c != id_col]
     rows = legacy.select(*[
@@ -61,8 +69,10 @@ def migrate_image_analysis(target: DataFrame, legacy: DataFrame, as_of, id_col:
          F.lit(MIGRATION_OWNER) if c == "system_id" else
          now if c == "last_sync" else F.col(c)).cast(dict(target.dtypes)[c]).alias(c)
         for c in cols])
-    fresh = assign_serial_ids(rows, ["file_id", "analyzed_time"], max_id(target, id_col), id_col)
-    return target.unionByName(fresh)
+    numbered = functools.cache(
+        lambda: numbered_rows(target, rows, ["file_id", "analyzed_time"], id_col, id_floor, sequence))
+    return UpsertResult(lambda: target.unionByName(numbered()[0].select(*target.columns)),
+                        rows.select("file_id", F.lit(INSERT).alias("action")), lambda: numbered()[1])
 
 
 def backfill_owner(df: DataFrame, system_id: str, as_of=None) -> DataFrame:

@@ -12,7 +12,7 @@ from .upsert import UpsertResult, latest_per_key, ts_lit, upsert
 
 
 def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
-                     deactivate_missing: bool = True, order_col: str | None = None) -> UpsertResult:
+                     deactivate_missing: bool = True, order_col: str | None = None, **ids) -> UpsertResult:
     """K4 (+ F18, J7): upsert the devices one system sees, keyed by ``(uuid, system_id)``.
 
     ``seen`` has ``uuid`` and optionally ``mount_path``, ``label`` (a missing column means
@@ -22,6 +22,7 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
     last_seen = as_of, is_active = true (and last_sync = as_of); a new row gets
     first_seen = last_seen = as_of. Afterwards every other active device of this system
     is marked inactive (J7) unless the seen list is empty or holds a NULL uuid.
+    ``ids``: ``id_floor`` or ``sequence``, as in ``upsert``.
     """
     now = ts_lit(as_of)
     cols = seen.columns
@@ -38,7 +39,7 @@ def register_devices(devices: DataFrame, seen: DataFrame, system_id: str, as_of,
         devices, batch, ["uuid", "system_id"], ["mount_path", "label"], as_of=as_of,
         insert_values={"first_seen": now, "last_seen": now, "is_active": F.lit(True),
                        "mount_path": F.col("_b_mount_path"), "label": F.col("_b_label")},
-        update_values={"last_seen": now, "is_active": F.lit(True)},
+        update_values={"last_seen": now, "is_active": F.lit(True)}, **ids,
     )
     if not deactivate_missing:
         return res
@@ -106,21 +107,31 @@ def device_mount_point(requests: DataFrame, mount_points: DataFrame, devices: Da
             .select("device_uuid", "system_id", F.coalesce("_m", "d_mount").alias("mount_path")))
 
 
-def upsert_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "system") -> DataFrame:
+def upsert_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "system",
+                    order_col: str | None = None, **ids) -> DataFrame:
+    """The table of ``store_progress``."""
+    return store_progress(progress, batch, as_of, scope, order_col, **ids).table
+
+
+def store_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "system",
+                   order_col: str | None = None, **ids) -> UpsertResult:
     """K5 (and K6 with ``scope='device'``): progress upsert.
 
     ``scope='system'`` keys on ``(device_uuid, system_id)``. ``scope='device'`` reproduces
-    the reference's final write keyed by device only: the counts overwrite every
-    system's row of the device (and nothing is inserted for a device already present).
+    the reference's final write keyed by device only: of several reports of one device the last by
+    ``order_col`` counts (without it: that of the largest system); its counts overwrite every
+    system's row of the device, and it is inserted where the device has no row.
+    ``ids``: ``id_floor`` or ``sequence``, as in ``upsert``.
     """
     now = ts_lit(as_of)
-    b = batch.select("device_uuid", "system_id", "total_files", "new_files")
+    order = [order_col] if order_col else []
+    b = batch.select("device_uuid", "system_id", "total_files", "new_files", *order)
     if scope == "system":
         return upsert(progress, b, ["device_uuid", "system_id"], ["total_files", "new_files"], as_of=as_of,
                       insert_values={"last_updated": now},
-                      update_values={"last_updated": now}).table
-    per_dev = b.groupBy("device_uuid").agg(
-        F.max_by(F.struct("total_files", "new_files"), F.col("system_id")).alias("_v"))
+                      update_values={"last_updated": now}, order_col=order_col, **ids)
+    b = latest_per_key(b, ["device_uuid"], order_col or "system_id")
+    per_dev = b.select("device_uuid", F.struct("total_files", "new_files").alias("_v"))
     j = progress.join(per_dev, "device_uuid", "left")
     hit = F.col("_v").isNotNull()
     out = []
@@ -132,9 +143,9 @@ def upsert_progress(progress: DataFrame, batch: DataFrame, as_of, scope: str = "
         else:
             out.append(F.col(c))
     updated = j.select(*out)
-    missing = b.join(progress.select("device_uuid").distinct(), "device_uuid", "left_anti")
+    missing = b.join(progress.select("device_uuid").distinct(), "device_uuid", "left_anti").drop(*order)
     return upsert(updated, missing, ["device_uuid", "system_id"], ["total_files", "new_files"], as_of=as_of,
-                  insert_values={"last_updated": now}).table
+                  insert_values={"last_updated": now}, **ids)
 
 
 def restore_paths(requests: DataFrame, files: DataFrame, devices: DataFrame, mount_points: DataFrame,

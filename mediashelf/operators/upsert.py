@@ -20,12 +20,16 @@ from __future__ import annotations
 import datetime as _dt
 import functools
 from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+if TYPE_CHECKING:
+    from ..sources.sequences import Sequence as IdSequence
+
 INSERT, UPDATE, KEEP, DELETE = "insert", "update", "keep", "delete"
 
 
@@ -54,10 +58,11 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order_col: str | Colum
             .select(*keys, "_w.*"))
 
 
-def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int,
+def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int | Callable[[int], int],
                       id_col: str = "id", partitions: int | None = None) -> DataFrame:
     """``id = start_after + row_number() OVER (ORDER BY order_cols)`` without a
-    single-partition window.
+    single-partition window. ``start_after`` may be a function that is told the number of
+    rows (a range of an id sequence).
 
     The rows are range-partitioned, sorted and numbered, and that layout is checkpointed once:
     range bounds come from sampling, which is not repeatable across executions, so it
@@ -84,7 +89,7 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
     if not offsets:
         return ranked.drop("_mid").withColumn(id_col, F.lit(None).cast("bigint"))
     off = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    new_id = F.lit(start_after).cast("bigint") + F.element_at(off, (pid + 1).cast("int")) + pos + 1
+    new_id = F.lit(start_after(acc) if callable(start_after) else start_after).cast("bigint") + F.element_at(off, (pid + 1).cast("int")) + pos + 1
     return ranked.withColumn(id_col, new_id).drop("_mid")
 
 
@@ -125,7 +130,8 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
            as_of=None, order_col: str | Column | None = None, id_col: str | None = "id",
            insert_values: dict[str, Column] | None = None,
            update_values: dict[str, Column] | None = None,
-           stamp_col: str | None = "last_sync", id_floor: int = 0) -> UpsertResult:
+           stamp_col: str | None = "last_sync", id_floor: int = 0,
+           sequence: IdSequence | None = None) -> UpsertResult:
     """K1 core: ``INSERT ... ON CONFLICT (keys) DO UPDATE SET update_cols``.
 
     * ``mode='update'``: a matched row takes ``update_cols`` from the batch (and
@@ -139,7 +145,8 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
       requires: it rejects a key twice).
     * ``id_col``: serial id column of ``current``; inserted rows get ids above the largest id in
       it and above ``id_floor``, the largest id ever given out (a SERIAL never gives an id
-      again, also after its row was deleted). The result's ``high_water`` is the next floor.
+      again, also after its row was deleted). The result's ``high_water`` is the next floor. With a
+      ``sequence`` (``sources.sequences``) the ids are a range taken from it, which keeps the mark itself.
 
     Plan: the reduced batch is checkpointed once; the new version is ``current LEFT JOIN
     batch`` (updated or kept rows) plus the inserted rows ``batch LEFT ANTI
@@ -206,18 +213,24 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
 
     if id_col and id_col in cols and id_col not in keys and id_col not in insert_values \
             and id_col not in b_cols:
-        numbered = functools.cache(lambda: _numbered(current, inserted, keys, id_col, id_floor))
+        numbered = functools.cache(lambda: numbered_rows(current, inserted, keys, id_col, id_floor, sequence))
         return UpsertResult(lambda: kept.select(*cols).unionByName(numbered()[0].select(*cols)), changes,
                             lambda: numbered()[1])
     return UpsertResult(lambda: kept.select(*cols).unionByName(inserted.select(*cols)), changes)
 
 
-def _numbered(current: DataFrame, inserted: DataFrame, keys: list[str], id_col: str,
-              id_floor: int) -> tuple[DataFrame, int]:
+def numbered_rows(current: DataFrame, inserted: DataFrame, keys: list[str], id_col: str, id_floor: int,
+              sequence: IdSequence | None) -> tuple[DataFrame, int]:
     """Inserted rows with their serial ids, and the new high-water mark."""
-    base = max(max_id(current, id_col), id_floor)
-    rows = assign_serial_ids(inserted.drop(id_col), keys, base, id_col)
-    return rows, max(base, max_id(rows, id_col))
+    from ..sources.sequences import start_after
+    mark = [None]
+
+    def reserve(n: int) -> int:
+        base = start_after(sequence, current, id_col, id_floor, n)
+        mark[0] = base + n
+        return base
+    rows = assign_serial_ids(inserted.drop(id_col), keys, reserve, id_col)
+    return rows, reserve(0) if mark[0] is None else mark[0]
 
 
 def touch_access(files: DataFrame, accesses: DataFrame, id_col: str = "id",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
-from ..operators.upsert import latest_per_key
 from ..sources import catalogue as cat
 from .q_upsert import AS_OF, AS_OF_SQL
 from .registry import register
@@ -143,12 +142,11 @@ ins AS (SELECT (SELECT MAX(id) FROM scan_progress) + row_number() OVER (ORDER BY
         FROM b WHERE device_uuid NOT IN (SELECT device_uuid FROM scan_progress))
 SELECT * FROM upd UNION ALL SELECT * FROM ins""")
 def k6_progress_device_scope(spark, sf_dir):
-    # all systems' events; per device the counts of the system that wrote last
+    # all systems' reports; per device the one that was written last counts
     e = cat.scan_events(spark, sf_dir).groupBy("device_uuid", "system_id").agg(
         F.count("*").alias("total_files"), F.count_if(F.col("op") == "upsert").alias("new_files"),
-        F.max("ts").alias("last_ts"))
-    b = latest_per_key(e, ["device_uuid"], F.struct("last_ts", "system_id")).drop("last_ts")
-    return R.upsert_progress(cat.scan_progress(spark, sf_dir), b, AS_OF, scope="device")
+        F.struct(F.max("ts"), "system_id").alias("written"))
+    return R.upsert_progress(cat.scan_progress(spark, sf_dir), e, AS_OF, scope="device", order_col="written")
 
 
 _RESTORE_SQL = """

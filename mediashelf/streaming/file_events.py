@@ -71,12 +71,12 @@ def read_log(spark: SparkSession, log_dir: str, after_batch: int | None = None,
     return log
 
 
-def snapshot(files: DataFrame, log: DataFrame, id_floor: int = 0) -> DataFrame:
+def snapshot(files: DataFrame, log: DataFrame, id_floor: int = 0, sequence=None) -> DataFrame:
     """Fold the event log into ``files`` (see ``fold``): the new table version."""
-    return fold(files, log, id_floor).table
+    return fold(files, log, id_floor, sequence).table
 
 
-def fold(files: DataFrame, log: DataFrame, id_floor: int = 0) -> UpsertResult:
+def fold(files: DataFrame, log: DataFrame, id_floor: int = 0, sequence=None) -> UpsertResult:
     """The last event per key (batch, time, id) deletes the row or upserts it (K3-style on
     ``(device_uuid, path)``: size, owner, scan time = event time).
 
@@ -91,7 +91,8 @@ def fold(files: DataFrame, log: DataFrame, id_floor: int = 0) -> UpsertResult:
     base = files.join(deletes, KEYS, "left_anti")
     return upsert(base, upserts, KEYS, ["system_id", "size", "scanned_time"], as_of=None,
                   update_values={"last_sync": F.col("_b_scanned_time"), "hash": F.lit(None)},
-                  id_floor=max(id_floor, max_id(files)))
+                  id_floor=id_floor if sequence is not None and sequence.last() > 0 else max(id_floor, max_id(files)),
+                  sequence=sequence)
 
 
 def batch_equivalent(files: DataFrame, events: DataFrame) -> DataFrame:
