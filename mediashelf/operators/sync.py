@@ -6,22 +6,21 @@ another system (Python ``!=``: a NULL owner counts as other), and then, keyed as
 reference keys each table, either takes ownership (``system_id = me``, ``last_sync =
 as_of``) of every row sharing the key or deletes them when the thing is gone.
 
-Everything is set-based: the acted keys are reduced to one row per key (partial
-aggregate), then joined back with a left join (update) or ``left_anti`` (delete). The
-takeover can make two rows share the full key (the reference keys drop system_id); one
-row per full key is kept: the largest id (their ``last_sync`` is the same then).
+Everything is set-based and each table is read once: a window over the key decides what happens
+to its rows. The takeover can make two rows share the full key (the reference keys drop
+system_id); one row per full key is kept: the largest id (their ``last_sync`` is the same then).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .upsert import ts_lit
 
 # Fixed value: the look-back of a sync round.
@@ -43,49 +42,45 @@ def acted(df: DataFrame, me: str, cutoff) -> DataFrame:
     return df.where(dirty(df, me, cutoff) & ~F.col("system_id").eqNullSafe(F.lit(me)))
 
 
-def _winners(df: DataFrame, rows: DataFrame, keys: Sequence[str], value_cols: Sequence[str],
-             present: DataFrame | None, present_keys: Sequence[str]) -> DataFrame:
-    """One acted row per key (largest id wins, as a deterministic stand-in for the
-    reference's fetch order) with a ``_present`` flag from the optional presence set and
-    ``_keep``, the largest id among all rows of ``df`` with that key: the row that stays when
-    the takeover makes their full keys equal."""
-    vals = [c for c in value_cols if c not in keys]
-    w = (rows.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("id")).alias("_w")).select(*keys, "_w.*") if vals
-         else rows.select(*keys).distinct())
-    kept = df.join(w.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.max("id").alias("_keep"))
-    w = w.join(kept, keys)
-    if present is None:
-        flag = w.withColumn("_present", F.lit(True))
-    else:
-        p = present.select(*[F.col(a).alias(b) for a, b in zip(present_keys, keys)]).distinct() \
-            .withColumn("_p", F.lit(True))
-        flag = w.join(p, keys, "left").withColumn("_present", F.coalesce("_p", F.lit(False))).drop("_p")
-    return flag.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_present", "_keep",
-                       *[F.col(c).alias(f"_v_{c}") for c in vals])
-
-
-def _apply(df: DataFrame, keys: Sequence[str], winners: DataFrame, set_cols: dict[str, Column],
-           absent_cols: dict[str, Column] | None = None, one_per_key: bool = True) -> DataFrame:
-    """``df`` with ``_op``: NULL for rows that the round leaves alone, ``update`` for rows of a
-    present key (``set_cols`` applied), ``delete`` for rows that go: those of an absent key (unless
-    ``absent_cols`` updates them instead) and, with ``one_per_key``, all but the largest id of a
-    key. One left join on the key."""
-    cond = reduce(lambda a, b: a & b, [df[k] == winners[f"_k_{k}"] for k in keys])
-    j = df.join(winners, cond, "left")
-    hit = F.coalesce("_present", F.lit(False))
-    gone = F.col("_present") == F.lit(False)
-    op = F.when(gone, F.lit("delete" if absent_cols is None else "update")).when(
-        hit, F.when((df["id"] < F.col("_keep")) & F.lit(one_per_key), F.lit("delete")).otherwise(F.lit("update")))
+def _marked(df: DataFrame, me: str, as_of, keys: Sequence[str], set_cols: dict[str, Column] | None = None,
+            value_cols: Sequence[str] = (), absent_cols: dict[str, Column] | None = None,
+            present: DataFrame | None = None, present_keys: Sequence[str] = (), one_per_key: bool = True) -> DataFrame:
+    """``df`` with ``_op``: NULL for rows that the round leaves alone, ``update`` for rows of an
+    acted key that is present (``set_cols`` and the winner's ``value_cols`` applied), ``delete`` for rows that go: those of
+    an absent key (unless ``absent_cols`` updates them instead) and, with ``one_per_key``, all but the
+    largest id of a key, whose full keys the takeover makes equal.
+
+    The acted row with the largest id wins (a deterministic stand-in for the reference's fetch order). The table
+    is read once: a window over the key sees whether it is acted on, the winner and the largest id, and the
+    keys of ``present`` are rows of the same window, so one exchange on the key decides everything
+    (none for a table bucketed on it). A NULL key equals no key: such rows are windows of their own."""
     types = dict(df.dtypes)
+    act = dirty(df, me, cutoff_of(as_of)) & ~F.col("system_id").eqNullSafe(F.lit(me))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    rows = df.withColumns({"_p": F.lit(None).cast("boolean"), "_acted": F.when(act & whole, F.col("id"))})
+    if present is not None:
+        there = present.select(*[F.col(a).alias(b) for a, b in zip(present_keys, keys)]).dropna().distinct()
+        rows = rows.unionByName(there.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], F.lit(True).alias("_p")),
+                                allowMissingColumns=True)
+    w = Window.partitionBy(*keys, F.when(~whole, F.col("id")))
+    seen = {"_hit": F.max("_acted").over(w).isNotNull(), "_keep": F.max("id").over(w),
+            "_there": F.max("_p").over(w).isNotNull() if present is not None else F.lit(True)}
+    if value_cols:
+        seen["_won"] = F.max_by(F.struct(*value_cols), F.col("_acted")).over(w)
+    j = rows.select("*", *[v.alias(k) for k, v in seen.items()]).where(F.col("_p").isNull())
+    hit, gone = F.col("_hit") & F.col("_there"), F.col("_hit") & ~F.col("_there")
+    op = F.when(gone, F.lit("delete" if absent_cols is None else "update")).when(
+        hit, F.when((F.col("id") < F.col("_keep")) & F.lit(one_per_key), F.lit("delete")).otherwise(F.lit("update")))
+    sets = {c: F.col("_won")[c] for c in value_cols} | (set_cols or {})
     out = []
     for c in df.columns:
-        v = df[c]
+        v = F.col(c)
         if absent_cols and c in absent_cols:
             v = F.when(gone, absent_cols[c]).otherwise(v)
-        if c in set_cols:
-            v = F.when(hit, set_cols[c]).otherwise(v)
+        if c in sets:
+            v = F.when(hit, sets[c]).otherwise(v)
         out.append(v.cast(types[c]).alias(c))
-    return j.select(*out, df["last_sync"].alias("_old_sync"), op.alias("_op"))
+    return j.select(*out, F.col("last_sync").alias("_old_sync"), op.alias("_op"))
 
 
 def kept_rows(marked: DataFrame) -> DataFrame:
@@ -99,12 +94,11 @@ def changed_rows(marked: DataFrame) -> DataFrame:
 
 
 def mark_devices(devices: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
-    """T1 as marked rows (see ``_apply``)."""
+    """T1 as marked rows (see ``_marked``)."""
     now = ts_lit(as_of)
-    w = _winners(devices, acted(devices, me, cutoff_of(as_of)), ["uuid"], [], present_uuids, ["uuid"])
-    return _apply(devices, ["uuid"], w,
-                  {"last_seen": now, "system_id": F.lit(me), "last_sync": now, "is_active": F.lit(True)},
-                  {"last_sync": now, "is_active": F.lit(False)})
+    return _marked(devices, me, as_of, ["uuid"],
+                   {"last_seen": now, "system_id": F.lit(me), "last_sync": now, "is_active": F.lit(True)},
+                   absent_cols={"last_sync": now, "is_active": F.lit(False)}, present=present_uuids, present_keys=["uuid"])
 
 
 def mark_files(files: DataFrame, me: str, as_of, present_files: DataFrame | None = None) -> DataFrame:
@@ -128,9 +122,8 @@ def mark_image_analysis(analyses: DataFrame, files: DataFrame, me: str, as_of) -
 
 def _takeover(df: DataFrame, keys: Sequence[str], vals: Sequence[str], me: str, as_of, present: DataFrame | None,
               present_keys: Sequence[str], one_per_key: bool = True) -> DataFrame:
-    w = _winners(df, acted(df, me, cutoff_of(as_of)), keys, vals, present, present_keys)
-    sets = {c: F.col(f"_v_{c}") for c in vals} | {"system_id": F.lit(me), "last_sync": ts_lit(as_of)}
-    return _apply(df, keys, w, sets, one_per_key=one_per_key)
+    return _marked(df, me, as_of, keys, {"system_id": F.lit(me), "last_sync": ts_lit(as_of)}, vals, None, present,
+                   present_keys, one_per_key)
 
 
 def sync_devices(devices: DataFrame, me: str, as_of, present_uuids: DataFrame | None = None) -> DataFrame:
@@ -166,15 +159,65 @@ def change_log(table_name: str, marked: DataFrame, me: str, as_of) -> DataFrame:
                     F.col("_op").alias("operation"), F.lit(me).alias("system_id"), now.alias("sync_time")))
 
 
-@dataclass
 class SyncRound:
-    devices: DataFrame
-    files: DataFrame
-    scan_progress: DataFrame
-    image_analysis: DataFrame
-    log: DataFrame  # table_name, operation, rows (A11 per table and operation)
-    changes: DataFrame  # sync_logs rows: table_name, record_id, operation, system_id, sync_time
-    marked: dict[str, DataFrame]  # every table's rows with what the round does to them
+    """One round over the four tables. ``log`` has the counts of processed (dirty) rows per table (A11) and
+    reads nothing else. The first use of anything further stages every table's marked rows, once: the tables
+    after the round, ``changes`` (the ``sync_logs`` rows) and ``marked`` are all read from there."""
+
+    def __init__(self, tables: dict[str, DataFrame], me: str, as_of, present_uuids: DataFrame | None,
+                 present_files: DataFrame | None):
+        self._tables, self._me, self._as_of = tables, me, as_of
+        self._uuids, self._files = present_uuids, present_files
+        self._marked: dict[str, DataFrame] = {}
+
+    def marks(self, table: str) -> DataFrame:
+        """A table's rows with what the round does to them, staged."""
+        if table not in self._marked:
+            df, me, as_of = self._tables[table], self._me, self._as_of
+            if table == "devices":
+                rows = mark_devices(df, me, as_of, self._uuids)
+            elif table == "files":
+                rows = mark_files(df, me, as_of, self._files)
+            elif table == "scan_progress":
+                rows = mark_scan_progress(df, me, as_of, self._uuids)
+            else:  # the files that T4 still finds: all but T2's deletions
+                rows = mark_image_analysis(df, kept_rows(self.marks("files")), me, as_of)
+            self._marked[table] = stage_table(rows)
+        return self._marked[table]
+
+    @property
+    def marked(self) -> dict[str, DataFrame]:
+        return {t: self.marks(t) for t in self._tables}
+
+    @property
+    def devices(self) -> DataFrame:
+        return kept_rows(self.marks("devices"))
+
+    @property
+    def files(self) -> DataFrame:
+        return kept_rows(self.marks("files"))
+
+    @property
+    def scan_progress(self) -> DataFrame:
+        return kept_rows(self.marks("scan_progress"))
+
+    @property
+    def image_analysis(self) -> DataFrame:
+        return kept_rows(self.marks("image_analysis"))
+
+    @property
+    def log(self) -> DataFrame:
+        """``(table_name, operation, rows)``: processed rows per table."""
+        cut = cutoff_of(self._as_of)
+        return reduce(DataFrame.unionByName, [
+            df.where(dirty(df, self._me, cut)).agg(F.count("*").alias("rows"))
+            .select(F.lit(t).alias("table_name"), F.lit("processed").alias("operation"), "rows")
+            for t, df in self._tables.items()])
+
+    @property
+    def changes(self) -> DataFrame:
+        """``(table_name, record_id, operation, system_id, sync_time)`` of updated and deleted rows."""
+        return reduce(DataFrame.unionByName, [change_log(t, m, self._me, self._as_of) for t, m in self.marked.items()])
 
 
 def sync_all(devices: DataFrame, files: DataFrame, progress: DataFrame, analyses: DataFrame,
@@ -182,20 +225,5 @@ def sync_all(devices: DataFrame, files: DataFrame, progress: DataFrame, analyses
              present_files: DataFrame | None = None) -> SyncRound:
     """T5: one round, T1 -> T2 -> T3 -> T4 (T4 sees T2's deletions), with the counts of
     processed (dirty) rows per table (A11) and the log of updated and deleted rows."""
-    cut = cutoff_of(as_of)
-    marked = {"devices": mark_devices(devices, me, as_of, present_uuids),
-              "files": mark_files(files, me, as_of, present_files),
-              "scan_progress": mark_scan_progress(progress, me, as_of, present_uuids)}
-    # the files that T4 still finds: all but T2's deletions (ids only, from T2's marks)
-    still = files.select("id").join(marked["files"].where("_op = 'delete'").select("id"), "id", "left_anti")
-    marked["image_analysis"] = mark_image_analysis(analyses, still, me, as_of)
-
-    def processed(name: str, df: DataFrame) -> DataFrame:
-        return df.where(dirty(df, me, cut)).agg(F.count("*").alias("rows")) \
-            .select(F.lit(name).alias("table_name"), F.lit("processed").alias("operation"), "rows")
-
-    log = reduce(DataFrame.unionByName, [
-        processed("devices", devices), processed("files", files),
-        processed("scan_progress", progress), processed("image_analysis", analyses)])
-    changes = reduce(DataFrame.unionByName, [change_log(name, m, me, as_of) for name, m in marked.items()])
-    return SyncRound(*[kept_rows(m) for m in marked.values()], log, changes, marked)
+    return SyncRound({"devices": devices, "files": files, "scan_progress": progress, "image_analysis": analyses},
+                     me, as_of, present_uuids, present_files)
