@@ -3,11 +3,13 @@ K13, A6), totals and statistics (A4, A5, A12)."""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.media_meta import gigabytes, percent, rate
@@ -99,17 +101,20 @@ def listing_rows(listing: DataFrame, devices: DataFrame, system_id: str) -> Data
 
 @dataclass
 class ScanResult:
-    """One scan: new table versions, what was written per device, and rows that failed."""
+    """One scan: new table versions, what was written per device, rows that failed, and the counters and rates
+    of the scan (one row as from ``scan_stats``), which the job that stored the listing has counted."""
     files: DataFrame
     progress: DataFrame
     counts: DataFrame
     errors: DataFrame
+    stats: DataFrame
 
 
 def scan_devices(files: DataFrame, progress: DataFrame, devices: DataFrame, system_id: str, as_of, *,
                  extensions: Sequence[str] = DEFAULT_SCAN_EXTENSIONS, include_all: bool = False,
                  skip_dirs: Sequence[str] = SKIP_DIRS, do_hash: bool = True,
-                 listing: DataFrame | None = None, id_floor: int = 0) -> ScanResult:
+                 listing: DataFrame | None = None, id_floor: int = 0, sequence=None,
+                 progress_sequence=None) -> ScanResult:
     """One call for a whole scan: list the devices (``devices``: ``root, device_uuid``), keep wanted
     names (F1-F4, before stat and hash), make paths device-relative (X2), upsert them by device and
     path (K3: owner, size, times and hash; scan time = ``as_of``), drop rows of the scanned devices whose
@@ -117,28 +122,36 @@ def scan_devices(files: DataFrame, progress: DataFrame, devices: DataFrame, syst
     files and first inserts (A6).
 
     ``listing`` (see ``sources.listing.listing_of``) replaces the walk where executors cannot open the
-    paths; it is filtered by the same rules. The listing is materialised once."""
-    from ..sources.listing import walk_files
+    paths; it is filtered by the same rules. The listing is materialised once, and that job also counts the scan
+    (A5): names that the walker passes over leave a number per task, so they are counted without being listed."""
+    from ..sources.listing import listed_files, walk
     from .registry import upsert_progress
     from .upsert import ts_lit, upsert
+    began = time.monotonic()
+    passed = 0
     if listing is None:
-        listing = walk_files(devices.select("root"), skip_dirs, do_hash,
-                             extensions=None if include_all else extensions, hidden=False)
+        found = walk(devices.select("root"), skip_dirs, extensions=None if include_all else extensions, hidden=False)
+        passed = found.agg(F.sum("passed")).first()[0] or 0
+        listing, wanted = listed_files(found, do_hash), F.lit(True)
     else:
-        parent = listing.withColumn("_dir", dirname("path"))
-        listing = parent.where(should_scan_file("path", extensions, include_all) & dir_walked("path", F.col("root"))
-                               & ~should_skip_dir("_dir", skip_dirs)).drop("_dir")
-    rows = stage_table(listing_rows(listing, devices, system_id).select(
+        listing = listing.withColumn("_dir", dirname("path")).where(
+            dir_walked("path", F.col("root")) & ~should_skip_dir("_dir", skip_dirs)).drop("_dir")
+        wanted = should_scan_file("path", extensions, include_all)
+    observed, seen = observe_scan(listing.withColumn("_wanted", wanted), F.col("_wanted"), f"scan-{uuid.uuid4().hex}")
+    rows = stage_table(listing_rows(observed.where("_wanted"), devices, system_id).select(
         "device_uuid", F.col("rel_path").alias("path"), "system_id", "size", "hash", "modified_time", "error"))
+    stats = observed_stats(files.sparkSession, seen, time.monotonic() - began).withColumn(
+        "skipped_files", F.col("skipped_files") + F.lit(passed))
     good = rows.where(F.col("error").isNull()).drop("error")
     counts = cut_lineage(scan_result_counts(files, good))
     res = upsert(files, good, ["device_uuid", "path"], ["system_id", "size", "hash", "modified_time"], as_of=as_of,
                  insert_values={"scanned_time": ts_lit(as_of)}, update_values={"scanned_time": ts_lit(as_of)},
-                 id_floor=id_floor)
-    seen = good.select("device_uuid", "path").unionByName(
+                 id_floor=id_floor, sequence=sequence)
+    there = good.select("device_uuid", "path").unionByName(
         devices.select("device_uuid", F.lit(None).cast("string").alias("path")))
-    return ScanResult(delete_vanished(res.table, seen), upsert_progress(progress, counts, as_of), counts,
-                      rows.where(F.col("error").isNotNull()))
+    return ScanResult(delete_vanished(res.table, there),
+                      upsert_progress(progress, counts, as_of, sequence=progress_sequence), counts,
+                      rows.where(F.col("error").isNotNull()), stats)
 
 
 def pre_scan_totals(listing: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -153,18 +166,35 @@ def scan_stats(files: DataFrame, eligible: Column, elapsed_seconds: float,
     GB processed and files per second (0 when no time elapsed)."""
     err = F.col("error").isNotNull()
     g = files.groupBy(*group_cols) if group_cols else files.groupBy()
-    agg = g.agg(F.count_if(eligible).alias("total_files"),
-                F.count_if(eligible & ~err).alias("processed_files"),
-                F.count_if(~eligible).alias("skipped_files"),
-                F.count_if(eligible & err).alias("error_files"),
-                F.coalesce(F.sum(F.when(eligible & ~err, F.col("size"))), F.lit(0)).alias("total_size"))
-    return agg.select(
-        *group_cols, "total_files", "processed_files", "skipped_files", "error_files", "total_size",
+    return _rates(g.agg(*_counters(eligible, err)), elapsed_seconds, group_cols)
+
+
+COUNTERS = ["total_files", "processed_files", "skipped_files", "error_files", "total_size"]
+
+
+def _counters(eligible: Column, err: Column) -> list[Column]:
+    return [F.count_if(eligible).alias("total_files"),
+            F.count_if(eligible & ~err).alias("processed_files"),
+            F.count_if(~eligible).alias("skipped_files"),
+            F.count_if(eligible & err).alias("error_files"),
+            F.coalesce(F.sum(F.when(eligible & ~err, F.col("size"))), F.lit(0)).cast("long").alias("total_size")]
+
+
+def _rates(counted: DataFrame, elapsed_seconds: float, group_cols: Sequence[str] = ()) -> DataFrame:
+    return counted.select(
+        *group_cols, *COUNTERS,
         F.round(percent("processed_files", "total_files"), 6).alias("percent"),
         F.round(gigabytes("total_size"), 9).alias("gb"),
         F.round(rate("processed_files", F.lit(float(elapsed_seconds))), 6).alias("files_per_sec"))
 
 
+def observed_stats(spark: SparkSession, observation: Observation, elapsed_seconds: float) -> DataFrame:
+    """``scan_stats`` from the counters that a finished job left in ``observe_scan``'s observation."""
+    got = observation.get
+    row = spark.createDataFrame([tuple(got[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+    return _rates(row, elapsed_seconds)
+
+
 def dedupe_paths(listing: DataFrame, order_col: str | None = None) -> DataFrame:
     """One row per path (the last by ``order_col`` when given)."""
     if order_col is None:
@@ -177,16 +207,8 @@ def observe_scan(files: DataFrame, eligible: Column, name: str = "scan_counters"
     """A5 runtime counters: the same counts as ``scan_stats`` gathered as a side effect of
     whatever action runs ``files`` (``df.observe``), so the scan is not read twice.
     Returns ``(observed_df, observation)``; ``observation.get`` is filled after the action."""
-    from pyspark.sql import Observation
     obs = Observation(name)
-    err = F.col("error").isNotNull()
-    df = files.observe(obs,
-                       F.count_if(eligible).alias("total_files"),
-                       F.count_if(eligible & ~err).alias("processed_files"),
-                       F.count_if(~eligible).alias("skipped_files"),
-                       F.count_if(eligible & err).alias("error_files"),
-                       F.coalesce(F.sum(F.when(eligible & ~err, F.col("size"))), F.lit(0)).alias("total_size"))
-    return df, obs
+    return files.observe(obs, *_counters(eligible, F.col("error").isNotNull())), obs
 
 
 def scan_result_counts(stored: DataFrame, scanned: DataFrame, keys: Sequence[str] = ("device_uuid", "path"),

@@ -7,9 +7,12 @@ names beginning with ``.`` or ``_``; the reference does not, so the walker lists
 ``os.scandir`` inside Spark tasks, for paths that every executor mounts. On object stores a
 listing table (an inventory report) takes its place: ``listing_of``.
 
-The walker works in two steps. Directories become paths: the first ``split_depth`` levels are
-expanded one level per step, so a device spreads over tasks, and names that the scan does not
-want (extension, hidden, pruned prefixes) are dropped before anything is opened. Then the
+The walker works in two steps. Directories become paths by a frontier: a pass deals the frontier's
+directories out, each task walks on from its own until it has opened ``budget`` directories, and what it has not
+opened is the next frontier. Each pass is staged, gives files, errors and the next frontier at once, and no
+directory is opened twice. Passes go on until the frontier is empty, so a deep or lopsided
+tree is dealt out anew again and again, and a small one is done in one pass. Names that the scan does
+not want (extension, hidden, pruned prefixes) are dropped before anything is opened. Then the
 paths are dealt out evenly and each is statted and, if asked, hashed whole by ranged reads, so
 that a flat folder of any size is hashed by many tasks. Rows leave the tasks in chunks.
 """
@@ -18,20 +21,25 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections import deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.media_meta import epoch_to_timestamp
-from ..session import ship_package
+from ..session import ship_package, stage_table
 
 WALK_SCHEMA = ("root string, path string, size long, mtime double, ctime double, "
                "hash string, error string")
+FOUND = "root string, path string, is_dir boolean, error string, opened long, passed long"
 LISTING_COLS = ["root", "path", "size", "modified_time", "created_at", "hash", "error"]
 #: Rows that a task holds before it hands them on.
 CHUNK = 1000
+#: Directories that a task opens from one that it is dealt before it hands the rest back.
+BUDGET = 256
 
 
 def _utc(timestamp: str):
@@ -73,10 +81,12 @@ def file_hash(path: str, limit: int | None = None) -> str:
     return h.hexdigest()
 
 
-def _lister(prune: Sequence[str], extensions: Sequence[str] | None, hidden: bool, levels: int | None):
-    """Directories to ``(root, path, is_dir, error)``: wanted files, and the sub-directories that
-    remain after ``levels`` levels (None: walk to the end). A link to a directory is neither listed
-    nor entered, as ``os.walk`` has it."""
+def _lister(prune: Sequence[str], extensions: Sequence[str] | None, hidden: bool, budget: int):
+    """Directories to ``FOUND`` rows: wanted files, the directories that are not opened when ``budget`` of
+    them were (counted per starting directory), failed directories, and per task one row with how many directories it
+    opened and how many names it passed over. A link to a directory is neither listed nor entered, as
+    ``os.walk`` has it."""
+    columns = [c.split()[0] for c in FOUND.split(", ")]
     def wanted(name: str) -> bool:
         if not hidden and name.startswith("."):
             return False
@@ -84,30 +94,38 @@ def _lister(prune: Sequence[str], extensions: Sequence[str] | None, hidden: bool
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
+        total = passed = 0
         for pdf in batches:
             for root, start in zip(pdf["root"], pdf["path"]):
-                stack = [(start, levels)]
-                while stack:
-                    path, left = stack.pop()
+                queue, opened = deque([start]), 0
+                while queue:
+                    path = queue.popleft()  # breadth first: what is left lies as high as it can
                     if any(path.startswith(p) for p in prune):
                         continue
-                    if left == 0:
-                        out.append((root, path, True, None))
-                        continue
-                    try:
-                        with os.scandir(path) as entries:
-                            for e in entries:
-                                if not e.is_dir():
-                                    if wanted(e.name):
-                                        out.append((root, e.path, False, None))
-                                elif e.is_dir(follow_symlinks=False) and (hidden or not e.name.startswith(".")):
-                                    stack.append((e.path, None if left is None else left - 1))
-                                if len(out) >= CHUNK:
-                                    yield pd.DataFrame(out, columns=["root", "path", "is_dir", "error"])
-                                    out = []
-                    except OSError as e:
-                        out.append((root, path, False, str(e)))
-        yield pd.DataFrame(out, columns=["root", "path", "is_dir", "error"])
+                    if opened == budget:
+                        out.append((root, path, True, None, None, None))
+                    else:
+                        opened, total = opened + 1, total + 1
+                        try:
+                            with os.scandir(path) as entries:
+                                for e in entries:
+                                    if not e.is_dir():
+                                        if wanted(e.name):
+                                            out.append((root, e.path, False, None, None, None))
+                                        else:
+                                            passed += 1
+                                    elif e.is_dir(follow_symlinks=False) and (hidden or not e.name.startswith(".")):
+                                        queue.append(e.path)
+                                    if len(out) >= CHUNK:
+                                        yield pd.DataFrame(out, columns=columns)
+                                        out = []
+                        except OSError as e:
+                            out.append((root, path, False, str(e), None, None))
+                    if len(out) >= CHUNK:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+        out.append((None, None, False, None, total, passed))
+        yield pd.DataFrame(out, columns=columns).astype({"opened": "Int64", "passed": "Int64"})
     return run
 
 
@@ -137,37 +155,44 @@ def _reader(do_hash: bool, hash_bytes: int | None):
 
 def walk_files(seeds: DataFrame, prune_prefixes: Sequence[str] = (), do_hash: bool = False,
                hash_bytes: int | None = None, extensions: Sequence[str] | None = None,
-               hidden: bool = True, split_depth: int = 1) -> DataFrame:
+               hidden: bool = True, budget: int = BUDGET) -> DataFrame:
     """S1/S3 by directory walk: one output row per wanted file under each ``root`` of ``seeds``.
 
     ``extensions`` (lower-case, None: all) and ``hidden=False`` (no names with a leading dot, at any
     level) select files by name before they are opened (F1, F2, F3); ``prune_prefixes`` stops the walk
-    at directories with such a raw prefix, the root included (F4). The first ``split_depth`` levels are
-    expanded in steps of one level, each dealt out anew. ``hash_bytes`` asks for the prefix form
-    of the hash (X18); by default the whole file is hashed (X19). ``root`` stays the scan root."""
-    ship_package(seeds.sparkSession)  # the walker runs in Python workers
-    kind = "root string, path string, is_dir boolean, error string"
-    names = set(extensions) if extensions is not None else None
+    at directories with such a raw prefix, the root included (F4). ``budget``: directories that a task opens from
+    each that it is dealt. ``hash_bytes`` asks for the prefix form of the hash (X18); by default the
+    whole file is hashed (X19). ``root`` stays the scan root.
+
+    The passes over directories run at once; files are statted when the result is used."""
+    return listed_files(walk(seeds, prune_prefixes, extensions, hidden, budget), do_hash, hash_bytes)
+
 
-    def listed(dirs: DataFrame, levels: int | None) -> DataFrame:
-        return dirs.select("root", "path").repartition("path").mapInPandas(
-            _lister(tuple(prune_prefixes), names, hidden, levels), kind)
+def walk(seeds: DataFrame, prune_prefixes: Sequence[str] = (), extensions: Sequence[str] | None = None,
+         hidden: bool = True, budget: int = BUDGET) -> DataFrame:
+    """The directory part of ``walk_files``: ``FOUND`` rows of files and failed directories below ``seeds``, and per
+    task and pass a row without a path that has its numbers of opened directories and names passed over. Every
+    pass is staged as Parquet; only whether it left a frontier reaches the driver."""
+    ship_package(seeds.sparkSession)  # the walker runs in Python workers
+    lister = _lister(tuple(prune_prefixes), set(extensions) if extensions is not None else None, hidden, budget)
     dirs = seeds.select(F.col("root").cast("string").alias("root")).distinct().withColumn("path", F.col("root"))
-    found = None
-    for _ in range(split_depth):
-        step = listed(dirs, 1)
-        files = step.where("NOT is_dir")
-        found = files if found is None else found.unionByName(files)
+    passes = []
+    while True:
+        step = stage_table(dirs.select("root", "path").repartition("path").mapInPandas(lister, FOUND))
+        passes.append(step.where("NOT is_dir"))
         dirs = step.where("is_dir")
-    rest = listed(dirs, None)
-    found = rest if found is None else found.unionByName(rest)
-    read = (found.where("error IS NULL").select("root", "path").repartition("path")
-            .mapInPandas(_reader(do_hash, hash_bytes), WALK_SCHEMA))
-    failed = found.where("error IS NOT NULL").select("root", "path", "error")
+        if dirs.isEmpty():
+            return reduce(DataFrame.unionByName, passes)
+
+
+def listed_files(found: DataFrame, do_hash: bool = False, hash_bytes: int | None = None) -> DataFrame:
+    """Stat (and hash) the files of a ``walk``, dealt out evenly; failed directories follow as error rows."""
+    files = found.where("path IS NOT NULL AND error IS NULL")
+    read = files.select("root", "path").repartition("path").mapInPandas(_reader(do_hash, hash_bytes), WALK_SCHEMA)
     return read.select(
         "root", "path", "size", epoch_to_timestamp(F.col("mtime")).alias("modified_time"),
         epoch_to_timestamp(F.col("ctime")).alias("created_at"), "hash", "error").unionByName(
-        failed, allowMissingColumns=True)
+        found.where("error IS NOT NULL").select("root", "path", "error"), allowMissingColumns=True)
 
 
 def seeds_of(spark: SparkSession, roots: list[str]) -> DataFrame:
