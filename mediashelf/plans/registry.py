@@ -43,6 +43,6 @@ def load_all() -> dict[str, Query]:
     """Import every query module (each registers on import) and return the registry."""
     from . import (  # noqa: F401
         q_catalogue, q_paths, q_registry, q_upsert, q_sync, q_migrate, q_scan, q_analysis,
-        q_inventory, q_streaming,
+        q_inventory, q_streaming, q_stores,
     )
     return QUERIES

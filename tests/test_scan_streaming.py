@@ -1,10 +1,12 @@
 """Scan of a real file tree (S1-S3, F2-F4, X18/X19, J6, U2) against a brute-force walk,
 and streaming = batch for T7/T8."""
 
+import datetime as dt
 import hashlib
 import os
 import posixpath
 
+import pytest
 from pyspark.sql import functions as F
 
 from mediashelf.functions import hashing as H
@@ -51,10 +53,10 @@ def test_walk_matches_brute_force(spark, tmpdir_path):
     make_tree(tmpdir_path)
     exts = [".jpg", ".mp4"]
     want = brute(tmpdir_path, exts)
-    for depth in (0, 1, 2):
-        walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, split_depth=depth)
+    for depth in (1, 2, 256):
+        walked = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, budget=depth)
         filtered = walked.where(SC.should_scan_file("path", exts) & SC.dir_walked("path", "root"))
-        early = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, split_depth=depth, extensions=exts, hidden=False)
+        early = L.walk_files(L.seeds_of(spark, [tmpdir_path]), do_hash=True, budget=depth, extensions=exts, hidden=False)
         for rows in (filtered, early):  # filtered afterwards, or by name before anything is opened
             got = {r["path"]: (r["size"], r["hash"]) for r in rows.collect()}
             assert got == want, depth
@@ -67,11 +69,11 @@ def test_walker_links_errors_and_pruned_root(spark, tmpdir_path):
     os.symlink(os.path.join(tmpdir_path, "doc.txt"), os.path.join(tmpdir_path, "link.txt"))
     os.symlink(os.path.join(tmpdir_path, "nothing"), os.path.join(tmpdir_path, "dangling.txt"))
     want = {os.path.join(d, f) for d, _, fs in os.walk(tmpdir_path) for f in fs}
-    for depth in (0, 1, 2):
-        rows = L.walk_files(L.seeds_of(spark, [tmpdir_path]), split_depth=depth).collect()
+    for depth in (1, 2, 256):
+        rows = L.walk_files(L.seeds_of(spark, [tmpdir_path]), budget=depth).collect()
         assert {r["path"] for r in rows} == want
         assert [r["path"] for r in rows if r["error"]] == [os.path.join(tmpdir_path, "dangling.txt")]
-        assert L.walk_files(L.seeds_of(spark, [tmpdir_path]), [tmpdir_path], split_depth=depth).count() == 0
+        assert L.walk_files(L.seeds_of(spark, [tmpdir_path]), [tmpdir_path], budget=depth).count() == 0
 
 
 def test_scan_devices_from_a_listing_table(spark, tmpdir_path):
@@ -198,6 +200,11 @@ def test_progress_stream_survives_restart(spark, tmpdir_path):
         stream = scan_events_from(spark.readStream.schema(ev.schema).parquet(src))
         q = PR.start_progress_stream(stream, spark, base, ckpt, stored)
         q.awaitTermination()
+        if i == 1:
+            PR.compact(spark, base, 0)
+    assert len([n for n in os.listdir(os.path.join(base, "new")) if n != "batch_id=-1"]) == 3
+    PR.compact(spark, base, 1)  # folding old batches changes no count
+    assert len([n for n in os.listdir(os.path.join(base, "new")) if n != "batch_id=-1"]) == 2
     got = PR.progress(spark, base, initial, as_of)
     ups = scan_events_from(ev).where("op = 'upsert'")
     nth = F.row_number().over(Window.partitionBy("device_uuid", "path").orderBy("ts", "event_id"))
@@ -207,35 +214,78 @@ def test_progress_stream_survives_restart(spark, tmpdir_path):
         F.count("*").alias("total_files"),
         F.count_if((F.col("nth") == 1) & F.col("_known").isNull()).alias("new_files"))
     want = upsert_progress(initial, counts, as_of)
-    # a replayed batch changes nothing
-    PR.progress_writer(spark, base, stored)(scan_events_from(spark.read.parquet(os.path.join(src, "chunk=0"))), 0)
-    assert PR.progress(spark, base, initial, as_of).agg(F.sum("new_files")).first() == want.agg(F.sum("new_files")).first()
     cols = ["device_uuid", "system_id", "total_files", "new_files", "last_updated"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
-def test_sync_stream_equals_sequential_rounds(spark, tmpdir_path):
+def test_progress_state_replaces_reading(spark, tmpdir_path):
+    """No batch reads what earlier ones wrote or the catalogue: both may vanish. A batch that failed after its state
+    was made counts the same when it is run again."""
+    import shutil
+    from mediashelf.streaming import progress as PR
+    schema = "event_id long, device_uuid string, system_id string, path string, op string, size long, ts timestamp_ntz"
+    src, base, ckpt = (os.path.join(tmpdir_path, x) for x in ("src", "out", "ckpt"))
+    t = dt.datetime(2024, 1, 1)
+    batches = [[(1, "d", "a", "p1", "upsert", 1, t), (2, "d", "b", "p1", "upsert", 1, t), (3, "d", "a", "known", "upsert", 1, t)],
+               [(4, "d", "b", "p1", "upsert", 1, t - dt.timedelta(1)), (5, "d", "b", "p2", "upsert", 1, t), (6, "d", "a", "p9", "delete", 1, t)],
+               [(7, "d", "a", "p2", "upsert", 1, t), (8, "e", "a", "p1", "upsert", 1, t), (9, "e", None, "p3", "upsert", 1, t)]]
+    stored = spark.createDataFrame([("d", "known"), ("d", "gone")], PR.KNOWN)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"c={i}"))
+        stream = spark.readStream.schema(schema).parquet(src)
+        PR.start_progress_stream(stream, spark, base, ckpt, stored).awaitTermination()
+        got = {(r["device_uuid"], r["system_id"]): (r["total_files"], r["new_files"]) for r in PR.counts(spark, base).collect()}
+        if i == 1:
+            kept = {n: os.path.join(base, n) + ".kept" for n in ("new", "totals")}
+            for n, to in kept.items():
+                shutil.move(os.path.join(base, n), to)
+            os.mkdir(os.path.join(base, "new"))
+    assert got == {("d", "a"): (3, 0), ("e", "a"): (1, 1), ("e", None): (1, 1)}  # the last batch alone, totals in full
+    for n, to in kept.items():
+        for part in os.listdir(to):
+            if not os.path.exists(os.path.join(base, n, part)):
+                shutil.move(os.path.join(to, part), os.path.join(base, n, part))
+    want = {("d", "a"): (3, 1), ("d", "b"): (3, 1), ("e", "a"): (1, 1), ("e", None): (1, 1)}
+    got = {(r["device_uuid"], r["system_id"]): (r["total_files"], r["new_files"]) for r in PR.counts(spark, base).collect()}
+    assert got == want
+    # the last batch again: its commit is lost, its output is there
+    for name in ("totals", "new"):
+        for suffix in ("2", ".2.crc"):
+            os.remove(os.path.join(ckpt, name, "commits", suffix))
+    PR.start_progress_stream(spark.readStream.schema(schema).parquet(src), spark, base, ckpt, stored).awaitTermination()
+    again = {(r["device_uuid"], r["system_id"]): (r["total_files"], r["new_files"]) for r in PR.counts(spark, base).collect()}
+    assert again == want
+
+
+def _sync_source(spark, folder, sf, chunks):
     from pyspark.sql import Window
-    from mediashelf.operators.sync import sync_all
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    chunked = ev.withColumn("_c", F.ntile(chunks).over(Window.orderBy("ts", "event_id")))
+    for i in range(chunks):
+        chunked.where(F.col("_c") == i + 1).drop("_c").coalesce(1).write.parquet(os.path.join(folder, f"chunk={i}"))
+    times = [r[0] for r in chunked.groupBy("_c").agg(F.max("ts").alias("t")).orderBy("_c").select("t").collect()]
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder).select("ts"), times
+
+
+def _catalogue(spark, sf):
     from mediashelf.sources import catalogue as cat
+    return {"devices": cat.devices(spark, sf), "files": cat.files(spark, sf),
+            "scan_progress": cat.scan_progress(spark, sf), "image_analysis": cat.image_analysis_full(spark, sf)}
+
+
+def test_sync_stream_equals_sequential_rounds(spark, tmpdir_path):
+    from mediashelf.operators.sync import sync_all
     from mediashelf.session import cut_lineage
     from mediashelf.streaming import sync_loop as SLP
     sf = "/root/testdata/sf0.001"
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    chunked = ev.withColumn("_c", F.ntile(3).over(Window.orderBy("ts", "event_id")))
-    src = os.path.join(tmpdir_path, "src")
-    for i in range(3):
-        chunked.where(F.col("_c") == i + 1).drop("_c").coalesce(1).write.parquet(os.path.join(src, f"chunk={i}"))
-    initial = {"devices": cat.devices(spark, sf), "files": cat.files(spark, sf),
-               "scan_progress": cat.scan_progress(spark, sf), "image_analysis": cat.image_analysis_full(spark, sf)}
+    stream, times = _sync_source(spark, os.path.join(tmpdir_path, "src"), sf, 3)
+    initial = _catalogue(spark, sf)
     base = os.path.join(tmpdir_path, "out")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src).select("ts")
     q = SLP.start_sync_stream(stream, spark, base, os.path.join(tmpdir_path, "ckpt"), initial, "sys-1",
                               trigger={"availableNow": True})
     q.awaitTermination()
     cur, logs, counts = dict(initial), [], []
-    for i in range(3):
-        as_of = chunked.where(F.col("_c") == i + 1).agg(F.max("ts")).first()[0]
+    for as_of in times:
         rnd = sync_all(cur["devices"], cur["files"], cur["scan_progress"], cur["image_analysis"], "sys-1", as_of)
         logs.append(sorted(map(tuple, rnd.changes.collect())))
         counts.append(sorted(map(tuple, rnd.log.collect())))
@@ -244,15 +294,85 @@ def test_sync_stream_equals_sequential_rounds(spark, tmpdir_path):
         log, rounds = (x.where(f"batch_id = {i}").drop("batch_id") for x in (SLP.sync_log(spark, base), SLP.round_counts(spark, base)))
         assert sorted(map(tuple, log.collect())) == logs[i]
         assert sorted(map(tuple, rounds.collect())) == counts[i]
-    # an empty batch writes nothing; a compacted base plus nothing is the same state
-    SLP.sync_writer(spark, base, initial, "sys-1")(spark.createDataFrame([], "ts timestamp_ntz"), 3)
+    # an empty batch writes nothing
+    store = SLP.SyncStore(spark, base, initial)
+    SLP.sync_writer(store, "sys-1")(spark.createDataFrame([], "ts timestamp_ntz"), 3)
     assert not os.path.exists(os.path.join(base, "rounds", "batch_id=3"))
-    done = SLP.compact(spark, base, initial, 2)
-    assert done["files"].exceptAll(cur["files"].select(*done["files"].columns)).isEmpty()
     for t, got in SLP.current_tables(spark, base, initial).items():
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cur[t].select(got.columns).collect())), t
 
 
+def _size(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet"))
+
+
+def test_sync_rounds_cost_what_changed(spark, tmpdir_path):
+    """Rounds without foreign rows read summaries of constant size and write no table; a published row
+    costs its bucket, and the next round takes it over."""
+    from mediashelf.operators.sync import cutoff_of, dirty
+    from mediashelf.streaming import sync_loop as SLP
+    sf = "/root/testdata/sf0.001"
+    initial = _catalogue(spark, sf)
+    base = os.path.join(tmpdir_path, "out")
+    store = SLP.SyncStore(spark, base, initial)
+    begin = dt.datetime(2030, 1, 1)
+    SLP.run_round(store, "sys-1", begin, 0)
+    versions = store.versions()
+    sizes, counts = set(), []
+    for n in range(1, 21):
+        SLP.run_round(store, "sys-1", begin + dt.timedelta(minutes=n), n)
+        sizes.add(tuple(_size(os.path.join(base, x)) for x in ("tables", "summary")))
+        counts.append({r["table_name"]: r["rows"] for r in SLP.round_counts(spark, base).where(f"batch_id = {n}").collect()})
+    assert store.versions() == versions and len(sizes) == 1
+    for n, got in ((1, counts[0]), (20, counts[-1])):  # as if the whole tables had been read
+        cut = cutoff_of(begin + dt.timedelta(minutes=n))
+        assert got == {t: store.read(t).where(dirty(store.read(t), "sys-1", cut)).count() for t in SLP.TABLES}
+    # old versions are gone: one folder per bucket
+    for t in SLP.TABLES:
+        held = [p for d, ds, _ in os.walk(os.path.join(base, "tables", t, "data")) for p in ds if p.startswith("bucket=")]
+        assert len(held) == len(set(held)) <= SLP.BUCKETS
+    other = store.read("files").limit(1).withColumn("system_id", F.lit("sys-9"))
+    key = other.first()
+    store.publish("files", other)
+    assert store.read("files").where("system_id = 'sys-9'").count() == 1
+    before = store.tables["files"].layout()
+    SLP.run_round(store, "sys-1", begin + dt.timedelta(minutes=30), 21)
+    after = store.tables["files"].layout()
+    assert sum(before[b] != after[b] for b in after) == 1
+    log = SLP.sync_log(spark, base).where("batch_id = 21").collect()
+    assert [(r["table_name"], r["record_id"], r["operation"]) for r in log] == [("files", str(key["id"]), "update")]
+    assert store.read("files").where("system_id = 'sys-9'").count() == 0
+
+
+def test_sync_round_is_replayed_from_its_first_versions(spark, tmpdir_path, monkeypatch):
+    from mediashelf.streaming import sync_loop as SLP
+    sf = "/root/testdata/sf0.001"
+    initial = _catalogue(spark, sf)
+    as_of = dt.datetime(2030, 1, 1)
+    stores = [SLP.SyncStore(spark, os.path.join(tmpdir_path, x), initial) for x in ("whole", "failed")]
+    SLP.run_round(stores[0], "sys-1", as_of, 0)
+    put, done = SLP.SyncStore.put, []
+
+    def failing(self, name, *args):
+        put(self, name, *args)
+        done.append(name)
+        if name == "files":
+            raise OSError("lost")
+    monkeypatch.setattr(SLP.SyncStore, "put", failing)
+    with pytest.raises(OSError):
+        SLP.run_round(stores[1], "sys-1", as_of, 0)
+    monkeypatch.setattr(SLP.SyncStore, "put", put)
+    assert "files" in done and SLP.unfinished(spark, stores[1].base_dir) == 0
+    with pytest.raises(RuntimeError, match="unfinished"):
+        stores[1].publish("files", initial["files"].limit(1))
+    SLP.run_round(stores[1], "sys-1", as_of, 0)
+    for read in (SLP.sync_log, SLP.round_counts):
+        a, b = (sorted(map(tuple, read(spark, s.base_dir).collect())) for s in stores)
+        assert a == b
+    for t in SLP.TABLES:
+        assert sorted(map(str, stores[0].read(t).collect())) == sorted(map(str, stores[1].read(t).collect()))
+
+
 def test_scan_upsert_restore_end_to_end(spark, tmpdir_path):
     """Scan a device, store it, restore every path and read the file back; the same device
     scanned by a second system under another mount keeps its own rows (3-column key)."""
