@@ -90,8 +90,9 @@ def test_odd_rows(spark, odd_docs, libraries):
 
 
 def test_odd_texts(spark, libraries, monkeypatch):
-    monkeypatch.setattr(ta, "BLOCK_ROWS", 50)  # many blocks
+    monkeypatch.setattr(ta, "BLOCK_ROWS", 50)  # many blocks; workers of this test forget their units again and again
     monkeypatch.setattr(ta, "STEP", 300)
+    monkeypatch.setattr(ta, "KEPT_UNITS", 40)
     rng = random.Random(4)
     parts = ["<|endoftext|>", "<s>", "</s>", "<0x41>", "▁", "  ", " ", "\n", "\t", "\x00", "\r\n", "é", "é", "日本", "😀", "ﬁ",
              "don't", "word", "1234", "!!", "a", "b", "​", " ", "x"]
@@ -100,13 +101,23 @@ def test_odd_texts(spark, libraries, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), libraries)
 
 
-def test_long_texts_are_encoded_in_parts(spark, libraries, monkeypatch, documents):
-    monkeypatch.setattr(ta, "PART", 200)
-    pair = ta.Pair(*ta.read_files(ta.FIRST, ta.SECOND))
-    texts = [r["text"] for r in documents.where("text IS NOT NULL").limit(60).collect()] + ["x" * 1000, "a b " * 300]
-    assert any(len(ta.split(t)) > 3 for t in texts)
-    for t, (x, y) in zip(texts, pair.encode(texts)):
-        assert x.tolist() == [i for i, _ in libraries[0](t)] and y.tolist() == [i for i, _ in libraries[1](t)]
+def test_units_are_encoded_as_in_their_text(libraries, documents, monkeypatch):
+    """Ids of units, one after the other, are those of the whole text, whatever stands around the spaces."""
+    import pyarrow as pa
+    rng = random.Random(6)
+    around = ["a", "Z", "9", ".", "'", "é", "ß", "я", "日", "\u00a0", "\u0085", "\u2003", "\u3000", "\u1680", "\t", "\n", " ", "'s", "'ll", "e\u0301",
+              "<|endoftext|>", "</s>", "😀", "-", "_"]
+    texts = [" ".join(rng.choice(around) for _ in range(rng.choice([1, 2, 5, 40]))) for _ in range(800)]
+    texts += [r["text"] for r in documents.where("text IS NOT NULL").limit(60).collect()] + ["x" * 1000, " a  b " * 300, " ", ""]
+    units = ta.Units(ta.Pair.get(ta.read_files(ta.FIRST, ta.SECOND)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    numbers, of = ta.text_units(units, batch)
+    for i, t in enumerate(texts):
+        a, b = libraries[0](t) if t else [], libraries[1](t) if t else []
+        assert b"".join(x for _, x in a) == b"".join(x for _, x in b) == (b" " + t.encode() if t else b"")
+        mine = numbers[of == i]
+        assert units.gather("a", mine).tolist() == [k for k, _ in a] and units.gather("b", mine).tolist() == [k for k, _ in b]
+    assert len(units.index) == len(units.written) == len(set(numbers.tolist())) < len(numbers)  # each unit once
 
 
 def test_gallop_equals_bisection():
