@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,6 +51,12 @@ class StagedTables:
         self._paths[id(table)] = table, path
         return table
 
+    def drop_all(self, *kept: DataFrame) -> None:
+        """Delete all tables but some, and let Spark's cleaner find the shuffle files of the finished jobs."""
+        self.drop(*[t for t, _ in list(self._paths.values()) if not any(t is k for k in kept)])
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete the tables' files; nothing that is still to be computed may read them."""
         for table in tables:
@@ -89,30 +96,34 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tables: StagedTables | None = None) -> DataFrame:
     """Components of an undirected graph given by ``edges`` (two long columns).
 
     Returns one row ``(node, component)`` per node that has an edge, ``component`` being
     the smallest node of its component. Links are first reduced within each task; then large-star and
     small-star rounds alternate. A round is a grouped minimum (partial aggregates) and a join on the
-    node, which splits a node with very many links, and its result is staged. The number of
-    rounds is logarithmic; only a count and a sum reach the driver."""
+    node, which splits a node with very many links, and its result is staged (in ``tables``, where given, which then
+    drops each round's table when the next stands). The number of rounds is logarithmic; only a count and a sum reach
+    the driver."""
+    write = tables.write if tables else staged
     def star(rows: DataFrame) -> DataFrame:
         """``(u, v)`` rows to ``(m, v)`` with ``m`` the smallest of ``u`` and its ``v``."""
         low = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return rows.join(low, "u").select("m", "u", "v")
 
-    e = staged(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
+    e = write(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v")
                .mapInArrow(_forest, "u long, v long").distinct())
     before = None
     while True:
         large = star(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u AND m < v")
-        large = staged(large.select(F.col("v").alias("u"), F.col("m").alias("v")))  # from a node to a smaller one
+        large = write(large.select(F.col("v").alias("u"), F.col("m").alias("v")))  # from a node to a smaller one
         small = star(large)
         small = small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
         seen = Observation()
-        e = staged(small.observe(seen, F.count("*").alias("n"), F.sum(
+        old, e = e, write(small.observe(seen, F.count("*").alias("n"), F.sum(
             F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        if tables:
+            tables.drop(old, large)
         now = (seen.get["n"], seen.get["h"])
         if now == before or now[0] == 0:
             break

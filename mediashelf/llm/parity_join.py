@@ -7,11 +7,12 @@ part's parity sketch (XOR of shingle hashes, a linear hash of the part's parity
 a differing shingle changes at most one part and the number of unequal parts lower-bounds the
 symmetric difference. By the pigeonhole principle a pair within the threshold agrees in at
 least ``z + 1`` parts. Sizes are banded, because ``T`` depends on the size; a document enters its own band and
-every band that a partner above it can lie in, and joins on (band, part, sketch). A part in which
-a document has no shingle says nothing; ``z`` is chosen so that nearly every document has at most
-``z`` such parts and then meets each partner in a part with content. Only documents with more join
-on empty parts too, which can matter only between two of them. Candidates are verified on the
-whole sets. Nothing is capped.
+every band that a partner above it can lie in, and joins on (band, part, sketch). A part with few
+shingles says little, one with none nothing, so a document leaves out its parts of fewer than ``k``
+shingles, ``k`` being the largest number for which these are at most ``z`` (``z`` is chosen to make ``k`` large). No link is
+lost: of two linked documents take the one with the larger ``k``; at most ``z`` of the parts in which they agree have
+fewer shingles than that, so one remains, which both use. Candidates are verified on the whole sets.
+Nothing is capped.
 
 Links are not expanded into all pairs: identical sets are one class; in each bucket
 members meet its smallest member; only in buckets that then still hold several components,
@@ -32,22 +33,25 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from ._common import connected_components, mix64, passes, register, shingle_hashes, staged, word_hashes
+from ._common import StagedTables, connected_components, mix64, passes, register, shingle_hashes, word_hashes
 
-#: Key rows that leave a task together.
-PACK = 1 << 16
+#: Key rows that leave a task together, and bits of a key.
+PACK, KEY_BITS = 1 << 16, 48
 #: Buckets up to this size are compared together.
 SMALL = 64
 #: Pairs that a member of an open bucket offers per other component at first.
 CLOSEST = 8
 #: Members of a bucket that one task compares with as many others.
 BUCKET_ROWS = 4096
-#: Largest table of ids that is broadcast (bytes, from its exact count).
-BROADCAST_BYTES = 8 << 20
+#: Largest table of ids that is broadcast (bytes, from its exact count and the bytes of a row in a hash table).
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 64
+#: Shingles per partition of keys.
+TASK_SHINGLES = 8 << 20
 
 
 @lru_cache(maxsize=None)
@@ -61,12 +65,24 @@ def band_start(j: int, num: int, den: int) -> int:
 
 @lru_cache(maxsize=None)
 def band_parts(j: int, num: int, den: int) -> tuple[int, int]:
-    """Parts of band ``j`` and the number of empty ones (``z``) that a document may leave out."""
+    """Parts of band ``j`` and the number ``z`` of poor ones that a document may leave out.
+
+    Of ``z`` up to a quarter of the parts the one is taken with which the most shingles are expected in
+    every part that is used: the shingles of a part are about Poisson distributed."""
     t = 2 * (band_start(j + 1, num, den) - 1) * (den - num) // (den + num)
     if t == 0:
         return 1, 0
-    empty = (t + 1) * exp(-band_start(j, num, den) / (t + 1))
-    z = ceil(empty + 3 * sqrt(empty))
+    best = (-1, 0)
+    for z in sorted({0, 1, 2, *(ceil((t + 1) * f / 40) for f in range(1, 11))}):
+        parts, least = t + 1 + z, -1
+        mean = band_start(j, num, den) / parts
+        chance = total = exp(-mean)  # of a part with at most ``least + 1`` shingles
+        while parts * total + 3 * sqrt(parts * total) <= z:
+            least += 1
+            chance *= mean / (least + 1)
+            total += chance
+        best = max(best, (least, -z))
+    z = -best[1]
     return t + 1 + z, z
 
 
@@ -93,7 +109,7 @@ def part_keys(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
         full = np.flatnonzero(counts)
         sketch = np.zeros(parts, np.uint64)
         sketch[full] = np.bitwise_xor.reduceat(flips[order], (np.cumsum(counts) - counts)[full])
-        use = full if parts - len(full) <= z else np.arange(parts)
+        use = np.flatnonzero(counts >= np.partition(counts, z)[z])  # at most ``z`` parts have fewer shingles
         keys.append(mix64(mix64(sketch[use]) + np.uint64(j << 40) + use.astype(np.uint64)))
     return np.concatenate(keys)
 
@@ -122,19 +138,39 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
             int(np.add.reduce(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
 
 
-def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Join keys of a task's documents as ``(part, key, node)``.
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values byte by byte: all lowest bytes, all second ones and so on; equal high bytes compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def pack_keys(keys: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Ascending keys as differences, and their nodes."""
+    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(keys, prepend=np.uint64(0))) + planes(nodes))
+
+
+def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.cumsum(from_planes(raw[:len(raw) // 2]), dtype=np.uint64), from_planes(raw[len(raw) // 2:]).astype(np.int64)
 
-    Within the task, sets already seen give no keys, and a key that several documents have goes to
-    its partition once (``part`` is the key and ``key`` null, for the smallest document); all its members go beside it,
-    spread by a hash (``key`` set), so that a key of very many documents loads no partition."""
+
+def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Join keys of a task's documents as packed rows ``(part, known, keys)``: one for each of the ``parts`` ranges
+    of keys, so that a key costs a few bytes and one row holds many.
+
+    Within the task, sets already seen give no keys, and a key that several documents have goes to its
+    range once, for the smallest of them; all its members go beside it (``known``), spread over the parts,
+    so that a key of very many documents loads no partition. Keys have ``KEY_BITS`` bits: a clash makes a candidate more."""
     seen: dict[tuple[int, int, int], int] = {}
     all_keys, all_docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for batch in batches:
         for rows, raw, offsets in passes(batch):
             for doc, s in zip(rows.column(0).to_pylist(), doc_sets(raw, offsets, n)):
                 if len(s) and doc is not None and seen.setdefault((len(s), *_digest(s)), doc) == doc:
-                    keys = part_keys(s, num, den)
+                    keys = np.unique(part_keys(s, num, den) >> np.uint64(64 - KEY_BITS))
                     all_keys.append(keys)
                     all_docs.append(np.full(len(keys), doc, np.int64))
     keys = np.concatenate(all_keys)
@@ -148,14 +184,23 @@ def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) ->
     del order
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     many = _in_groups(keys, docs)
-    for at in range(0, len(keys), PACK):
-        f, m = first[at:at + PACK], many[at:at + PACK]
-        k, d = keys[at:at + PACK], docs[at:at + PACK]
-        part = np.concatenate([k[f], mix64(k[m] ^ mix64(d[m].astype(np.uint64)))]).astype(np.int64)
-        key = np.concatenate([np.zeros(f.sum(), np.int64), k[m].astype(np.int64)])
-        local = np.repeat([True, False], [f.sum(), m.sum()])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array(key, mask=local), pa.array(np.concatenate([d[f], d[m]]))], names=["part", "key", "node"])
+    own, node = keys[first], docs[first]
+    width = (1 << KEY_BITS) // parts + 1
+    cuts = np.searchsorted(own, (np.arange(parts + 1, dtype=np.uint64) * np.uint64(width)))
+    some = np.flatnonzero(np.diff(cuts))
+    for at in range(0, len(some), 64):
+        rows = [(int(p), pack_keys(own[cuts[p]:cuts[p + 1]], node[cuts[p]:cuts[p + 1]])) for p in some[at:at + 64]]
+        yield _key_rows(rows, False)
+    known, node = keys[many], docs[many]
+    lead = int(keys[0]) % parts
+    for i, at in enumerate(range(0, len(known), PACK)):
+        yield _key_rows([((lead + i) % parts, pack_keys(known[at:at + PACK], node[at:at + PACK]))], True)
+
+
+def _key_rows(rows: list[tuple[int, bytes]], known: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([known] * len(rows)), pa.array([r[1] for r in rows], pa.binary())],
+        names=["part", "known", "keys"])
 
 
 def _in_groups(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -167,22 +212,28 @@ def _in_groups(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(key, node)`` of a partition: keys of several documents, and rows known to be such."""
-    parts, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    parts, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+
+    def rows(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), PACK):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[at:at + PACK].astype(np.int64)), pa.array(node[at:at + PACK])], names=["key", "node"])
     for batch in batches:
-        known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        part, key, node = (batch.column(c).fill_null(0).to_numpy() for c in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(node[known])], names=["key", "node"])
-        parts.append(part[~known])
-        nodes.append(node[~known])
+        for known, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+            key, node = unpack_keys(packed.as_py())
+            if known:
+                yield from rows(key, node)
+            else:
+                parts.append(key)
+                nodes.append(node)
     keys, docs = np.concatenate(parts), np.concatenate(nodes)
+    parts.clear()
+    nodes.clear()
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     if len(keys):
         many = _in_groups(keys, docs)
-        keys, docs = keys[many], docs[many]
-    for at in range(0, len(keys), 1 << 16):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[at:at + (1 << 16)]), pa.array(docs[at:at + (1 << 16)])], names=["key", "node"])
+        yield from rows(keys[many], docs[many])
 
 
 def sketch_words(n: int, num: int, den: int) -> int:
@@ -349,12 +400,12 @@ def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num:
     return whole.unionByName(cut)
 
 
-def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined_labels(labels: DataFrame, links: DataFrame, tables: StagedTables) -> DataFrame:
     """Component labels after more links: the components themselves are linked."""
     ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
     between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    above = staged(connected_components(between))
+    above = tables.write(connected_components(between, tables=tables))
     top = above.withColumnRenamed("component", "top").withColumnRenamed("node", "c")
     old = labels.join(top, labels["component"] == top["c"], "left").select(
         labels["node"], F.coalesce("top", "component").alias("component"))
@@ -365,21 +416,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents linked when the Jaccard similarity of
     their ``n``-word shingle sets is at least ``num / den``; ``component_id`` is the smallest id
-    reachable by links."""
+    reachable by links.
+
+    The work is done at once; of the tables staged on the way only the result is left."""
+    tables = StagedTables(docs.sparkSession)
+    staged = tables.write
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes = staged(docs.mapInArrow(lambda it: doc_digests(it, n), "doc_id long, n long, d1 long, d2 long"))
+    # a document has about as many keys as parts; tasks hold a bounded number of them
+    spark = docs.sparkSession
+    shingles = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // TASK_SHINGLES)
     classes = (sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2")
                .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).where("rep < _last"))
     copies = staged(sizes.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct())
     # the texts are hashed again for the keys: less work than to write and read all keys
-    met = (docs.mapInArrow(lambda it: task_keys(it, n, num, den), "part long, key long, node long")
-           .repartition("part").mapInArrow(shared_keys, "key long, node long"))
+    met = (docs.mapInArrow(lambda it: task_keys(it, n, num, den, parts), "part int, known boolean, keys binary")
+           .repartition(parts, "part").mapInArrow(shared_keys, "key long, node long"))
     members = staged(met.join(copies.withColumnRenamed("doc_id", "node"), "node", "left").select(
         "key", F.coalesce("rep", "node").alias("node")).distinct())
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         nodes = staged(nodes.distinct())
-        few = nodes.count() * 8 <= BROADCAST_BYTES
+        few = nodes.count() * ROW_BYTES <= BROADCAST_BYTES
         return docs.join(F.broadcast(nodes) if few else nodes, docs["doc_id"] == nodes["node"], "left_semi")
     sketches = staged(texts_of(members.select("node")).mapInArrow(
         lambda it: fine_sketches(it, n, num, den), "node long, n long, sketch binary"))
@@ -400,7 +459,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                   for k in ("a", "b"))
     star = staged(star.join(own, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
         lambda it: possible(it, num, den), "a long, b long"))
-    labels = staged(connected_components(links_of(star)))
+    labels = staged(connected_components(links_of(star), tables=tables))
     # buckets that still hold several components: pairs across components, the closest first
     tried, closest = star, CLOSEST
     while True:
@@ -410,16 +469,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         if not fresh.isEmpty():
             links = links_of(fresh)
             if not links.isEmpty():
-                labels = staged(joined_labels(labels, links))
+                labels = staged(joined_labels(labels, links, tables))
             tried = tried.unionByName(fresh)
         else:
             closest *= 16
         if not more:
             break
-    return (sizes.select("doc_id", F.col("n").alias("n_shingles"))
-            .join(copies, "doc_id", "left")
-            .join(labels, F.coalesce("rep", "doc_id") == labels["node"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")))
+    found = staged(sizes.select("doc_id", F.col("n").alias("n_shingles"))
+                   .join(copies, "doc_id", "left")
+                   .join(labels, F.coalesce("rep", "doc_id") == labels["node"], "left")
+                   .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")))
+    tables.drop_all(found)
+    return found
 
 
 @register("op8_ngram_jaccard_join")
