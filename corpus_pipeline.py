@@ -21,17 +21,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8: the one with
-    the smallest id, once. Documents without an id stay."""
-    found = staged(parity_join.jaccard_components(docs))
-    drop = staged(found.where("doc_id != component_id").select("doc_id").distinct())
-    few = drop.count() * 8 <= parity_join.BROADCAST_BYTES
-    kept = docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """One row of each group linked by five-word shingles at a similarity of 0.8: the one with the
+    smallest id (of equal ids: one of them). Rows without an id, and rows without a word, stay.
+
+    Rows are told apart by a number of their own, so rows that share an id and not their text are
+    documents of their own; the numbered rows are staged, because numbers must not change between jobs."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    node = F.when(F.col("doc_id").isNotNull(), F.col(row))
+    found = parity_join.jaccard_components(numbered.select(node.alias("node"), "text"), id_col="node")
+    linked = found.where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("component_id").alias("group"))
+    groups = linked.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    ids = numbered.select(F.col(row).alias("node"), "doc_id")
+    members = staged(linked.join(groups, "group").join(ids, "node"))
+    first = members.groupBy("group").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.node")
+    drop = staged(members.join(first, "node", "left_anti").select(F.col("node").alias(row)))
+    few = drop.count() * parity_join.ROW_BYTES <= parity_join.BROADCAST_BYTES
+    return numbered.join(F.broadcast(drop) if few else drop, row, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
