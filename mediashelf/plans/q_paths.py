@@ -251,3 +251,20 @@ def j5_longest_prefix(spark, sf_dir):
     path = F.when(F.col("id") % 3 == 0, F.col("p")).otherwise(
         F.concat(F.replace("p", F.lit("/"), F.lit("//")), F.lit("/")))
     return longest_prefix_mount(b.select("id", path.alias("path")), _mounts(spark, sf_dir))
+
+
+@register("J5_mounts_of_many_lengths", views=("devices", "files"), sql=f"""
+WITH b AS ({_FULL}),
+m AS (SELECT left(p, CAST(4 + id % 23 AS INTEGER)) AS mount_path, 'm-' || CAST(MIN(id) AS VARCHAR) AS uuid FROM b GROUP BY 1),
+n AS (SELECT id, CASE WHEN regexp_replace(p, '/+', '/', 'g') = '/' THEN '/'
+                ELSE regexp_replace(regexp_replace(p, '/+', '/', 'g'), '/$', '') END AS np FROM b),
+c AS (SELECT n.id, m.mount_path, m.uuid, row_number() OVER (PARTITION BY n.id ORDER BY length(m.mount_path) DESC) AS rn
+      FROM n JOIN m ON starts_with(n.np, m.mount_path))
+SELECT n.id, c.mount_path, c.uuid AS device_uuid FROM n LEFT JOIN c ON n.id = c.id AND c.rn = 1""")
+def j5_mounts_of_many_lengths(spark, sf_dir):
+    # beginnings of the paths themselves, cut at 23 lengths, as mounts
+    from ..operators.prefix_join import longest_prefix_mount
+    b = _full(spark, sf_dir).select("id", F.col("p").alias("path"))
+    mounts = b.groupBy(F.expr("left(path, CAST(4 + id % 23 AS INT))").alias("mount_path")).agg(
+        F.concat(F.lit("m-"), F.min("id").cast("string")).alias("uuid"))
+    return longest_prefix_mount(b, mounts).select("id", "mount_path", "device_uuid")
