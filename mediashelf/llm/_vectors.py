@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """``(vec_id, x)`` of the rows that take part, and their dimension.
+#: Different lengths of vectors in a table; each is a table of its own, since vectors of two lengths have no product.
+MAX_LENGTHS = 64
 
-    Null ids, null or zero vectors, vectors with a null or non-finite component and vectors whose
-    length is not the most frequent one (ties: the longer) take no part."""
+
+def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, list[int]]:
+    """``(vec_id, x)`` of the rows that take part, and their different lengths.
+
+    Null ids, null or zero vectors and vectors with a null or non-finite component take no part."""
     x = F.col(vec_col).cast("array<double>")
     fine = (F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)
             & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
             & F.exists(x, lambda v: v != 0))
     some = rows.where(F.coalesce(fine, F.lit(False))).select(
         F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-    sizes = some.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = sizes[0]["d"] if sizes else 0
-    return some.where(F.size("x") == d), d
+    lengths = sorted(r["d"] for r in some.select(F.size("x").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    return some, lengths
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:

@@ -13,8 +13,8 @@ many tasks. Blocks send counts and spanning links, never all pairs.
 Cosines are taken in single precision first; whatever lies near the threshold is decided in double
 precision.
 
-Defined cases: null ids, null or zero vectors, vectors with null or non-finite components and
-vectors of another length than the usual one link with nothing; equal vectors link with each
+Defined cases: null ids, null or zero vectors and vectors with null or non-finite components
+link with nothing; vectors of different lengths do not link with each other; equal vectors link with each
 other; rows that repeat an id count as separate vectors; an empty table gives an empty result;
 other columns are not read.
 """
@@ -22,6 +22,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,9 +114,20 @@ def join_block(table: pa.Table, cosine: float, d: int) -> pa.Table:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
                     vec_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``."""
-    spark = vectors.sparkSession
+    rows, lengths = usable(vectors, id_col, vec_col)
+    parts = [_of_length(rows.where(F.size("x") == d), d, cosine) for d in lengths or [1]]
+    x = F.col(vec_col).cast("array<double>")
+    left = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2")))
+    out = left.join(reduce(DataFrame.unionByName, parts), ["vec_id", "h1", "h2"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.coalesce("component_id", "vec_id").alias("component_id"),
+                      F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _of_length(rows: DataFrame, d: int, cosine: float) -> DataFrame:
+    """``(vec_id, h1, h2, n_links, component_id)`` of the vectors of one length."""
+    spark = rows.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
-    rows, d = usable(vectors, id_col, vec_col)
     rows = rows.withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64("x", F.lit(1))})
     classes = staged(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
                      .withColumn("node", F.monotonically_increasing_id()))
@@ -188,13 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     by_class = (classes.join(links.withColumnRenamed("vec_id", "node"), "node", "left").join(labels, "node", "left")
                 .select("h1", "h2", (F.coalesce("count", F.lit(0)) + F.col("size") - 1).alias("n_links"),
                         F.coalesce("component_id", "rep").alias("component_id")))
-    done = rows.select("vec_id", "h1", "h2").distinct().join(by_class, ["h1", "h2"])
-    x = F.col(vec_col).cast("array<double>")
-    left = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2")))
-    out = left.join(done, ["vec_id", "h1", "h2"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("component_id", "vec_id").alias("component_id"),
-                      F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return rows.select("vec_id", "h1", "h2").distinct().join(by_class, ["h1", "h2"])
 
 
 SQL = """

@@ -13,7 +13,7 @@ double precision, the same for a pair in every list.
 The index is fitted on ``FIT_ROWS`` vectors; every vector is indexed.
 
 Defined cases: null ids, null or zero vectors, vectors with null or non-finite components and
-vectors of another length than the usual one take no part, as candidate or query; ties go to the
+vectors of different lengths are never each other's candidates; ties go to the
 smaller id; rows that repeat an id are one candidate per distinct score; with fewer candidates
 than asked for all are returned; an empty table gives an empty result; other columns are not read.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -179,13 +180,17 @@ def build_index(rows: DataFrame, total: int, d: int) -> Index:
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
            vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``vectors`` that satisfies ``is_query`` (a
-    condition on ``vec_id``) its ``k`` best other rows found."""
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows, d = usable(vectors, id_col, vec_col)
+    condition on ``vec_id``) its ``k`` best other rows of its length found."""
+    rows, lengths = usable(vectors, id_col, vec_col)
+    parts = [_of_length(rows.where(F.size("x") == d), d, is_query, k) for d in lengths]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, parts) if parts else none
+
+
+def _of_length(rows: DataFrame, d: int, is_query: Column, k: int) -> DataFrame:
+    """``search`` among the vectors of one length."""
+    spark = rows.sparkSession
     total = rows.count()
-    if not total:
-        return spark.createDataFrame([], schema)
     index = build_index(rows, total, d)
     first = spark.sparkContext.broadcast(index)
 
@@ -217,7 +222,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c), pa.array(p), pa.array(batch.column(0).to_numpy()[i]), lists(q[i])],
                     names=["list", "piece", "query_id", "q"])
-    asked = staged(rows.where(is_query).distinct().mapInArrow(probe, "list long, piece long, query_id long, q array<double>"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = staged(rows.where(is_query).distinct().repartition(tasks).mapInArrow(probe, "list long, piece long, query_id long, q array<double>"))
     # queries of a piece in blocks; the piece's rows go to every block of its list
     blocks = {r["list"]: -(-r["n"] // QUERY_ROWS) for r in asked.where("piece = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
     per_list = spark.createDataFrame([(int(c), int(pieces[c]), int(n)) for c, n in blocks.items()],

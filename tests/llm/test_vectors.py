@@ -86,3 +86,27 @@ def test_near_duplicates_of_one_id_with_two_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in metric_join.near_duplicates(df).collect())
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 0, 5, True)]
+
+
+def test_each_length_is_searched_and_joined_for_itself(spark):
+    """No vector is left out because another length is more frequent."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for d, n in ((3, 40), (5, 40), (2, 4)):
+        base = rng.normal(size=(n // 2, d))
+        rows += [(len(rows) + i, x.tolist()) for i, x in enumerate(np.concatenate([base, base + 0.001 * rng.normal(size=base.shape)]))]
+    rows += [(900, None), (901, [0.0, 0.0]), (902, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    good = {i: np.array(x) for i, x in rows if i < 900}
+    links = {(a, b) for a in good for b in good if a != b and len(good[a]) == len(good[b]) and
+             good[a] @ good[b] >= 0.9 * np.linalg.norm(good[a]) * np.linalg.norm(good[b])}
+    got = {r["vec_id"]: r for r in metric_join.near_duplicates(df, 0.9).collect()}
+    assert set(got) == {i for i, _ in rows}
+    assert all(got[i]["n_links"] == sum(a == i for a, _ in links) for i in got)
+    assert all(len(good[i]) == len(good[got[i]["component_id"]]) for i in good)
+    found = posting_lists.search(df, F.col("vec_id") % 5 == 0, 3).collect()
+    want = {}
+    for q in (i for i in good if i % 5 == 0):
+        near = sorted((-float(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:3]
+        want |= {(q, k + 1): c for k, (_, c) in enumerate(near)}
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == want
