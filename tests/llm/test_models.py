@@ -150,3 +150,42 @@ def test_toxicity_without_labels(spark, odd_docs):
     ones = spark.createDataFrame([(1, 1), (5, 1), (None, 0), (2, None)], "doc_id long, toxic int")
     assert {r["score"] < 1e-6 for r in toxicity.score(odd_docs, toxicity.fit(none, docs=odd_docs)).collect()} == {True}
     assert {r["predicted"] for r in toxicity.score(odd_docs, toxicity.fit(ones, docs=odd_docs)).collect()} == {1}
+
+
+def _plain_language(text, model):
+    """``(language, score, cosine, rejected)`` of one text, letter by letter and language by language."""
+    import math
+    from collections import Counter
+    letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""]
+    if not any(letters):
+        return "und", 0.0, None, True
+    slots = Counter()
+    for k in (1, 2, 3):
+        for i in range(len(letters) - k + 1):
+            gram = letters[i:i + k]
+            if any(gram):
+                h = k
+                for y in gram:
+                    h = (h + y) * 0x9E3779B1 % 2 ** 32
+                    h ^= h >> 15
+                slots[h * 0x85EBCA6B % 2 ** 32 >> 20] += 1
+    weight = {s: math.log1p(n) * float(model.idf[s]) for s, n in slots.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values()))
+    cosines = {}
+    for lang, c in zip((model.langs[k] for k in model.of), model.centroids):
+        cosines[lang] = max(cosines.get(lang, -2), sum(w * float(c[s]) for s, w in weight.items()) / norm)
+    best = max(model.langs, key=lambda x: cosines[x])
+    score = 1 / sum(math.exp(langid.SHARPNESS * (cosines[x] - cosines[best])) for x in model.langs)
+    n = sum(1 for x in letters if x)
+    return best, score, cosines[best], 1 - cosines[best] > model.radius[min(int(math.log2(n)), 12)]
+
+
+def test_language_scores_equal_a_plain_version(spark, odd_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    docs = docs.limit(60).unionByName(odd_docs.select("doc_id", "text", "lang").where("doc_id <> 5 AND doc_id <> 6"))
+    for r in langid.identify(docs, model).collect():
+        lang, score, cosine, rejected = _plain_language(r["text"], model)
+        assert r["lang_pred"] == lang and r["rejected"] == rejected
+        assert abs(r["score"] - score) < 1e-3
+        assert cosine is None or abs(r["cosine"] - cosine) < 1e-4
