@@ -50,6 +50,10 @@ def test_joins_anywhere(spark, library):
     check(docs, library, size=(16, 8, 40), block_bytes=4000)
 
 
+def test_chunks_are_encoded_whole_without_units(spark, library, documents):
+    check(documents.limit(40), library, word_units=False, block_bytes=50_000)
+
+
 def test_runs_without_borders_are_encoded_in_growing_parts(library):
     encoder = cb.Encoder.get(open(cb.TOKENIZER, encoding="utf-8").read())
     seen = []
@@ -57,19 +61,55 @@ def test_runs_without_borders_are_encoded_in_growing_parts(library):
     class Counting:
         margin = encoder.margin
 
-        def __getattr__(self, name):
-            return getattr(encoder, name)
-
         def encode(self, texts):
             seen.extend(map(len, texts))
             return encoder.encode(texts)
-    text = "x" * 6000 + " end of it, and more words follow here"
+    text = b"x" * 6000 + b" end of it, and more words follow here" * 3
     starts = [*range(0, len(text), 50), len(text)]
-    chunks = [cb.Chunk.of(text[a:b], encoder.encode([text[a:b]])[0], encoder) for a, b in zip(starts, starts[1:])]
+    parts = [text[a:b] for a, b in zip(starts, starts[1:])]
+    chunks = [cb.Chunk.of(len(t), e, encoder.margin) for t, e in zip(parts, encoder.encode(parts))]
     windows = cb.join_windows(text, starts, chunks, encoder.margin)
     got = cb.join_chunks(text, starts, chunks, encoder.encode(windows), Counting())
-    assert got.tolist() == library.encode(text, add_special_tokens=False).ids
-    assert sum(seen) < 5 * len(text)
+    assert got.tolist() == library.encode(text.decode(), add_special_tokens=False).ids
+    assert sum(seen) < 6 * len(text)
+
+
+def test_simple_units_equal_the_whole_tokenizer(library):
+    """Every composed Latin letter and printable character, alone, beside others and in contractions."""
+    encoder = cb.Encoder(open(cb.TOKENIZER, encoding="utf-8").read())
+    assert encoder.plain
+    rng = random.Random(9)
+    chars = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)]]
+    units = [c for c in chars] + [a + c + b for c in chars for a, b in (("a", "b"), ("1", "!"), ("'", "s"))]
+    units += ["".join(rng.choice(chars) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    units += ["it's", "I'LL", "WE'RE", "'s's", "don't.", "<|endoftext|>", "x<|startoftext|>y", "a" * 60, "'ll'"]
+    simple = 0
+    for u, e in zip(units, encoder.encode([u.encode() for u in units])):
+        assert e.ids.tolist() == library.encode(u, add_special_tokens=False).ids, u
+        simple += encoder.simple(u.encode()) is not None
+    assert simple > 500
+
+
+def test_units_with_the_same_hash_stay_apart(monkeypatch):
+    raw = np.frombuffer(b"aa bb aa cc", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    place, kind = cb.distinct_units(raw, start, end)
+    assert len(place) == 3 and kind[0] == kind[2] and len(set(kind.tolist())) == 3
+    monkeypatch.setattr(cb, "mix64", lambda h: h * np.uint64(0))
+    place, kind = cb.distinct_units(raw, start, end)
+    assert place.tolist() == kind.tolist() == [0, 1, 2, 3]
+
+
+def test_a_full_store_of_units_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(cb, "KEPT_UNITS", 30)
+    monkeypatch.setattr(cb, "BATCH_BYTES", 200)
+    encoder = cb.Encoder(open(cb.TOKENIZER, encoding="utf-8").read())
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(PARTS) + rng.choice(PARTS) for _ in range(rng.choice([0, 1, 9, 60]))) for _ in range(200)]
+    for t, e in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert e.ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert e.at == sorted(set(e.at)) and all(a < len(t.encode()) for a in e.at)
+    assert len(encoder.index) < 200
 
 
 def test_chunks_cover_texts_and_repeat(spark):
@@ -88,12 +128,26 @@ def test_chunks_cover_texts_and_repeat(spark):
     assert len(first & second) > counts[0] * 0.7
 
 
-def test_shared_chunks_are_encoded_by_one_owner(spark, library, monkeypatch):
-    text = " ".join(f"word{i} of a shared passage" for i in range(300))
+def test_shared_chunks_are_encoded_by_one_owner(spark, library):
+    import pyarrow as pa
+    text = " ".join(f"word{i} of a shared passage" for i in range(900))
     docs = spark.createDataFrame([(i, f"{i} {text}") for i in range(40)], "doc_id long, text string").repartition(8)
-    plan_rows = cb.encode(docs, block_bytes=1)
-    assert plan_rows.count() == 40
-    check(docs, library, block_bytes=1)
+    check(docs, library, block_bytes=20_000)
+    # a block without answers encodes all its chunks, with answers only the others
+    encoder = cb.Encoder(open(cb.TOKENIZER, encoding="utf-8").read())
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 3]), pa.array([1, 2]), pa.array([text, text[:9000]])], names=["block", "doc_id", "text"])
+    block = pa.Table.from_batches(cb.pack_blocks(cb.CHUNK)(iter([batch])))
+    keys = cb.block_keys(block).column("k").to_pylist()
+    none = pa.table({"k": pa.array([], pa.binary()), "chunk": pa.array([], pa.binary())})
+    owned = cb.encode_owned(block, pa.table({"k": pa.array(keys[1:], pa.binary())}), encoder)
+    assert sorted(owned.column("k").to_pylist()) == sorted(keys[1:])
+    answers = pa.table({"k": owned.column("k"), "chunk": owned.column("chunk")})
+    encoded = []
+    one = cb._encode_chunks
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cb, "_encode_chunks", lambda found, e: encoded.extend(found) or one(found, e))
+        assert cb.encode_block(block, answers, encoder).equals(cb.encode_block(block, none, encoder))
+    assert encoded[0] == keys[0] and sorted(encoded[1:]) == sorted(keys)
 
 
 def test_packed_chunk_round_trip():
