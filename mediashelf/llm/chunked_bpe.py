@@ -60,15 +60,15 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CHUNK = (256, 2048, 8192)
 WINDOW = 16
 #: Bytes of text in a block, and that a task packs at once.
-BLOCK_BYTES, PACK_BYTES = 4 << 20, 24 << 20
+BLOCK_BYTES, PACK_BYTES = 4 << 20, 12 << 20
 #: Borders at a chunk's beginning that a join tries.
 HEADS = 3
 #: Characters behind a pre-token's end that its pattern may look at, at most.
 LOOK_AHEAD = 4
 #: Longest unit (bytes) that can be simple, and pre-tokens of simple units that a worker keeps.
-SHORT, KEPT_WORDS = 48, 1 << 16
+SHORT, KEPT_WORDS = 48, 1 << 15
 #: Units and bytes of units that a worker keeps, and bytes of texts that are encoded together.
-KEPT_UNITS, KEPT_BYTES, BATCH_BYTES = 3 << 18, 32 << 20, 1 << 19
+KEPT_UNITS, KEPT_BYTES, BATCH_BYTES = 1 << 18, 32 << 20, 1 << 19
 #: Vowel and final jamo and vowel signs that compose with the letter before them.
 COMPOSING = ((0x1160, 0x11FF), (0xD7B0, 0xD7FF), (0x16D63, 0x16D6A))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
