@@ -14,8 +14,8 @@ lost: of two linked documents take the one with the larger ``k``; at most ``z``
 fewer shingles than that, so one remains, which both use. Candidates are verified on the whole sets.
 Nothing is capped.
 
-Links are not expanded into all pairs: identical sets are one class; in each bucket
-members meet its smallest member; only in buckets that then still hold several components,
+Links are not expanded into all pairs: identical sets are one class, and buckets with the same members
+(told by 128 bits of hash) one bucket; in each bucket members meet its smallest member; only in buckets that then still hold several components,
 members of different ones are compared by fine parity sketches, in blocks within a task. Pairs that the
 Hamming distance (a lower bound of the difference) does not rule out are verified, the closest first, in growing numbers
 until none is left between two components of a bucket.
@@ -435,6 +435,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
            .repartition(parts, "part").mapInArrow(shared_keys, "key long, node long"))
     members = staged(met.join(copies.withColumnRenamed("doc_id", "node"), "node", "left").select(
         "key", F.coalesce("rep", "node").alias("node")).distinct())
+    # two sets that share some parts meet in as many buckets: of buckets with the same members one is enough
+    sets = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+    met, members = members, staged(members.join(one, "key", "left_semi"))
+    tables.drop(met)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         nodes = staged(nodes.distinct())

@@ -131,7 +131,7 @@ def test_run_equals_a_plain_chain(spark, tmp_path):
     for i, r in enumerate(rng.sample(docs, 40)):
         words = r[1].split(" ")
         words[rng.randrange(len(words))] = "changed"
-        rows.append((5000 + i if i % 3 else r[0], " ".join(words) if i % 2 else r[1], r[2], r[3], r[4]))
+        rows.append((5000 + i if i % 3 or i % 2 else r[0], " ".join(words) if i % 2 else r[1], r[2], r[3], r[4]))
         rows.append((6000 + i, shared + rng.choice(docs)[1][::-1][:300] + shared, r[2], None, None))
     a, b = rng.sample(docs, 2)
     rows += [(a[0], b[1][: len(b[1]) // 2] + " only here", b[2], "s", 1), (None, a[1], a[2], "s", 1), (None, b[1], None, "s", 1),
