@@ -380,22 +380,30 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, closest: int) -> DataFrame:
-    """Candidate pairs ``(a, b, more)`` of buckets whose members are in several components. A
-    bucket is cut into blocks of about ``BUCKET_ROWS`` members, and every two blocks meet in one task."""
+    """Candidate pairs ``(a, b, more)`` of buckets whose members are in several components. In a bucket of more
+    than ``BUCKET_ROWS`` the members outside its largest component seek among all members: seekers and
+    members are each cut into blocks of about that size, and every two meet in one task. So a large group whose
+    members are linked already is dealt out once for each block of the few that are not."""
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where(
-        "lo < hi").select("key", F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"))
-    dealt = (named.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .select("key", "node", "c", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("key", "node", "c", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     # members of two blocks meet those of the other; a block alone meets itself (2)
-                     F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-    dealt, kind = dealt.join(sketches, "node"), "a long, b long, more boolean"
-    # buckets of one block share groups, so that many small ones cost one call
+    open_keys = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("big")).where("big.n < m").select(
+        "key", F.col("big.c").alias("big"), F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"),
+        F.ceil((F.col("m") - F.col("big.n")) / BUCKET_ROWS).cast("int").alias("seeking"))
+    found, kind = named.join(open_keys, "key"), "a long, b long, more boolean"
+    # buckets of one block share groups, so that many small ones cost one call; there all meet all (side 2)
     groups = 32 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = (dealt.where("blocks = 1").withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g")
+    whole = (found.where("blocks = 1").select("key", "node", "c", F.lit(2).alias("side")).join(sketches, "node")
+             .withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g")
              .applyInArrow(lambda t: near_in_buckets(t, num, den, closest), kind))
-    cut = (dealt.where("blocks > 1").groupBy("key", "i", "j")
+
+    def dealt(rows: DataFrame, side: int, own: str, of: str, other: str, others: str) -> DataFrame:
+        return rows.select("key", "node", "c", F.lit(side).alias("side"),
+                           F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(own),
+                           F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+    large = found.where("blocks > 1")
+    met = dealt(large, 1, "j", "blocks", "i", "seeking").unionByName(
+        dealt(large.where("c <> big"), 0, "i", "seeking", "j", "blocks"))
+    cut = (met.join(sketches, "node").groupBy("key", "i", "j")
            .applyInArrow(lambda t: near_in_bucket(t, num, den, closest), kind))
     return whole.unionByName(cut)
 

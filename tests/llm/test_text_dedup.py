@@ -78,6 +78,21 @@ def test_jaccard_links_through_members_that_miss_the_hub(spark):
     assert got == _jaccard_model(rows, 3, 94)
 
 
+def test_jaccard_in_buckets_of_many_blocks(spark, monkeypatch):
+    """Blocks of two members: seekers and members of every large bucket are dealt out over many tasks."""
+    monkeypatch.setattr(parity_join, "BUCKET_ROWS", 2)
+    words = [f"v{i}" for i in range(100)]
+    rows = []
+    for k in range(24):
+        rows.append((50 - k if k % 2 else k, " ".join(words)))
+        words[7 * k % 100] = f"new{k}"
+    rows += [(100 + i, t) for i, (_, t) in enumerate(_near_copies(4, 6, 12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in parity_join.jaccard_components(df, n=3, num=94).collect()}
+    assert got == _jaccard_model(rows, 3, 94)
+
+
 def test_parts_hold_the_pigeonhole_bound():
     rng = np.random.default_rng(0)
     for num in (60, 80, 90):
