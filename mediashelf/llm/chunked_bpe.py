@@ -574,51 +574,52 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
         lambda b, a: encode_block(b, a, Encoder.get(shared.value, word_units)), "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, tokenizer: str = TOKENIZER, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str = TOKENIZER, ids_col: str = "ids", finish=None, schema: str | None = None) -> DataFrame:
     """``encoded`` with the column ``text``: its ids decoded, control tokens included; null ids give an
-    empty text. A tokenizer without a decoder gives its tokens' names, a space between them."""
-    shared = encoded.sparkSession.sparkContext.broadcast(_read(tokenizer))
+    empty text. A tokenizer without a decoder gives its tokens' names, a space between them; then workers
+    need the names only. ``finish`` (with the ``schema`` it gives) takes the batches on in the same worker."""
+    from tokenizers import Tokenizer
+    spec = _read(tokenizer)
+    lib = Tokenizer.from_str(spec)
+    names = [(lib.id_to_token(i) or "").encode() for i in range(lib.get_vocab_size(with_added_tokens=True))]
+    if lib.decoder is not None or not all(names):
+        names = None
+    shared = encoded.sparkSession.sparkContext.broadcast((names, None if names else spec))
     base = encoded.drop("text")
     at = base.columns.index(ids_col)
 
+    def texts_of(lists: list[list[int]]) -> list[bytes]:
+        names, spec = shared.value
+        if names is not None:
+            return [b" ".join(map(names.__getitem__, x)) for x in lists]
+        return [t.encode() for t in Encoder.get(spec).tokenizer.decode_batch(lists, skip_special_tokens=False)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = Encoder.get(shared.value).tokenizer
-        names = None
-        if lib.decoder is None:
-            n = lib.get_vocab_size(with_added_tokens=True)
-            names = [(lib.id_to_token(i) or "").encode() for i in range(n)]
-            whole = np.array([len(x) for x in names]) > 0
         for held in batches:
             for a in range(0, held.num_rows, 64):
                 batch = held.slice(a, 64)
                 column = batch.column(at)
-                ids = column.flatten().to_numpy()
                 ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
-                flat = ids.tolist()
-                lists = [flat[x:y] for x, y in zip([0, *ends], ends)]
-                if names is not None and (not len(ids) or (0 <= ids.min() and ids.max() < len(names) and whole[ids].all())):
-                    texts = [b" ".join(map(names.__getitem__, x)) for x in lists]
-                else:
-                    texts = [t.encode() for t in lib.decode_batch(lists, skip_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())],
+                flat = column.flatten().to_numpy().tolist()
+                texts = texts_of([flat[x:y] for x, y in zip([0, *ends], ends)])
+                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())],
                                                  names=[*batch.schema.names, "text"])
-    return base.mapInArrow(run, StructType(base.schema.fields[:]).add("text", "string"))
+                yield finish(out) if finish else out
+    return base.mapInArrow(run, schema or StructType(base.schema.fields[:]).add("text", "string"))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of ids and their decoded text."""
-    for batch in batches:
-        ids = [x.values.to_numpy().astype("<u4") for x in batch.column("ids")]
-        texts = (t.as_buffer() for t in batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-             pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    ids = [x.values.to_numpy().astype("<u4") for x in batch.column("ids")]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
+         pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+         pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in batch.column("text")], pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 @register("op13_chunked_bpe")
 def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by chunk reuse, and the text decoded from them, as digests."""
-    done = decode(encode(read_table(spark, sf_dir, "documents")))
-    return done.mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decode(encode(read_table(spark, sf_dir, "documents")), finish=digests,
+                  schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
