@@ -110,3 +110,48 @@ def test_each_length_is_searched_and_joined_for_itself(spark):
         near = sorted((-float(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:3]
         want |= {(q, k + 1): c for k, (_, c) in enumerate(near)}
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == want
+
+
+def _recall(got, ids, x, k=20):
+    """Share of the distinct rows' true neighbours found, for queries ``{query: [vec_id]}``."""
+    at = {int(i): n for n, i in enumerate(ids)}
+    hits = 0
+    for q, found in got.items():
+        s = (x * x[at[q]]).sum(axis=1)
+        s[at[q]] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:k]]) & set(found))
+    return hits / k / len(got)
+
+
+def _found(df, k=20):
+    got = {}
+    for r in posting_lists.search(df, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_search_of_rows_that_repeat(spark):
+    """Rows that come four times fill no query's answer: each counts once."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 4
+    got = _found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert len(got) == 45 and all(len(f) == len(set(f)) == 20 for f in got.values())
+    assert _recall(got, np.arange(900), x) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["few_long", "heavy"])
+def test_search_recall_of_other_rows(spark, monkeypatch, kind):
+    """The reach is fitted to the rows: unit vectors with a few long ones among them, norms of many sizes."""
+    monkeypatch.setattr(posting_lists, "LIST_ROWS", 100)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 24))
+    if kind == "heavy":
+        x *= np.exp(1.5 * rng.normal(size=(4000, 1)))
+    else:
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x[:20] *= 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = _found(df.repartition(4))
+    assert len(got) == 200
+    assert _recall(got, np.arange(4000), x) >= 0.95
