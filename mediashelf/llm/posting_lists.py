@@ -14,6 +14,7 @@ The index is fitted on ``FIT_ROWS`` vectors; every vector is indexed. How far a
 assumed: the pass that counts the lists also finds the true neighbours of ``TRIED`` queries by brute force, and
 ``Index.fit_reach`` takes the cheapest ratio, least number of lists and number of boundary lists with which
 these queries find ``RECALL`` of them. On rows without structure that is every list, each vector in one of them.
+Where queries probe many lists, lists stand together on shelves and a query meets all rows of its lists' shelves.
 
 Defined cases: null ids, null or zero vectors, vectors with null or non-finite components and
 vectors of different lengths are never each other's candidates; ties go to the
@@ -45,8 +46,10 @@ REPLICAS, CLOSURE = 8, 0.10
 TRIED, RECALL = 200, 0.98
 #: How much farther than the nearest centroid a probed list may be: ratios tried, lists a vector may join: numbers tried.
 PRUNES, JOINED = (0.0, 0.02, 0.05, 0.09, 0.15, 0.25, 0.5, 1.0), (1, 2, 4, REPLICAS)
-#: Scored rows that cost as much as moving one.
-MOVE = 64
+#: Scored rows that cost as much as moving one, and as one piece's answer to a query.
+MOVE, ANSWER = 64, 4000
+#: Lists that one task may hold together: numbers tried.
+SHELVES = (1, 4, 16)
 #: Rows of a piece of a list, and queries that meet it in one task.
 PIECE_ROWS, QUERY_ROWS = 4096, 2048
 #: Neighbours of a centroid in the graph.
@@ -88,6 +91,11 @@ class Index:
         self.sizes = np.zeros(len(centroids), np.int64)
         # the reach: ratio of distances, least number of lists, lists that a vector is in
         self.prune, self.least, self.joined = 0.09, 1, REPLICAS
+        # lists along one direction; neighbours there share a shelf
+        off = centroids - centroids.mean(axis=0)
+        along = off @ off[(off ** 2).sum(axis=1).argmax()]
+        self.line = np.argsort(np.argsort(along, kind="stable"), kind="stable")
+        self.shelf = self.line.copy()
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.top_norm ** 2 - (x ** 2).sum(1), 0))
@@ -122,18 +130,22 @@ class Index:
             known = lists[:, :joined]
             place = np.where(known >= 0, at[of[:, None], known], far).min(axis=1)
             sizes = found[:, joined - 1]
-            rows = np.cumsum(sizes[order], axis=1)
-            filled = (rows < 4 * joined * k).sum(axis=1) + 1
+            filled = (np.cumsum(sizes[order], axis=1) < 4 * joined * k).sum(axis=1) + 1
             for prune in PRUNES:
                 inside = np.maximum((near <= near[:, :1] * (1 + prune)).sum(axis=1), filled)
                 missed = np.sort(np.where(place < inside[of], 0, place + 1))
                 least = max(1, int(missed[int(np.ceil(RECALL * len(missed))) - 1]))
-                probed = np.minimum(np.maximum(inside, least), far)
-                scored = rows[np.arange(len(rows)), probed - 1].mean()
-                cost = asked * (scored + MOVE * probed.mean()) + MOVE * float(sizes.sum())
-                if best is None or cost < best[0]:
-                    best = cost, prune, least, joined
-        _, self.prune, self.least, self.joined = best
+                probed = at < np.minimum(np.maximum(inside, least), far)[:, None]
+                for width in SHELVES:
+                    shelf = self.line // width
+                    held = np.bincount(shelf, sizes)
+                    met = np.zeros((len(probed), len(held)), bool)
+                    i, c = np.nonzero(probed)
+                    met[i, shelf[c]] = True
+                    cost = asked * ((met @ held).mean() + ANSWER * (met @ np.ceil(held / PIECE_ROWS)).mean()) + MOVE * float(sizes.sum())
+                    if best is None or cost < best[0]:
+                        best = cost, prune, least, joined, shelf
+        _, self.prune, self.least, self.joined, self.shelf = best
         self.sizes = found[:, self.joined - 1]
         # the graph search may miss lists that the full order has: widen until it finds as much
         while self.least < far:
@@ -338,7 +350,7 @@ def _of_length(rows: DataFrame, d: int, is_query: Column, k: int) -> DataFrame:
     asked_rows = queries.count()
     tried = _some(queries, asked_rows, d)
     fit_reach(index, first, rows, tried, asked_rows, k, d)
-    pieces = np.maximum(1, -(-index.sizes // PIECE_ROWS))
+    pieces = np.maximum(1, -(-np.bincount(index.shelf, index.sizes).astype(np.int64) // PIECE_ROWS))
     searched = spark.sparkContext.broadcast((index, pieces))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,15 +359,15 @@ def _of_length(rows: DataFrame, d: int, is_query: Column, k: int) -> DataFrame:
             for a in range(0, whole.num_rows, 2048):
                 batch = whole.slice(a, 2048)
                 x = matrix(batch.column(1), d)
-                lists_of = index.homes(x)[:, :index.joined]
-                i, col = np.nonzero(lists_of >= 0)
-                c = lists_of[i, col]
+                homes = index.homes(x)[:, :index.joined]
+                i, col = np.nonzero(homes >= 0)
+                i, c = np.unique(np.stack([i, index.shelf[homes[i, col]]]), axis=1)
                 for b in range(0, len(i), 1 << 14):
                     s = slice(b, b + (1 << 14))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c[s]), pa.array(batch.column(0).to_numpy()[i[s]]), lists(x[i[s]])],
-                        names=["list", "vec_id", "x"])
-    postings = rows.mapInArrow(post, "list long, vec_id long, x array<double>")
+                        names=["shelf", "vec_id", "x"])
+    postings = rows.mapInArrow(post, "shelf long, vec_id long, x array<double>")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, pieces = searched.value
@@ -363,24 +375,24 @@ def _of_length(rows: DataFrame, d: int, is_query: Column, k: int) -> DataFrame:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
                 q = matrix(batch.column(1), d)
-                at = [(i, c, p) for i in range(len(q)) for c in index.probes(q[i], k + 1) for p in range(pieces[c])]
+                at = [(i, c, p) for i in range(len(q)) for c in np.unique(index.shelf[index.probes(q[i], k + 1)]) for p in range(pieces[c])]
                 i, c, p = np.array(at, np.int64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c), pa.array(p), pa.array(batch.column(0).to_numpy()[i]), lists(q[i])],
-                    names=["list", "piece", "query_id", "q"])
+                    names=["shelf", "piece", "query_id", "q"])
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = staged(queries.repartition(tasks).mapInArrow(probe, "list long, piece long, query_id long, q array<double>"))
-    # queries of a piece in blocks; the piece's rows go to every block of its list
-    blocks = {r["list"]: -(-r["n"] // QUERY_ROWS) for r in asked.where("piece = 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
-    per_list = spark.createDataFrame([(int(c), int(pieces[c]), int(n)) for c, n in blocks.items()],
-                                     "list long, pieces long, blocks long")
-    per_list = F.broadcast(per_list)  # at most MAX_CENTROIDS rows
-    left = (postings.join(per_list, "list")
-            .select("list", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).alias("piece"),
+    asked = staged(queries.repartition(tasks).mapInArrow(probe, "shelf long, piece long, query_id long, q array<double>"))
+    # queries of a piece in blocks; the piece's rows go to every block of its shelf
+    blocks = {r["shelf"]: -(-r["n"] // QUERY_ROWS) for r in asked.where("piece = 0").groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    per_shelf = spark.createDataFrame([(int(c), int(pieces[c]), int(n)) for c, n in blocks.items()],
+                                     "shelf long, pieces long, blocks long")
+    per_shelf = F.broadcast(per_shelf)  # at most MAX_CENTROIDS rows
+    left = (postings.join(per_shelf, "shelf")
+            .select("shelf", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).alias("piece"),
                     F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "x"))
-    right = (asked.join(per_list, "list")
-             .select("list", "piece", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "q"))
-    found = (left.groupBy("list", "piece", "block").cogroup(right.groupBy("list", "piece", "block"))
+    right = (asked.join(per_shelf, "shelf")
+             .select("shelf", "piece", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "q"))
+    found = (left.groupBy("shelf", "piece", "block").cogroup(right.groupBy("shelf", "piece", "block"))
              .applyInArrow(lambda p, q: answer_piece(p, q, k, d), "query_id long, ids array<long>, scores array<double>"))
     pair = F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("ids").alias("i"))
     best = (found.groupBy("query_id")
