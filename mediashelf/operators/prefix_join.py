@@ -77,7 +77,8 @@ def mount_chains(m: DataFrame) -> DataFrame:
         "_mount", F.expr("substring(_mount, 1, n)").alias("_prefix"))
     known = m.select(F.col("_mount").alias("_prefix"), F.struct(
         F.length("_mount").alias("n"), F.col("_mount").alias("mount"), F.col("_uuid").alias("uuid")).alias("_link"))
-    return prefixes.join(known, "_prefix").groupBy("_mount").agg(
+    # not broadcast: the mounts' files are many times smaller than their rows in memory
+    return prefixes.join(known.hint("merge"), "_prefix").groupBy("_mount").agg(
         F.sort_array(F.collect_list("_link"), asc=False).alias("_chain"))
 
 
@@ -102,6 +103,7 @@ def _by_predecessor(rows: DataFrame, m: DataFrame) -> DataFrame:
     placed = seen.where("_kind = 1").join(F.broadcast(carry), "_part").select(
         "_row.*", F.coalesce("_seen", "_carried").alias("_pred"))
     chains = stage_table(mount_chains(m))
-    met = placed.join(chains, placed["_pred"] == chains["_mount"], "left")
+    # chains repeat their mounts' beginnings, so the size of their files says little: never sent through the driver
+    met = placed.join(chains.hint("merge"), placed["_pred"] == chains["_mount"], "left")
     link = F.try_element_at(F.filter("_chain", lambda e: F.startswith(F.col("_p"), e["mount"])), F.lit(1))
     return met.select(*rows.columns, link["mount"].alias("_best"), link["uuid"].alias("_best_uuid"))

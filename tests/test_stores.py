@@ -322,6 +322,17 @@ def test_plan_does_not_grow_with_the_lengths(spark):
     assert sizes[0] == sizes[1]
 
 
+def test_chains_are_never_broadcast(spark):
+    """Only the row per partition goes through the driver, however small the chains' files are."""
+    paths = spark.range(50).select("id", F.concat(F.lit("/" + "m" * 30 + "/"), F.col("id").cast("string")).alias("path"))
+    mounts = spark.createDataFrame([("/" + "m" * i, f"u{i}") for i in range(20)], "mount_path string, uuid string")
+    out = PJ.longest_prefix_mount(paths, mounts)
+    assert {r["mount_path"] for r in out.collect()} == {"/" + "m" * 19}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+    chains = PJ.mount_chains(mounts.withColumnsRenamed({"mount_path": "_mount", "uuid": "_uuid"}))
+    assert "BroadcastHashJoin" not in chains._jdf.queryExecution().sparkPlan().toString()
+
+
 # ---------------------------------------------------------------- sync in one pass
 
 def test_a_round_reads_each_table_once(spark):
