@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parts_for, shuffle_partitions_for
 from ..sources import catalogue as cat
 from ..sources.catalogue import read_table, stored_events_from
 from ..streaming import file_events as FE
@@ -24,6 +25,11 @@ def _event_stream(spark, sf_dir):
             .parquet(os.path.join(sf_dir, "events.parque[t]")))
 
 
+def _rows(spark, sf_dir) -> int:
+    """Rows of the events and of the files that they are joined with (from the files' footers)."""
+    return read_table(spark, sf_dir, "events").count() + cat.files(spark, sf_dir).count()
+
+
 @register("T8_stream_file_events", views=("files", "stored_events"), sql="""
 WITH last AS (SELECT * FROM stored_events
               QUALIFY row_number() OVER (PARTITION BY device_uuid, path ORDER BY ts DESC, event_id DESC) = 1),
@@ -46,7 +52,8 @@ def t8_stream_file_events(spark, sf_dir):
     files = cat.files(spark, sf_dir)
     # a stream-static join names stored files in a third of the events
     events = stored_events_from(_event_stream(spark, sf_dir), files)
-    q = FE.start_file_event_stream(events, log_dir, FE.work_dir(spark, "t8-ckpt"))
+    with shuffle_partitions_for(spark, _rows(spark, sf_dir)):
+        q = FE.start_file_event_stream(events, log_dir, FE.work_dir(spark, "t8-ckpt"))
     q.awaitTermination()
     return FE.snapshot(files, FE.read_log(spark, log_dir))
 
@@ -73,7 +80,8 @@ FROM j""")
 def t7_stream_progress(spark, sf_dir):
     base, files = FE.work_dir(spark, "progress"), cat.files(spark, sf_dir)
     events = stored_events_from(_event_stream(spark, sf_dir), files)
-    q = PR.start_progress_stream(events, spark, base, FE.work_dir(spark, "t7-ckpt"), files)
+    with shuffle_partitions_for(spark, _rows(spark, sf_dir)):
+        q = PR.start_progress_stream(events, spark, base, FE.work_dir(spark, "t7-ckpt"), files)
     q.awaitTermination()
     return PR.progress(spark, base, cat.scan_progress(spark, sf_dir), AS_OF)
 
@@ -104,10 +112,11 @@ def t6_stream_sync(spark, sf_dir):
                "scan_progress": cat.scan_progress(spark, sf_dir),
                "image_analysis": cat.image_analysis_full(spark, sf_dir)}
     events = _event_stream(spark, sf_dir).select("ts")
+    buckets = parts_for(initial["files"].count(), SL.BUCKETS)  # of the largest table
     q = SL.start_sync_stream(events, spark, base, FE.work_dir(spark, "t6-ckpt"), initial, "sys-1",
-                             trigger={"availableNow": True})
+                             trigger={"availableNow": True}, buckets=buckets)
     q.awaitTermination()
-    after = SL.current_tables(spark, base, initial)
+    after = SL.current_tables(spark, base, initial, buckets)
     return reduce(DataFrame.unionByName, [after[t].select(
         F.lit(t).alias("table_name"), "id", "system_id", "last_sync",
         F.concat_ws("|", *[F.col(c).cast("string") for c in _SHOWN[t]]).alias("shown")) for t in SL.TABLES])

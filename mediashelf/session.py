@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,6 +78,27 @@ def stage_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of a stream's shuffle, or one bucket of a stored table, is to hold.
+TASK_ROWS = 250_000
+
+
+def parts_for(rows: int, least: int) -> int:
+    """Partitions or buckets for a number of rows."""
+    return max(least, -(-rows // TASK_ROWS))
+
+
+@contextmanager
+def shuffle_partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Streams started inside shuffle into enough partitions for ``rows``; a stream takes the session's number when it
+    starts and keeps it with its checkpoint."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts_for(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mediashelf.functions import hashing as H
 from mediashelf.operators import scan as SC
+from mediashelf.sources import catalogue as cat
 from mediashelf.sources import listing as L
 from mediashelf.sources.catalogue import scan_events_from
 from mediashelf.streaming import file_events as FE
@@ -412,3 +413,32 @@ def test_scan_upsert_restore_end_to_end(spark, tmpdir_path):
     # X3 gives the same full path from the stored relative path
     one = files.where("system_id = 'sys2'").select(P.platform_path("path", F.lit(other_mount)).alias("p")).first()["p"]
     assert os.path.exists(one)
+
+
+@pytest.mark.parametrize("name", ["T6_stream_sync_rounds", "T7_stream_progress", "T8_stream_file_events"])
+def test_streams_spread_over_more_tasks_as_tables_grow(spark, monkeypatch, name):
+    """Buckets and shuffle partitions of the streams follow the number of rows, not a constant."""
+    from mediashelf import session
+    from mediashelf.plans import q_streaming as Q
+
+    from .conftest import SF_SMALL
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def start(*args, **kw):
+        seen.append(kw.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        raise Stop
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    for module, at in ((Q.SL, "start_sync_stream"), (Q.PR, "start_progress_stream"), (Q.FE, "start_file_event_stream")):
+        monkeypatch.setattr(module, at, start)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    run = {"T6": Q.t6_stream_sync, "T7": Q.t7_stream_progress, "T8": Q.t8_stream_file_events}[name[:2]]
+    with pytest.raises(Stop):
+        run(spark, SF_SMALL)
+    rows = cat.files(spark, SF_SMALL).count()
+    if name[:2] != "T6":
+        rows += spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    assert seen == [-(-rows // 10)] and rows > 200
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
