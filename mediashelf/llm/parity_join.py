@@ -17,8 +17,8 @@ Nothing is capped.
 Links are not expanded into all pairs: identical sets are one class, and buckets with the same members
 (told by 128 bits of hash) one bucket; in each bucket members meet its smallest member; only in buckets that then still hold several components,
 members of different ones are compared by fine parity sketches, in blocks within a task. Pairs that the
-Hamming distance (a lower bound of the difference) does not rule out are verified, the closest first, in growing numbers
-until none is left between two components of a bucket.
+Hamming distance (a lower bound of the difference) does not rule out are verified, the closest first; buckets with more of
+them offer growing numbers until none is left between two of their components.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; repeated
 rows of one id count as one document; a null id gets its size and a null component; empty tables
@@ -42,12 +42,16 @@ from ._common import StagedTables, connected_components, mix64, passes, register
 
 #: Key rows that leave a task together, and bits of a key.
 PACK, KEY_BITS = 1 << 16, 48
+#: Keys that a task holds before they leave, so that its memory does not follow the size of its part of the table.
+HELD_KEYS = 1 << 19
 #: Buckets up to this size are compared together.
 SMALL = 64
 #: Pairs that a member of an open bucket offers per other component at first.
 CLOSEST = 8
 #: Members of a bucket that one task compares with as many others.
 BUCKET_ROWS = 4096
+#: Members of small buckets that one call compares, about.
+GROUP_ROWS = 512
 #: Largest table of ids that is broadcast (bytes, from its exact count and the bytes of a row in a hash table).
 BROADCAST_BYTES, ROW_BYTES = 8 << 20, 64
 #: Shingles per partition of keys.
@@ -161,24 +165,29 @@ def task_keys(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, par
     """Join keys of a task's documents as packed rows ``(part, known, keys)``: one for each of the ``parts`` ranges
     of keys, so that a key costs a few bytes and one row holds many.
 
-    Within the task, sets already seen give no keys, and a key that several documents have goes to its
-    range once, for the smallest of them; all its members go beside it (``known``), spread over the parts,
-    so that a key of very many documents loads no partition. Keys have ``KEY_BITS`` bits: a clash makes a candidate more."""
+    Within the task, sets already seen give no keys. Every ``HELD_KEYS`` keys leave together: a key that several
+    documents among them have goes to its range once, for the smallest of them; all its members go beside it
+    (``known``), spread over the parts, so that a key of very many documents loads no partition. Keys have
+    ``KEY_BITS`` bits: a clash makes a candidate more."""
     seen: dict[tuple[int, int, int], int] = {}
-    all_keys, all_docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    held, docs = [], []
     for batch in batches:
         for rows, raw, offsets in passes(batch):
             for doc, s in zip(rows.column(0).to_pylist(), doc_sets(raw, offsets, n)):
                 if len(s) and doc is not None and seen.setdefault((len(s), *_digest(s)), doc) == doc:
-                    keys = np.unique(part_keys(s, num, den) >> np.uint64(64 - KEY_BITS))
-                    all_keys.append(keys)
-                    all_docs.append(np.full(len(keys), doc, np.int64))
-    keys = np.concatenate(all_keys)
-    all_keys.clear()
-    docs = np.concatenate(all_docs)
-    all_docs.clear()
-    if not len(keys):
-        return
+                    held.append(np.unique(part_keys(s, num, den) >> np.uint64(64 - KEY_BITS)))
+                    docs.append(doc)
+            if sum(map(len, held)) >= HELD_KEYS:
+                yield from _packed_keys(held, docs, parts)
+    if held:
+        yield from _packed_keys(held, docs, parts)
+
+
+def _packed_keys(held: list[np.ndarray], of: list[int], parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some documents' keys; empties both lists."""
+    keys, docs = np.concatenate(held), np.repeat(np.array(of, np.int64), [len(k) for k in held])
+    held.clear()
+    of.clear()
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     del order
@@ -294,11 +303,14 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
     key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "c", "n"))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
-    found, more = [np.empty((0, 2), np.int64)], False
+    found = [np.empty((0, 2), np.int64)]
+    unfinished = []  # pairs of buckets that have others, with the bucket
     for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
         out = near_in_bucket(table.slice(a, m), num, den, closest)
-        found.append(np.stack([out.column("a").to_numpy(), out.column("b").to_numpy()], 1))
-        more |= bool(out.num_rows and out.column("more")[0].as_py())
+        if out.num_rows and out.column("more")[0].as_py():
+            unfinished.append(out)
+        else:
+            found.append(np.stack([out.column("a").to_numpy(), out.column("b").to_numpy()], 1))
     rows = np.flatnonzero(np.repeat(size <= SMALL, size))
     key, node, comp, n = key[rows], node[rows], comp[rows], n[rows]
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch").combine_chunks().take(pa.array(rows))]
@@ -328,13 +340,19 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
                 k = at[d <= most[at]]
                 found.append(np.stack([node[i[k]], node[j[k]]], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": np.full(len(pairs), more)})
+    return pa.concat_tables([*unfinished, _pairs(pairs, None)])
+
+
+def _pairs(pairs: np.ndarray, key: int | None) -> pa.Table:
+    """Candidate pairs; those of a bucket that has others (``more``) name it by its key."""
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": np.full(len(pairs), key is not None),
+                     "key": pa.array([key] * len(pairs), pa.int64())})
 
 
 def near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> pa.Table:
     """Pairs of a bucket's members in different components whose fine sketches differ in no more
     bits than linked sets of their sizes can: for each member outside the largest component and each other
-    component the ``closest`` ones. ``more`` says that there are others."""
+    component the ``closest`` ones. ``more`` and the bucket's key say that there are others."""
     node, comp = table.column("node").to_numpy(), table.column("c").to_numpy()
     side, n = table.column("side").to_numpy(), table.column("n").to_numpy()
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch")]
@@ -361,8 +379,7 @@ def near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> pa.Tabl
         take = place < closest
         a, b = node[i[r[take]]], node[c[take]]
         pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    found = np.unique(np.concatenate(pairs), axis=0)
-    return pa.table({"a": found[:, 0], "b": found[:, 1], "more": np.full(len(found), more)})
+    return _pairs(np.unique(np.concatenate(pairs), axis=0), table.column("key")[0].as_py() if more else None)
 
 
 def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -379,8 +396,10 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, closest: int) -> DataFrame:
-    """Candidate pairs ``(a, b, more)`` of buckets whose members are in several components. In a bucket of more
+def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, closest: int,
+               tables: StagedTables) -> DataFrame:
+    """Candidate pairs ``(a, b, more, key)`` of buckets whose members are in several components; ``key`` names the
+    bucket where it has other candidates, which more of the closest would show. In a bucket of more
     than ``BUCKET_ROWS`` the members outside its largest component seek among all members: seekers and
     members are each cut into blocks of about that size, and every two meet in one task. So a large group whose
     members are linked already is dealt out once for each block of the few that are not."""
@@ -389,9 +408,11 @@ def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num:
         F.sum("n").alias("m"), F.max(F.struct("n", "c")).alias("big")).where("big.n < m").select(
         "key", F.col("big.c").alias("big"), F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"),
         F.ceil((F.col("m") - F.col("big.n")) / BUCKET_ROWS).cast("int").alias("seeking"))
-    found, kind = named.join(open_keys, "key"), "a long, b long, more boolean"
+    # staged: the buckets of one block and the larger ones are both read from it
+    found, kind = tables.write(named.join(open_keys, "key")), "a long, b long, more boolean, key long"
     # buckets of one block share groups, so that many small ones cost one call; there all meet all (side 2)
-    groups = 32 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(32 * parts, max(parts, found.count() // GROUP_ROWS))
     whole = (found.where("blocks = 1").select("key", "node", "c", F.lit(2).alias("side")).join(sketches, "node")
              .withColumn("g", F.pmod("key", F.lit(groups))).groupBy("g")
              .applyInArrow(lambda t: near_in_buckets(t, num, den, closest), kind))
@@ -401,6 +422,8 @@ def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num:
                            F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(own),
                            F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
     large = found.where("blocks > 1")
+    if large.isEmpty():
+        return whole
     met = dealt(large, 1, "j", "blocks", "i", "seeking").unionByName(
         dealt(large.where("c <> big"), 0, "i", "seeking", "j", "blocks"))
     cut = (met.join(sketches, "node").groupBy("key", "i", "j")
@@ -445,9 +468,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         "key", F.coalesce("rep", "node").alias("node")).distinct())
     # two sets that share some parts meet in as many buckets: of buckets with the same members one is enough
     sets = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
-                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    one = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
-    met, members = members, staged(members.join(one, "key", "left_semi"))
+                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min("node").alias("hub"))
+    one = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("hub").alias("hub"))
+    met, members = members, staged(members.join(one.select("key", "hub"), "key"))
     tables.drop(met)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -467,28 +490,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         return staged(both.mapInArrow(lambda it: verified(it, num, den), "a long, b long"))
 
     # every member against the smallest member of its buckets
-    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
-    star = members.join(hubs, "key").where("a < node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
+    star = members.where("hub < node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a"))
     own, other = (sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
                   for k in ("a", "b"))
     star = staged(star.join(own, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
         lambda it: possible(it, num, den), "a long, b long"))
     labels = staged(connected_components(links_of(star), tables=tables))
-    # buckets that still hold several components: pairs across components, the closest first
-    tried, closest = star, CLOSEST
+    # buckets that still hold several components: pairs across components, the closest first. A bucket that has
+    # no others than those offered is done, since whatever is in it has been verified
+    tried, closest, left = star, CLOSEST, members
     while True:
-        close = staged(open_pairs(members, labels, sketches, num, den, closest))
+        close = staged(open_pairs(left, labels, sketches, num, den, closest, tables))
         fresh = staged(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        more = not close.where("more").isEmpty()
         if not fresh.isEmpty():
             links = links_of(fresh)
             if not links.isEmpty():
                 labels = staged(joined_labels(labels, links, tables))
             tried = tried.unionByName(fresh)
-        else:
-            closest *= 16
-        if not more:
+        again = staged(close.where("more").select("key").distinct())
+        if again.isEmpty():
             break
+        left, closest = staged(left.join(again, "key", "left_semi")), closest * 16
     found = staged(sizes.select("doc_id", F.col("n").alias("n_shingles"))
                    .join(copies, "doc_id", "left")
                    .join(labels, F.coalesce("rep", "doc_id") == labels["node"], "left")

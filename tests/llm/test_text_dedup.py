@@ -93,6 +93,52 @@ def test_jaccard_in_buckets_of_many_blocks(spark, monkeypatch):
     assert got == _jaccard_model(rows, 3, 94)
 
 
+def test_jaccard_compares_finished_buckets_once(spark, monkeypatch):
+    """Only buckets that have more candidates than they offered are dealt out again."""
+    rng = random.Random(11)
+    rows, words = [], [f"w{i}" for i in range(5000)]
+    for k in range(60):  # small groups: texts with few words of a common one
+        base = rng.choices(words, k=120)
+        rows += [" ".join(base[:100 + rng.randint(0, 20)] + rng.choices(words, k=rng.randint(0, 30))) for _ in range(6)]
+    base = rng.choices(words, k=200)
+    for _ in range(90):  # one large group, whose members miss each other by little
+        text = list(base)
+        for i in rng.sample(range(len(text)), rng.choice([1, 2, 2, 3])):
+            text[i] = rng.choice(words)
+        rows.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    dealt, whole = [], parity_join.open_pairs
+
+    def counted(members, *rest, **more):
+        dealt.append(members.count())
+        return whole(members, *rest, **more)
+    monkeypatch.setattr(parity_join, "open_pairs", counted)
+    monkeypatch.setattr(parity_join, "CLOSEST", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.jaccard_components(docs, 3, 90).collect()}
+    assert len(dealt) > 1 and max(dealt[1:]) < dealt[0]
+    assert got == _jaccard_model(list(enumerate(rows)), 3, 90)
+
+
+def test_task_keys_leave_before_the_task_has_read_all(monkeypatch):
+    """The memory of a task does not follow the size of its part; keys met at two times are found."""
+    monkeypatch.setattr(parity_join, "HELD_KEYS", 100, raising=False)
+    text = " ".join(f"w{i}" for i in range(60))
+    read = []
+
+    def batches():
+        for doc in range(8):
+            read.append(doc)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "text": [text + f" x{doc} y{doc}"]})
+    rows = parity_join.task_keys(batches(), 3, 90, 100, 1)
+    first = next(rows)
+    assert len(read) < 8
+    out = pa.Table.from_batches(list(parity_join.shared_keys(iter([first, *rows]))))
+    # as from one task for each document
+    apart = [r for b in batches() for r in parity_join.task_keys(iter([b]), 3, 90, 100, 1)]
+    one = pa.Table.from_batches(list(parity_join.shared_keys(iter(apart))))
+    assert one.num_rows and set(zip(*out.to_pydict().values())) == set(zip(*one.to_pydict().values()))
+
+
 def test_parts_hold_the_pigeonhole_bound():
     rng = np.random.default_rng(0)
     for num in (60, 80, 90):
