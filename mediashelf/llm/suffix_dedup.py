@@ -52,6 +52,9 @@ NAME_BITS = 48
 BUCKET_BYTES = 4 << 20
 #: Text of one name above which its windows are dealt out by their whole bytes.
 HOT_BYTES = 1 << 20
+#: Pairs of a name and a document that a task holds before they leave, so that its memory does not follow the size of
+#: its part of the table.
+HELD_NAMES = 1 << 19
 #: Columns of a span: the variant tells different texts of one id apart.
 SPAN = ("doc_id", "variant", "start", "end")
 #: A difference cover for each modulus (every residue is a difference of two members).
@@ -115,10 +118,10 @@ def window_names(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 
 
 def task_names(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_names: int) -> Iterator[pa.RecordBatch]:
-    """The task's distinct (name, document bucket) pairs, packed per name bucket, with a mark on
-    names that several of the task's documents have and the binary logarithm of the pair's text."""
-    names, docs, buckets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    sizes = [np.empty(0, np.int32)]
+    """The distinct (name, document bucket) pairs of a task's documents, packed per name bucket, with a mark on
+    names that several of the documents have and the binary logarithm of the pair's text. About ``HELD_NAMES``
+    leave at a time; documents are never cut between two times, so a name met at both is one of several."""
+    names, docs, buckets, sizes = held = [], [], [], []
     for batch in batches:
         for rows, raw, offsets in passes(batch):
             runs, name = window_names(raw, offsets, width)
@@ -132,12 +135,19 @@ def task_names(batches: Iterator[pa.RecordBatch], width: int, n_docs: int, n_nam
             buckets.append(db[order][new])
             size = (runs[:, 2] + (width - 1))[order]
             sizes.append((np.add.reduceat(size, np.flatnonzero(new)) if len(size) else size).astype(np.int32))
-    name, doc, db = np.concatenate(names), np.concatenate(docs), np.concatenate(buckets).astype(np.int64)
-    size = np.concatenate(sizes)
-    if not len(name):
-        return
+            if sum(map(len, names)) >= HELD_NAMES:
+                yield from _packed_names(held, n_names)
+    if sum(map(len, names)):
+        yield from _packed_names(held, n_names)
+
+
+def _packed_names(held: tuple[list[np.ndarray], ...], n_names: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some documents' names; empties the lists."""
+    name, doc, db, size = (np.concatenate(x) for x in held)
+    for x in held:
+        x.clear()
     order = np.lexsort((doc, name))
-    name, doc, db, size = name[order], doc[order], db[order], size[order]
+    name, doc, db, size = name[order], doc[order], db[order].astype(np.int64), size[order]
     new = np.concatenate([[True], name[1:] != name[:-1]])
     group = np.cumsum(new) - 1
     several = np.zeros(group[-1] + 1, bool)

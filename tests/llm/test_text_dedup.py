@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from mediashelf.llm import parity_join, suffix_dedup
-from mediashelf.llm._common import connected_components
+from mediashelf.llm._common import connected_components, utf8
 
 
 def _components(links, nodes):
@@ -139,6 +139,27 @@ def test_task_keys_leave_before_the_task_has_read_all(monkeypatch):
     assert one.num_rows and set(zip(*out.to_pydict().values())) == set(zip(*one.to_pydict().values()))
 
 
+def test_task_names_leave_before_the_task_has_read_all(monkeypatch):
+    """The memory of a task does not follow the size of its part; names met at two times are shared."""
+    monkeypatch.setattr(suffix_dedup, "HELD_NAMES", 20, raising=False)
+    rng, read = random.Random(3), []
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    texts = [line + "".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(8)]
+
+    def batches():
+        for doc, text in enumerate(texts):
+            read.append(doc)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], pa.int64()), "text": [text], "db": pa.array([doc], pa.int32())})
+    rows = suffix_dedup.task_names(batches(), 50, 8, 1)
+    first = next(rows)
+    assert len(read) < 8
+    shared = suffix_dedup.shared_names(pa.Table.from_batches([first, *rows]))
+    runs = [set(suffix_dedup.window_names(*utf8(pa.array([t])), 50)[1].tolist()) for t in texts]
+    for db, packed in zip(shared["db"].to_pylist(), shared["names"].to_pylist()):
+        names = set(np.cumsum(suffix_dedup.unpack(packed)[0], dtype=np.uint64).tolist())
+        assert names == {x for x in runs[db] if sum(x in r for r in runs) > 1}
+
+
 def test_parts_hold_the_pigeonhole_bound():
     rng = np.random.default_rng(0)
     for num in (60, 80, 90):
