@@ -17,8 +17,9 @@ Nothing is capped.
 Links are not expanded into all pairs: identical sets are one class, and buckets with the same members
 (told by 128 bits of hash) one bucket; in each bucket members meet its smallest member; only in buckets that then still hold several components,
 members of different ones are compared by fine parity sketches, in blocks within a task. Pairs that the
-Hamming distance (a lower bound of the difference) does not rule out are verified, the closest first; buckets with more of
-them offer growing numbers until none is left between two of their components.
+Hamming distance (a lower bound of the difference) does not rule out are verified, the closest of each member first; buckets
+with more of them offer growing numbers for each member until none is left between two of their components. So a group that is
+not yet linked does not offer all its pairs at once.
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; repeated
 rows of one id count as one document; a null id gets its size and a null component; empty tables
@@ -46,7 +47,7 @@ PACK, KEY_BITS = 1 << 16, 48
 HELD_KEYS = 1 << 19
 #: Buckets up to this size are compared together.
 SMALL = 64
-#: Pairs that a member of an open bucket offers per other component at first.
+#: Pairs that a member of an open bucket offers at first.
 CLOSEST = 8
 #: Members of a bucket that one task compares with as many others.
 BUCKET_ROWS = 4096
@@ -298,19 +299,17 @@ def possible(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Table:
     """``near_in_bucket`` for all buckets of a group. The many small ones are compared together,
-    neighbour by neighbour, with all their pairs; the others one at a time."""
+    neighbour by neighbour; the others one at a time."""
     table = table.sort_by([("key", "ascending"), ("node", "ascending")])
     key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "c", "n"))
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
-    found = [np.empty((0, 2), np.int64)]
-    unfinished = []  # pairs of buckets that have others, with the bucket
+    found, unfinished = [np.empty((0, 2), np.int64)], []
     for a, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        out = near_in_bucket(table.slice(a, m), num, den, closest)
-        if out.num_rows and out.column("more")[0].as_py():
-            unfinished.append(out)
-        else:
-            found.append(np.stack([out.column("a").to_numpy(), out.column("b").to_numpy()], 1))
+        pairs, more = _near_in_bucket(table.slice(a, m), num, den, closest)
+        found.append(pairs)
+        if more:
+            unfinished.append(int(key[a]))
     rows = np.flatnonzero(np.repeat(size <= SMALL, size))
     key, node, comp, n = key[rows], node[rows], comp[rows], n[rows]
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch").combine_chunks().take(pa.array(rows))]
@@ -326,6 +325,7 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
         place[w] = np.zeros(len(words), np.int64)
         place[w][own] = np.arange(len(own))
     del raw
+    near = [np.empty((0, 3), np.int64)]  # rows of two members and their distance
     for t in range(1, SMALL):  # every member with the t-th after it in its bucket
         i = np.flatnonzero(key[t:] == key[:-t]) if t < len(key) else np.empty(0, np.int64)
         if not len(i):
@@ -337,22 +337,49 @@ def near_in_buckets(table: pa.Table, num: int, den: int, closest: int) -> pa.Tab
         for w, x in sketch.items():
             for at in np.array_split(np.flatnonzero(least == w), 1 + len(i) * w // (1 << 21)):
                 d = np.bitwise_count(x[place[w][i[at]]] ^ x[place[w][j[at]]]).sum(axis=1, dtype=np.int64)
-                k = at[d <= most[at]]
-                found.append(np.stack([node[i[k]], node[j[k]]], 1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.concat_tables([*unfinished, _pairs(pairs, None)])
+                k = d <= most[at]
+                near.append(np.stack([i[at[k]], j[at[k]], d[k]], 1))
+    i, j, d = np.concatenate(near).T
+    either = _offered(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([comp[j], comp[i]]),
+                      np.concatenate([d, d]), closest)
+    take = either[:len(i)] | either[len(i):]
+    found.append(np.stack([node[i[take]], node[j[take]]], 1))
+    return _pairs(found, unfinished + np.unique(key[i[~take]]).tolist())
+
+
+def _offered(who: np.ndarray, whom: np.ndarray, comp: np.ndarray, d: np.ndarray, closest: int) -> np.ndarray:
+    """Which candidates ``whom`` (of component ``comp``, at distance ``d``) are offered: the ``closest`` for each
+    ``who``, where the first of every component comes before the second of any."""
+    def places(*names: np.ndarray) -> np.ndarray:
+        new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])[:len(names[0])]
+        start = np.flatnonzero(new)
+        return np.arange(len(new)) - np.repeat(start, np.diff(np.append(start, len(new))))
+    order = np.lexsort((whom, d, comp, who))
+    turn = places(who[order], comp[order])
+    order = order[np.lexsort((whom[order], d[order], turn, who[order]))]
+    offered = np.zeros(len(who), bool)
+    offered[order] = places(who[order]) < closest
+    return offered
 
 
-def _pairs(pairs: np.ndarray, key: int | None) -> pa.Table:
-    """Candidate pairs; those of a bucket that has others (``more``) name it by its key."""
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": np.full(len(pairs), key is not None),
-                     "key": pa.array([key] * len(pairs), pa.int64())})
+def _pairs(found: list[np.ndarray], unfinished: list[int]) -> pa.Table:
+    """Distinct candidate pairs, after a row without a pair for each bucket that has others (``more``, and its key)."""
+    pairs, rest = np.unique(np.concatenate(found), axis=0), pa.nulls(len(unfinished), pa.int64())
+    return pa.table({"a": pa.concat_arrays([rest, pa.array(pairs[:, 0])]), "b": pa.concat_arrays([rest, pa.array(pairs[:, 1])]),
+                     "more": np.arange(len(rest) + len(pairs)) < len(rest),
+                     "key": pa.array(unfinished + [None] * len(pairs), pa.int64())})
 
 
 def near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> pa.Table:
     """Pairs of a bucket's members in different components whose fine sketches differ in no more
-    bits than linked sets of their sizes can: for each member outside the largest component and each other
-    component the ``closest`` ones. ``more`` and the bucket's key say that there are others."""
+    bits than linked sets of their sizes can: for each member outside the largest component the ``closest`` ones, of as
+    many components as can be, so that a bucket of many components offers no more pairs for that. A row with ``more``
+    and the bucket's key says that there are others."""
+    pairs, more = _near_in_bucket(table, num, den, closest)
+    return _pairs([pairs], [table.column("key")[0].as_py()] if more else [])
+
+
+def _near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> tuple[np.ndarray, bool]:
     node, comp = table.column("node").to_numpy(), table.column("c").to_numpy()
     side, n = table.column("side").to_numpy(), table.column("n").to_numpy()
     raw = [np.frombuffer(x.as_py(), "<u8") for x in table.column("sketch")]
@@ -370,16 +397,11 @@ def near_in_bucket(table: pa.Table, num: int, den: int, closest: int) -> pa.Tabl
         d = np.bitwise_count(x[i[r]] ^ x[c]).sum(axis=1)
         near = d <= (n[i[r]] + n[c]) * (den - num) // (den + num)
         r, c, d = r[near], c[near], d[near]
-        order = np.lexsort((node[c], d, at[c], r))
-        r, c = r[order], c[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (at[c[1:]] != at[c[:-1]])])[:len(r)]
-        start = np.flatnonzero(new)
-        place = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
-        more |= bool((place >= closest).any())
-        take = place < closest
+        take = _offered(r, node[c], at[c], d, closest)
+        more |= not take.all()
         a, b = node[i[r[take]]], node[c[take]]
         pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    return _pairs(np.unique(np.concatenate(pairs), axis=0), table.column("key")[0].as_py() if more else None)
+    return np.concatenate(pairs), more
 
 
 def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -398,8 +420,8 @@ def verified(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
 
 def open_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int, closest: int,
                tables: StagedTables) -> DataFrame:
-    """Candidate pairs ``(a, b, more, key)`` of buckets whose members are in several components; ``key`` names the
-    bucket where it has other candidates, which more of the closest would show. In a bucket of more
+    """Candidate pairs ``(a, b, more, key)`` of buckets whose members are in several components; rows with ``more`` have
+    no pair and name a bucket with other candidates, which more of the closest would show. In a bucket of more
     than ``BUCKET_ROWS`` the members outside its largest component seek among all members: seekers and
     members are each cut into blocks of about that size, and every two meet in one task. So a large group whose
     members are linked already is dealt out once for each block of the few that are not."""
@@ -501,7 +523,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     tried, closest, left = star, CLOSEST, members
     while True:
         close = staged(open_pairs(left, labels, sketches, num, den, closest, tables))
-        fresh = staged(close.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        # staged before the join, which Spark would else put below: a pair is offered by every bucket that holds it
+        offers = staged(close.where("NOT more").select("a", "b").distinct())
+        fresh = staged(offers.join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             links = links_of(fresh)
             if not links.isEmpty():

@@ -49,6 +49,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(f"{META}*[^{META}\n]+|{META}+|\n")
 #: Bytes of text in a block of documents, and in a bucket of distinct words at most.
 BLOCK_BYTES = 12 << 20
+#: Characters of a bucket's words that are segmented together.
+STEP_CHARS = 1 << 16
 
 
 class Pieces:
@@ -322,7 +324,21 @@ def merge_words(ranks: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndar
 
 
 def bpe_bucket(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, one after the other, and the number of each word's ids."""
+    """Ids of the words, one after the other, and the number of each word's ids. About ``STEP_CHARS`` characters
+    (or one longer word) at a time have their edges in memory."""
+    ends = np.cumsum([len(w) for w in words])
+    ids, counts, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    while at < len(words):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + STEP_CHARS, "right")))
+        found, count = bpe_words(words[at:to], pieces)
+        ids.append(found.astype(np.int32))
+        counts.append(count)
+        at = to
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def bpe_words(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(w) for w in words], np.int64)
     text = "".join(words)
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")

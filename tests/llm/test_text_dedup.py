@@ -337,3 +337,23 @@ def test_open_buckets_lose_no_link(num):
     # with one offer per member and component, the rest is announced
     few = parity_join.near_in_buckets(table, num, 100, 1)
     assert few.num_rows <= out.num_rows and few["more"][0].as_py()
+
+
+def test_unlinked_buckets_offer_in_proportion_to_their_members():
+    """A bucket of many components, all near each other, does not offer all its pairs at once, and says so."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for key, members in enumerate([60, 300]):
+        base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        for _ in range(members):
+            s = np.unique(np.append(base, rng.integers(0, 1 << 63, 4).astype(np.uint64)))
+            rows.append((key, len(rows), len(s), parity_join.fine_sketch(s, parity_join.sketch_words(len(s), 80, 100)).tobytes()))
+    table = pa.table({"key": [r[0] for r in rows], "node": [r[1] for r in rows], "c": [r[1] for r in rows],
+                      "side": [2] * len(rows), "n": [r[2] for r in rows], "sketch": pa.array([r[3] for r in rows], pa.binary())})
+    some = parity_join.near_in_buckets(table, 80, 100, 4)
+    pairs = some.filter(some["a"].is_valid())
+    assert 0 < pairs.num_rows <= 4 * len(rows)
+    assert set(pairs["a"].to_pylist()) | set(pairs["b"].to_pylist()) == set(range(len(rows)))
+    assert set(some.filter(some["more"])["key"].to_pylist()) == {0, 1}
+    whole = parity_join.near_in_buckets(table, 80, 100, 300)
+    assert whole.num_rows == 60 * 59 // 2 + 300 * 299 // 2 and not any(whole["more"].to_pylist())

@@ -101,3 +101,20 @@ def test_unigram_viterbi_by_enumeration(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: list(r["ids"]) for r in piece_lattice.encode(df, fold="unigram", pieces=pieces).collect()}
     assert got == {k: [i for w in piece_lattice.split(t) for i in best(w)] for k, t in enumerate(texts)}
+
+
+def test_bucket_words_are_segmented_in_bounded_steps(monkeypatch):
+    """The edges of a bucket's words are not all in memory at once; the ids do not depend on the steps."""
+    pieces = piece_lattice.Pieces.read()
+    words = [f"▁word{i}" for i in range(200)] + ["▁" + "long" * 40, "日本", "\n", "▁"]
+    ids, count = piece_lattice.bpe_bucket(words, pieces)
+    seen, edges = [], piece_lattice.PieceArrays.edges
+
+    def counted(self, points, end):
+        seen.append(len(points))
+        return edges(self, points, end)
+    monkeypatch.setattr(piece_lattice.PieceArrays, "edges", counted)
+    monkeypatch.setattr(piece_lattice, "STEP_CHARS", 50, raising=False)
+    steps = piece_lattice.bpe_bucket(words, pieces)
+    assert steps[0].tolist() == ids.tolist() and steps[1].tolist() == count.tolist()
+    assert max(seen) == 161 and sorted(seen)[-2] <= 50
