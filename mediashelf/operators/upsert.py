@@ -59,7 +59,8 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], order_col: str | Colum
 
 
 def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int | Callable[[int], int],
-                      id_col: str = "id", partitions: int | None = None) -> DataFrame:
+                      id_col: str = "id", partitions: int | None = None,
+                      keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """``id = start_after + row_number() OVER (ORDER BY order_cols)`` without a
     single-partition window. ``start_after`` may be a function that is told the number of
     rows (a range of an id sequence).
@@ -69,15 +70,16 @@ def assign_serial_ids(df: DataFrame, order_cols: Sequence[str], start_after: int
     must be materialized before per-partition counts are taken. (Sampling reads the input
     a second time; the upsert's anti join is cheaper to repeat than its full rows are to write.)
     Every later read, also after an executor loss, sees the same ids. Each partition's row
-    count (one small row per partition) gives its offset.
+    count (one small row per partition) gives its offset. ``keep`` materialises the layout durably (it may
+    reorder rows, whose places are a column by then); the default is a checkpoint.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sortable = [c for c, t in df.dtypes
                 if c not in order_cols and not t.startswith(("array", "map", "struct", "binary"))]
     cols = [F.col(c) for c in order_cols]
-    ranked = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *sortable)
-                         .withColumn("_mid", F.monotonically_increasing_id()))
+    ranked = keep(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols, *sortable)
+                  .withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = {r["_pid"]: r["n"] for r in
@@ -156,6 +158,33 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
     if order_col is not None:
         batch = latest_per_key(batch, keys, order_col)
     keys = list(keys)
+    # the batch (the incremental side) feeds both the insert and the update path:
+    # materialise it once in the shared checkpoint folder
+    b = cut_lineage(batch.select(*keys, *[c for c in batch.columns if c not in keys]))
+    kept, inserted, changes = upsert_parts(current, b, keys, update_cols, mode=mode, as_of=as_of, insert_values=insert_values,
+                                           update_values=update_values, stamp_col=stamp_col)
+    cols = current.columns
+    if needs_ids(cols, batch.columns, keys, id_col, insert_values):
+        numbered = functools.cache(lambda: numbered_rows(current, inserted, keys, id_col, id_floor, sequence))
+        return UpsertResult(lambda: kept.select(*cols).unionByName(numbered()[0].select(*cols)), changes,
+                            lambda: numbered()[1])
+    return UpsertResult(lambda: kept.select(*cols).unionByName(inserted.select(*cols)), changes)
+
+
+def needs_ids(cols: Sequence[str], batch_cols: Sequence[str], keys: Sequence[str], id_col: str | None,
+              insert_values: dict[str, Column] | None) -> bool:
+    """Whether inserted rows get serial ids: nothing else gives them one."""
+    return bool(id_col) and id_col in cols and id_col not in keys and id_col not in (insert_values or {}) \
+        and id_col not in batch_cols
+
+
+def upsert_parts(current: DataFrame, batch: DataFrame, keys: Sequence[str], update_cols: Sequence[str] | None = None, *,
+                 mode: str = "update", as_of=None, insert_values: dict[str, Column] | None = None,
+                 update_values: dict[str, Column] | None = None,
+                 stamp_col: str | None = "last_sync") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The joins of ``upsert``: kept and updated rows, inserted rows (their ids still the batch's), changes. ``batch``
+    has one row per key and is read several times: the caller has materialised it."""
+    keys = list(keys)
     cols = current.columns
     ctypes = dict(current.dtypes)
     update_cols = [c for c in (update_cols if update_cols is not None else batch.columns) if c not in keys]
@@ -164,9 +193,7 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
     stamp = ts_lit(as_of) if as_of is not None else None
 
     b_cols = [c for c in batch.columns if c not in keys]
-    # the batch (the incremental side) feeds both the insert and the update path:
-    # materialise it once in the shared checkpoint folder
-    b = cut_lineage(batch.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in b_cols]))
+    b = batch.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in b_cols])
     cur_keys = current.select(*keys)
 
     def bcol(c: str) -> Column:
@@ -210,17 +237,12 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str],
         changes = b.select(*keys, F.lit(INSERT).alias("action")).unionByName(deleted)
     else:
         raise ValueError(f"unknown mode {mode}")
-
-    if id_col and id_col in cols and id_col not in keys and id_col not in insert_values \
-            and id_col not in b_cols:
-        numbered = functools.cache(lambda: numbered_rows(current, inserted, keys, id_col, id_floor, sequence))
-        return UpsertResult(lambda: kept.select(*cols).unionByName(numbered()[0].select(*cols)), changes,
-                            lambda: numbered()[1])
-    return UpsertResult(lambda: kept.select(*cols).unionByName(inserted.select(*cols)), changes)
+    return kept.select(*cols), inserted, changes
 
 
 def numbered_rows(current: DataFrame, inserted: DataFrame, keys: list[str], id_col: str, id_floor: int,
-              sequence: IdSequence | None) -> tuple[DataFrame, int]:
+              sequence: IdSequence | None,
+              keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, int]:
     """Inserted rows with their serial ids, and the new high-water mark."""
     from ..sources.sequences import start_after
     mark = [None]
@@ -229,7 +251,7 @@ def numbered_rows(current: DataFrame, inserted: DataFrame, keys: list[str], id_c
         base = start_after(sequence, current, id_col, id_floor, n)
         mark[0] = base + n
         return base
-    rows = assign_serial_ids(inserted.drop(id_col), keys, reserve, id_col)
+    rows = assign_serial_ids(inserted.drop(id_col), keys, reserve, id_col, keep=keep)
     return rows, reserve(0) if mark[0] is None else mark[0]
 
 

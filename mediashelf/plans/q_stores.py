@@ -115,6 +115,7 @@ def k1_bucket_copy_on_write(spark, sf_dir):
     ids.take(0, U.max_id(files))
     table.upsert(_clean_batch(spark, sf_dir), ["device_uuid", "path", "system_id"], ["hash", "size", "modified_time"],
                  as_of=AS_OF, order_col=ORDER(), insert_values={"scanned_time": U.ts_lit(AS_OF)}, sequence=ids)
+    table.vacuum()  # nobody reads the version before
     table.delete(cat.file_batch(spark, sf_dir).where("error IS NOT NULL").select("device_uuid", "path"))
     table.vacuum()
     return table.read()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -99,6 +100,25 @@ def shuffle_partitions_for(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@contextmanager
+def one_writer_a_task(spark: SparkSession) -> Iterator[None]:
+    """Writes inside that deal whole folders to tasks do not sort by folder first, which would spill large ones: a
+    task opens a file per folder as long as it has few of them, and sorts only beyond that."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of finished jobs, which otherwise stay until the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -193,6 +193,47 @@ def test_a_failed_write_is_not_seen_and_is_repeated(spark, tmpdir_path, monkeypa
     assert contents(table) == [(1, "d", "a", "new"), (2, "d", "b", "new")]
 
 
+def test_groups_of_buckets_leave_nothing_but_the_table(spark, tmpdir_path, monkeypatch):
+    """Buckets are rewritten group by group, ids run over all groups, and no copy of the change set stays behind."""
+    from mediashelf.session import ensure_checkpoint_dir
+    from mediashelf.sources import bucket_table
+    monkeypatch.setattr(bucket_table, "TASK_ROWS", 1)
+    tasks = spark.sparkContext.defaultParallelism
+    table = BucketTable.create(files_frame(spark, [(i, "d", f"p{i:03}", "h") for i in range(1, 301)]), f"{tmpdir_path}/t",
+                               FILE_KEYS, 4 * tasks)
+    staged = set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+    batch = batch_of(spark, [(None if i % 50 == 0 else "d", f"p{i:03}", f"new{i}") for i in range(201, 501)])
+    writes = []
+    write = BucketTable.write
+    monkeypatch.setattr(BucketTable, "write", lambda self, rows, v, b, more=False: (writes.append((v, list(b))), write(self, rows, v, b, more)))
+    res = table.upsert(batch, KEY, ["hash"], as_of=AS_OF, id_floor=300)
+    assert len(writes) > 2 and sorted(b for _, g in writes for b in g) == list(range(4 * tasks))
+    got = {(r["device_uuid"], r["path"]): (r["id"], r["hash"]) for r in table.read().collect()}
+    fresh = [(None if i % 50 == 0 else "d", f"p{i:03}") for i in range(201, 501) if i > 300 or i % 50 == 0]
+    fresh.sort(key=lambda k: (k[0] or "", k[1]))
+    want = {("d", f"p{i:03}"): (i, f"new{i}" if 200 < i and i % 50 else "h") for i in range(1, 301)}
+    want |= {k: (301 + n, f"new{int(k[1][1:])}") for n, k in enumerate(fresh)}
+    assert got == want and res.high_water == 300 + len(fresh) and table.read().count() == len(want)
+    assert res.changes.where("action = 'insert'").count() == len(fresh)
+    writes.clear()
+    table.delete(spark.createDataFrame([("d", f"p{i:03}") for i in range(2, 500, 2)], "device_uuid string, path string"))
+    assert len(writes) > 2
+    table.vacuum()
+    left = {k for k in want if k[0] is None or int(k[1][1:]) % 2 or int(k[1][1:]) >= 500}
+    assert {(r["device_uuid"], r["path"]) for r in table.read().collect()} == left
+    assert set(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:"))) == staged
+    assert folders.names(spark, f"{table.path}/changes") == []
+
+
+def test_buckets_follow_the_types_of_the_table(spark, tmpdir_path):
+    """A key that arrives as another number type belongs into the same bucket."""
+    table = BucketTable.create(spark.range(40).select("id", F.lit("a").alias("v")), f"{tmpdir_path}/t", ["id"], 8)
+    table.upsert(spark.createDataFrame([(3, "b"), (50, "c")], "id int, v string"), ["id"], ["v"], id_col=None)
+    table.delete(spark.createDataFrame([(7,)], "id int"))
+    got = {r["id"]: r["v"] for r in table.read().collect()}
+    assert got == {i: "b" if i == 3 else "a" for i in range(40) if i != 7} | {50: "c"}
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("xyz"), st.booleans()), max_size=6), max_size=4))
 def test_buckets_equal_a_plain_table(spark, batches):
