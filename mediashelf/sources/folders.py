@@ -26,6 +26,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def matches(spark: SparkSession, pattern: str) -> list[tuple[str, bool]]:
+    """Local paths that a path or pattern names, and whether each is a folder; none on other stores."""
+    fs, p = _at(spark, pattern)
+    found = fs.globStatus(p) if fs.getScheme() == "file" else None
+    return [(s.getPath().toUri().getPath(), s.isDirectory()) for s in found] if found is not None else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

@@ -324,6 +324,50 @@ def test_scan_counts_names_it_passes_over(spark, tmpdir_path):
     assert listed.files.count() == done.files.count() == 30
 
 
+def test_binary_files_are_those_of_spark_and_not_listed_by_the_driver(spark, tmpdir_path):
+    root = f"{tmpdir_path}/tree"
+    for name in ("a.txt", "b/c.TXT", "b/.hidden", "b/_under", "_skip/d", "_k=1/e", ".dot/f", "x y/é%20.md", "g._COPYING_",
+                 "_metadata", "b/empty", "deep/1/2/3/h"):
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(b"" if name.endswith("empty") else name.encode() * 3)
+    for i in range(200):
+        with open(f"{root}/b/n{i}", "wb") as f:
+            f.write(b"x" * i)
+    os.makedirs(f"{tmpdir_path}/far")
+    open(f"{tmpdir_path}/far/z", "w").close()
+    os.symlink(f"{tmpdir_path}/far", f"{root}/link")
+    os.symlink(f"{tmpdir_path}/nothing", f"{root}/broken")
+    os.symlink(f"{root}/a.txt", f"{root}/again")
+
+    def rows(df):
+        return sorted((r["path"], r["size"], r["modified_time"], bytes(r["content"])) for r in df.collect())
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    for at in (root, f"{tmpdir_path}/tr*", f"file:{root}/b", f"{root}/a.txt", f"{root}/*"):
+        want = source.load(at).select(F.regexp_replace("path", "^file:", "").alias("path"), F.col("length").alias("size"),
+                                      L._utc("modificationTime").alias("modified_time"), "content")
+        got = L.binary_files(spark, at, with_content=True)
+        assert rows(got) == rows(want) and got.dtypes == want.dtypes, at
+        assert L.binary_files(spark, at).collect() and L.binary_files(spark, at).columns == ["path", "size", "modified_time"]
+    assert len(L.binary_files(spark, root, with_content=True).inputFiles()) < 100  # tables of paths, not the files
+    os.makedirs(f"{tmpdir_path}/none")
+    assert L.binary_files(spark, f"{tmpdir_path}/none", with_content=True).collect() == []
+
+
+def test_contents_leave_a_task_in_bounded_batches(tmpdir_path, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(L, "CHUNK_BYTES", 10)
+    paths = []
+    for i, n in enumerate([4, 4, 4, 30, 1, 0, 9]):
+        paths.append(f"{tmpdir_path}/f{i}")
+        with open(paths[-1], "wb") as f:
+            f.write(b"x" * n)
+    given = pa.RecordBatch.from_arrays([pa.array(paths)], names=["path"])
+    out = list(L._content_reader(True)(iter([given])))
+    assert [[len(c) for c in b.column(3).to_pylist()] for b in out] == [[4, 4], [4], [30], [1, 9]]
+    assert [b.num_rows for b in L._content_reader(False)(iter([given]))] == [6]
+
+
 # ---------------------------------------------------------------- prefix join
 
 def norm(p):
