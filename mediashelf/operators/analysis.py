@@ -142,6 +142,8 @@ def store_video_analyses(current: DataFrame, analyses: DataFrame) -> UpsertResul
 
 DETECTION_SCHEMA = "file_id long, label string, confidence double"
 DETECTED = DETECTION_SCHEMA + ", error string"
+#: Files that are tried together after their batch has failed: few fail, and a call costs much beside a file.
+PIECE = 8
 
 
 def detect(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -155,8 +157,9 @@ def detect_files(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame
     pandas frame of both columns with at most ``batch_bytes`` of content (or one file) and returns
     ``file_id, label, confidence`` rows, any number per file. No model ships.
 
-    A batch that fails is tried again file by file: a file that fails alone, or has no content, gives one row
-    with ``error`` and no label, and costs the others nothing. Contents are never shuffled."""
+    A batch that fails is tried again in pieces of ``PIECE`` files, and a piece that fails file by file: a file that
+    fails alone, or has no content, gives one row with ``error`` and no label, and costs the others nothing. Contents
+    are never shuffled."""
     from ..session import ship_package
     ship_package(images.sparkSession)
 
@@ -169,6 +172,18 @@ def detect_files(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame
     def failed(file_id: int | None, error: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([file_id], pa.int64()), pa.nulls(1, pa.string()),
                                            pa.nulls(1, pa.float64()), pa.array([error])], names=names)
+
+    def retried(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        try:
+            got = rows_of(part)
+        except Exception as e:  # the model's own failures are rows, not the job's
+            got = failed(part.column(0)[0].as_py(), f"{type(e).__name__}: {e}") if part.num_rows == 1 else None
+        if got is not None:
+            yield got
+            return
+        step = PIECE if part.num_rows > PIECE else 1
+        for a in range(0, part.num_rows, step):
+            yield from retried(part.slice(a, step))
     names = [c.split()[0] for c in DETECTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +197,5 @@ def detect_files(images: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch_bytes, "right")))
                 part = some.slice(at, to - at)
                 at = to
-                try:
-                    yield rows_of(part)
-                    continue
-                except Exception as e:  # the model's own failures are rows, not the job's
-                    if part.num_rows == 1:
-                        yield failed(part.column(0)[0].as_py(), f"{type(e).__name__}: {e}")
-                        continue
-                for i in range(part.num_rows):
-                    try:
-                        yield rows_of(part.slice(i, 1))
-                    except Exception as e:
-                        yield failed(part.column(0)[i].as_py(), f"{type(e).__name__}: {e}")
+                yield from retried(part)
     return images.select(F.col("file_id").cast("long").alias("file_id"), "content").mapInArrow(run, DETECTED)

@@ -475,3 +475,21 @@ def test_detector_batches_and_errors(spark):
     assert A.detect(files, model).count() == 8 and sizes == []
     none = A.detect_files(files.limit(0), model)
     assert none.collect() == [] and none.columns == ["file_id", "label", "confidence", "error"]
+
+
+def test_a_failed_batch_is_tried_in_pieces(spark, tmpdir_path):
+    """One file that cannot be read costs its piece's files a call each, not the whole batch's."""
+    calls = f"{tmpdir_path}/calls"
+
+    def model(files):
+        import pandas as pd
+        with open(calls, "a") as f:
+            f.write(f"{len(files)}\n")
+        if (files["file_id"] == 70).any():
+            raise KeyError("seventy")
+        return pd.DataFrame({"file_id": files["file_id"], "label": "x", "confidence": 1.0})
+    files = spark.createDataFrame([(i, bytearray(b"x")) for i in range(100)], "file_id long, content binary").coalesce(1)
+    got = {r["file_id"]: (r["label"], r["error"]) for r in A.detect_files(files, model).collect()}
+    assert got == {i: ("x", None) if i != 70 else (None, "KeyError: 'seventy'") for i in range(100)}
+    with open(calls) as f:
+        assert sorted(int(n) for n in f) == [1] * 8 + [4] + [8] * 12 + [100]
